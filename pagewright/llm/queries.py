@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encoded_digests
 from .near_dedup import near_duplicates
+from .token_counts import token_counts
+from .toxicity import toxicity
+from .vocabularies import vocabulary
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_minhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op6_bpe_encode_decode, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
