@@ -44,6 +44,9 @@ LEAST_AGREED = 0.70
 #: Buckets of up to so many members are compared pair by pair, larger ones by blocks of BLOCK members.
 SMALL, BLOCK = 16, 256
 
+#: Bits of the broadcast bitmap of wanted ids, at most: 16 MB.
+BITMAP_BITS = 1 << 27
+
 _SHIFT = np.uint32(0x9E3779B1)
 _SEEN = "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"
 
@@ -136,6 +139,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array([linked(x, y) for x, y in sets], pa.bool_()))
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with a doc_id in ``ids``.
+
+    A bitmap of hashed ids, of BITMAP_BITS bits at most, is broadcast and drops most other rows where they are
+    read, so that whole texts aren't shuffled for the exact semi-join that follows.
+    """
+    ids = written(ids.distinct(), "ids")
+    bits = max(1 << 20, min(BITMAP_BITS, 1 << (16 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    marks = ids.select(F.shiftright(at, 15).alias("part"), (at.bitwiseAND(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("marks"))
+    bit = at.bitwiseAND(32767).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("marks"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    seen = F.expr("shiftright(byte, bit % 8) & 1 = 1")
+    some = texts.withColumn("part", F.shiftright(at, 15)).join(F.broadcast(marks), "part").withColumn("bit", bit).withColumn("byte", byte).filter(seen)
+    return some.select(*texts.columns).join(ids, "doc_id", "left_semi")
+
+
 def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of representatives that are linked."""
     sig = reps.select("rep", "signature")
@@ -146,8 +166,7 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
         .mapInArrow(_agree, "a long, b long")
     )
     near = written(near, "near-pairs")
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = texts.join(ids, "doc_id", "left_semi")
+    own = _only(texts, near.select(F.explode(F.array("a", "b")).alias("doc_id")))
     return (
         near.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         .join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -236,8 +255,7 @@ def _across(members: DataFrame, reps: DataFrame, texts: DataFrame, labels: DataF
     spread = many.select("bucket", "rep", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "bucket", "rep", "label", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side")
     )
-    ids = many.select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets, "rep long, shingles binary")
+    sets = _only(texts, many.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets, "rep long, shingles binary")
     full = sets.join(reps.select("rep", "signature"), "rep")
     block_links = (
         spread.join(full, "rep").select("bucket", "bi", "bj", "rep", "label", "side", "signature", "shingles").groupBy("bucket", "bi", "bj").applyInArrow(_forest, "a long, b long")
@@ -267,6 +285,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             links = links.unionByName(more)
             labels = written(components(links, nodes), "components")
     by_digest = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
+    by_digest = written(by_digest, "classes")  # read anew, so that a join splits the rows of a digest that many documents have
     # an empty set has no class: the row keeps its own id
     return (
         seen.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
