@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import warc
 from .bpe import encoded_digests
 from .decontamination import contained_items
 from .near_dedup import near_duplicates
@@ -11,6 +12,7 @@ from .quality_rules import judged
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .vocabularies import vocabulary
+from .warc import archived
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +39,42 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(_table(spark, sf_dir, "pages"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_quality_rules, op6_bpe_encode_decode, op7_benchmark_decontamination, op10_minhash_near_dedup)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_quality_rules, op6_bpe_encode_decode, op7_benchmark_decontamination, op9_warc_archive, op10_minhash_near_dedup)}
+
+#: Five-word shingles of lower-cased texts as (id, shingle) rows for DuckDB; {id} and {table} name them.
+_SHINGLES = r"""
+    select distinct {id}, case when len(w) < 5 then w else w[i:i + 4] end as s
+    from (select {id}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from (
+        select {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from {table}
+    ) where len(w) > 0)
+"""
+_DOC, _ITEM = _SHINGLES.format(id="doc_id", table="documents"), _SHINGLES.format(id="item_id", table="benchmark")
+
+OP7_SQL = f"""
+with d as materialized ({_DOC}), b as materialized ({_ITEM}),
+     n as (select item_id, count(*) as n_item from b group by item_id),
+     x as (select item_id, doc_id, count(*) as n_shared from b join d using (s) group by all)
+select item_id, doc_id, n_item, n_shared, n_shared::double / n_item as containment
+from x join n using (item_id) where 100 * n_shared >= 80 * n_item
+"""
+
+OP10_SQL = f"""
+with recursive d as materialized ({_DOC}),
+     n as materialized (select doc_id, count(*) as n from d group by doc_id),
+     x as (select a.doc_id as a, b.doc_id as b, count(*) as m from d a join d b using (s) where a.doc_id <> b.doc_id group by all),
+     e as materialized (select a, b from x join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * m >= 85 * (na.n + nb.n - m)),
+     r as (select doc_id as a, doc_id as c from documents union select e.b as a, r.c from r join e on e.a = r.a),
+     c as (select a as doc_id, min(c) as component_id from r group by a)
+select doc_id, coalesce(n.n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from c left join n using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op7_benchmark_decontamination": OP7_SQL, "op9_warc_archive": warc.ORACLE_SQL, "op10_minhash_near_dedup": OP10_SQL}
