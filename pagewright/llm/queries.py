@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup as lines
 from . import warc
 from .bpe import encoded_digests
 from .decontamination import contained_items
+from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .quality_rules import judged
 from .token_counts import token_counts
@@ -31,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -47,7 +53,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_quality_rules, op6_bpe_encode_decode, op7_benchmark_decontamination, op9_warc_archive, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_quality_rules, op5_line_dedup, op6_bpe_encode_decode, op7_benchmark_decontamination, op9_warc_archive, op10_minhash_near_dedup)}
 
 #: Five-word shingles of lower-cased texts as (id, shingle) rows for DuckDB; {id} and {table} name them.
 _SHINGLES = r"""
@@ -77,4 +83,4 @@ select doc_id, coalesce(n.n, 0) as n_shingles, component_id, doc_id = component_
 from c left join n using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op7_benchmark_decontamination": OP7_SQL, "op9_warc_archive": warc.ORACLE_SQL, "op10_minhash_near_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE_SQL, "op7_benchmark_decontamination": OP7_SQL, "op9_warc_archive": warc.ORACLE_SQL, "op10_minhash_near_dedup": OP10_SQL}
