@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import license_scan, secret_scan, warc
 from . import line_dedup as lines
-from . import warc
 from .bpe import encoded_digests
 from .decontamination import contained_items
 from .line_dedup import line_dedup
@@ -29,6 +29,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(_table(spark, sf_dir, "pages"))
 
@@ -53,7 +61,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_quality_rules, op5_line_dedup, op6_bpe_encode_decode, op7_benchmark_decontamination, op9_warc_archive, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_license_scan, op4_quality_rules, op5_line_dedup, op6_bpe_encode_decode, op7_benchmark_decontamination, op8_secret_scan, op9_warc_archive, op10_minhash_near_dedup)}
 
 #: Five-word shingles of lower-cased texts as (id, shingle) rows for DuckDB; {id} and {table} name them.
 _SHINGLES = r"""
