@@ -255,3 +255,24 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
         raise ValueError(f"there is a column {text} already")
     schema = docs.select("*", F.lit(None).cast("string").alias(text)).schema
     return docs.mapInArrow(functools.partial(_decoded, path, docs.columns.index(ids)), schema)
+
+
+def _tokenised(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bpe = load(path)
+    for batch in batches:
+        for i in range(0, max(1, batch.num_rows), 256):  # the ids of a few documents at a time
+            part = batch.slice(i, 256)
+            ids = [bpe.encode(x.as_py()) for x in part.column(1)]
+            back = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
+            lists = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(back, pa.string())], ["row", "ids", "n_tokens", "decoded_sha256"])
+
+
+def tokenised(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` with column ``text`` replaced by ids, n_tokens and decoded_sha256, which must be new names."""
+    others = [c for c in docs.columns if c != text]
+    if taken := {"ids", "n_tokens", "decoded_sha256"} & set(others):
+        raise ValueError(f"there are columns {sorted(taken)} already")
+    own = docs.select(F.struct(*others).alias("row"), F.col(text).cast("string").alias("text"))
+    schema = own.select("row", F.array().cast("array<int>").alias("ids"), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("decoded_sha256")).schema
+    return own.mapInArrow(functools.partial(_tokenised, path), schema).select(*(F.col("row")[c].alias(c) for c in others), "ids", "n_tokens", "decoded_sha256")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .store import written
+from .store import small, written
 
 BANDS, ROWS = 24, 6
 COORDS = BANDS * ROWS
@@ -295,5 +295,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one document of each group, and all others.
+
+    Of rows that share a doc_id one stays; rows with a null doc_id stay.
+    """
+    found = written(near_duplicates(docs.select("doc_id", "text")), "near-duplicates")
+    gone = small(written(found.filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    if _unique_ids(found):
+        return kept
+    return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
 def _unique_ids(seen: DataFrame) -> bool:
     return seen.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()

@@ -5,8 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_DIR = "/tmp/checkpoints"
+#: Tables of a few narrow columns are broadcast up to this number of rows, at most 40 MB.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +31,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of a few narrow columns, to be broadcast if it has at most ``rows`` rows.
+
+    A larger one is joined by shuffle, as Spark sees fit.
+    """
+    return F.broadcast(df) if df.count() <= rows else df

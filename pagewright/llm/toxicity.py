@@ -108,9 +108,11 @@ class Letters:
     def features(self, word: int) -> np.ndarray:
         """A word's scaled counts of all subsequences."""
         out = np.zeros(_SIDE**3, np.float32)
-        for decay, start, index in self.subsequences():
-            own = (start >= self.at[word]) & (start < self.at[word + 1])
-            np.add.at(out, index[own], decay)
+        code = self.code[self.at[word] : self.at[word + 1]].astype(np.int32)
+        for last in range(2, min(SPAN, len(code))):
+            for mid in range(1, last):
+                start = np.arange(len(code) - last)
+                np.add.at(out, code[start] * _SIDE * _SIDE + code[start + mid] * _SIDE + code[start + last], DECAY ** (last + 1))
         return out / self.scale()[word]
 
     def spellings(self) -> list[bytes]:
@@ -290,3 +292,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = score(own, train(docs, labels))
     return scored.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a score under 0.5, with all their columns."""
+    own = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return score(own, train(docs, labels)).filter("score < 0.5").select(*(F.col("row")[c].alias(c) for c in docs.columns))
