@@ -1,18 +1,69 @@
-"""A corpus pipeline: toxicity, line dedup, near-dedup, decontamination and encoding, in this order."""
+"""A corpus pipeline over ``documents``: toxic ones go, boilerplate lines go, one of each group of near copies stays,
+documents with benchmark items go, and the rest is encoded.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns a DataFrame;
+all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.llm import bpe, decontamination, line_dedup, near_dedup, toxicity
+from pagewright.llm.store import shared_dir
+from pagewright.llm.vocabularies import vocabulary
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with a toxicity score under 0.5."""
+    return toxicity.without_toxic(docs, _table(spark, sf_dir, "labels"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without cross-site boilerplate lines; n_chars is that of the text left."""
+    cleaned = line_dedup.remove_boilerplate(docs).drop("line_dedup")
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, and all others."""
+    return near_dedup.without_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no benchmark item is found."""
+    return decontamination.clean_documents(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with token ids in place of their text, and the digest of what the ids decode to."""
+    return bpe.tokenised(docs, vocabulary("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_dedup_stage),
+    ("near dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("encoding", encoding_stage),
+]
 
-#: The toxicity stage is a trained model, which SQL can't express.
+#: The toxicity stage is a trained model and the last one a tokenizer, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``, each but the last written as Parquet in the shared folder and read again."""
+    docs = _table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
