@@ -11,10 +11,10 @@ def first_seen(rows: DataFrame, key: str, order: list[str], id: str) -> DataFram
 
     The first row is found by aggregation, so a key that many rows have is reduced before the shuffle.
     """
-    first = rows.groupBy(key).agg(F.min(F.struct(*order, F.col(id).alias("_id"))).alias("_first"))
-    first = first.select(F.col(key).alias("_key"), F.col("_first._id").alias("_id"))
-    joined = rows.join(first, rows[key] == F.col("_key"), "left")
-    return joined.withColumn("duplicate_of", F.when(F.col("_id") != F.col(id), F.col("_id"))).drop("_key", "_id")
+    first = rows.groupBy(key).agg(F.min(F.struct(*order, F.col(id).alias("_first_id"))).alias("_first"))
+    first = first.select(F.col(key).alias("_first_key"), F.col("_first._first_id").alias("_first_id"))
+    joined = rows.join(first, rows[key] == F.col("_first_key"), "left")
+    return joined.withColumn("duplicate_of", F.when(F.col("_first_id") != F.col(id), F.col("_first_id"))).drop("_first_key", "_first_id")
 
 
 def saved_by_duplicates(rows: DataFrame, size: str) -> DataFrame:
