@@ -28,7 +28,7 @@ def attribution(objects: DataFrame, keys: list[str], kind: str, size: str, kinds
     return objects.groupBy(*keys).agg(*sums, F.max(total).alias("_total")).withColumn("unknown_bytes", F.greatest(F.col("_total") - known, F.lit(0))).drop("_total")
 
 
-def weighted_lower_median(samples: DataFrame, keys: list[str], value: str, weight: str, tie: list[str], cap: float | None = None) -> DataFrame:
+def weighted_lower_median(samples: DataFrame, keys: list[str], value: str, weight: str, cap: float | None = None) -> DataFrame:
     """``median`` by key: the first value, in order, at which the running weight reaches half of the total.
 
     Weights that are integers or decimals make the comparison exact. The running sum needs a key's samples in one

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import numeric as N
 from . import classify as C
-from .aggregates import strict_max, strict_min
+from .aggregates import CAP, CORROBORATED, LEAST_COVERAGE, MOST_WEIGHT, strict_max, strict_min, weighted_lower_median
 
 TARGET_DPIS = [96, 150, 200, 300, 600]
 
@@ -101,6 +101,20 @@ def plan(images: DataFrame, placements: DataFrame, pages: DataFrame, long_px: in
     })
 
 
+def point_targets(placed: DataFrame) -> DataFrame:
+    """file, id and the pixels of one pixel a point at an image's largest use, width first; null if that is no smaller."""
+    need = strict_max(F.greatest(F.col("width_pt") / F.col("pixel_width"), F.col("height_pt") / F.col("pixel_height")))
+    sizes = placed.groupBy("file", "id").agg(need.alias("scale"), F.max("pixel_width").alias("w"), F.max("pixel_height").alias("h"))
+    side = lambda c: F.greatest(F.round(F.col(c) * F.col("scale")), F.lit(1.0)).cast("long")
+    return sizes.select("file", "id", F.when(F.col("scale") < 1, F.array(side("w"), side("h"))).alias("target"))
+
+
+def screen_dpi(placed: DataFrame, targets: DataFrame) -> DataFrame:
+    """file, id and the resolution that a target (array of two) has at the largest displayed size of each axis."""
+    size = placed.groupBy("file", "id").agg(F.max("width_pt").alias("w"), F.max("height_pt").alias("h"))
+    return targets.join(size, ["file", "id"]).select("file", "id", G.effective_dpi(F.col("target")[0], F.col("w")).alias("screen_dpi_x"), G.effective_dpi(F.col("target")[1], F.col("h")).alias("screen_dpi_y"))
+
+
 def plan_summary(planned: DataFrame) -> DataFrame:
     """Counts of the classes and total savings of each file."""
     kinds = [F.count_if(F.col("class") == k).alias(k) for k in ("oversampled", "optimal", "undersampled", "unknown")]
@@ -117,15 +131,13 @@ def page_budgets(pages: DataFrame, placed: DataFrame) -> DataFrame:
 
     Sampling is the weighted lower median of the resolutions of the images that cover enough of the page.
     """
-    from .aggregates import CAP, CORROBORATED, LEAST_COVERAGE, MOST_WEIGHT, weighted_lower_median
-
     keys = ["file", "page_number"]
     area = F.abs((F.col("box")[2] - F.col("box")[0]) * (F.col("box")[3] - F.col("box")[1]))
     evidence = placed.join(pages.select(*keys, F.col("width_pt").alias("pw"), F.col("height_pt").alias("ph")), keys)
     share = F.least(F.greatest(area / F.when(F.col("pw") * F.col("ph") > 0, F.col("pw") * F.col("ph")), F.lit(0.0)), F.lit(1.0))
     evidence = evidence.select(*keys, F.col("dpi").alias("sampling"), share.alias("coverage"))
     strong = evidence.filter((F.col("coverage") >= LEAST_COVERAGE) & G.measurable(F.col("sampling"))).withColumn("weight", F.least(F.col("coverage"), F.lit(MOST_WEIGHT)).cast("decimal(20,12)"))
-    median = weighted_lower_median(strong, keys, "sampling", "weight", [], CAP)
+    median = weighted_lower_median(strong, keys, "sampling", "weight", CAP)
     known = strong.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.sum("coverage").alias("covered"))
     uses = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("uses"))
     own = pages.join(uses, keys, "left").join(median, keys, "left").join(known, keys, "left")

@@ -109,7 +109,7 @@ select l_orderkey, least(min(v) filter (2 * c >= t), 300)::bigint as median from
 def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _read(spark, sf_dir, "lineitem").filter("l_discount >= 0.01")
     samples = lines.select("l_orderkey", (F.col("l_quantity") * 10).cast("long").alias("v"), F.least(F.round(F.col("l_discount") * 100).cast("long"), F.lit(5)).alias("w"))
-    return A.weighted_lower_median(samples, ["l_orderkey"], "v", "w", [], 300)
+    return A.weighted_lower_median(samples, ["l_orderkey"], "v", "w", 300)
 
 
 @_query("""

@@ -278,8 +278,8 @@ def draws(ops: DataFrame) -> DataFrame:
     return ordered.scanned(some, ["file", "scope"], ["idx"], schema, lambda: (unit, ()), step)
 
 
-def placements(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFrame:
-    """file, page_number, id (the image) and matrix of every drawn image, through nested forms.
+def drawn(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFrame:
+    """file, page_number, id, kind and matrix of every drawn image and form, through nested forms.
 
     Names resolve in the scope's own resources; an unresolved name is dropped, and a form on its own path isn't entered again.
     """
@@ -296,7 +296,7 @@ def placements(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFr
     kinds = found.select("file", "id", _get("Subtype").alias("kind"), F.from_json(_get("Matrix"), "array<double>").alias("m"))
     used = draws(ops).join(names, ["file", "scope", "name"]).join(kinds, ["file", "id"]).persist()
     level = used.join(own_pages.select("file", "page_number", F.col("id").alias("scope")), ["file", "scope"]).select("file", "page_number", "id", "kind", "m", "matrix", F.array("id").alias("way"))
-    out = level.filter("kind = '/Image'")
+    out = level
     inner = used.select("file", F.col("scope").alias("form"), F.col("id").alias("id2"), F.col("kind").alias("kind2"), F.col("m").alias("m2"), F.col("matrix").alias("matrix2"))
     for _ in range(FORM_DEPTH):
         opened = level.filter("kind = '/Form'").withColumnRenamed("id", "form")
@@ -308,13 +308,27 @@ def placements(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFr
         ).persist()
         if level.isEmpty():
             break
-        out = out.unionByName(level.filter("kind = '/Image'"))
-    return out.select("file", "page_number", "id", "matrix")
+        out = out.unionByName(level)
+    return out.select("file", "page_number", "id", "kind", "matrix")
+
+
+def placements(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFrame:
+    """file, page_number, id (the image) and matrix of every drawn image, through nested forms."""
+    return drawn(found, own_pages, ops).filter("kind = '/Image'").drop("kind")
 
 
-def operation_counts(ops: DataFrame, own_pages: DataFrame) -> DataFrame:
-    """Text and vector operations of each page's own content."""
+def operation_counts(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFrame:
+    """Text and vector operations of each page, with those of the forms it invokes, once for each invocation."""
     text, vector = F.col("operator").isin(ordered.TEXT_SHOW), F.col("operator").isin(ordered.VECTOR_COUNTED)
-    counted = ops.groupBy("file", F.col("scope").alias("id")).agg(F.count_if(text).alias("text_operations"), F.count_if(vector).alias("vector_operations"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return own_pages.join(counted, ["file", "id"], "left").select("file", "page_number", zero("text_operations"), zero("vector_operations"))
+    counted = ops.groupBy("file", F.col("scope").alias("id")).agg(F.count_if(text).alias("text"), F.count_if(vector).alias("vector"))
+    entered = drawn(found, own_pages, ops).filter("kind = '/Form'").select("file", "page_number", "id").unionByName(own_pages.select("file", "page_number", "id"))
+    return entered.join(counted, ["file", "id"], "left").groupBy("file", "page_number").agg(F.sum(F.coalesce("text", F.lit(0))).alias("text_operations"), F.sum(F.coalesce("vector", F.lit(0))).alias("vector_operations"))
+
+
+def comparable(found: DataFrame) -> DataFrame:
+    """file, id, value and sha256 of the objects that a comparison of two snapshots looks at.
+
+    Cross-reference and object streams and the linearisation dictionary are bookkeeping; a file may write them anew.
+    """
+    bookkeeping = _get("Type").isin("/ObjStm", "/XRef") | _get("Linearized").isNotNull()
+    return found.filter(F.col("number").isNotNull() & ~F.coalesce(bookkeeping, F.lit(False))).select("file", "id", "value", "sha256")

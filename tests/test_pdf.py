@@ -73,6 +73,36 @@ def test_placements_and_counts(spark, found):
     assert got == [("5 0 R", 100.0, 50.0, [0, 0, 100, 50]), ("5 0 R", 141.732, 141.732, [20, 20, 161.732, 161.732]), ("6 0 R", 20.0, 20.0, [10, 10, 30, 30])]
     dpi = measured.filter("round(width_pt) = 142").first()["dpi"]
     assert dpi == pytest.approx(5080, abs=0.1)
-    counts = {r["page_number"]: (r["text_operations"], r["vector_operations"]) for r in pdf.operation_counts(ops, pages).collect()}
-    assert counts == {1: (1, 2), 2: (0, 0)}
+    counts = {r["page_number"]: (r["text_operations"], r["vector_operations"]) for r in pdf.operation_counts(own, pages, ops).collect()}
+    assert counts == {1: (2, 2), 2: (0, 0)}
     assert planning.plan(pdf.images(own), placed, pages).filter("class = 'oversampled'").count() == 2
+    targets = {r["id"]: r["target"] for r in planning.point_targets(measured).collect()}
+    assert targets == {"5 0 R": [142, 142], "6 0 R": [20, 20]}
+    dpis = planning.screen_dpi(measured, planning.point_targets(measured)).filter("id = '6 0 R'").first()
+    assert dpis["screen_dpi_x"] == pytest.approx(72)
+
+
+def test_snapshots_of_one_file(spark, found):
+    from pagewright.operators import snapshots
+
+    before = pdf.comparable(found.filter(F.col("file").endswith("good.PDF")))
+    after = before.filter("id <> '10 0 R'").withColumn("sha256", F.when(F.col("id") == "5 0 R", "other").otherwise(F.col("sha256")))
+    changes = snapshots.diff(before, after, ["file", "id"], ["value", "sha256"]).filter("change <> 'same'")
+    assert {(r["id"], r["change"]) for r in changes.collect()} == {("10 0 R", "removed"), ("5 0 R", "changed")}
+
+
+def test_publish(spark, tmp_path):
+    from pagewright.sources.publish import output_name, publish, smaller
+
+    rows = spark.createDataFrame([("a.PDF", 10, 5)], "file string, before long, after long")
+    ok = {"size": smaller(F.col("before"), F.col("after"), F.lit(True))}
+    path = str(tmp_path / "out")
+    publish(rows, path, ["in"], ok, dry_run=True)
+    publish(rows, path, ["in"], ok)
+    assert spark.read.parquet(path).count() == 1 and rows.select(output_name(F.col("file"), "1080p")).first()[0] == "a_1080p.pdf"
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        publish(rows, path, ["in"], ok)
+    with pytest.raises(ValueError, match="checks failed"):
+        publish(rows.withColumn("after", F.lit(10)), path, [], ok)
+    with pytest.raises(ValueError, match="source"):
+        publish(rows, path, [path + "/"], ok)
