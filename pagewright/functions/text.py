@@ -56,5 +56,5 @@ def polynomial_hash(text: Column) -> Column:
     """h = 31 * h + byte over a text's UTF-8 bytes, modulo 2^64, as a decimal."""
     codes = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(text), F.lit(1))), lambda i: F.conv(F.hex(F.substring(text.cast("binary"), i, F.lit(1))), 16, 10).cast("decimal(38,0)"))
     start = F.lit(0).cast("decimal(38,0)")
-    step = lambda h, b: F.pmod(h * F.lit(31).cast("decimal(2,0)") + b, F.lit(2**64).cast("decimal(20,0)")).cast("decimal(38,0)")
+    step = lambda h, b: F.pmod(h * F.lit(31).cast("decimal(2,0)") + b, F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(38,0)")
     return F.when(F.octet_length(text) > 0, F.aggregate(codes, start, step)).otherwise(start)
