@@ -2,7 +2,8 @@
 
 Templates are short notices and phrases of known licences as word sequences; each has mandatory key phrases. One
 pass over the texts finds which template words each document has; their document frequencies in the corpus give
-every template its anchors, the ANCHORS words of highest IDF. Documents without an anchor are done. In the others
+every template its anchor, the word of its key phrases with the highest IDF. As key phrases must be whole, nothing is
+lost by looking up templates by their anchors only. Documents without an anchor are done. In the others
 every template word is looked up in the index of postings (word, template, place): a word at place p of a document
 and at place t of a template votes for the start p - t. Votes that agree on a start, an anchor among them, are an
 alignment; its coverage is the share of the template's indexed words that agree. An alignment that covers COVERAGE
@@ -19,13 +20,15 @@ negative for an alignment whose beginning is cut off, never for a base phrase. E
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import written
 
-#: Words of highest IDF by which a template is looked up, and the least share of its words that must agree.
-ANCHORS, COVERAGE = 3, 0.6
+#: The least share of a template's words that must agree. Templates have 63 words at most.
+COVERAGE = 0.6
 
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -71,10 +74,14 @@ def _index(spark: SparkSession, frequency: dict[str, int]) -> DataFrame:
     """The postings, each with whether its word is an anchor of its template."""
     rows = templates()
     by: dict[int, set[str]] = {}
-    for t, *_, word, _key in rows:
-        by.setdefault(t, set()).add(word)
-    rare = {t: set(sorted(words, key=lambda w: (frequency.get(w, 0), w))[:ANCHORS if t >= len(BASE) else 1]) for t, words in by.items()}
-    return spark.createDataFrame([(*r, r[4] in rare[r[0]]) for r in rows], "template int, label string, base boolean, at int, word string, key boolean, anchor boolean")
+    for t, _label, _base, _at, word, key in rows:
+        if key:
+            by.setdefault(t, set()).add(word)
+    rare = {t: {min(words, key=lambda w: (frequency.get(w, 0), w))} for t, words in by.items()}
+    names = ("template", "label", "base", "at", "word", "key", "anchor")
+    listed = json.dumps([dict(zip(names, (*r, r[4] in rare[r[0]]), strict=True)) for r in rows])
+    kind = "array<struct<template:int,label:string,base:boolean,at:int,word:string,key:boolean,anchor:boolean>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(listed), kind)))
 
 
 def _words(text: Column) -> Column:
@@ -96,13 +103,13 @@ def scan(docs: DataFrame) -> DataFrame:
     # one count for each word of the fixed vocabulary
     counts = {r["word"]: r["count"] for r in seen.select(F.explode("present").alias("word")).groupBy("word").count().collect()}
     index = _index(spark, counts)
-    anchors = sorted({r["word"] for r in index.filter("anchor").select("word").distinct().collect()})
+    anchors = sorted({r["word"] for r in index.filter("anchor").collect()})
     some = own.filter(F.arrays_overlap("parts", F.array(*(F.lit(w) for w in anchors))))
     placed = some.select("key1", "key2", "lead", F.posexplode("parts").alias("pos", "word")).filter(F.col("word").isin(vocabulary))
     votes = placed.join(F.broadcast(index), "word").select("key1", "key2", "template", (F.col("pos") - F.col("lead") - F.col("at")).alias("start"), "at", "anchor", "key")
-    votes = votes.groupBy("key1", "key2", "template", "start").agg(
-        F.count_distinct("at").alias("agreed"), F.count_distinct(F.when(F.col("key"), F.col("at"))).alias("agreed_key"), F.max("anchor").alias("anchor")
-    )
+    bit = F.expr("shiftleft(1L, at)")
+    votes = votes.groupBy("key1", "key2", "template", "start").agg(F.bit_or(bit).alias("bits"), F.bit_or(F.when(F.col("key"), bit)).alias("key_bits"), F.max("anchor").alias("anchor"))
+    votes = votes.withColumns({"agreed": F.bit_count("bits"), "agreed_key": F.coalesce(F.bit_count("key_bits"), F.lit(0))})
     sizes = index.groupBy("template", "label", "base").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("key").cast("int")).alias("size_key"))
     aligned = votes.filter("anchor").join(F.broadcast(sizes), "template").withColumn("coverage", F.col("agreed") / F.col("size"))
     whole = F.col("agreed") == F.col("size")
