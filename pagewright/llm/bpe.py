@@ -6,7 +6,7 @@ an Aho-Corasick automaton gives the longest token that starts at each place in o
 it if it is compatible with the token before, else the longest token that is a prefix of it, and steps back
 where none fits. Places once found hopeless are never tried again, so time is linear in the word.
 
-Words are independent, so each worker keeps a bounded memory of words that it has encoded.
+Words are independent, so each task keeps a bounded memory of words that it has encoded.
 
 Letters are those of the installed Unicode tables; characters newer than the vocabulary's library may differ.
 
@@ -22,7 +22,7 @@ import functools
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -31,9 +31,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words, stretches between white space, and pairs kept by each worker. The first ones met are kept, so the
-#: frequent ones are; others are encoded each time.
-WORDS_KEPT = 400_000
+#: Words, stretches between white space, and pairs kept while a task runs. The first ones met are kept, so the
+#: frequent ones are; others are encoded each time. A task gives its memory back at its end, as workers live on.
+WORDS_KEPT = 300_000
 #: Longer ones are encoded each time.
 LONGEST_KEPT = 48
 
@@ -121,6 +121,10 @@ class WordBpe:
             self.shorter[token] = next((self.ids[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in self.ids), None)
         return self.shorter[token]
 
+    def forget(self) -> None:
+        """Drop what was kept for speed."""
+        self.fits, self.known, self.stretches = {}, {}, {}
+
     def word_ids(self, word: str) -> list[int]:
         """The tokens of one word of the pattern, not empty."""
         s = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
@@ -209,6 +213,20 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def _forgetting(rows: Callable) -> Callable:
+    """``rows`` (path, ..., batches) with the encoder's memory dropped when its task ends."""
+
+    @functools.wraps(rows)
+    def run(path: str, *more: object) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(path, *more)
+        finally:
+            load(path).forget()
+
+    return run
+
+
+@_forgetting
 def _digests(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
     for batch in batches:
@@ -227,6 +245,7 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
     return own.mapInArrow(functools.partial(_digests, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+@_forgetting
 def _with_ids(path: str, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
     for batch in batches:
@@ -257,6 +276,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     return docs.mapInArrow(functools.partial(_decoded, path, docs.columns.index(ids)), schema)
 
 
+@_forgetting
 def _tokenised(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
     for batch in batches:

@@ -276,14 +276,14 @@ def _known_features(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator
 def _scored(model: Model, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         score = model.scores(_features(model, batch.column(at)))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "_score"])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with column ``score``, which must be a new name."""
-    if "score" in docs.columns:
-        raise ValueError("there is a column score already")
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with the score of column ``text`` (a string) as column ``into``, which must be a new name."""
+    if into in docs.columns:
+        raise ValueError(f"there is a column {into} already")
+    schema = docs.select("*", F.lit(0.0).alias(into)).schema
     return docs.mapInArrow(functools.partial(_scored, model, docs.columns.index(text)), schema)
 
 
@@ -296,5 +296,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a score under 0.5, with all their columns."""
-    own = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return score(own, train(docs, labels)).filter("score < 0.5").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    into = "score"
+    while into in docs.columns:
+        into = f"_{into}"
+    own = docs.withColumn("text", F.col("text").cast("string"))
+    return score(own, train(docs, labels), into=into).filter(F.col(into) < 0.5).select(*docs.columns)
