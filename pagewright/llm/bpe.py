@@ -214,14 +214,20 @@ def load(path: str) -> WordBpe:
 
 
 def _forgetting(rows: Callable) -> Callable:
-    """``rows`` (path, ..., batches) with the encoder's memory dropped when its task ends."""
+    """``rows`` (path, ..., batches) with the encoder's memory dropped when its task ends.
+
+    Arrow's pool keeps the batches of earlier tasks of a worker, so it gives them back before and after.
+    """
 
     @functools.wraps(rows)
     def run(path: str, *more: object) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+        pool.release_unused()
         try:
             yield from rows(path, *more)
         finally:
             load(path).forget()
+            pool.release_unused()
 
     return run
 
