@@ -33,8 +33,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, and all others."""
-    return near_dedup.without_duplicates(docs)
+    """One document of each group of near copies (linked at a Jaccard similarity of 0.8), and all others."""
+    return near_dedup.without_duplicates(docs, near_dedup.STAGE_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """MinHash near-dedup with circulant signatures, banding and exact Jaccard verification.
 
-Links documents whose sets of five-word shingles have 100 * intersection >= 85 * union, and labels each
-document with the smallest doc_id that it reaches over links.
+Links documents whose sets of five-word shingles have 100 * intersection >= percent * union, and labels each
+document with the smallest doc_id that it reaches over links. The query op10 links at 85, the pipeline's stage at
+80; bands, rows and the cut of signatures follow from the percentage (``fitted``).
 
 How it runs:
 
@@ -25,7 +26,9 @@ is one document per row in sketches; equal ids share their component. Extra colu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,23 +38,52 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 from .store import small, written
 
-BANDS, ROWS = 24, 6
-COORDS = BANDS * ROWS
-#: Links have 100 * intersection >= PERCENT * union.
-PERCENT = 85
-#: Pairs whose signatures agree in less than this share are not verified: five standard deviations under 0.85.
-LEAST_AGREED = 0.70
+#: Links have 100 * intersection >= percent * union: in op10 PERCENT, in a stage without a contract STAGE_PERCENT.
+PERCENT, STAGE_PERCENT = 85, 80
+#: The share of pairs at the percentage itself that meet in no band, at most: that of 24 bands of 6 rows at 0.85.
+LOSS = (1 - 0.85**6) ** 24
+#: Coordinates of a signature, at most.
+MOST_COORDS = 150
 #: Buckets of up to so many members are compared pair by pair, larger ones by blocks of BLOCK members.
 SMALL, BLOCK = 16, 256
 
 #: Bits of the broadcast bitmap of wanted ids, at most: 16 MB.
 BITMAP_BITS = 1 << 27
 
+class Rule(NamedTuple):
+    """What a link is, and how candidates for it are found.
+
+    Pairs whose signatures agree in less than ``least_agreed`` of the coordinates are not verified: five standard
+    deviations under the percentage.
+    """
+
+    percent: int
+    bands: int
+    rows: int
+    least_agreed: float
+
+    @property
+    def coords(self) -> int:
+        return self.bands * self.rows
+
+
+def fitted(percent: int) -> Rule:
+    """The rule for a percentage: the longest bands that lose LOSS at most with MOST_COORDS coordinates at most."""
+    if not 1 <= percent <= 99:
+        raise ValueError("percent must be from 1 to 99")
+    share = percent / 100
+    need = {rows: math.ceil(math.log(LOSS) / math.log1p(-(share**rows)) - 1e-9) for rows in range(1, 17)}
+    rows = max(r for r, bands in need.items() if r == 1 or bands * r <= MOST_COORDS)
+    coords = need[rows] * rows
+    least = share - 5 * math.sqrt(share * (1 - share) / coords)
+    return Rule(percent, need[rows], rows, max(0, math.floor(100 * least)) / 100)
+
+
 _SHIFT = np.uint32(0x9E3779B1)
 _SEEN = "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"
 
 
-def circulant(x: np.ndarray, of: np.ndarray, coords: int = COORDS) -> np.ndarray:
+def circulant(x: np.ndarray, of: np.ndarray, coords: int) -> np.ndarray:
     """Circulant MinHash: for each set (rows of(i) to of(i+1) of ``x``, none empty) ``coords`` minima.
 
     ``x`` has the shingles after the first permutation, as 32-bit values. Coordinate k is the least value of
@@ -73,8 +105,8 @@ def circulant(x: np.ndarray, of: np.ndarray, coords: int = COORDS) -> np.ndarray
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seed = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+def _sketch(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    seed = np.arange(1, rule.bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:
         data, off = ta.utf8(batch.column(1))
         for i, j in ta.chunks(off):
@@ -93,10 +125,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(full):
                 low = (sh >> np.uint64(32)).astype(np.uint32)
                 edges = np.concatenate([of[full], of[-1:]])
-                sig = circulant(low, edges)
+                sig = circulant(low, edges, rule.coords)
                 key = np.repeat(seed[None], len(full), 0)
-                for r in range(ROWS):
-                    key = ta.mix(key + sig[:, r::ROWS].astype(np.uint64))
+                for r in range(rule.rows):
+                    key = ta.mix(key + sig[:, r :: rule.rows].astype(np.uint64))
                 key = key.view(np.int64)
                 small = (sig >> np.uint32(7)).astype(np.uint8)
                 for at, d in enumerate(full):
@@ -107,36 +139,36 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, digest of the set, band keys and signature of each document."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_sketch, _SEEN)
+    return own.mapInArrow(lambda batches: _sketch(batches, rule), _SEEN)
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agree(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Keep the pairs (a, b, sa, sb) whose signatures agree often enough."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDS) for c in (2, 3))
-        kept = pa.array((sa == sb).sum(1) >= LEAST_AGREED * COORDS)
+        sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, rule.coords) for c in (2, 3))
+        kept = pa.array((sa == sb).sum(1) >= rule.least_agreed * rule.coords)
         yield batch.select([0, 1]).filter(kept)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """The exact test on two sorted sets of shingles."""
     least, most = sorted((len(a), len(b)))
-    if not least or 100 * least < PERCENT * most:
+    if not least or 100 * least < percent * most:
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Keep the pairs (a, b, ta, tb) whose full sets are near."""
     for batch in batches:
         sets = zip(ta.shingle_sets(batch.column(2)), ta.shingle_sets(batch.column(3)), strict=True)
-        yield batch.select([0, 1]).filter(pa.array([linked(x, y) for x, y in sets], pa.bool_()))
+        yield batch.select([0, 1]).filter(pa.array([linked(x, y, rule.percent) for x, y in sets], pa.bool_()))
 
 
 def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -156,14 +188,14 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return some.select(*texts.columns).join(ids, "doc_id", "left_semi")
 
 
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) of representatives that are linked."""
     sig = reps.select("rep", "signature")
     near = (
         pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
         .join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
         .select("a", "b", "sa", "sb")
-        .mapInArrow(_agree, "a long, b long")
+        .mapInArrow(lambda batches: _agree(batches, rule), "a long, b long")
     )
     near = written(near, "near-pairs")
     own = _only(texts, near.select(F.explode(F.array("a", "b")).alias("doc_id")))
@@ -171,7 +203,7 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
         near.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         .join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "ta", "tb")
-        .mapInArrow(_verify, "a long, b long")
+        .mapInArrow(lambda batches: _verify(batches, rule), "a long, b long")
     )
 
 
@@ -196,11 +228,11 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def _forest(pdf_key: tuple, table: pa.Table) -> pa.Table:
+def _forest(table: pa.Table, rule: Rule) -> pa.Table:
     """Links across components between the members of one pair of blocks, one for each two components that meet."""
     t = table.to_pydict()
     sets = [np.frombuffer(x, np.uint64) for x in t["shingles"]]
-    sig = np.frombuffer(b"".join(t["signature"]), np.uint8).reshape(-1, COORDS)
+    sig = np.frombuffer(b"".join(t["signature"]), np.uint8).reshape(-1, rule.coords)
     label, side = np.array(t["label"]), np.array(t["side"])
     root = {int(x): int(x) for x in label}
 
@@ -214,11 +246,11 @@ def _forest(pdf_key: tuple, table: pa.Table) -> pa.Table:
     right = left if len(left) == len(side) else np.flatnonzero(side == 1)
     size = np.array([len(x) for x in sets])
     for i in left:
-        near = (sig[right] == sig[i]).sum(1) >= LEAST_AGREED * COORDS
-        near &= (label[right] != label[i]) & (100 * np.minimum(size[right], size[i]) >= PERCENT * np.maximum(size[right], size[i]))
+        near = (sig[right] == sig[i]).sum(1) >= rule.least_agreed * rule.coords
+        near &= (label[right] != label[i]) & (100 * np.minimum(size[right], size[i]) >= rule.percent * np.maximum(size[right], size[i]))
         for j in right[near]:
             x, y = top(int(label[i])), top(int(label[j]))
-            if x != y and linked(sets[i], sets[j]):
+            if x != y and linked(sets[i], sets[j], rule.percent):
                 root[max(x, y)] = min(x, y)
                 a_out.append(t["rep"][i])
                 b_out.append(t["rep"][j])
@@ -231,7 +263,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
 
-def _across(members: DataFrame, reps: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame | None:
+def _across(members: DataFrame, reps: DataFrame, texts: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame | None:
     """Links between different components within the buckets that hold several ones; None if none does."""
     known = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep")
     mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket", "n")
@@ -246,7 +278,7 @@ def _across(members: DataFrame, reps: DataFrame, texts: DataFrame, labels: DataF
         .select("a", "b")
         .distinct()
     )
-    links = _links(pairs, reps, texts)
+    links = _links(pairs, reps, texts, rule)
     many = known.filter(F.col("n") > SMALL)
     if many.isEmpty():
         return links
@@ -258,14 +290,15 @@ def _across(members: DataFrame, reps: DataFrame, texts: DataFrame, labels: DataF
     sets = _only(texts, many.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets, "rep long, shingles binary")
     full = sets.join(reps.select("rep", "signature"), "rep")
     block_links = (
-        spread.join(full, "rep").select("bucket", "bi", "bj", "rep", "label", "side", "signature", "shingles").groupBy("bucket", "bi", "bj").applyInArrow(_forest, "a long, b long")
+        spread.join(full, "rep").select("bucket", "bi", "bj", "rep", "label", "side", "signature", "shingles").groupBy("bucket", "bi", "bj").applyInArrow(lambda table: _forest(table, rule), "a long, b long")
     )
     return links.unionByName(block_links)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (columns doc_id, text)."""
-    seen = written(sketches(docs), "sketches")
+    rule = fitted(percent)
+    seen = written(sketches(docs, rule), "sketches")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     texts = texts if _unique_ids(seen) else texts.groupBy("doc_id").agg(F.max("text").alias("text"))
     full = seen.filter("n_shingles > 0 and doc_id is not null")
@@ -276,9 +309,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(rows.join(shared, "bucket").select("bucket", "rep", "centre"), "buckets")
     star = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     nodes = members.select(F.col("rep").alias("node")).distinct()
-    links = written(_links(star, reps, texts), "star-links")
+    links = written(_links(star, reps, texts, rule), "star-links")
     labels = written(components(links, nodes), "components")
-    more = _across(members.select("bucket", "rep"), reps, texts, labels)
+    more = _across(members.select("bucket", "rep"), reps, texts, labels, rule)
     if more is not None:
         more = written(more, "cross-links")
         if not more.isEmpty():
@@ -295,12 +328,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_duplicates(docs: DataFrame) -> DataFrame:
+def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each group, and all others.
 
     Of rows that share a doc_id one stays; rows with a null doc_id stay.
     """
-    found = written(near_duplicates(docs.select("doc_id", "text")), "near-duplicates")
+    found = written(near_duplicates(docs.select("doc_id", "text"), percent), "near-duplicates")
     gone = small(written(found.filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
     if _unique_ids(found):

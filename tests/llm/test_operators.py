@@ -106,6 +106,40 @@ def test_blocks_find_links_that_stars_miss(spark, monkeypatch):
     assert len({c for _, c in want.values()}) > 1
 
 
+def test_stage_links_pairs_from_four_fifths(spark):
+    import corpus_pipeline
+
+    rng, rows, alike = random.Random(7), [], {}
+    while len(alike) < 60:  # pairs alone, so that no chain of closer copies joins them
+        w = [f"p{len(rows)}q{k}" for k in range(rng.randrange(60, 200))]
+        x = list(w)
+        for _ in range(rng.randrange(1, 9)):
+            x[rng.randrange(len(x))] = f"new{rng.randrange(10**6)}"
+        a, b = shingles(" ".join(w)), shingles(" ".join(x))
+        share = 100 * len(a & b) / len(a | b)
+        if 74 <= share < 86:
+            i = len(rows)
+            alike[i] = share
+            rows += [(i, " ".join(w)), (i + 1, " ".join(x))]
+    between = [i for i, share in alike.items() if 80 <= share < 85]
+    assert len(between) >= 15 and min(alike.values()) < 79
+    docs = docs_of(spark, [(i, t, "s") for i, t in rows])
+    linked = {i for i, share in alike.items() if share >= 80}
+    want = {i: i - 1 if i % 2 and i - 1 in linked else i for i, _ in rows}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, 80).collect()} == want
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c in want.items() if i == c)
+
+
+def test_fitted_bands():
+    assert near_dedup.fitted(85) == (85, 24, 6, 0.70)
+    at_85 = (1 - 0.85**6) ** 24
+    for percent in range(20, 100):
+        rule = near_dedup.fitted(percent)
+        assert (1 - (percent / 100) ** rule.rows) ** rule.bands <= at_85 * (1 + 1e-9)
+        assert rule.coords <= 150 and 0 <= rule.least_agreed < percent / 100
+
+
 def test_contained_items(spark):
     rng = random.Random(2)
     items = [(0, prose(rng, 40)), (1, prose(rng, 12)), (2, "just four words here"), (3, None), (4, ""), (5, prose(rng, 200)), (6, prose(rng, 6))]
