@@ -19,11 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..llm.store import written
 from ..operators import ordered
 from ..operators.dedup import first_seen
 
-#: A longer form stream isn't read, and page trees and nested forms are followed to these depths.
-FORM_BYTES, TREE_DEPTH, FORM_DEPTH = 16 * 1024 * 1024, 32, 16
+#: A longer form stream isn't read, and a warning says so; the content of pages has no limit.
+FORM_BYTES = 16 * 1024 * 1024
 
 _TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|[\[\]]|/[^\x00\t\n\f\r ()<>\[\]{}/%]*|<[0-9A-Fa-f\s]*>|\(|[^\x00\t\n\f\r ()<>\[\]{}/%]+|[{}]")
 _OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})\s+(\d{1,5})\s+obj\b")
@@ -82,16 +83,20 @@ def _value(data: bytes, at: int) -> tuple[object, int]:
     return (stack[0][-1] if stack[0] else None), len(data)
 
 
-def _decoded(stream: bytes, filters: list[str]) -> bytes | None:
-    """A stream's content; None where a filter other than Flate is used or the data is broken."""
+def _decoded(stream: bytes, filters: list[str]) -> tuple[bytes | None, str | None]:
+    """A stream's content and what went wrong: no content where a filter other than Flate is used or the data is broken."""
+    wrong = None
     for name in filters:
         if name != "/FlateDecode":
-            return None
+            return None, f"stream content unavailable: filter {name.lstrip('/')}"
+        whole = zlib.decompressobj()
         try:
-            stream = zlib.decompressobj().decompress(stream)
-        except zlib.error:
-            return None
-    return stream
+            stream = whole.decompress(stream)
+        except zlib.error as e:
+            return None, f"stream content unavailable: {e}"
+        if not whole.eof:
+            wrong = "stream content is cut short"
+    return stream, wrong
 
 
 def _filters(found: dict) -> list[str]:
@@ -109,7 +114,7 @@ def file_objects(data: bytes) -> Iterator[tuple[int, int, str, bytes | None]]:
             end = begin + size if isinstance(size, int) and data[begin + size : begin + size + 16].lstrip()[:9] == b"endstream" else data.find(b"endstream", begin)
             stream = data[begin : end if end >= 0 else len(data)]
         yield int(m[1]), int(m[2]), json.dumps(value), stream
-        if stream is not None and value.get("Type") == "/ObjStm" and (inner := _decoded(stream, _filters(value))) is not None:
+        if stream is not None and value.get("Type") == "/ObjStm" and (inner := _decoded(stream, _filters(value))[0]) is not None:
             head = [t for t, _ in _tokens(inner[: value.get("First", 0)]) if isinstance(t, int)]
             for number, at in zip(head[::2], head[1::2], strict=False):
                 yield number, 0, json.dumps(_value(inner, value.get("First", 0) + at)[0]), None
@@ -128,13 +133,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for number, generation, value, stream in file_objects(data):
                     found = json.loads(value)
                     kind = found.get("Subtype") if isinstance(found, dict) else None
-                    content = None
-                    if stream is not None and kind != "/Image" and len(stream) <= FORM_BYTES:
-                        content = _decoded(stream, _filters(found))
-                    late = "form stream is too long" if kind == "/Form" and stream is not None and len(stream) > FORM_BYTES else None
+                    content = wrong = None
+                    if stream is not None and kind == "/Form" and len(stream) > FORM_BYTES:
+                        wrong = "form stream is too long"
+                    elif stream is not None and kind != "/Image":
+                        content, wrong = _decoded(stream, _filters(found))
                     rows[number, generation] = {
                         "file": file, "number": number, "generation": generation, "value": value, "size_bytes": None if stream is None else len(stream),
-                        "sha256": None if stream is None else hashlib.sha256(stream).hexdigest(), "content": content, "warning": late,
+                        "sha256": None if stream is None else hashlib.sha256(stream).hexdigest(), "content": content, "warning": wrong,
                     }
                 if not rows:
                     raise ValueError("no objects")
@@ -197,15 +203,16 @@ def pages(found: DataFrame) -> DataFrame:
     nodes = found.filter(_get("Type").isin("/Page", "/Pages")).select("file", "id", "value", _get("Type").alias("type"))
     kids = nodes.select("file", F.col("id").alias("parent"), F.posexplode(F.from_json(_get("Kids"), "array<string>")).alias("place", "id"))
     names = ["MediaBox", "Rotate", "Resources"]
+    nodes, kids = written(nodes, "page-nodes"), written(kids, "page-kids")
     roots = nodes.join(kids.select("file", "id"), ["file", "id"], "left_anti")
-    level = roots.select("file", "id", "type", "value", F.array().cast("array<int>").alias("way"), *(_get(n).alias(n) for n in names))
+    level = roots.select("file", "id", "type", "value", F.array().cast("array<int>").alias("way"), F.array("id").alias("above"), *(_get(n).alias(n) for n in names))
     leaves = level.filter("type = '/Page'")
-    for _ in range(TREE_DEPTH):
-        above = level.filter("type = '/Pages'").select("file", F.col("id").alias("parent"), "way", *(F.col(n).alias(f"_{n}") for n in names))
-        below = kids.join(above, ["file", "parent"]).join(nodes, ["file", "id"])
+    while True:  # a node on its own path isn't entered again, so this ends
+        above = level.filter("type = '/Pages'").select("file", F.col("id").alias("parent"), "way", "above", *(F.col(n).alias(f"_{n}") for n in names))
+        below = kids.join(above, ["file", "parent"]).filter(~F.array_contains("above", F.col("id"))).join(nodes, ["file", "id"])
         inherited = (F.coalesce(_get(n), F.col(f"_{n}")).alias(n) for n in names)
-        level = below.select("file", "id", "type", "value", F.concat("way", F.array("place")).alias("way"), *inherited)
-        level = level.persist()
+        level = below.select("file", "id", "type", "value", F.concat("way", F.array("place")).alias("way"), F.concat("above", F.array("id")).alias("above"), *inherited)
+        level = written(level, "page-level")
         if level.isEmpty():
             break
         leaves = leaves.unionByName(level.filter("type = '/Page'"))
@@ -281,7 +288,8 @@ def draws(ops: DataFrame) -> DataFrame:
 def drawn(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFrame:
     """file, page_number, id, kind and matrix of every drawn image and form, through nested forms.
 
-    Names resolve in the scope's own resources; an unresolved name is dropped, and a form on its own path isn't entered again.
+    Names resolve in the scope's own resources, in a form without any in its caller's; an unresolved name is dropped,
+    and a form on its own path isn't entered again.
     """
     texts = found.select("file", F.col("id").alias("ref"), F.col("value").alias("ref_value"))
 
@@ -293,22 +301,22 @@ def drawn(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFrame:
     scopes = direct(own_pages.select("file", F.col("id").alias("scope"), "resources").unionByName(forms), "resources")
     named = direct(scopes.select("file", "scope", _get("XObject", "resources").alias("x")), "x")
     names = named.select("file", "scope", F.explode(F.from_json("x", "map<string,string>")).alias("name", "id"))
-    kinds = found.select("file", "id", _get("Subtype").alias("kind"), F.from_json(_get("Matrix"), "array<double>").alias("m"))
-    used = draws(ops).join(names, ["file", "scope", "name"]).join(kinds, ["file", "id"]).persist()
-    level = used.join(own_pages.select("file", "page_number", F.col("id").alias("scope")), ["file", "scope"]).select("file", "page_number", "id", "kind", "m", "matrix", F.array("id").alias("way"))
-    out = level
-    inner = used.select("file", F.col("scope").alias("form"), F.col("id").alias("id2"), F.col("kind").alias("kind2"), F.col("m").alias("m2"), F.col("matrix").alias("matrix2"))
-    for _ in range(FORM_DEPTH):
-        opened = level.filter("kind = '/Form'").withColumnRenamed("id", "form")
-        own = F.when(F.size("m") == 6, F.struct(*(F.col("m")[i].alias(n) for i, n in enumerate("abcdef")))).otherwise(G.identity())
-        level = opened.join(inner, ["file", "form"]).filter(~F.array_contains("way", F.col("id2")))
+    bare = scopes.filter(~F.coalesce(F.col("resources").startswith("{"), F.lit(False))).select("file", F.col("scope").alias("id"), F.lit(True).alias("bare"))
+    kinds = found.select("file", "id", _get("Subtype").alias("kind"), F.from_json(_get("Matrix"), "array<double>").alias("m")).join(bare, ["file", "id"], "left")
+    kinds, names, done = written(kinds, "kinds"), written(names.withColumnRenamed("scope", "holder"), "names"), written(draws(ops).withColumnRenamed("matrix", "matrix2"), "draws")
+    # holder: the page or form whose resources are in force
+    scope = own_pages.select("file", "page_number", F.col("id").alias("scope"), F.col("id").alias("holder"), F.array().cast("array<string>").alias("way"), G.identity().alias("matrix"))
+    out = None
+    while out is None or not level.isEmpty():
+        level = scope.join(done, ["file", "scope"]).join(names, ["file", "holder", "name"]).join(kinds, ["file", "id"]).filter(~F.array_contains("way", F.col("id")))
         level = level.select(
-            "file", "page_number", F.col("id2").alias("id"), F.col("kind2").alias("kind"), F.col("m2").alias("m"), G.compose(G.compose(F.col("matrix2"), own), F.col("matrix")).alias("matrix"),
-            F.concat("way", F.array("id2")).alias("way"),
-        ).persist()
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
+            "file", "page_number", "id", "kind", "m", G.compose(F.col("matrix2"), F.col("matrix")).alias("matrix"),
+            F.when(F.col("bare"), F.col("holder")).otherwise(F.col("id")).alias("holder"), F.concat("way", F.array("id")).alias("way"),
+        )
+        level = written(level, "form-level")
+        out = level if out is None else out.unionByName(level)
+        own = F.when(F.size("m") == 6, F.struct(*(F.col("m")[i].alias(n) for i, n in enumerate("abcdef")))).otherwise(G.identity())
+        scope = level.filter("kind = '/Form'").select("file", "page_number", F.col("id").alias("scope"), "holder", "way", G.compose(own, F.col("matrix")).alias("matrix"))
     return out.select("file", "page_number", "id", "kind", "matrix")
 
 

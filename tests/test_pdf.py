@@ -1,5 +1,6 @@
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,52 @@ def test_placements_and_counts(spark, found):
     assert dpis["screen_dpi_x"] == pytest.approx(72)
 
 
+def test_nothing_is_lost_in_silence(spark, tmp_path, monkeypatch):
+    """Long page contents, streams that can't be decoded, forms without resources, deep nesting."""
+    monkeypatch.setattr(pdf, "FORM_BYTES", 120)
+    form = b"/Type /XObject /Subtype /Form"
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>",
+        2: b"<< /Type /Pages /Kids [3 0 R 4 0 R 5 0 R] /Resources << /XObject << /Im 10 0 R /Bare 11 0 R /Long 12 0 R /F0 20 0 R >> >> >>",
+        3: b"<< /Type /Page /Contents 6 0 R >>",
+        4: b"<< /Type /Page /Contents 7 0 R >>",
+        5: b"<< /Type /Page /Contents [8 0 R 9 0 R] >>",
+        6: stream(b"", b"(x) Tj " * 100 + b"/Bare Do /Long Do /F0 Do"),
+        7: stream(b"/Filter /LZWDecode", b"abc"),
+        8: stream(b"/Filter /FlateDecode", b"broken"),
+        9: stream(b"/Filter /FlateDecode", zlib.compress(b"(x) Tj " * 3, 0)[:20]),
+        10: stream(IMAGE, b"x"),
+        11: stream(form + b" /Matrix [2 0 0 2 0 0]", b"q 5 0 0 5 0 0 cm /Im Do Q"),
+        12: stream(form, b"(x) Tj " * 100),
+    }
+    for k in range(17):
+        objects[20 + k] = stream(form + b" /Resources << /XObject << /F%d %d 0 R >> >>" % (k + 1, 21 + k), b"/F%d Do" % (k + 1))
+    objects[37] = stream(form + b" /Resources << /XObject << /Im 10 0 R >> >>", b"/Im Do")
+    (tmp_path / "a.pdf").write_bytes(build(objects))
+    pdfs = pdf.files(spark, str(tmp_path))
+    rows = pa.Table.from_pylist([r.asDict() for r in pdfs.select("file", "content").collect()])
+    made = [x for batch in pdf._parse(iter(rows.to_batches())) for x in batch.to_pylist()]  # here, where the lower limit holds
+    own = spark.createDataFrame(made, pdf._OBJECTS).withColumn("id", F.format_string("%d %d R", "number", "generation")).persist()
+    said = {r["object_id"]: r["message"] for r in pdf.warnings(own).collect()}
+    assert set(said) == {"7 0 R", "8 0 R", "9 0 R", "12 0 R"} and "LZWDecode" in said["7 0 R"] and said["12 0 R"] == "form stream is too long"
+    pages = pdf.pages(own).persist()
+    numbers = {r["id"]: r["page_number"] for r in pages.collect()}
+    ops = pdf.operations(own, pages).persist()
+    placed = sorted((r["page_number"], r["matrix"]["a"]) for r in pdf.placements(own, pages, ops).collect())
+    assert placed == [(numbers["3 0 R"], 1.0), (numbers["3 0 R"], 10.0)]
+    assert ops.filter("scope = '3 0 R' and operator = 'Tj'").count() == 100
+
+
+def test_deep_page_tree(spark, tmp_path):
+    objects = {}
+    for k in range(50, 83):  # a page below 34 nodes, the last of which also names the first
+        objects[k] = b"<< /Type /Pages /Kids [%d 0 R%s] >>" % (k + 1, b" 50 0 R" if k == 82 else b"")
+    objects[83] = b"<< /Type /Page >>"
+    objects[49] = b"<< /Type /Pages /Kids [50 0 R] >>"
+    (tmp_path / "a.pdf").write_bytes(build(objects))
+    assert [r["id"] for r in pdf.pages(pdf.objects(pdf.files(spark, str(tmp_path)))).collect()] == ["83 0 R"]
+
+
 def test_snapshots_of_one_file(spark, found):
     from pagewright.operators import snapshots
 
