@@ -1,0 +1,6 @@
+"""Queries over the driver's tables; importing this package registers them all."""
+
+from . import documents, queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "documents", "queries"]

@@ -15,23 +15,8 @@ from ..operators import aggregates as A
 from ..operators import classify as C
 from ..operators import dedup, ordered, planning, service
 from ..operators import snapshots as S
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def _query(sql: str):  # noqa: ANN202
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import query as _query
+from .registry import read as _read
 
 # --- duplicates, attribution, references -----------------------------------------------------------------------------
 

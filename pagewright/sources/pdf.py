@@ -1,9 +1,14 @@
 """Document files as relations: objects, pages, drawing operations, placements and warnings.
 
 A small Python helper turns one file's bytes into rows of objects, and one content stream into rows of operations.
-All that follows (inherited attributes, resources, names, nested forms, counts) is joins and aggregations keyed by
-file, so a collection of any number of files is spread over the cluster. Files whose objects lie in compressed object streams
-are read too; encrypted files are rejected into ``warnings``. Nothing here renders pages.
+What needs a file's whole object table only (the page tree, inherited attributes, references within resources) is
+resolved there, so a tree of any depth costs no join. All that follows (names, nested forms, counts, rewriting) is
+joins and aggregations keyed by file, so a collection of any number of files is spread over the cluster. Nothing here
+renders pages.
+
+Defined cases: an encrypted file, one without objects and one that can't be read give a warning each and nothing else. A
+stream that can't be decoded is a warning and has no content; a page with such content has no operations. A number that
+isn't one (a reference, a name) counts as missing.
 """
 
 from __future__ import annotations
@@ -11,53 +16,58 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..llm.store import written
+from ..functions import numeric as N
 from ..operators import ordered
+from ..operators.aggregates import attribution
 from ..operators.dedup import first_seen
+from ..tables import written
+from .filters import decoded
 
-#: A longer form stream isn't read, and a warning says so; the content of pages has no limit.
+#: Fixed value: a longer form stream isn't read, and a warning says so; the content of pages has no limit.
 FORM_BYTES = 16 * 1024 * 1024
+#: Rows of one Arrow batch at most.
+BATCH = 4096
 
 _TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|[\[\]]|/[^\x00\t\n\f\r ()<>\[\]{}/%]*|<[0-9A-Fa-f\s]*>|\(|[^\x00\t\n\f\r ()<>\[\]{}/%]+|[{}]")
 _OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})\s+(\d{1,5})\s+obj\b")
-_NUMBER = re.compile(rb"[+-]?(\d+\.?\d*|\.\d+)$")
+_NUMBER = re.compile(rb"[+-]?(\d{1,40}\.?\d{0,40}|\.\d{1,40})$")
+_REFERENCE = re.compile(r"\d{1,10} \d{1,5} R$")
+_INLINE_END = re.compile(rb"\sEI(?=\s|$)")
 
 
-def _string(data: bytes, at: int) -> tuple[str, int]:
+class Text(str):
+    """A string operand as it is written: (a) or <61>."""
+
+
+def _string(data: bytes, at: int) -> tuple[Text, int]:
     """The literal string that starts after the bracket before ``at``, and the place after it."""
-    depth, out = 1, bytearray()
+    depth, begin = 1, at
     while at < len(data) and depth:
         c = data[at]
-        if c == 0x5C:
-            out += data[at : at + 2]
-            at += 2
-            continue
+        at += 2 if c == 0x5C else 1
         depth += (c == 0x28) - (c == 0x29)
-        if depth:
-            out.append(c)
-        at += 1
-    return out.decode("latin-1"), at
+    return Text("(" + data[begin : at - (depth == 0)].decode("latin-1") + ")"), at
 
 
 def _tokens(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
-    """Values and operators of PDF syntax with the place after each: numbers, names as "/x", strings as ("s", x), marks."""
+    """Values and operators of PDF syntax with the place after each: numbers, names as "/x", strings as ``Text``, marks."""
     while m := _TOKEN.search(data, at):
         word, at = m[0], m.end()
         if word[:1] == b"%":
             continue
         if word == b"(":
             text, at = _string(data, at)
-            yield ("s", text), at
+            yield text, at
         elif word[:1] == b"<" and word != b"<<":
-            yield ("s", word.decode("latin-1")), at
+            yield Text(word.decode("latin-1")), at
         elif _NUMBER.match(word):
             yield (float(word) if b"." in word else int(word)), at
         else:
@@ -65,9 +75,11 @@ def _tokens(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
 
 
 def _value(data: bytes, at: int) -> tuple[object, int]:
-    """One value: dicts, lists, numbers, "/name", {"s": text}, and references as "n g R"."""
+    """One value and the place after it: dicts, lists, numbers, "/name", {"(": text}, references as "n g R"; None if it is broken."""
     stack: list[list] = [[]]
     for token, after in _tokens(data, at):
+        if token in ("endobj", "obj", "stream", "endstream"):
+            break
         if token in ("<<", "["):
             stack.append([token])
         elif token in (">>", "]") and len(stack) > 1:
@@ -77,77 +89,166 @@ def _value(data: bytes, at: int) -> tuple[object, int]:
             generation, number = stack[-1].pop(), stack[-1].pop()
             stack[-1].append(f"{number} {generation} R")
         else:
-            stack[-1].append({"s": token[1]} if isinstance(token, tuple) else token)
+            stack[-1].append({"(": token} if isinstance(token, Text) else token)
         if len(stack) == 1 and not (isinstance(token, int) and re.match(rb"\s+\d+\s+R\b", data[after : after + 20])) and not (token != "R" and isinstance(stack[0][-1], int) and re.match(rb"\s+R\b", data[after : after + 4])):
             return stack[0][-1], after
-    return (stack[0][-1] if stack[0] else None), len(data)
-
-
-def _decoded(stream: bytes, filters: list[str]) -> tuple[bytes | None, str | None]:
-    """A stream's content and what went wrong: no content where a filter other than Flate is used or the data is broken."""
-    wrong = None
-    for name in filters:
-        if name != "/FlateDecode":
-            return None, f"stream content unavailable: filter {name.lstrip('/')}"
-        whole = zlib.decompressobj()
-        try:
-            stream = whole.decompress(stream)
-        except zlib.error as e:
-            return None, f"stream content unavailable: {e}"
-        if not whole.eof:
-            wrong = "stream content is cut short"
-    return stream, wrong
-
-
-def _filters(found: dict) -> list[str]:
-    names = found.get("Filter", [])
-    return [x for x in (names if isinstance(names, list) else [names]) if isinstance(x, str)]
-
-
-def file_objects(data: bytes) -> Iterator[tuple[int, int, str, bytes | None]]:
-    """number, generation, value as JSON and raw stream of every object; a later definition comes later."""
-    for m in _OBJECT.finditer(data):
-        value, after = _value(data, m.end())
+    return None, at
+
+
+def syntax(value: object) -> str:
+    """A value of ``_value`` as it is written in a file."""
+    if isinstance(value, dict):
+        return str(value["("]) if "(" in value else "<< " + " ".join(f"/{k} {syntax(v)}" for k, v in value.items()) + " >>"
+    if isinstance(value, list):
+        return "[" + " ".join(map(syntax, value)) + "]"
+    if isinstance(value, float):
+        return f"{value:.15f}".rstrip("0") if "e" in repr(value) else repr(value)
+    return str(value)
+
+
+def _filters(found: dict) -> tuple[list[str], list[dict]]:
+    """Names of a stream's filters and their parameters."""
+    names, parms = found.get("Filter", []), found.get("DecodeParms", found.get("DP", []))
+    names = [x for x in (names if isinstance(names, list) else [names]) if isinstance(x, str)]
+    parms = [x if isinstance(x, dict) else {} for x in (parms if isinstance(parms, list) else [parms])]
+    return names, (parms + [{}] * len(names))[: len(names)]
+
+
+def file_objects(data: bytes) -> dict[tuple[int, int], tuple[object, bytes | None]]:
+    """Value and raw stream of every object by number and generation; the last definition stands."""
+    out: dict[tuple[int, int], tuple[object, bytes | None]] = {}
+    at = 0
+    while m := _OBJECT.search(data, at):
+        value, at = _value(data, m.end())
         stream = None
-        if isinstance(value, dict) and (s := re.match(rb"\s*stream\r?\n", data[after : after + 32])):
-            begin, size = after + s.end(), value.get("Length")
-            end = begin + size if isinstance(size, int) and data[begin + size : begin + size + 16].lstrip()[:9] == b"endstream" else data.find(b"endstream", begin)
-            stream = data[begin : end if end >= 0 else len(data)]
-        yield int(m[1]), int(m[2]), json.dumps(value), stream
-        if stream is not None and value.get("Type") == "/ObjStm" and (inner := _decoded(stream, _filters(value))[0]) is not None:
-            head = [t for t, _ in _tokens(inner[: value.get("First", 0)]) if isinstance(t, int)]
-            for number, at in zip(head[::2], head[1::2], strict=False):
-                yield number, 0, json.dumps(_value(inner, value.get("First", 0) + at)[0]), None
-
-
-_OBJECTS = "file string, number long, generation long, value string, size_bytes long, sha256 string, content binary, warning string"
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if isinstance(value, dict) and (s := re.match(rb"\s*stream\r?\n", data[at : at + 32])):
+            begin, size = at + s.end(), value.get("Length")
+            fits = isinstance(size, int) and 0 <= size <= len(data) - begin and data[begin + size : begin + size + 16].lstrip()[:9] == b"endstream"
+            at = begin + size if fits else data.find(b"endstream", begin)
+            at = len(data) if at < 0 else at
+            stream = data[begin:at]
+        out[int(m[1]), int(m[2])] = value, stream
+        if stream is not None and value.get("Type") == "/ObjStm":
+            inner, first = decoded(stream, *_filters(value))[0], value.get("First")
+            if inner is not None and isinstance(first, int):
+                head = [t for t, _ in _tokens(inner[:first]) if isinstance(t, int)]
+                out.update(((number, 0), (_value(inner, first + place)[0], None)) for number, place in zip(head[::2], head[1::2], strict=False))
+    return out
+
+
+class _File:
+    """The object table of one file: references, the page tree and inherited attributes."""
+
+    def __init__(self, data: bytes):
+        self.objects = file_objects(data)
+        self.by_id = {f"{n} {g} R": value for (n, g), (value, _) in self.objects.items()}
+        roots = [f"{int(m[1])} {int(m[2])} R" for m in re.finditer(rb"/Root\s+(\d{1,10})\s+(\d{1,5})\s+R", data)]
+        catalogues = [x for x in [*reversed(roots), *self.by_id] if isinstance(own := self.by_id.get(x), dict) and own.get("Type") == "/Catalog"]
+        self.root = catalogues[0] if catalogues else None
+        self.numbers: dict[str, list[int]] = {}
+        self._walk(self.by_id[self.root].get("Pages") if catalogues else None)
+
+    def of(self, value: object) -> object:
+        """What a reference stands for, other values as they are."""
+        return self.by_id.get(value) if isinstance(value, str) and _REFERENCE.match(value) else value
+
+    def _walk(self, root: object) -> None:
+        """Number the pages below ``root``; a node on its own path isn't entered again, and pages are as many as objects at most."""
+        path, stack, n = set(), [iter([root])], 0
+        above: list[object] = []
+        while stack and n < len(self.objects):
+            ref = next(stack[-1], None)
+            if ref is None:
+                stack.pop()
+                if above:
+                    path.discard(above.pop())
+                continue
+            node = self.of(ref)
+            if not isinstance(node, dict) or not isinstance(ref, str) or ref in path:
+                continue
+            if node.get("Type") == "/Page":
+                n += 1
+                self.numbers.setdefault(ref, []).append(n)
+            elif isinstance(kids := self.of(node.get("Kids")), list):
+                path.add(ref)
+                above.append(ref)
+                stack.append(iter([k for k in kids if k is not None]))
+
+    def inherited(self, page: dict, key: str) -> object:
+        """An attribute of the nearest node that has it."""
+        seen, node = set(), page
+        while isinstance(node, dict):
+            if key in node:
+                return node[key]
+            parent = node.get("Parent")
+            if not isinstance(parent, str) or parent in seen:
+                return None
+            seen.add(parent)
+            node = self.of(parent)
+        return None
+
+    def resources(self, value: object) -> dict | None:
+        """Resources with the tables of external objects and graphics states in place of references to them."""
+        own = self.of(value)
+        if not isinstance(own, dict):
+            return None
+        own = {k: self.of(v) if k in ("XObject", "ExtGState") else v for k, v in own.items()}
+        if isinstance(states := own.get("ExtGState"), dict):
+            own["ExtGState"] = {k: self.of(v) for k, v in states.items()}
+        return own
+
+    def rows(self, file: str, raw: bool) -> Iterator[dict]:
+        read = set()
+        for ref in self.numbers:
+            contents = self.by_id[ref].get("Contents")
+            read.update(x for x in (contents if isinstance(contents, list) else [contents]) if isinstance(x, str))
+            if isinstance(more := self.of(contents), list):
+                read.update(x for x in more if isinstance(x, str))
+        for (number, generation), (value, stream) in self.objects.items():
+            ref, own = f"{number} {generation} R", value if isinstance(value, dict) else {}
+            form, page = stream is not None and own.get("Subtype") == "/Form", ref in self.numbers
+            content = wrong = None
+            if form and len(stream) > FORM_BYTES:
+                wrong = "form is too long to be read"
+            elif form or (stream is not None and ref in read):
+                content, wrong = decoded(stream, *_filters(own))
+            used = self.resources(self.inherited(own, "Resources") if page else own.get("Resources")) if form or page else None
+            yield {
+                "file": file, "number": number, "generation": generation, "id": ref, "value": json.dumps(value), "size_bytes": None if stream is None else len(stream),
+                "sha256": None if stream is None else hashlib.sha256(stream).hexdigest(), "content": content, "warning": wrong, "page_numbers": self.numbers.get(ref),
+                "media_box": json.dumps(self.inherited(own, "MediaBox")) if page else None, "rotate": json.dumps(self.inherited(own, "Rotate")) if page else None,
+                "contents": json.dumps(more if isinstance(more := self.of(own.get("Contents")), list) else own.get("Contents")) if page else None,
+                "resources": None if used is None else json.dumps(used), "stream": stream if raw else None,
+            }
+
+
+_OBJECTS = (
+    "file string, number long, generation long, id string, value string, size_bytes long, sha256 string, content binary, warning string, page_numbers array<int>, "
+    "media_box string, rotate string, contents string, resources string, stream binary"
+)
+_ARROW = pa.schema([
+    ("file", pa.string()), ("number", pa.int64()), ("generation", pa.int64()), ("id", pa.string()), ("value", pa.string()), ("size_bytes", pa.int64()), ("sha256", pa.string()), ("content", pa.binary()),
+    ("warning", pa.string()), ("page_numbers", pa.list_(pa.int32())), ("media_box", pa.string()), ("rotate", pa.string()), ("contents", pa.string()), ("resources", pa.string()), ("stream", pa.binary()),
+])
+
+
+def _batches(rows: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), BATCH):
+        yield from pa.Table.from_pylist(rows[at : at + BATCH], schema).to_batches()
+
+
+def _parse(batches: Iterator[pa.RecordBatch], raw: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows: dict[tuple[int, int], dict] = {}
             try:
-                if re.search(rb"/Encrypt\s+(\d+\s+\d+\s+R|<<)", data):
+                if re.search(rb"/Encrypt\s+(\d+\s+\d+\s+R|<<)", data or b""):
                     raise ValueError("encrypted")
-                for number, generation, value, stream in file_objects(data):
-                    found = json.loads(value)
-                    kind = found.get("Subtype") if isinstance(found, dict) else None
-                    content = wrong = None
-                    if stream is not None and kind == "/Form" and len(stream) > FORM_BYTES:
-                        wrong = "form stream is too long"
-                    elif stream is not None and kind != "/Image":
-                        content, wrong = _decoded(stream, _filters(found))
-                    rows[number, generation] = {
-                        "file": file, "number": number, "generation": generation, "value": value, "size_bytes": None if stream is None else len(stream),
-                        "sha256": None if stream is None else hashlib.sha256(stream).hexdigest(), "content": content, "warning": wrong,
-                    }
+                rows = list(_File(data or b"").rows(file, raw))
                 if not rows:
                     raise ValueError("no objects")
-            except (ValueError, RecursionError) as e:
-                rows = {(0, 0): {"file": file, "warning": str(e)}}
-            fields = [pa.field(n, t) for n, t in (("file", pa.string()), ("number", pa.int64()), ("generation", pa.int64()), ("value", pa.string()), ("size_bytes", pa.int64()), ("sha256", pa.string()), ("content", pa.binary()), ("warning", pa.string()))]
-            yield from pa.Table.from_pylist(list(rows.values()), pa.schema(fields)).to_batches()
+            except Exception as e:  # whatever is wrong with one file, the others are read
+                rows = [{"file": file, "warning": str(e) if isinstance(e, ValueError) else f"can't be read: {type(e).__name__}"}]
+            yield from _batches(rows, _ARROW)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -157,17 +258,28 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return named.select(F.col("path").alias("file"), "content", F.col("length").alias("size_bytes"))
 
 
-def objects(pdfs: DataFrame) -> DataFrame:
-    """Every object of each file; a file that can't be read is one row with a warning and no number."""
-    return pdfs.select("file", "content").mapInArrow(_parse, _OBJECTS).withColumn("id", F.format_string("%d %d R", "number", "generation"))
+def objects(pdfs: DataFrame, raw: bool = False) -> DataFrame:
+    """Every object of each file (columns file, content); a file that can't be read is one row with a warning and no number.
+
+    ``raw`` keeps the encoded streams, which rewriting needs. Files that a plan gathers in few partitions should be
+    repartitioned first.
+    """
+    return pdfs.select("file", "content").mapInArrow(lambda batches: _parse(batches, raw), _OBJECTS)
 
 
 def _get(path: str, of: str = "value") -> Column:
     return F.get_json_object(of, f"$.{path}")
 
 
-def warnings(found: DataFrame) -> DataFrame:
-    return found.filter("warning is not null").select("file", F.when(F.col("number").isNotNull(), F.col("id")).alias("object_id"), F.col("warning").alias("message"))
+def _name(path: str) -> Column:
+    """A name without its slash; null where the value is none."""
+    return F.when(_get(path).startswith("/"), F.substring(_get(path), 2, 1 << 30))
+
+
+def _whole(path: str) -> Column:
+    """A number as a long, 0 at least; null where the value is none."""
+    number = F.floor(F.expr(f"try_cast(get_json_object(value, '$.{path}') as double)"))
+    return F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(0)), F.lit((1 << 32) - 1)).cast("long"))
 
 
 def catalogue(found: DataFrame) -> DataFrame:
@@ -176,21 +288,29 @@ def catalogue(found: DataFrame) -> DataFrame:
     routed = (
         F.when(sub == "/Image", "image")
         .when(sub.isin("/FontFile", "/FontFile2", "/FontFile3"), "font")
-        .when(kind == "/EmbeddedFile", "embedded_file")
-        .when((kind == "/Metadata") | (sub == "/XML"), "metadata")
+        .when((sub == "/EmbeddedFile") | (kind == "/EmbeddedFile"), "embedded_file")
+        .when((kind == "/Metadata") & (sub == "/XML"), "metadata")
         .otherwise("other")
     )
     return found.filter("size_bytes is not null").select("file", "id", routed.alias("kind"), F.col("size_bytes").alias("encoded_bytes"))
 
 
+def size_summary(pdfs: DataFrame, found: DataFrame) -> DataFrame:
+    """Bytes of each kind of each readable file, and what is neither: ``unknown_bytes``."""
+    sizes = pdfs.select("file", "size_bytes")
+    known = sizes.join(found.filter("number is not null").select("file").distinct(), "file", "left_semi").join(catalogue(found), "file", "left")
+    return attribution(known, ["file"], "kind", "encoded_bytes", ["image", "font", "embedded_file", "metadata"], "size_bytes")
+
+
 def images(found: DataFrame) -> DataFrame:
     """Image objects with pixels, encoding, hash, and the first object of the same bytes where it is another one."""
-    own = found.filter(_get("Subtype") == "/Image")
-    one = F.when(_get("Filter").startswith("["), F.from_json(_get("Filter"), "array<string>")).when(_get("Filter").isNotNull(), F.array(_get("Filter"))).otherwise(F.array().cast("array<string>"))
+    own = found.filter((_get("Subtype") == "/Image") & F.col("size_bytes").isNotNull())
+    one = F.when(_get("Filter").startswith("["), F.from_json(_get("Filter"), "array<string>")).when(_get("Filter").startswith("/"), F.array(_get("Filter"))).otherwise(F.array().cast("array<string>"))
+    w, h, bits = F.coalesce(_whole("Width"), F.lit(0)), F.coalesce(_whole("Height"), F.lit(0)), _whole("BitsPerComponent").cast("int")
     rows = own.select(
-        "file", "id", "number", "generation", _get("Width").cast("long").alias("pixel_width"), _get("Height").cast("long").alias("pixel_height"),
-        F.expr("ltrim('/', get_json_object(value, '$.ColorSpace'))").alias("colour_space"), _get("BitsPerComponent").cast("int").alias("bits_per_component"),
-        F.transform(one, lambda x: F.ltrim(x, F.lit("/"))).alias("filters"), F.col("size_bytes").alias("encoded_bytes"), "sha256", F.concat_ws(":", "file", "sha256").alias("_key"),
+        "file", "id", "number", "generation", w.alias("pixel_width"), h.alias("pixel_height"), _name("ColorSpace").alias("colour_space"), bits.alias("bits_per_component"),
+        F.transform(F.filter(one, lambda x: x.startswith("/")), lambda x: F.ltrim(x, F.lit("/"))).alias("filters"), F.col("size_bytes").alias("encoded_bytes"),
+        N.raw_image_bytes(w, h, bits).alias("raw_bytes"), "sha256", (_get("SMask").isNotNull() | _get("Mask").isNotNull()).alias("masked"), F.concat_ws(":", "file", "sha256").alias("_key"),
     )
     return first_seen(rows, "_key", ["number", "generation"], "id").drop("_key")
 
@@ -200,137 +320,175 @@ def pages(found: DataFrame) -> DataFrame:
 
     Sizes, rotation and resources are inherited from the nearest node above that has them.
     """
-    nodes = found.filter(_get("Type").isin("/Page", "/Pages")).select("file", "id", "value", _get("Type").alias("type"))
-    kids = nodes.select("file", F.col("id").alias("parent"), F.posexplode(F.from_json(_get("Kids"), "array<string>")).alias("place", "id"))
-    names = ["MediaBox", "Rotate", "Resources"]
-    nodes, kids = written(nodes, "page-nodes"), written(kids, "page-kids")
-    roots = nodes.join(kids.select("file", "id"), ["file", "id"], "left_anti")
-    level = roots.select("file", "id", "type", "value", F.array().cast("array<int>").alias("way"), F.array("id").alias("above"), *(_get(n).alias(n) for n in names))
-    leaves = level.filter("type = '/Page'")
-    while True:  # a node on its own path isn't entered again, so this ends
-        above = level.filter("type = '/Pages'").select("file", F.col("id").alias("parent"), "way", "above", *(F.col(n).alias(f"_{n}") for n in names))
-        below = kids.join(above, ["file", "parent"]).filter(~F.array_contains("above", F.col("id"))).join(nodes, ["file", "id"])
-        inherited = (F.coalesce(_get(n), F.col(f"_{n}")).alias(n) for n in names)
-        level = below.select("file", "id", "type", "value", F.concat("way", F.array("place")).alias("way"), F.concat("above", F.array("id")).alias("above"), *inherited)
-        level = written(level, "page-level")
-        if level.isEmpty():
-            break
-        leaves = leaves.unionByName(level.filter("type = '/Page'"))
-    box = F.from_json("MediaBox", "array<double>")
-    w, h = F.coalesce(F.abs(box[2] - box[0]), F.lit(0.0)), F.coalesce(F.abs(box[3] - box[1]), F.lit(0.0))
-    order = Window.partitionBy("file").orderBy("way")
-    return leaves.select(
-        "file", F.row_number().over(order).alias("page_number"), "id", w.alias("width_pt"), h.alias("height_pt"), G.points_to_mm(w).alias("width_mm"), G.points_to_mm(h).alias("height_mm"),
-        F.coalesce(F.col("Rotate").cast("int"), F.lit(0)).alias("rotation"), _get("Contents").alias("contents"), F.col("Resources").alias("resources"),
+    box = F.from_json("media_box", "array<double>")
+    side = lambda i: F.coalesce(F.abs(F.get(box, F.lit(i + 2)) - F.get(box, F.lit(i))), F.lit(0.0))
+    fine = (F.get(box, F.lit(0)) + F.get(box, F.lit(1)) + F.get(box, F.lit(2)) + F.get(box, F.lit(3))).isNotNull()
+    w, h = (F.when(fine, side(i)).otherwise(0.0) for i in (0, 1))
+    rotation = F.coalesce(F.expr("try_cast(try_cast(rotate as double) as int)"), F.lit(0))
+    return found.filter("page_numbers is not null").select(
+        "file", F.explode("page_numbers").alias("page_number"), "id", w.alias("width_pt"), h.alias("height_pt"), G.points_to_mm(w).alias("width_mm"), G.points_to_mm(h).alias("height_mm"),
+        rotation.alias("rotation"), "contents", "resources",
     )
 
 
+_OPERATIONS = "file string, scope string, idx long, operator string, operands array<string>, matrix array<double>"
+_NOT_OPERATORS = ("<<", ">>", "[", "]", "true", "false", "null")
+
+
+def _times(m: tuple, n: tuple) -> tuple:
+    """The matrix that applies m first and n afterwards."""
+    return (m[0] * n[0] + m[1] * n[2], m[0] * n[1] + m[1] * n[3], m[2] * n[0] + m[3] * n[2], m[2] * n[1] + m[3] * n[3], m[4] * n[0] + m[5] * n[2] + n[4], m[4] * n[1] + m[5] * n[3] + n[5])
+
+
+def content_operations(data: bytes) -> Iterator[tuple[str, list[str], tuple | None]]:
+    """Operator, operands and, for Do, the matrix in force: cm, q and Q up to there; a Q without its q changes nothing."""
+    now, saved, operands, skip = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), [], [], 0
+    numbers: list[float] = []
+    for token, after in _tokens(data):
+        if after <= skip:
+            continue
+        if not isinstance(token, str) or isinstance(token, Text) or token.startswith("/") or token in _NOT_OPERATORS:
+            operands.append(str(token))
+            numbers += [float(token)] if isinstance(token, int | float) else []
+            continue
+        if token == "q":
+            saved.append(now)
+        elif token == "Q" and saved:
+            now = saved.pop()
+        elif token == "cm" and len(operands) == len(numbers) == 6:
+            now = _times(tuple(numbers), now)
+        yield token, operands, now if token == "Do" else None
+        operands, numbers = [], []
+        if token == "ID":  # the data of an inline image ends at EI, whose operand it is here
+            end = _INLINE_END.search(data, after)
+            skip = end.start() + 1 if end else len(data)
+            operands = [data[after + 1 : skip - 1 if end else skip].decode("latin-1")]
+
+
 def _operations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("file", pa.string()), ("scope", pa.string()), ("idx", pa.int64()), ("operator", pa.string()), ("operands", pa.list_(pa.string()))])
+    schema = pa.schema([("file", pa.string()), ("scope", pa.string()), ("idx", pa.int64()), ("operator", pa.string()), ("operands", pa.list_(pa.string())), ("matrix", pa.list_(pa.float64()))])
     for batch in batches:
         for file, scope, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            rows, operands, idx, skip = [], [], 0, 0
-            for token, after in _tokens(data or b""):
-                if after <= skip:
-                    continue
-                if isinstance(token, str) and not token.startswith("/") and token not in ("<<", ">>", "[", "]", "true", "false", "null"):
-                    rows.append({"file": file, "scope": scope, "idx": idx, "operator": token, "operands": operands})
-                    operands, idx = [], idx + 1
-                    if token == "ID":  # inline image data ends at EI
-                        skip = data.find(b"EI", after) if data.find(b"EI", after) >= 0 else len(data)
-                else:
-                    operands.append(token[1] if isinstance(token, tuple) else str(token))
-            yield from pa.Table.from_pylist(rows, schema).to_batches()
-
-
-def operations(found: DataFrame, own_pages: DataFrame) -> DataFrame:
-    """file, scope (the id of a page or form), idx, operator and operands, in paint order within a scope."""
-    streams = found.filter("content is not null").select("file", F.col("id").alias("stream"), "content")
-    listed = F.when(F.col("contents").startswith("["), F.from_json("contents", "array<string>")).otherwise(F.array("contents"))
-    parts = own_pages.select("file", F.col("id").alias("scope"), F.posexplode(listed).alias("place", "stream")).join(streams, ["file", "stream"])
-    page_bytes = parts.groupBy("file", "scope").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("c"))
-    whole = page_bytes.select("file", "scope", F.expr("aggregate(c, cast('' as binary), (s, x) -> concat(s, x.content, cast('\\n' as binary)))").alias("content"))
-    forms = found.filter((_get("Subtype") == "/Form") & F.col("content").isNotNull()).select("file", F.col("id").alias("scope"), "content")
-    return whole.unionByName(forms).mapInArrow(_operations, "file string, scope string, idx long, operator string, operands array<string>")
+            rows: list[dict] = []
+            for idx, (operator, operands, matrix) in enumerate(content_operations(data or b"")):
+                rows.append({"file": file, "scope": scope, "idx": idx, "operator": operator, "operands": operands, "matrix": matrix})
+                if len(rows) == BATCH:
+                    yield from _batches(rows, schema)
+                    rows = []
+            yield from _batches(rows, schema)
 
 
-def inline_image_warnings(ops: DataFrame) -> DataFrame:
-    return ops.filter("operator = 'BI'").select("file", F.col("scope").alias("object_id"), F.lit("inline image is not catalogued").alias("message")).distinct()
+def _content_parts(found: DataFrame, own_pages: DataFrame) -> DataFrame:
+    """file, scope, page_number, place, content and warning of each content stream of a page."""
+    streams = found.filter("content is not null or warning is not null").select("file", F.col("id").alias("stream"), "content", "warning")
+    listed = F.when(F.col("contents").startswith("["), F.from_json("contents", "array<string>")).otherwise(F.from_json(F.concat(F.lit("["), "contents", F.lit("]")), "array<string>"))
+    parts = own_pages.select("file", F.col("id").alias("scope"), "page_number", F.posexplode(listed).alias("place", "stream"))
+    return parts.join(streams, ["file", "stream"])
 
 
-def draws(ops: DataFrame) -> DataFrame:
-    """Each Do with its name and the matrix in force, by a scan of cm, q and Q over each scope."""
-    unit = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+def operations(found: DataFrame, own_pages: DataFrame) -> DataFrame:
+    """file, scope (the id of a page or form), idx, operator, operands and matrix (of Do), in paint order within a scope.
 
-    def times(m: tuple, n: tuple) -> tuple:
-        a, b, c, d, e, f = m
-        p, q, r, s, t, u = n
-        return (a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s, e * p + f * r + t, e * q + f * s + u)
+    A page of which a content stream can't be decoded has none.
+    """
+    first = own_pages.groupBy("file", "id").agg(F.min("page_number").alias("page_number"), F.first("contents").alias("contents"))
+    parts = _content_parts(found, first).groupBy("file", "scope").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("c"), F.bool_or(F.col("content").isNull()).alias("broken"))
+    whole = parts.filter("not broken").select("file", "scope", F.expr("aggregate(c, cast('' as binary), (s, x) -> concat(s, x.content, cast('\\n' as binary)))").alias("content"))
+    forms = found.filter((_get("Subtype") == "/Form") & F.col("content").isNotNull()).select("file", F.col("id").alias("scope"), "content")
+    return whole.unionByName(forms).mapInArrow(_operations, _OPERATIONS)
 
-    def step(state: tuple, row: dict) -> tuple[tuple, dict | None]:
-        now, saved = state
-        made = None
-        if row["operator"] == "q":
-            saved = (*saved, now)
-        elif row["operator"] == "Q" and saved:
-            now, saved = saved[-1], saved[:-1]
-        elif row["operator"] == "cm" and len(row["operands"]) == 6:
-            now = times(tuple(map(float, row["operands"])), now)
-        elif row["operator"] == "Do" and row["operands"]:
-            made = {"file": row["file"], "scope": row["scope"], "idx": row["idx"], "name": row["operands"][-1][1:], "matrix": dict(zip("abcdef", now, strict=True))}
-        return (now, saved), made
 
-    some = ops.filter(F.col("operator").isin("q", "Q", "cm", "Do"))
-    schema = "file string, scope string, idx long, name string, matrix struct<a:double,b:double,c:double,d:double,e:double,f:double>"
-    return ordered.scanned(some, ["file", "scope"], ["idx"], schema, lambda: (unit, ()), step)
+def names(found: DataFrame) -> DataFrame:
+    """file, holder (a page or form with resources), name and id of every external object that can be named there."""
+    own = found.filter("resources is not null").select("file", F.col("id").alias("holder"), F.explode(F.from_json(_get("XObject", "resources"), "map<string,string>")).alias("name", "id"))
+    return own.filter(F.col("id").rlike(_REFERENCE.pattern))
 
 
 def drawn(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFrame:
     """file, page_number, id, kind and matrix of every drawn image and form, through nested forms.
 
     Names resolve in the scope's own resources, in a form without any in its caller's; an unresolved name is dropped,
-    and a form on its own path isn't entered again.
+    and a form on its own path isn't entered again. A level of nesting is one job.
     """
-    texts = found.select("file", F.col("id").alias("ref"), F.col("value").alias("ref_value"))
-
-    def direct(df: DataFrame, column: str) -> DataFrame:
-        """``column`` with a reference replaced by the object's value."""
-        return df.join(texts, (df["file"] == texts["file"]) & (df[column] == texts["ref"]), "left").select(*(df[c] for c in df.columns if c != column), F.coalesce("ref_value", df[column]).alias(column))
-
-    forms = found.filter(_get("Subtype") == "/Form").select("file", F.col("id").alias("scope"), _get("Resources").alias("resources"))
-    scopes = direct(own_pages.select("file", F.col("id").alias("scope"), "resources").unionByName(forms), "resources")
-    named = direct(scopes.select("file", "scope", _get("XObject", "resources").alias("x")), "x")
-    names = named.select("file", "scope", F.explode(F.from_json("x", "map<string,string>")).alias("name", "id"))
-    bare = scopes.filter(~F.coalesce(F.col("resources").startswith("{"), F.lit(False))).select("file", F.col("scope").alias("id"), F.lit(True).alias("bare"))
-    kinds = found.select("file", "id", _get("Subtype").alias("kind"), F.from_json(_get("Matrix"), "array<double>").alias("m")).join(bare, ["file", "id"], "left")
-    kinds, names, done = written(kinds, "kinds"), written(names.withColumnRenamed("scope", "holder"), "names"), written(draws(ops).withColumnRenamed("matrix", "matrix2"), "draws")
+    matrix = F.struct(*(F.col("matrix")[i].alias(n) for i, n in enumerate("abcdef")))
+    name = F.get("operands", F.lit(0))
+    done = ops.filter((F.col("operator") == "Do") & name.startswith("/")).select("file", "scope", F.substring(name, 2, 1 << 30).alias("name"), matrix.alias("matrix2"))
+    m = F.from_json(_get("Matrix"), "array<double>")
+    kinds = found.filter("size_bytes is not null").select("file", "id", _get("Subtype").alias("kind"), m.alias("m"), F.col("resources").isNull().alias("bare"))
+    kinds, known, done = written(kinds.filter("kind in ('/Image', '/Form')"), "kinds"), written(names(found), "names"), written(done, "draws")
     # holder: the page or form whose resources are in force
     scope = own_pages.select("file", "page_number", F.col("id").alias("scope"), F.col("id").alias("holder"), F.array().cast("array<string>").alias("way"), G.identity().alias("matrix"))
     out = None
     while out is None or not level.isEmpty():
-        level = scope.join(done, ["file", "scope"]).join(names, ["file", "holder", "name"]).join(kinds, ["file", "id"]).filter(~F.array_contains("way", F.col("id")))
+        level = scope.join(done, ["file", "scope"]).join(known, ["file", "holder", "name"]).join(kinds, ["file", "id"]).filter(~F.array_contains("way", F.col("id")))
         level = level.select(
             "file", "page_number", "id", "kind", "m", G.compose(F.col("matrix2"), F.col("matrix")).alias("matrix"),
             F.when(F.col("bare"), F.col("holder")).otherwise(F.col("id")).alias("holder"), F.concat("way", F.array("id")).alias("way"),
         )
         level = written(level, "form-level")
         out = level if out is None else out.unionByName(level)
-        own = F.when(F.size("m") == 6, F.struct(*(F.col("m")[i].alias(n) for i, n in enumerate("abcdef")))).otherwise(G.identity())
+        own = F.when(F.size(F.array_compact("m")) == 6, F.struct(*(F.col("m")[i].alias(n) for i, n in enumerate("abcdef")))).otherwise(G.identity())
         scope = level.filter("kind = '/Form'").select("file", "page_number", F.col("id").alias("scope"), "holder", "way", G.compose(own, F.col("matrix")).alias("matrix"))
     return out.select("file", "page_number", "id", "kind", "matrix")
 
 
-def placements(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFrame:
-    """file, page_number, id (the image) and matrix of every drawn image, through nested forms."""
-    return drawn(found, own_pages, ops).filter("kind = '/Image'").drop("kind")
+def placements(shown: DataFrame) -> DataFrame:
+    """file, page_number, id (the image) and matrix of every image among the rows of ``drawn``."""
+    return shown.filter("kind = '/Image'").drop("kind")
+
 
+def _entered(own_pages: DataFrame, shown: DataFrame) -> DataFrame:
+    """file, page_number and id of each page and each invocation of a form."""
+    return shown.filter("kind = '/Form'").select("file", "page_number", "id").unionByName(own_pages.select("file", "page_number", "id"))
 
-def operation_counts(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFrame:
-    """Text and vector operations of each page, with those of the forms it invokes, once for each invocation."""
+
+def operation_counts(own_pages: DataFrame, ops: DataFrame, shown: DataFrame) -> DataFrame:
+    """Image placements, text and vector operations of each page, with those of the forms it invokes, once for each invocation."""
     text, vector = F.col("operator").isin(ordered.TEXT_SHOW), F.col("operator").isin(ordered.VECTOR_COUNTED)
     counted = ops.groupBy("file", F.col("scope").alias("id")).agg(F.count_if(text).alias("text"), F.count_if(vector).alias("vector"))
-    entered = drawn(found, own_pages, ops).filter("kind = '/Form'").select("file", "page_number", "id").unionByName(own_pages.select("file", "page_number", "id"))
-    return entered.join(counted, ["file", "id"], "left").groupBy("file", "page_number").agg(F.sum(F.coalesce("text", F.lit(0))).alias("text_operations"), F.sum(F.coalesce("vector", F.lit(0))).alias("vector_operations"))
+    entered = _entered(own_pages, shown).groupBy("file", "page_number", "id").agg(F.count(F.lit(1)).alias("times")).join(counted, ["file", "id"], "left")
+    sums = entered.groupBy("file", "page_number").agg(*(F.sum(F.col("times") * F.coalesce(c, F.lit(0))).alias(f"{c}_operations") for c in ("text", "vector")))
+    uses = placements(shown).groupBy("file", "page_number").agg(F.count(F.lit(1)).alias("placed"))
+    return sums.join(uses, ["file", "page_number"], "left").withColumn("image_placements", F.coalesce("placed", F.lit(0))).drop("placed")
+
+
+def warnings(found: DataFrame, own_pages: DataFrame, ops: DataFrame, shown: DataFrame) -> DataFrame:
+    """file, page_number, object_id and message of all that was not read.
+
+    A file that can't be read has neither page nor object; a page's contents have the page, a form its id too, for each
+    invocation; inline images, which are not catalogued, have the page.
+    """
+    none = F.lit(None)
+    whole = found.filter("number is null").select("file", none.cast("int").alias("page_number"), none.cast("string").alias("object_id"), F.col("warning").alias("message"))
+    pages_ = _content_parts(found, own_pages).filter("warning is not null").select("file", "page_number", none.cast("string").alias("object_id"), F.concat(F.lit("page content unavailable: "), "warning").alias("message"))
+    forms = shown.filter("kind = '/Form'").join(found.filter("warning is not null").select("file", "id", "warning"), ["file", "id"])
+    forms = forms.select("file", "page_number", F.col("id").alias("object_id"), F.concat(F.lit("form content unavailable: "), "warning").alias("message"))
+    inline = _entered(own_pages, shown).join(ops.filter("operator = 'BI'").select("file", F.col("scope").alias("id")), ["file", "id"])
+    inline = inline.select("file", "page_number", none.cast("string").alias("object_id"), F.lit("inline image is not catalogued").alias("message"))
+    return whole.unionByName(pages_).unionByName(forms).unionByName(inline)
+
+
+class Inspection(NamedTuple):
+    """The relations of a collection of files, written once."""
+
+    objects: DataFrame
+    pages: DataFrame
+    operations: DataFrame
+    drawn: DataFrame
+
+    def warnings(self) -> DataFrame:
+        return warnings(*self)
+
+    def operation_counts(self) -> DataFrame:
+        return operation_counts(self.pages, self.operations, self.drawn)
+
+
+def inspected(pdfs: DataFrame, raw: bool = False) -> Inspection:
+    """Objects, pages, operations and draws of files (columns file, content): one pass over bytes, one over contents."""
+    found = written(objects(pdfs, raw), "objects")
+    own = written(pages(found), "pages")
+    ops = written(operations(found, own), "operations")
+    return Inspection(found, own, ops, drawn(found, own, ops))
 
 
 def comparable(found: DataFrame) -> DataFrame:

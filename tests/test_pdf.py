@@ -52,7 +52,9 @@ def found(spark, tmp_path_factory):
 
 
 def test_relations(spark, found):
-    messages = {(r["file"].rsplit("/", 1)[1], r["message"]) for r in pdf.warnings(found).collect()}
+    own = pdf.pages(found)
+    ops = pdf.operations(found, own)
+    messages = {(r["file"].rsplit("/", 1)[1], r["message"]) for r in pdf.warnings(found, own, ops, pdf.drawn(found, own, ops)).collect()}
     assert ("locked.pdf", "encrypted") in messages and ("bare.pdf", "no objects") in messages
     pages = pdf.pages(found).filter(F.col("file").endswith("good.PDF"))
     rows = sorted(map(tuple, pages.select("page_number", "id", "width_pt", "height_pt", "rotation").collect()))
@@ -68,13 +70,14 @@ def test_placements_and_counts(spark, found):
     own = found.filter(F.col("file").endswith("good.PDF"))
     pages = pdf.pages(own)
     ops = pdf.operations(own, pages)
-    placed = pdf.placements(own, pages, ops)
+    shown = pdf.drawn(own, pages, ops)
+    placed = pdf.placements(shown)
     measured = planning.measured_placements(placed, pdf.images(own))
     got = sorted((r["id"], round(r["width_pt"], 3), round(r["height_pt"], 3), [round(x, 3) for x in r["box"]]) for r in measured.collect())
     assert got == [("5 0 R", 100.0, 50.0, [0, 0, 100, 50]), ("5 0 R", 141.732, 141.732, [20, 20, 161.732, 161.732]), ("6 0 R", 20.0, 20.0, [10, 10, 30, 30])]
     dpi = measured.filter("round(width_pt) = 142").first()["dpi"]
     assert dpi == pytest.approx(5080, abs=0.1)
-    counts = {r["page_number"]: (r["text_operations"], r["vector_operations"]) for r in pdf.operation_counts(own, pages, ops).collect()}
+    counts = {r["page_number"]: (r["text_operations"], r["vector_operations"]) for r in pdf.operation_counts(pages, ops, shown).collect()}
     assert counts == {1: (2, 2), 2: (0, 0)}
     assert planning.plan(pdf.images(own), placed, pages).filter("class = 'oversampled'").count() == 2
     targets = {r["id"]: r["target"] for r in planning.point_targets(measured).collect()}
@@ -90,11 +93,11 @@ def test_nothing_is_lost_in_silence(spark, tmp_path, monkeypatch):
     objects = {
         1: b"<< /Type /Catalog /Pages 2 0 R >>",
         2: b"<< /Type /Pages /Kids [3 0 R 4 0 R 5 0 R] /Resources << /XObject << /Im 10 0 R /Bare 11 0 R /Long 12 0 R /F0 20 0 R >> >> >>",
-        3: b"<< /Type /Page /Contents 6 0 R >>",
-        4: b"<< /Type /Page /Contents 7 0 R >>",
-        5: b"<< /Type /Page /Contents [8 0 R 9 0 R] >>",
+        3: b"<< /Type /Page /Parent 2 0 R /Contents 6 0 R >>",
+        4: b"<< /Type /Page /Parent 2 0 R /Contents 7 0 R >>",
+        5: b"<< /Type /Page /Parent 2 0 R /Contents [8 0 R 9 0 R] >>",
         6: stream(b"", b"(x) Tj " * 100 + b"/Bare Do /Long Do /F0 Do"),
-        7: stream(b"/Filter /LZWDecode", b"abc"),
+        7: stream(b"/Filter /Crypt", b"abc"),
         8: stream(b"/Filter /FlateDecode", b"broken"),
         9: stream(b"/Filter /FlateDecode", zlib.compress(b"(x) Tj " * 3, 0)[:20]),
         10: stream(IMAGE, b"x"),
@@ -108,25 +111,101 @@ def test_nothing_is_lost_in_silence(spark, tmp_path, monkeypatch):
     pdfs = pdf.files(spark, str(tmp_path))
     rows = pa.Table.from_pylist([r.asDict() for r in pdfs.select("file", "content").collect()])
     made = [x for batch in pdf._parse(iter(rows.to_batches())) for x in batch.to_pylist()]  # here, where the lower limit holds
-    own = spark.createDataFrame(made, pdf._OBJECTS).withColumn("id", F.format_string("%d %d R", "number", "generation")).persist()
-    said = {r["object_id"]: r["message"] for r in pdf.warnings(own).collect()}
-    assert set(said) == {"7 0 R", "8 0 R", "9 0 R", "12 0 R"} and "LZWDecode" in said["7 0 R"] and said["12 0 R"] == "form stream is too long"
+    own = spark.createDataFrame(made, pdf._OBJECTS).persist()
     pages = pdf.pages(own).persist()
     numbers = {r["id"]: r["page_number"] for r in pages.collect()}
     ops = pdf.operations(own, pages).persist()
-    placed = sorted((r["page_number"], r["matrix"]["a"]) for r in pdf.placements(own, pages, ops).collect())
+    shown = pdf.drawn(own, pages, ops)
+    said = sorted((r["page_number"], r["object_id"] or "", r["message"]) for r in pdf.warnings(own, pages, ops, shown).collect())
+    assert [(n, i) for n, i, _ in said] == [(1, "12 0 R"), (2, ""), (3, ""), (3, "")] and "Crypt" in said[1][2] and said[0][2].endswith("form is too long to be read")
+    placed = sorted((r["page_number"], r["matrix"]["a"]) for r in pdf.placements(shown).collect())
     assert placed == [(numbers["3 0 R"], 1.0), (numbers["3 0 R"], 10.0)]
     assert ops.filter("scope = '3 0 R' and operator = 'Tj'").count() == 100
 
 
 def test_deep_page_tree(spark, tmp_path):
-    objects = {}
-    for k in range(50, 83):  # a page below 34 nodes, the last of which also names the first
-        objects[k] = b"<< /Type /Pages /Kids [%d 0 R%s] >>" % (k + 1, b" 50 0 R" if k == 82 else b"")
-    objects[83] = b"<< /Type /Page >>"
-    objects[49] = b"<< /Type /Pages /Kids [50 0 R] >>"
+    objects = {1: b"<< /Type /Catalog /Pages 49 0 R >>"}
+    for k in range(50, 3000):  # a page below 2,952 nodes, the last of which also names the first
+        objects[k] = b"<< /Type /Pages /Parent %d 0 R /Kids [%d 0 R%s] >>" % (k - 1, k + 1, b" 50 0 R" if k == 2999 else b"")
+    objects[3000] = b"<< /Type /Page /Parent 2999 0 R >>"
+    objects[49] = b"<< /Type /Pages /Kids [50 0 R] /MediaBox [0 0 7 8] >>"
     (tmp_path / "a.pdf").write_bytes(build(objects))
-    assert [r["id"] for r in pdf.pages(pdf.objects(pdf.files(spark, str(tmp_path)))).collect()] == ["83 0 R"]
+    assert [(r["id"], r["page_number"], r["width_pt"]) for r in pdf.pages(pdf.objects(pdf.files(spark, str(tmp_path)))).collect()] == [("3000 0 R", 1, 7.0)]
+
+
+def test_malformed_files_stop_nothing(spark, tmp_path):
+    image = b"/Type /XObject /Subtype /Image"
+    page = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R (x) 99 0 R 5] >>"}
+    bad = {
+        "sizes": {**page, 3: b"<< /Type /Page /Parent 2 0 R /Rotate 7 0 R /MediaBox [/a 0 7 0 R] /Contents 4 0 R >>", 4: stream(b"", b"/a 0 0 1 0 0 cm 1 0 0 1 0 cm /Im 5 Do (x) Do Do ]] >> << Q"), 5: stream(image + b" /Width 7 0 R /Height /x /BitsPerComponent 7 0 R /ColorSpace [/ICCBased 7 0 R] /Filter [7 0 R]", b"x"), 7: b"5"},
+        "objstm": {1: stream(b"/Type /ObjStm /First 9 0 R /N 1", b"1 0 << >>"), 2: stream(b"/Type /ObjStm /First 99999999 /N 1", b"1 0"), 3: stream(b"/Type /ObjStm /First 4 /Filter [/FlateDecode] /DecodeParms 5 0 R", b"xx")},
+        "loop": {1: b"<< /Type /Catalog /Pages 1 0 R /Kids [1 0 R] >>", 2: b"<< /Type /Pages /Parent 2 0 R /Kids 2 0 R >>"},
+        "numbers": {1: b"<< /A " + b"9" * 9000 + b" /B [1. -.5 +3 --2 1e5 . - +] >>", 2: b"<< /A 3 0 obj << /B >> >>", 4: b"[ [ << >"},
+        "length": {1: b"<< /Type /Catalog /Length -5 >>\nstream\nabc", 2: b"<< /Length 99999999999 >>\nstream\nabc\nendstream"},
+        "bomb": {**page, 3: b"<< /Type /Page /Contents 4 0 R >>", 4: stream(b"/Filter [/FlateDecode /FlateDecode]", zlib.compress(zlib.compress(bytes(1 << 24))))},
+    }
+    for name, objects in bad.items():
+        (tmp_path / f"{name}.pdf").write_bytes(build(objects))
+    (tmp_path / "cut.pdf").write_bytes(build(bad["sizes"])[:150])
+    (tmp_path / "noise.pdf").write_bytes(b"%PDF-1.7\n" + bytes(range(256)) * 40 + b"1 0 obj << /A (" + b"\\" * 999)
+    seen = pdf.inspected(pdf.files(spark, str(tmp_path)))
+    files = {r["file"].rsplit("/", 1)[1] for r in seen.objects.select("file").distinct().collect()}
+    assert files == {f"{n}.pdf" for n in (*bad, "cut", "noise")}
+    seen.warnings().collect()
+    seen.operation_counts().collect()
+    sizes = seen.objects.filter(F.col("file").endswith("sizes.pdf"))
+    assert [(r["width_pt"], r["rotation"]) for r in pdf.pages(sizes).collect()] == [(0.0, 0)]
+    assert [(r["pixel_width"], r["pixel_height"], r["bits_per_component"], r["colour_space"], r["filters"]) for r in pdf.images(sizes).collect()] == [(0, 0, None, None, [])]
+    assert seen.operations.filter("operator = 'Do'").count() == 3
+
+
+def test_filters():
+    from pagewright.sources import filters
+
+    data = bytes(range(256)) * 9
+    png = b"".join(bytes([2]) + bytes((row[i] - (above[i])) & 255 for i in range(4)) for above, row in [(bytes(4), b"abcd"), (b"abcd", b"bbce")])
+    cases = [
+        ("FlateDecode", zlib.compress(data), {}, data), ("ASCIIHexDecode", b"61 62\n6>", {}, b"ab`"), ("ASCII85Decode", b"<~87cURD]~>", {}, b"Hello"),
+        ("RunLengthDecode", b"\x02abc\xfed\x80zz", {}, b"abcddd"), ("LZWDecode", bytes.fromhex("800b6050220c0c8501"), {}, bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])),
+        ("FlateDecode", zlib.compress(png), {"Predictor": 12, "Columns": 4}, b"abcdbbce"), ("FlateDecode", zlib.compress(b"\x01\x01\x01"), {"Predictor": 2, "Columns": 3}, b"\x01\x02\x03"),
+    ]
+    for name, coded, parms, want in cases:
+        assert filters.decoded(coded, ["/" + name], [parms]) == (want, None)
+    assert filters.decoded(zlib.compress(data)[:50], ["/FlateDecode"], [{}])[1] == "cut short"
+    for name, coded in [("FlateDecode", b"xx"), ("ASCIIHexDecode", b"zz"), ("LZWDecode", b"\x00\xff\xff\xff"), ("Other", b"")]:
+        assert filters.decoded(coded, ["/" + name], [{}])[0] is None
+
+
+def test_rewriting(spark, found):
+    """Files written from their objects read as before; edited contents keep what was not edited."""
+    from pagewright.operators import snapshots
+    from pagewright.sources import rewrite
+
+    own = pdf.files(spark, found.filter(F.col("file").endswith("good.PDF")).first()["file"].removeprefix("file:"))
+    before = pdf.objects(own, raw=True).persist()
+    after = pdf.objects(rewrite.assembled(before, pruned=False), raw=True)
+    same = snapshots.diff(pdf.comparable(before), pdf.comparable(after), ["file", "id"], ["value", "sha256"])
+    assert {r["change"] for r in same.collect()} == {"same"}
+    content = rewrite.assembled(before).first()["content"]
+    at = int(bytes(content).rsplit(b"startxref\n", 1)[1].split()[0])
+    assert bytes(content)[at:].startswith(b"xref") and b"\n10 0 obj" not in bytes(content)
+    seen = pdf.inspected(own, raw=True)
+    again = pdf.inspected(rewrite.assembled(rewrite.with_content(seen.objects, rewrite.encoded_content(seen.operations))))
+    rows = lambda x: sorted(map(str, x.operations.select("scope", "idx", "operator", "operands", "matrix").collect()))
+    assert rows(again) == rows(seen)
+
+
+def test_foreground_and_states(spark, found):
+    from pagewright.sources import rewrite
+
+    own = found.filter(F.col("file").endswith("good.PDF"))
+    pages = pdf.pages(own)
+    ops = pdf.operations(own, pages)
+    cut = pages.select("file", F.col("id").alias("scope"), F.lit(5).alias("boundary"))
+    assert [r["name"] for r in rewrite.foreground_names(pdf.names(own), ops, cut).filter("holder = '3 0 R'").orderBy("name").collect()] == ["Fm1", "Im1"]
+    table = '{"ExtGState": {"A": {}, "B": {"ca": 1.0, "BM": "/Normal"}, "C": {"CA": 0.5}, "D": {"SMask": {"S": 1}}, "E": {"SMask": "/None", "BM": ["/Multiply"]}, "F": null}}'
+    rows = spark.createDataFrame([("f", "p", table)], "file string, id string, resources string")
+    assert {r["name"]: r["opaque"] for r in rewrite.states(rows).collect()} == {"A": True, "B": True, "C": False, "D": False, "E": False, "F": False}
 
 
 def test_snapshots_of_one_file(spark, found):

@@ -1,7 +1,7 @@
 import pytest
 
 from oracles import same_rows
-from pagewright.plans.queries import ORACLES, QUERIES
+from pagewright.plans import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
