@@ -58,3 +58,18 @@ def polynomial_hash(text: Column) -> Column:
     start = F.lit(0).cast("decimal(38,0)")
     step = lambda h, b: F.pmod(h * F.lit(31).cast("decimal(2,0)") + b, F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(38,0)")
     return F.when(F.octet_length(text) > 0, F.aggregate(codes, start, step)).otherwise(start)
+
+
+def truncated(text: Column, n: int = 500) -> Column:
+    """The first ``n`` characters."""
+    return F.substring(text, 1, n)
+
+
+def lossy_utf8(data: Column) -> Column:
+    """Bytes as text, with the replacement character where they aren't UTF-8."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
+def jitter(text: Column, spread: int = 86_400) -> Column:
+    """Seconds from -``spread`` to ``spread`` that depend on the text only."""
+    return F.pmod(polynomial_hash(text), F.lit(2 * spread + 1).cast("decimal(20,0)")).cast("long") - spread

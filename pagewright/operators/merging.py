@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..tables import written
 from .aggregates import union_box
 from .ordered import MERGE_PAINT, scanned
 
@@ -122,20 +123,26 @@ def merge_events(ops: DataFrame) -> DataFrame:
     return scanned(ops, ["file", "scope"], ["idx"], "file string, scope string, idx long, reason string, box array<double>", State, step)
 
 
-def merge_plan(pages: DataFrame, ops: DataFrame) -> DataFrame:
-    """file, scope, raster_objects, status (would_merge or skipped), skipped_reason, merged box and pixels of each page."""
+def merge_plan(pages: DataFrame, ops: DataFrame, setup: DataFrame | None = None) -> DataFrame:
+    """file, scope, raster_objects, status (would_merge or skipped), skipped_reason, merged box and pixels of each page.
+
+    ``setup`` (file, scope, reason) has the pages that are skipped before their operations are looked at.
+    """
     keys = ["file", "scope"]
-    events = merge_events(ops).persist()
+    events = written(merge_events(ops), "merge-events")
     stops = events.filter("reason is not null").select(*keys, "reason")
     boxes = union_box(events.filter("box is not null"), keys, "box", "idx")
     first = events.filter("box is not null").groupBy(*keys).agg(F.min_by("box", "idx").alias("base"), F.count(F.lit(1)).alias("raster_objects"))
     own = pages.select(*keys, "width_pt", "height_pt").join(stops, keys, "left").join(boxes.drop("base_covers"), keys, "left").join(first, keys, "left")
+    early = setup.select(*keys, F.col("reason").alias("setup_reason")) if setup is not None else pages.select(*keys, F.lit(None).cast("string").alias("setup_reason"))
+    own = own.join(early, keys, "left")
     union = F.array("x0", "y0", "x1", "y1")
     covers = F.forall(F.zip_with("base", union, lambda p, q: N.close_absolute(p, q)), lambda ok: ok)
     scale = LONG_SIDE / F.greatest("width_pt", "height_pt")
     pixels = F.array(F.ceil((F.col("x1") - F.col("x0")) * scale), F.ceil((F.col("y1") - F.col("y0")) * scale))
     reason = (
-        F.when(F.col("reason").isNotNull(), F.col("reason"))
+        F.when(F.col("setup_reason").isNotNull(), F.col("setup_reason"))
+        .when(F.col("reason").isNotNull(), F.col("reason"))
         .when(F.coalesce("raster_objects", F.lit(0)) < 2, "fewer_than_two_direct_rasters")
         .when(~covers, "transparent_or_uncovered_union_area")
         .when((pixels[0] < 1) | (pixels[1] < 1), "invalid_merged_dimensions")

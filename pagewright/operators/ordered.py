@@ -1,7 +1,8 @@
 """Operators over ordered sequences: paint order, nesting, prefixes and the last writer.
 
-A sequence is the rows of a key in an order. Windows hold a key's rows in sorted runs that spill; ``scanned`` streams
-through them with a small state where a window can't say it.
+A sequence is the rows of a key in an order. A key may hold a third of all rows: sums and products over a sequence run in two
+levels, over ranges of it and then over the ranges' totals. ``scanned`` streams through a key with a small state where the state
+is no sum.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import geometry as G
+from ..tables import written
 
 #: Content operators by role.
 TEXT_SHOW = ["Tj", "TJ", "'", '"']
@@ -22,10 +24,28 @@ ARTWORK = ["S", "s", "f", "F", "f*", "B", "B*", "b", "b*", "sh", "BI"]
 MERGE_PAINT = [*TEXT_SHOW, "S", "s", "F", "f", "f*", "B", "B*", "b", "b*", "sh"]
 
 
+def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over each key's rows up to each row, in two levels.
+
+    Rows are range-partitioned by key and order, so that a key with many rows is spread over several tasks; each part is
+    summed alone, and what the parts before it hold is added. Rows of a key that are equal in ``order`` stay together.
+    """
+    parts = rows.withColumn("_value", value).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    parts = written(parts, "ordered")
+    own = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(*keys, "_part").agg(F.sum("_value").alias("_total")).withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+    totals = totals.filter("_before <> 0").select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col("_part").alias("_of"), "_before")
+    same = F.col("_part") == F.col("_of")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    summed = parts.withColumn("_own", F.sum("_value").over(own)).join(totals, same, "left")
+    return summed.select(*rows.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).alias(name))
+
+
 def depth(rows: DataFrame, keys: list[str], order: list[str], opens: Column, closes: Column) -> DataFrame:
     """``rows`` with ``depth`` after each row: opens so far less closes so far."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("depth", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(w))
+    return running_sum(rows, keys, order, F.when(opens, 1).when(closes, -1).otherwise(0), "depth")
 
 
 def unbalanced(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,17 +58,32 @@ def boundary(rows: DataFrame, keys: list[str], at: str, artwork: Column, free: C
 
     ``last`` is null without artwork, ``boundary`` (the number of rows before the cut) without a free place.
     """
-    last = Window.partitionBy(*keys)
-    marked = rows.withColumn("_last", F.max(F.when(artwork, F.col(at))).over(last))
-    return marked.groupBy(*keys).agg(
-        F.max("_last").alias("last"), (F.min(F.when((F.col(at) >= F.col("_last")) & free, F.col(at))) + 1).alias("boundary"), F.count(F.lit(1)).alias("rows")
-    )
+    last = rows.groupBy(*keys).agg(F.max(F.when(artwork, F.col(at))).alias("last"), F.count(F.lit(1)).alias("rows"))
+    known = last.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), "last")
+    places = rows.filter(free).join(known, _same(keys)).filter(F.col(at) >= F.col("last")).groupBy(*keys).agg((F.min(at) + 1).alias("boundary"))
+    cut = places.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), "boundary")
+    return last.join(cut, _same(keys), "left").select(*keys, "last", "boundary", "rows")
+
+
+def _same(keys: list[str]) -> Column:
+    """Keys that equal _key0, _key1 and so on, nulls too."""
+    out = F.lit(True)
+    for i, k in enumerate(keys):
+        out &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return out
+
+
+def split(rows: DataFrame, boundaries: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """``rows`` with ``foreground``: whether they stand at or past their key's boundary; nothing does without one."""
+    cut = boundaries.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col("boundary").alias("_cut"))
+    return rows.join(cut, _same(keys), "left").select(*rows.columns, F.coalesce(F.col(at) >= F.col("_cut"), F.lit(False)).alias("foreground"))
 
 
 def painted_before(rows: DataFrame, keys: list[str], order: list[str], paint: Column, image: Column) -> DataFrame:
-    """The image rows before which something else was painted in their key."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_painted", F.coalesce(F.bool_or(paint).over(w), F.lit(False))).filter(image & F.col("_painted")).drop("_painted")
+    """The image rows before which something else was painted in their key: those after its first painted row."""
+    first = rows.filter(paint).groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+    first = first.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), "_first")
+    return rows.filter(image).join(first, _same(keys)).filter(F.struct(*order) > F.col("_first")).select(*rows.columns)
 
 
 def last_writer(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -62,6 +97,18 @@ def composed(steps: Column) -> Column:
     return F.aggregate(steps, G.identity(), lambda total, step: G.compose(step, total))
 
 
+def affine_totals(rows: DataFrame, keys: list[str], order: list[str], matrix: Column) -> DataFrame:
+    """Each key's matrix of all its rows' matrices, in two levels, as composing is associative.
+
+    Rows are range-partitioned by key and order; a part composes its own rows of a key, and the parts' matrices are
+    composed in turn, so that no array holds more of a key than one part.
+    """
+    parts = rows.select(*keys, *order, matrix.alias("_m")).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    last = lambda steps: composed(F.transform(steps, lambda x: x["_m"]))
+    each = parts.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(F.struct(*order, "_m"))).alias("_s")).select(*keys, "_part", last(F.col("_s")).alias("_m"))
+    return each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_part", "_m"))).alias("_s")).select(*keys, last(F.col("_s")).alias("matrix"))
+
+
 def scanned(rows: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[], object], step: Callable[[object, dict], tuple[object, dict | None]]) -> DataFrame:
     """A stateful scan of each key's rows in order.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from .ordered import scanned
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Activations for each purchase, and attempts for each window of seconds.
 ACTIVATIONS, ATTEMPTS, WINDOW_S = 2, 10, 60
@@ -61,6 +63,59 @@ def activate(purchases: DataFrame, activations: DataFrame, requests: DataFrame,
     )
 
 
+def verified(activations: DataFrame, purchases: DataFrame, requests: DataFrame) -> DataFrame:
+    """The state that each request (activation_id, token) to verify meets: INVALID unless the token's SHA-256 is the active activation's.
+
+    ``activations`` has activation_id, key, token_hash and deactivated_at.
+    """
+    own = requests.join(activations.select("activation_id", "key", "token_hash", "deactivated_at"), "activation_id", "left").join(purchases.select("key", "status", "revoked_at"), "key", "left")
+    known = F.coalesce((F.sha2("token", 256) == F.col("token_hash")) & F.col("deactivated_at").isNull(), F.lit(False))
+    return own.select("activation_id", F.when(known, entitlement(F.col("status"), F.col("revoked_at"))).otherwise("INVALID").alias("state"))
+
+
+def deactivated(activations: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Activations after requests (activation_id, token, at) to deactivate, and each request's state: NOT_ACTIVATED or INVALID."""
+    own = requests.join(activations.select("activation_id", "token_hash", F.col("deactivated_at").alias("_was")), "activation_id", "left")
+    known = F.coalesce((F.sha2("token", 256) == F.col("token_hash")) & F.col("_was").isNull(), F.lit(False))
+    answers = own.select("activation_id", "at", F.when(known, "NOT_ACTIVATED").otherwise("INVALID").alias("state"))
+    first = answers.filter("state = 'NOT_ACTIVATED'").groupBy("activation_id").agg(F.min("at").alias("_at"))
+    after = activations.join(first, "activation_id", "left").withColumn("deactivated_at", F.coalesce("deactivated_at", "_at")).drop("_at")
+    return after, answers.select("activation_id", "state")
+
+
+def revalidated(state: Column, failures: Column, code: Column, valid: Column, answer: Column) -> Column:
+    """State and failures after one look at the server: only its exact answers change the state, all else counts as a failure."""
+    told = lambda c, v, a: F.coalesce((code == c) & (valid == F.lit(v)) & (answer == a), F.lit(False))
+    active, invalid, revoked = told(200, True, "ACTIVE"), told(401, False, "INVALID"), told(403, False, "REVOKED")
+    after = F.when(invalid, "INVALID").when(revoked, "REVOKED").otherwise(state)
+    return F.struct(after.alias("state"), F.when(active, 0).when(invalid | revoked, failures).otherwise(failures + 1).cast("long").alias("failures"))
+
+
+def revalidations(looks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """State and failures of each key after its looks (code, valid, answer) in order, from ACTIVE without failures.
+
+    The first answer of INVALID or REVOKED ends it, and failures count from the last success before: aggregations all.
+    """
+    one = revalidated(F.lit("ACTIVE"), F.lit(0), F.col("code"), F.col("valid"), F.col("answer"))
+    own = looks.withColumn("_one", one).withColumn("_at", F.struct(*order))
+    names = [f"_key{i}" for i in range(len(keys))]
+    same = F.lit(True)
+    for k, name in zip(keys, names, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(name))
+
+    def by_key(rows: DataFrame, **columns: Column) -> DataFrame:
+        return rows.groupBy(*keys).agg(*(c.alias(n) for n, c in columns.items())).select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), *columns)
+
+    ended = F.col("_one.state") != "ACTIVE"
+    ends = by_key(own, _end=F.min(F.when(ended, F.struct("_at", F.col("_one.state").alias("state")))))
+    own = own.join(ends, same).drop(*names)
+    before = F.col("_end").isNull() | (F.col("_at") < F.col("_end._at"))
+    since = by_key(own.filter(before), _since=F.max(F.when(F.col("_one.failures") == 0, F.col("_at"))))
+    own = own.join(since, same, "left").drop(*names)
+    failed = before & (F.col("_one.failures") > 0) & (F.col("_since").isNull() | (F.col("_at") > F.col("_since")))
+    return own.groupBy(*keys).agg(F.coalesce(F.max("_end.state"), F.lit("ACTIVE")).alias("state"), F.count_if(failed).alias("failures"))
+
+
 def refunded(purchases: DataFrame, refunds: DataFrame) -> DataFrame:
     """Purchases after refunds (key, full, at): a full one revokes, and the first time of revocation stays."""
     first = refunds.filter("full").groupBy("key").agg(F.min("at").alias("_at"))
@@ -104,15 +159,42 @@ def rate_limited(attempts: DataFrame, keys: list[str], at_us: str, tie: str, all
     """Each attempt (time in microseconds) with its place in its window and whether it is allowed.
 
     A window starts at a key's first attempt and at the first one at or after the end of the window before; rejected
-    attempts count too. Keys are scanned in order with two numbers of state.
+    attempts count too. Whatever came before, a pause of a window starts anew, so a key's attempts are cut where a
+    whole window of the clock has none, and the pieces are scanned side by side; a key that never pauses is one piece.
     """
-    def step(state: tuple[int, int], row: dict) -> tuple[tuple[int, int], dict]:
-        opened, n = state
-        if opened is None or row[at_us] >= opened + window_us:
-            opened, n = row[at_us], 0
-        return (opened, n + 1), {**{k: row[k] for k in keys}, tie: row[tie], "attempt": n + 1, "allowed": n < allowed}
-
-    own = attempts.select(*keys, at_us, tie)
+    own = attempts.select(*keys, at_us, tie).withColumn("_slot", F.floor(F.col(at_us) / window_us))
+    slots = own.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_slot")
+    starts = F.when(F.col("_slot") - F.lag("_slot").over(w) <= 1, 0).otherwise(1)
+    pieces = slots.withColumn("_starts", starts).withColumn("_piece", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    pieces = pieces.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col("_slot").alias("_of"), "_piece")
+    same = F.col("_slot") == F.col("_of")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    cut = own.join(pieces, same).select(*keys, at_us, tie, "_piece")
     kinds = dict(own.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, tie)) + ", attempt long, allowed boolean"
-    return scanned(own, keys, [at_us, tie], schema, lambda: (None, 0), step)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, opened, n = None, None, 0
+        for batch in batches:
+            at = batch.column(at_us).to_numpy()
+            ids = list(zip(*(batch.column(c).to_pylist() for c in (*keys, "_piece")), strict=True))
+            place = np.empty(len(at), np.int64)
+            begin = 0
+            while begin < len(at):
+                end = begin + 1 if ids[begin] != ids[-1] else len(at)
+                while end < len(at) and ids[end] == ids[begin]:
+                    end += 1
+                if ids[begin] != key:
+                    key, opened, n = ids[begin], None, 0
+                while begin < end:  # a step for each window
+                    if opened is None or at[begin] >= opened + window_us:
+                        opened, n = at[begin], 0
+                    upto = begin + int(np.searchsorted(at[begin:end], opened + window_us, "left"))
+                    place[begin:upto] = np.arange(n + 1, n + 1 + upto - begin)
+                    n, begin = n + upto - begin, upto
+            columns = [*(batch.column(c) for c in (*keys, tie)), pa.array(place), pa.array(place <= allowed)]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, tie, "attempt", "allowed"])
+
+    return cut.repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", at_us, tie).mapInArrow(scan, schema)

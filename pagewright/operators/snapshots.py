@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .ordered import running_sum
 
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -13,8 +14,8 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]
 
     Rows that repeat a key within a snapshot must be equal.
     """
-    here = lambda df, name: df.select(*keys, F.struct(*values).alias(name)).distinct()
-    both = here(before, "_b").join(here(after, "_a"), keys, "full_outer")
+    side = lambda df, name: df.select(*keys, *(F.struct(*values).alias(n) if n == name else F.lit(None).alias(n) for n in ("_b", "_a")))
+    both = side(before, "_b").unionByName(side(after, "_a")).groupBy(*keys).agg(F.max("_b").alias("_b"), F.max("_a").alias("_a"))
     change = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(F.col("_b").eqNullSafe(F.col("_a")), "same").otherwise("changed")
     return both.select(*keys, change.alias("change"))
 
@@ -25,8 +26,8 @@ def missing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def by_position(rows: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:
-    """``rows`` numbered from 1 within each key."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """``rows`` numbered from 1 within each key; a key's rows are numbered in ranges, side by side."""
+    return running_sum(rows, keys, order, F.lit(1), name)
 
 
 def positional(before: DataFrame, after: DataFrame, keys: list[str], order: list[str], checks: dict[str, Column]) -> DataFrame:

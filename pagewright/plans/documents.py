@@ -175,3 +175,53 @@ def pdf_edited_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = after.operations.groupBy("file", F.col("scope").alias("id")).agg(F.count(F.lit(1)).alias("operations"))
     own = after.pages.join(size, ["file", "id"], "left").join(after.operation_counts(), ["file", "page_number"])
     return own.select("file", "page_number", F.coalesce("operations", F.lit(0)).cast("long").alias("operations"), "image_placements", "text_operations")
+
+
+@_query(f"""
+with {_DOCS}
+select file, '3 0 R' as holder, n as name from d, (values ('Fm')) t(n) where good union all select file, '5 0 R', 'Im2' from d where good and doc_id % 11 <> 0
+""")
+def pdf_foreground_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that a page draws past its first image."""
+    seen = pdf.inspected(_files(spark, sf_dir))
+    cut = seen.drawn.filter("kind = '/Image'").join(seen.pages.select("file", "page_number", F.col("id").alias("scope")), ["file", "page_number"]).select("file", "scope").distinct()
+    own = seen.operations.join(cut, ["file", "scope"]).filter("operator = 'Do'").groupBy("file", "scope").agg((F.min("idx") + 1).alias("boundary"))
+    return rewrite.foreground_names(pdf.names(seen.objects), seen.operations, own).select("file", "holder", "name")
+
+
+@_query(f"""
+with {_DOCS}
+select file, id from d, (values ('10 0 R'), ('11 0 R')) t(id) where good
+""")
+def pdf_artwork(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images, and forms that paint or draw something that does; a form without resources of its own doesn't count."""
+    seen = pdf.inspected(_files(spark, sf_dir))
+    return pdf.artwork(seen.objects, seen.operations)
+
+
+@_query(f"""
+with {_DOCS}
+select file, '3 0 R' as scope, 'missing_media_box' as reason from d where good
+union all select file, '5 0 R', case when doc_id % 3 = 0 then 'missing_resources' else 'missing_media_box' end from d where good
+""")
+def pdf_merge_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a page's own entries forbid a merge before its content is looked at: here nothing is on the page itself."""
+    return pdf.merge_setup(pdf.objects(_files(spark, sf_dir)))
+
+
+@_query(f"""
+with {_DOCS}
+select file, 1 as page_number, repeat('x\\) ', (doc_id % 5)::int) as text from d where good union all select file, 2, '' from d where good
+""")
+def pdf_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strings that a page's own contents show, without fonts' encodings."""
+    seen = pdf.inspected(_files(spark, sf_dir))
+    return pdf.page_text(seen.pages, seen.operations)
+
+
+@_query(f"""
+with {_DOCS}
+select file, '3 0 R' as holder, 'G1' as name, doc_id % 2 = 0 as opaque from d where good union all select file, '5 0 R', 'G1', doc_id % 2 = 0 from d where good
+""")
+def pdf_graphics_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.states(pdf.objects(_files(spark, sf_dir)))

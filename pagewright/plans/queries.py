@@ -300,9 +300,8 @@ def affine_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero, s, t = F.lit(0.0), 1 + F.round(F.col("l_discount") * 100) / 64, F.col("l_quantity") / 64
     m = F.struct(s.alias("a"), zero.alias("b"), zero.alias("c"), s.alias("d"), t.alias("e"), zero.alias("f"))
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    steps = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order, m.alias("m")))).alias("steps"))
-    total = ordered.composed(F.transform("steps", lambda x: x["m"]))
-    return steps.select("l_orderkey", total.alias("m")).select("l_orderkey", F.col("m.a").alias("scale"), F.col("m.e").alias("shift"))
+    total = ordered.affine_totals(_read(spark, sf_dir, "lineitem"), ["l_orderkey"], order, m)
+    return total.select("l_orderkey", F.col("matrix.a").alias("scale"), F.col("matrix.e").alias("shift"))
 
 
 @_query("""

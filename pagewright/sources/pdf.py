@@ -491,6 +491,72 @@ def inspected(pdfs: DataFrame, raw: bool = False) -> Inspection:
     return Inspection(found, own, ops, drawn(found, own, ops))
 
 
+def artwork(found: DataFrame, ops: DataFrame) -> DataFrame:
+    """file and id of the external objects that paint: images, forms that are groups, and forms with resources that paint or draw one.
+
+    The closure takes a job for each level of nesting.
+    """
+    kind = _get("Subtype")
+    objects_ = found.filter("size_bytes is not null")
+    forms = objects_.filter((kind == "/Form") & F.col("resources").isNotNull()).select("file", "id")
+    sure = objects_.filter((kind == "/Image") | ((kind == "/Form") & _get("Group").isNotNull())).select("file", "id")
+    painted = ops.filter(F.col("operator").isin(ordered.ARTWORK)).select("file", F.col("scope").alias("id"))
+    name = F.get("operands", F.lit(0))
+    drawn_names = ops.filter((F.col("operator") == "Do") & name.startswith("/")).select("file", F.col("scope").alias("holder"), F.substring(name, 2, 1 << 30).alias("name")).distinct()
+    edges = written(names(found).join(drawn_names, ["file", "holder", "name"]).join(forms.withColumnRenamed("id", "holder"), ["file", "holder"]).select("file", "holder", "id").distinct(), "draw-edges")
+    known = written(sure.unionByName(painted.join(forms, ["file", "id"], "left_semi")).distinct(), "artwork")
+    new = known
+    while not new.isEmpty():
+        up = edges.join(new, ["file", "id"]).select("file", F.col("holder").alias("id")).distinct()
+        new = written(up.join(known, ["file", "id"], "left_anti"), "artwork")
+        known = known.unionByName(new)
+    return known
+
+
+def merge_setup(found: DataFrame) -> DataFrame:
+    """file, scope and reason of the pages whose own entries forbid merging their images; null where none does.
+
+    Only what the page itself has counts, not what it inherits.
+    """
+    box, own, table = _get("MediaBox"), _get("Resources"), _get("Resources.XObject")
+    numbers = F.from_json(F.when(box.startswith("["), box), "array<double>")
+    four = sum((F.get(numbers, F.lit(i)) for i in range(4)), F.lit(0.0)).isNotNull()
+    reason = (
+        F.when(box.isNull(), "missing_media_box")
+        .when(~F.coalesce(four, F.lit(False)), "invalid_media_box")
+        .when(own.isNull(), "missing_resources")
+        .when(~own.startswith("{"), "indirect_or_invalid_resources")
+        .when(table.isNull(), "no_xobjects")
+        .when(~table.startswith("{"), "indirect_xobject_dictionary")
+    )
+    return found.filter("page_numbers is not null").select("file", F.col("id").alias("scope"), reason.alias("reason"))
+
+
+def merge_operations(found: DataFrame, ops: DataFrame, opaque: DataFrame) -> DataFrame:
+    """Operations as ``merging.merge_plan`` takes them: with the kind of what a Do draws and whether a gs is opaque.
+
+    ``opaque`` is ``rewrite.states``.
+    """
+    name = F.get("operands", F.lit(0))
+    own = ops.withColumn("_name", F.when(F.col("operator").isin("Do", "gs") & name.startswith("/"), F.substring(name, 2, 1 << 30)))
+    sub = _get("Subtype")
+    kinds = names(found).join(found.select("file", "id", F.when(sub == "/Image", "image").otherwise("other").alias("kind")), ["file", "id"])
+    drawn_ = kinds.select("file", F.col("holder").alias("scope"), F.col("name").alias("_name"), F.lit("Do").alias("operator"), "kind", F.lit(None).cast("boolean").alias("opaque"))
+    states = opaque.select("file", F.col("holder").alias("scope"), F.col("name").alias("_name"), F.lit("gs").alias("operator"), F.lit(None).cast("string").alias("kind"), "opaque")
+    both = own.join(drawn_.unionByName(states), ["file", "scope", "operator", "_name"], "left")
+    return both.select("file", "scope", "idx", "operator", "operands", "kind", F.coalesce("opaque", F.lit(False)).alias("opaque"))
+
+
+def page_text(own_pages: DataFrame, ops: DataFrame) -> DataFrame:
+    """file, page_number and the literal strings that each page's own contents show, a space after each; fonts aren't decoded."""
+    shown = ops.filter(F.col("operator").isin(ordered.TEXT_SHOW))
+    strings = F.filter("operands", lambda x: x.startswith("("))
+    text = F.array_join(F.transform(strings, lambda x: F.concat(F.substr(x, F.lit(2), F.length(x) - 2), F.lit(" "))), "")
+    parts = shown.select("file", F.col("scope").alias("id"), "idx", text.alias("t")).groupBy("file", "id").agg(F.array_sort(F.collect_list(F.struct("idx", "t"))).alias("p"))
+    whole = own_pages.select("file", "page_number", "id").join(parts, ["file", "id"], "left")
+    return whole.select("file", "page_number", F.coalesce(F.array_join(F.transform("p", lambda x: x["t"]), ""), F.lit("")).alias("text"))
+
+
 def comparable(found: DataFrame) -> DataFrame:
     """file, id, value and sha256 of the objects that a comparison of two snapshots looks at.
 

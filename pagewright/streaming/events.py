@@ -46,11 +46,12 @@ def refund(purchases: DataFrame, batch: DataFrame) -> DataFrame:
     return refunded(purchases, batch.select("key", (F.col("amount") >= F.col("total")).alias("full"), "at"))
 
 
-def limited(attempts: DataFrame, key: str, at: str, allowed: int = ATTEMPTS, window_s: int = WINDOW_S) -> DataFrame:
+def limited(attempts: DataFrame, key: str, at: str, allowed: int = ATTEMPTS, window_s: int = WINDOW_S, late: str = "1 hour") -> DataFrame:
     """A stream of attempts (key string, at timestamp) with ``allowed`` for each, by state of two numbers a key.
 
-    A window starts at the key's first attempt, not at the clock, and rejected attempts count. Rows of a batch are
-    taken in order of time. State goes when its window has passed in processing time.
+    A window starts at the key's first attempt, not at the clock, and rejected attempts count. A key's attempts of one
+    trigger are sorted by time as a whole, so a trigger's size bounds what a task holds. State goes when the watermark,
+    ``late`` behind the newest attempt, has passed the window's end, so replaying a stream gives the same answers.
     """
 
     def step(own: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,17 +59,18 @@ def limited(attempts: DataFrame, key: str, at: str, allowed: int = ATTEMPTS, win
             state.remove()
             return
         opened, n = state.get if state.exists else (None, 0)
-        for page in pages:
-            page = page.sort_values(at)
-            fine = []
-            for moment in page[at].astype("datetime64[us]").astype("int64"):
-                if opened is None or moment >= opened + window_s * 1_000_000:
-                    opened, n = int(moment), 0
-                n += 1
-                fine.append(n <= allowed)
-            yield pd.DataFrame({key: own[0], at: page[at], "allowed": fine})
+        page = pd.concat(list(pages)).sort_values(at, kind="stable")
+        fine = []
+        for moment in page[at].astype("datetime64[us]").astype("int64"):
+            if opened is None or moment >= opened + window_s * 1_000_000:
+                opened, n = int(moment), 0
+            n += 1
+            fine.append(n <= allowed)
+        yield pd.DataFrame({key: own[0], at: page[at], "allowed": fine})
         state.update((opened, n))
-        state.setTimeoutDuration(window_s * 1000)
+        end = opened // 1000 + window_s * 1000 + 1
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
 
     schema = f"{key} string, {at} timestamp, allowed boolean"
-    return attempts.select(key, at).groupBy(key).applyInPandasWithState(step, schema, "opened long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    own = attempts.select(key, at).withWatermark(at, late)
+    return own.groupBy(key).applyInPandasWithState(step, schema, "opened long, n long", "append", GroupStateTimeout.EventTimeTimeout)
