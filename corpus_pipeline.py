@@ -28,7 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without cross-site boilerplate lines; n_chars is that of the text left."""
-    cleaned = line_dedup.remove_boilerplate(docs).drop("line_dedup")
+    cleaned = line_dedup.remove_boilerplate(docs).select(*docs.columns)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 

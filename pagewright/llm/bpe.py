@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import fresh
+
 #: Words, stretches between white space, and pairs kept while a task runs. The first ones met are kept, so the
 #: frequent ones are; others are encoded each time. A task gives its memory back at its end, as workers live on.
 WORDS_KEPT = 300_000
@@ -295,10 +297,11 @@ def _tokenised(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def tokenised(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with column ``text`` replaced by ids, n_tokens and decoded_sha256, which must be new names."""
+    """``docs`` with column ``text`` replaced by ids, n_tokens and decoded_sha256, the last three columns.
+
+    Where ``docs`` has another column of such a name, the new one has underscores before it.
+    """
     others = [c for c in docs.columns if c != text]
-    if taken := {"ids", "n_tokens", "decoded_sha256"} & set(others):
-        raise ValueError(f"there are columns {sorted(taken)} already")
     own = docs.select(F.struct(*others).alias("row"), F.col(text).cast("string").alias("text"))
     schema = own.select("row", F.array().cast("array<int>").alias("ids"), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("decoded_sha256")).schema
-    return own.mapInArrow(functools.partial(_tokenised, path), schema).select(*(F.col("row")[c].alias(c) for c in others), "ids", "n_tokens", "decoded_sha256")
+    return own.mapInArrow(functools.partial(_tokenised, path), schema).select(*(F.col("row")[c].alias(c) for c in others), *(F.col(c).alias(fresh(c, docs)) for c in ("ids", "n_tokens", "decoded_sha256")))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .near_dedup import circulant
-from .store import small, written
+from .store import fresh, small, written
 
 #: Matches have 100 * shared >= PERCENT * the item's shingles.
 PERCENT = 80
@@ -153,6 +153,7 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns; rows with a null doc_id stay."""
-    found = contained_items(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias("leaked")).filter("leaked is not null")
+    name = fresh("leaked", docs)
+    found = contained_items(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias(name)).filter(F.col(name).isNotNull())
     leaked = small(written(found.distinct(), "leaked"))
-    return docs.join(leaked, F.col("doc_id").cast("long") == F.col("leaked"), "left_anti")
+    return docs.join(leaked, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -6,7 +6,7 @@ estimate lies clearly over SITES are boilerplate; those near it get an exact dis
 had been counted. Boilerplate stays where it stands first (smallest doc_id, then place) and goes elsewhere.
 
 All of it runs as DataFrame expressions. The table of line hashes is written once; texts are not shuffled as long
-as the changed documents are few enough to broadcast their lines' places (BROADCAST_ROWS), and by one join otherwise.
+as the changed documents are few enough to broadcast their lines' places (``store.BROADCAST_ROWS``), and by one join otherwise.
 
 Defined cases: only lines with a character that isn't white space count. A null text stays null and an empty
 one empty. A null site is no site. Null doc_ids come first in the order. Rows that are equal in doc_id and text are treated
@@ -18,14 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import fresh, small, written
 
 #: Boilerplate stands at so many sites or more.
 SITES = 10
 #: Sketches have 2^PRECISION registers; estimates within MARGIN of SITES, five standard errors, are counted exactly.
 PRECISION, MARGIN = 11, 0.12
-#: Small tables are broadcast up to this number of rows (at most 40 MB), else joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def _key(*columns: Column) -> list[Column]:
@@ -33,10 +31,6 @@ def _key(*columns: Column) -> list[Column]:
     return [F.xxhash64(*columns).alias("key1"), F.xxhash64(F.lit("second"), *columns).alias("key2")]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
     """doc_id, key1, key2 (of the document), site, place, line1, line2 for each line with a word."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(site).cast("string").alias("site"))
@@ -50,7 +44,7 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     spread = lines.groupBy("line1", "line2").agg(F.hll_sketch_agg("site", F.lit(PRECISION)).alias("sketch"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
     spread = spread.filter(F.col("n") >= sites).select("line1", "line2", "first", F.hll_sketch_estimate("sketch").alias("estimate"))
     spread = written(spread.filter(F.col("estimate") >= sites * (1 - MARGIN)), "line-spread")
-    near = _small(spread.filter(F.col("estimate") <= sites * (1 + MARGIN)).select("line1", "line2"))
+    near = small(spread.filter(F.col("estimate") <= sites * (1 + MARGIN)).select("line1", "line2"))
     exact = lines.filter("site is not null").join(near, ["line1", "line2"], "left_semi").groupBy("line1", "line2", "site").agg(F.count(F.lit(1)).alias("n"))
     exact = exact.groupBy("line1", "line2").agg(F.count(F.lit(1)).alias("exact"))
     found = spread.join(exact, ["line1", "line2"], "left")
@@ -58,29 +52,28 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
-    """``docs`` with boilerplate lines removed from column ``text``, and struct column ``line_dedup`` added.
+    """``docs`` with boilerplate lines removed from column ``text``, and a struct column added, the last one.
 
-    The struct has n_lines (lines with a word) and n_removed.
+    The struct has n_lines (lines with a word) and n_removed; it is called ``line_dedup``, with underscores before it if
+    ``docs`` has that column.
     """
-    if "line_dedup" in docs.columns:
-        raise ValueError("there is a column line_dedup already")
     lines = written(_lines(docs, text, site), "lines")
-    found = _small(written(boilerplate(lines, sites), "boilerplate"))
+    found = small(written(boilerplate(lines, sites), "boilerplate"))
     drops = lines.join(found, ["line1", "line2"]).filter(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
     places = written(drops.groupBy("key1", "key2").agg(F.collect_set("place").alias("places")), "dropped-lines")
     own = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"), *_key(F.col("doc_id").cast("long"), F.col(text).cast("string")))
-    own = own.join(_small(places), ["key1", "key2"], "left")
+    own = own.join(small(places), ["key1", "key2"], "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("places", i)), "\n")
     filled = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     counts = F.struct(F.greatest(filled, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"))
     out = F.when(F.col("places").isNull(), F.col("text")).otherwise(kept)
-    return own.select(*(out.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns), counts.alias("line_dedup"))
+    return own.select(*(out.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns), counts.alias(fresh("line_dedup", docs)))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, n_chars_left and the SHA-256 of the text left, for each row of ``docs``."""
-    cleaned = remove_boilerplate(docs.select("doc_id", "text", "source"))
+    cleaned = remove_boilerplate(docs.select("doc_id", "text", "source"))  # adds line_dedup
     return cleaned.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "line_dedup.n_lines",

@@ -1,36 +1,16 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""What the operators share: intermediate tables, broadcasts behind a count, and names that clash with no column."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_DIR = "/tmp/checkpoints"
-#: Tables of a few narrow columns are broadcast up to this number of rows, at most 40 MB.
-BROADCAST_ROWS = 500_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = DEFAULT_DIR
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
+from ..tables import shared_dir, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+__all__ = ["BROADCAST_ROWS", "fresh", "shared_dir", "small", "written"]
 
-    This cuts the lineage: a later loss of an executor re-reads the table and does not recompute it. The
-    table lives until the folder is cleared.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Tables of a few narrow columns are broadcast up to this number of rows, at most 40 MB.
+BROADCAST_ROWS = 500_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -39,3 +19,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     A larger one is joined by shuffle, as Spark sees fit.
     """
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
