@@ -1,31 +1,36 @@
-"""Toxicity scores from a subsequence string kernel SVM with Nyström landmarks.
+"""Toxicity scores from a subsequence string kernel SVM with Nyström landmarks, trained on labelled sentences.
 
 The kernel of two words adds, over all common subsequences of three letters within SPAN places, a decay for
 each place spanned, so an insult with a gap or with an inserted character stays close to the insult. Words
 are scaled by what their length alone would give, punctuation inside a word is skipped and digits count as
-the letters they resemble. Nyström features are a word's kernels with the landmarks times the inverse square
-root of the landmarks' own kernel matrix; on them the support vector machine is linear, so its decision is one
-weight for each subsequence and a document costs one pass over its letters. A sentence's value is the sum of its
-words' decisions over DOUBT, and a document has two features: its highest word and its highest sentence.
-A logistic fit on labelled documents turns them into a score from 0 to 1.
+the letters they resemble. The kernel of two sentences is the sum over their words' kernels. Nyström features are a
+sentence's kernels with the landmarks times the inverse square root of the landmarks' own kernel matrix; on them the
+support vector machine is linear, so its decision is one weight for each subsequence and a document costs one pass over
+its letters. A document has four features: its highest word (a sentence of one word) and sentence, and the sum of
+its words' positive values, as a logarithm and by the root of its length. A logistic fit on labelled documents turns
+them into a score from 0 to 1.
 
 Training uses a bounded sample of labelled documents that aren't held out: the first SAMPLE of each label by
-hash of doc_id, one for each value of a MinHash of its shingles, so that groups of copies don't outvote the
-rest. Spark counts in how many toxic and other sample documents each word stands. Words that stand in toxic
-documents more often than chance allows are positive examples and landmarks; words of other documents are
-negative ones. The driver fits over EXAMPLES words of each kind and POOL
-more to choose the hardest from.
+hash of doc_id, one row for each doc_id and one for each value of a MinHash of its shingles, so that groups of copies don't
+outvote the rest. A label is a document's, not a sentence's, so the sentence that bears it is found: Spark counts in how many
+toxic and other sample documents each five-letter fragment stands (hashed to BUCKETS), and fragments that stand in toxic
+documents more often than chance allows are witnesses. A toxic document's example is its sentence with most witnesses, and
+the words that have them are sentences of one word; a calm document's are a sentence and some words by hash. A second fit
+takes each document's highest sentence under the first, for calm documents besides the first ones: the hardest.
 
 Labels, lang, source and doc_id are never inputs of a score. Defined cases: null, empty and wordless texts
 have the features of a document without evidence. Labels that are null or name no document aren't used; a
-doc_id with several labels is toxic if one says so. Where the sample has no positive examples, every score
-is the share of toxic labels. Extra columns are not read.
+doc_id with several labels is toxic if one says so. Where the sample has no witnesses, every score
+is the share of toxic labels. Ties are broken by hash of the text, so a fit depends on the rows only. Extra columns are not
+read.
 """
 
 from __future__ import annotations
 
+import collections
 import functools
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,17 +40,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
+from .store import fresh, written
 
 #: Labelled documents of each label in the sample, at most.
 SAMPLE = 4000
-#: Words of each kind on the driver, and landmarks of each kind, at most.
-EXAMPLES, LANDMARKS = 6000, 96
-#: Calm words among which the hardest become negative examples, at most.
-POOL = 60_000
+#: Hashed fragments that are counted, and letters of one.
+BUCKETS, FRAGMENT = 1 << 20, 5
+#: A witness stands in calm documents at most at this share of its rate in toxic ones, and so often by chance at most, over
+#: all fragments that are counted.
+RATE, CHANCE = 0.5, 0.001
+#: Words that witnesses mark, and calm ones, among the examples, and landmarks of either kind, at most.
+WORDS, CALM_WORDS, LANDMARKS, CALM_LANDMARKS = 3000, 6000, 256, 96
 #: Places that a subsequence may span, and the decay for each.
 SPAN, DECAY = 5, 0.7
-#: Decisions up to this much over 0 add nothing to a sentence, so that common words can't add up.
-DOUBT = 0.25
 #: SQL that is true for the rows that no label is learned from.
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
 
@@ -115,6 +122,39 @@ class Letters:
                 np.add.at(out, code[start] * _SIDE * _SIDE + code[start + mid] * _SIDE + code[start + last], DECAY ** (last + 1))
         return out / self.scale()[word]
 
+    def counts(self) -> np.ndarray:
+        """A text's scaled counts of all subsequences, a row for each text."""
+        n = len(self.of) - 1
+        text, scale = np.repeat(np.arange(n), np.diff(self.of)), self.scale()
+        out = np.zeros(n * _SIDE**3)
+        word = np.repeat(np.arange(len(self.size)), self.size + 2)
+        for decay, start, index in self.subsequences():
+            own = word[start]
+            out += np.bincount(text[own] * _SIDE**3 + index, decay / scale[own], n * _SIDE**3)
+        return out.reshape(n, -1)
+
+    def fragments(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket of every run of FRAGMENT codes of one word, edges included, and its word."""
+        left = np.repeat(self.at[1:], self.size + 2) - np.arange(len(self.code))
+        start = np.flatnonzero(left >= FRAGMENT)
+        key = np.zeros(len(start), np.uint64)
+        for k in range(FRAGMENT):
+            key = key * np.uint64(_SIDE) + self.code[start + k].astype(np.uint64)
+        word = np.repeat(np.arange(len(self.size)), self.size + 2)[start]
+        return (ta.mix(key) & np.uint64(BUCKETS - 1)).astype(np.int64), word
+
+    def marked(self, witnesses: np.ndarray) -> np.ndarray:
+        """Whether each word has a witness."""
+        bucket, word = self.fragments()
+        out = np.zeros(len(self.size), bool)
+        out[word[np.isin(bucket, witnesses)]] = True
+        return out
+
+    def sentences(self) -> np.ndarray:
+        """The first word of each sentence; a text starts one."""
+        doc = np.repeat(np.arange(len(self.of) - 1), np.diff(self.of))
+        return np.flatnonzero(np.diff(self.sentence, prepend=-1) | np.diff(doc, prepend=-1))
+
     def spellings(self) -> list[bytes]:
         text = _LETTER[self.code].tobytes()
         return [text[a + 1 : b - 1] for a, b in zip(self.at[:-1], self.at[1:], strict=True)]
@@ -127,73 +167,134 @@ def letters(words: list[str]) -> Letters:
 
 @dataclass
 class Model:
-    """A weight for each subsequence, the bias, and the logistic weights of (highest word, highest sentence, 1)."""
+    """A weight for each subsequence, the bias, and the logistic weights of the four features and 1."""
 
     weights: np.ndarray
     bias: float
     logistic: np.ndarray
 
     def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """The two features of each text."""
-        n = len(off) - 1
-        out = np.tile(np.array([-2.0, 0.0]), (n, 1))
+        """The four features of each text."""
+        out = np.tile(np.array([-2.0, -2.0, 0.0, 0.0]), (len(off) - 1, 1))
         own = Letters(data, off)
-        full = np.flatnonzero(np.diff(own.of))
+        count = np.diff(own.of)
+        full = np.flatnonzero(count)
         if len(full):
-            value = own.dot(self.weights) + self.bias
-            out[full, 0] = np.maximum.reduceat(value, own.of[full])
-            doc = np.repeat(np.arange(n), np.diff(own.of))
-            new = np.flatnonzero(np.diff(own.sentence, prepend=-1) | np.diff(doc, prepend=-1))
-            sums = np.add.reduceat(np.maximum(value - DOUBT, 0), new)
+            value, new = own.dot(self.weights), own.sentences()
+            out[full, 0] = np.maximum.reduceat(value, own.of[full]) + self.bias
+            doc = np.repeat(np.arange(len(count)), count)
+            sums = np.add.reduceat(value, new) + self.bias
             out[full, 1] = np.maximum.reduceat(sums, np.searchsorted(doc[new], full))
-        return np.clip(out, -2, 8)
+            total = np.add.reduceat(np.maximum(value, 0), own.of[full])
+            out[full, 2], out[full, 3] = 2 * np.log1p(total), 8 * total / np.sqrt(count[full] + 10)
+        return np.clip(out, -4, 8)
 
     def scores(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features @ self.logistic[:2] + self.logistic[2], -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(features @ self.logistic[:-1] + self.logistic[-1], -40, 40)))
 
 
 def _features(model: Model, texts: pa.Array) -> np.ndarray:
     data, off = ta.utf8(texts)
     found = [model.features(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in ta.chunks(off)]
-    return np.concatenate(found) if found else np.zeros((0, 2))
+    return np.concatenate(found) if found else np.zeros((0, 4))
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, text) with near, a MinHash of the shingles."""
+    for batch in batches:
+        near = [int(ta.mix(own).min().view(np.int64)) if len(own) else 0 for own in ta.shingle_sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int64())], ["toxic", "text", "near"])
 
 
-def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) to (toxic, near, words): a MinHash of the shingles and the distinct words."""
+def _fragment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, text) to (bucket, pos, neg): in how many toxic and other texts of a batch a fragment stands."""
     for batch in batches:
-        near, words = [], []
-        for text, own in zip(batch.column(1), ta.shingle_sets(batch.column(1)), strict=True):
-            near.append(int(ta.mix(own).min().view(np.int64)) if len(own) else 0)
-            words.append(sorted({x.decode() for x in letters([text.as_py() or ""]).spellings()}))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["toxic", "near", "words"])
+        counts = np.zeros((2, BUCKETS), np.int64)
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            counts[0 if toxic else 1, np.unique(letters([text.as_py() or ""]).fragments()[0])] += 1
+        some = np.flatnonzero(counts.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], ["bucket", "pos", "neg"])
 
 
-def _tail(k: int, n: int, p: float) -> float:
-    """The chance of at least k of n at rate p."""
-    return min(1.0, sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, min(n, k + 200) + 1)))
+def _tails(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """The chance of at least k of n at rate p, for each pair."""
+    out = np.empty(len(k))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(n.max(initial=0)) + 1)))])
+    for at, (least, most) in enumerate(zip(k.tolist(), n.tolist(), strict=True)):
+        i = np.arange(least, most + 1)
+        out[at] = np.exp(logs[most] - logs[i] - logs[most - i] + i * math.log(p) + (most - i) * math.log1p(-p)).sum()
+    return np.minimum(out, 1.0)
 
 
-def fit_words(positive: list[str], negative: list[str]) -> tuple[np.ndarray, float]:
-    """The SVM's weight for each subsequence and its bias, from words of both kinds."""
-    pos, neg = letters(positive), letters(negative)
+def _key(text: bytes) -> int:
+    return zlib.crc32(text)
 
-    def spread(own: Letters, n: int) -> list[np.ndarray]:
-        """Features of up to n words, each in turn the farthest from those before."""
-        found = [own.features(0)]
-        near = own.dot(found[0])
-        while len(found) < min(n, len(own.size)):
-            found.append(own.features(int(np.argmin(near))))
-            near = np.maximum(near, own.dot(found[-1]))
-        return found
 
-    marks = np.stack(spread(pos, LANDMARKS) + spread(neg, LANDMARKS))
+def _examples(witnesses: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, text) to (toxic, sentence, words): the first examples of each document."""
+    for batch in batches:
+        rows = []
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = letters([text.as_py() or ""])
+            words, new = own.spellings(), own.sentences()
+            if not words:
+                continue
+            whole = [b" ".join(words[i:j]) for i, j in zip(new, [*new[1:], len(words)], strict=True)]
+            if toxic:
+                marked = own.marked(witnesses)
+                best = max(range(len(new)), key=lambda i, n=np.add.reduceat(marked, new, dtype=np.int64): (n[i], -_key(whole[i])))
+                chosen = sorted({w for w, m in zip(words, marked, strict=True) if m})
+            else:
+                best = min(range(len(new)), key=lambda i: (_key(whole[i]), whole[i]))
+                chosen = sorted(set(words), key=lambda w: (_key(w), w))[:3]
+            rows.append({"toxic": toxic, "sentence": whole[best].decode(), "words": [w.decode() for w in chosen]})
+        yield from pa.Table.from_pylist(rows, pa.schema([("toxic", pa.int32()), ("sentence", pa.string()), ("words", pa.list_(pa.string()))])).to_batches()
+
+
+def _highest(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, text) to (toxic, sentence): each document's highest sentence."""
+    for batch in batches:
+        rows = []
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = letters([text.as_py() or ""])
+            if len(own.size):
+                words, new = own.spellings(), own.sentences()
+                best = int(np.argmax(np.add.reduceat(own.dot(model.weights), new)))
+                rows.append({"toxic": toxic, "sentence": b" ".join(words[new[best] : new[best + 1] if best + 1 < len(new) else len(words)]).decode()})
+        yield from pa.Table.from_pylist(rows, pa.schema([("toxic", pa.int32()), ("sentence", pa.string())])).to_batches()
+
+
+def landmarks(words: list[str], n: int) -> list[np.ndarray]:
+    """Features of up to n words, each in turn the farthest from those before."""
+    own = letters(words)
+    found = [own.features(0)]
+    near = own.dot(found[0])
+    while len(found) < min(n, len(own.size)):
+        found.append(own.features(int(np.argmin(near))))
+        near = np.maximum(near, own.dot(found[-1]))
+    return found
+
+
+def fit_sentences(positive: list[str], negative: list[str], marks: np.ndarray) -> tuple[np.ndarray, float]:
+    """The SVM's weight for each subsequence and its bias, from sentences of both kinds and landmarks' features."""
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    x = np.concatenate([np.stack([own.dot(m) for m in marks], 1) @ root for own in (pos, neg)])
+
+    by_subsequence = marks.T.astype(float) @ root
+
+    def nystrom(sentences: list[str]) -> np.ndarray:
+        out = []
+        for i in range(0, len(sentences), 128):  # counts of 128 sentences at a time, of the subsequences that they have
+            counts = letters(sentences[i : i + 128]).counts()
+            some = counts.any(0)
+            out.append(counts[:, some] @ by_subsequence[some])
+        return np.concatenate(out)
+
+    x = np.concatenate([nystrom(positive), nystrom(negative)])
     x = np.hstack([x, np.ones((len(x), 1))])
-    y = np.r_[np.ones(len(pos.size)), -np.ones(len(neg.size))]
-    cost = np.where(y > 0, 0.5 / len(pos.size), 0.5 / len(neg.size)) * 2000
+    y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
+    cost = np.where(y > 0, 0.5 / len(positive), 0.5 / len(negative)) * 2000
     w, ridge = np.zeros(x.shape[1]), np.ones(x.shape[1])
     ridge[-1] = 1e-3
     for _ in range(30):  # Newton steps on the squared hinge loss
@@ -210,7 +311,8 @@ def fit_words(positive: list[str], negative: list[str]) -> tuple[np.ndarray, flo
 
 def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     x = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(3), np.array([1e-2, 1e-2, 1e-4])
+    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-2)
+    ridge[-1] = 1e-4
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         grad = ridge * w + x.T @ (cost * (p - y))
@@ -231,36 +333,40 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     some = own.filter("toxic > 0").orderBy(order).limit(sample).unionByName(own.filter("toxic <= 0").orderBy(order).limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # two numbers a row, 8,000 rows at most: small enough to broadcast
-    known = texts.join(F.broadcast(some), "doc_id").select((F.col("toxic") > 0).cast("int").alias("toxic"), "text")
-    seen = known.mapInArrow(_sample_words, "toxic int, near long, words array<string>").groupBy("near").agg(F.max_by(F.struct("toxic", "words"), F.size("words")).alias("one"))
-    seen = seen.select("one.toxic", "one.words").persist()
-    docs_by = {r["toxic"]: r["count"] for r in seen.groupBy("toxic").count().collect()}
+    known = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    known = known.select((F.col("toxic") > 0).cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
+    near = known.mapInArrow(_near, "toxic int, text string, near long").groupBy("near").agg(F.max_by(F.struct("toxic", "text"), F.struct("toxic", F.xxhash64("text"))).alias("one"))
+    known = written(near.select("one.toxic", "one.text"), "toxicity-sample")
+    docs_by = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     n_pos, n_neg = docs_by.get(1, 0), docs_by.get(0, 0)
     share = counts.get(True, 0) / max(1, sum(counts.values()))
-    flat = Model(np.zeros(_SIDE**3, np.float32), -2.0, np.array([0.0, 0.0, math.log((share + 1e-6) / (1 - share + 1e-6))]))
+    flat = Model(np.zeros(_SIDE**3, np.float32), -2.0, np.array([0.0] * 4 + [math.log((share + 1e-6) / (1 - share + 1e-6))]))
     if not n_pos or not n_neg:
-        seen.unpersist()
         return flat
-    rate = n_pos / (n_pos + n_neg)
-    words = seen.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).persist()
-    several = words.filter("pos + neg > 1").count()
-    excess = (F.col("pos") - rate * (F.col("pos") + F.col("neg"))) / F.sqrt(F.col("pos") + F.col("neg"))
-    best = words.filter("pos > 1").orderBy(excess.desc(), "word").limit(EXAMPLES).collect()
-    positive = [r["word"] for r in best if r["neg"] * n_pos < 0.1 * r["pos"] * n_neg and _tail(r["pos"], r["pos"] + r["neg"], rate) * max(1, several) < 0.5]
-    calm = words.filter(f"neg > 0 and neg * {n_pos} >= 0.5 * pos * {n_neg}")
-    half = EXAMPLES // 2
-    negative = {r["word"] for part in (calm.orderBy(F.desc("neg"), "word"), calm.orderBy(F.xxhash64("word"), "word")) for r in part.limit(half).collect()} - set(positive)
-    pool = [r["word"] for r in calm.orderBy(F.xxhash64("word", F.lit("hard")), "word").limit(POOL).collect()]
-    words.unpersist()
-    seen.unpersist()
-    if not positive or not negative:
+    # BUCKETS rows at most
+    seen = known.mapInArrow(_fragment_counts, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos + neg > 1").toPandas()
+    maybe = seen[(seen["pos"] > 1) & (seen["neg"] * n_pos < RATE * seen["pos"] * n_neg)]
+    chance = _tails(maybe["pos"].to_numpy(), (maybe["pos"] + maybe["neg"]).to_numpy(), n_pos / (n_pos + n_neg))
+    witnesses = np.sort(maybe["bucket"].to_numpy()[chance * max(1, len(seen)) < CHANCE])
+    if not len(witnesses):
+        return flat
+    first = known.mapInArrow(functools.partial(_examples, witnesses), "toxic int, sentence string, words array<string>").collect()  # a sentence of each sample document
+    marked, calm = (collections.Counter(w for r in first if r["toxic"] == k for w in r["words"]) for k in (1, 0))
+    best = sorted(marked, key=lambda w: (-marked[w], w))[:WORDS]
+    rest = sorted(set(calm) - set(best), key=lambda w: (_key(w.encode()), w))[:CALM_WORDS]
+    positive, negative = (sorted({r["sentence"] for r in first if r["toxic"] == k}) for k in (1, 0))
+    if not best or not rest:
         return flat
-    weights, bias = fit_words(positive, sorted(negative))
-    hard = letters(pool).dot(weights) + bias  # the second fit also has the calm words that look most toxic
-    negative |= {pool[i] for i in np.argsort(-hard)[: EXAMPLES // 4] if hard[i] > -0.5}
-    model = Model(*fit_words(positive, sorted(negative)), np.zeros(3))
-    rows = known.mapInArrow(functools.partial(_known_features, model), "toxic int, word double, sentence double").toPandas()
-    x, y = rows[["word", "sentence"]].to_numpy(), rows["toxic"].to_numpy()
+    marks = np.stack(landmarks(best, LANDMARKS) + landmarks(rest, CALM_LANDMARKS))
+    model = Model(*fit_sentences(positive + best, negative + rest, marks), np.zeros(5))
+    second = known.mapInArrow(functools.partial(_highest, model), "toxic int, sentence string").collect()
+    positive = sorted({r["sentence"] for r in second if r["toxic"]})
+    hard = sorted({r["sentence"] for r in second if not r["toxic"]})
+    model = Model(*fit_sentences(positive + best, hard + negative + rest, marks), np.zeros(5))
+    rows = known.mapInArrow(functools.partial(_known_features, model), "toxic int, x array<double>").toPandas()
+    x, y = np.stack(rows["x"].to_numpy()), rows["toxic"].to_numpy()
+    order = np.lexsort((*x.T, y))
+    x, y = x[order], y[order]
     each = {k: counts.get(bool(k), 0) / max(1, (y == k).sum()) for k in (0, 1)}  # the sample back to the labels' shares
     cost = np.where(y == 1, each[1], each[0])
     model.logistic = _logistic(x, y, cost / cost.mean())
@@ -270,7 +376,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def _known_features(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = _features(model, batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "word", "sentence"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "x"])
 
 
 def _scored(model: Model, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +402,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a score under 0.5, with all their columns."""
-    into = "score"
-    while into in docs.columns:
-        into = f"_{into}"
+    into = fresh("score", docs)
     own = docs.withColumn("text", F.col("text").cast("string"))
     return score(own, train(docs, labels), into=into).filter(F.col(into) < 0.5).select(*docs.columns)
