@@ -1,17 +1,18 @@
 """License scans by a positional index of rare template words.
 
-Templates are short notices and phrases of known licences as word sequences; each has mandatory key phrases. One
-pass over the texts finds which template words each document has; their document frequencies in the corpus give
-every template its anchor, the word of its key phrases with the highest IDF. As key phrases must be whole, nothing is
-lost by looking up templates by their anchors only. Documents without an anchor are done. In the others
-every template word is looked up in the index of postings (word, template, place): a word at place p of a document
-and at place t of a template votes for the start p - t. Votes that agree on a start, an anchor among them, are an
-alignment; its coverage is the share of the template's indexed words that agree. An alignment that covers COVERAGE
-of a template and all words of its key phrases gives the template's label. The base phrases are templates of
-which all words must agree, so their places are exact.
-
-All of it runs as DataFrame expressions: the index is a fixed table of a few hundred rows, and votes are
-counted by aggregation. A hot document or phrase is spread by document, and texts are never shuffled.
+Templates are notices, phrases and identifier lines of known licences as word sequences; each has mandatory key phrases.
+One pass over the texts finds which template words each file has, and where. Their document frequencies in the corpus
+give each file's licence words an order by IDF. As key phrases must be whole, a template can only match a file by the
+highest-IDF word of its key phrases, so a file looks up those of its words that are this for some template, highest IDF
+first, and nothing is lost; files without one are done. For its candidate templates every indexed word at place p of
+the file and at place t of a template (the index's posting) votes for the start p - t. Votes that agree on a start
+are an exact alignment; exact alignments whose starts differ by DRIFT or less are one alignment, so a notice with inserted
+or missing words is still found. An alignment gives the template's label if it covers COVERAGE of its indexed words and
+if each key phrase is whole, consecutive in one exact alignment. The base phrases are templates of which all words must
+agree on one start, so their places are exact.
+
+All of it runs as DataFrame expressions: the index is a fixed table of about a thousand rows, and votes are
+counted by aggregation. A hot document or phrase is spread by document, and texts are split once and never shuffled.
 
 Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the text with A-Z in lower case. Defined cases: null and empty
 texts have no words, no labels and score 0. Rows that are equal in doc_id and text get the same result. Starts may be
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-#: The least share of a template's words that must agree. Templates have 63 words at most.
-COVERAGE = 0.6
+#: The least share of a template's indexed words that must agree, and how far apart their starts may be.
+COVERAGE, DRIFT = 0.6, 4
+#: Words of so many letters or more are indexed, and all words of key phrases. Templates have MOST_WORDS words at most.
+LETTERS, MOST_WORDS = 4, 63
 
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -38,50 +41,86 @@ TEMPLATES = [
     ("agpl", "[gnu affero general public license]"),
     ("apache-2.0", "licensed under the [apache license version 2 0] the license you may not use this file except in compliance with the license"),
     ("apache-2.0", "[apache license version 2 0]"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing [software distributed under the license] is [distributed on an as is basis] without warranties or conditions of any kind either express or implied"),
+    ("artistic-2.0", "[the artistic license 2 0]"),
     ("bsd", "[redistribution and use in source and binary forms] with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors [may be used to endorse or promote products] derived from this software without specific prior written permission"),
+    ("bsl-1.0", "[boost software license version 1 0]"),
+    ("cc-by", "licensed under a [creative commons attribution] license"),
     ("cc-by-nc", "[cc by nc]"),
+    ("cc-by-nc", "[creative commons attribution noncommercial]"),
     ("cc-by-nd", "[cc by nd]"),
     ("cc-by-sa", "[cc by sa]"),
-    ("cc-by", "licensed under a [creative commons attribution] license"),
+    ("cc-by-sa", "[creative commons attribution sharealike]"),
     ("cc0", "[cc0 1 0 universal] public domain dedication"),
+    ("cddl", "[common development and distribution license]"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the [eclipse public license]"),
+    ("eupl", "[european union public licence]"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the [gnu free documentation license]"),
     ("gpl", "this program is [free software] you can redistribute it and or modify it under the terms of the [gnu general public license] as published by the free software foundation"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty see the [gnu general public license] for [more details]"),
     ("gpl-2.0", "[gnu general public license version 2]"),
     ("gpl-3.0", "[gnu general public license version 3]"),
     ("isc", "[permission to use copy modify and or distribute this software] for any purpose with or without fee is hereby granted"),
     ("lgpl", "[gnu lesser general public license]"),
-    ("mit", "permission is hereby granted [free of charge to any person obtaining a copy of this software] and associated documentation files the software to deal in the software without restriction"),
+    ("lgpl", "[gnu library general public license]"),
+    ("mit", "[permission is hereby granted] [free of charge] to any person [obtaining a copy of this software] and associated documentation files the software to deal in the software without restriction"),
+    ("mit", "the above copyright notice and this permission notice shall be [included in all copies] or [substantial portions of the software]"),
+    ("mit", "[the software is provided as is] without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and [noninfringement]"),
     ("mpl-2.0", "this source code form is subject to the terms of the [mozilla public license] v 2 0"),
+    ("ofl", "[sil open font license]"),
     ("unlicense", "this is free and unencumbered software [released into the public domain]"),
+    ("wtfpl", "[do what the fuck you want to public license]"),
+    ("zlib", "this software is provided as is without any express or implied warranty [in no event will the authors be held liable] for any damages arising from the use of this software"),
+    ("zlib", "[altered source versions must be plainly marked as such] and must not be misrepresented as being the original software"),
 ]
+#: Names after an identifier line's first three words; each is its own label.
+IDENTIFIERS = ["agpl-3.0", "apache-2.0", "artistic-2.0", "bsd-2-clause", "bsd-3-clause", "bsl-1.0", "cc-by-4.0", "cc-by-sa-4.0", "cc0-1.0", "epl-2.0", "gpl-2.0", "gpl-3.0", "isc", "lgpl-2.1", "lgpl-3.0", "mit", "mpl-2.0", "unlicense", "zlib"]
 
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def templates() -> list[tuple[int, str, bool, int, str, bool]]:
-    """The index's postings: template, label, base, place, word, whether the word is in a key phrase."""
-    out = [(t, label, True, i, w, True) for t, (phrase, label) in enumerate(BASE.items()) for i, w in enumerate(phrase.split())]
-    for t, (label, text) in enumerate(TEMPLATES, len(BASE)):
-        key = False
-        for i, word in enumerate(text.split()):
-            key = key or word.startswith("[")
-            out.append((t, label, False, i, word.strip("[]"), key))
-            key = key and not word.endswith("]")
+def templates() -> list[tuple[int, str, bool, int, str, int]]:
+    """The index's postings: template, label, base, place, word, and the number of its key phrase, -1 for none."""
+    out = [(t, label, True, i, w, 0) for t, (phrase, label) in enumerate(BASE.items()) for i, w in enumerate(phrase.split())]
+    lines = [(name, "[spdx license identifier " + name.replace("-", " ").replace(".", " ") + "]") for name in IDENTIFIERS]
+    for t, (label, text) in enumerate([*TEMPLATES, *lines], len(BASE)):
+        words, phrase, inside = text.split(), -1, False
+        if len(words) > MOST_WORDS:
+            raise ValueError(f"a template of {label} has over {MOST_WORDS} words")
+        for i, word in enumerate(words):
+            phrase, inside = phrase + word.startswith("["), inside or word.startswith("[")
+            bare = word.strip("[]")
+            if inside or len(bare) >= LETTERS:
+                out.append((t, label, False, i, bare, phrase if inside else -1))
+            inside = inside and not word.endswith("]")
     return out
 
 
-def _index(spark: SparkSession, frequency: dict[str, int]) -> DataFrame:
-    """The postings, each with whether its word is an anchor of its template."""
+def _index(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The postings (template, at, word), and of each template its label, base, indexed words as bits, and key phrases as bits."""
     rows = templates()
+    kinds: dict[int, dict] = {}
+    for t, label, base, at, _word, phrase in rows:
+        own = kinds.setdefault(t, {"template": t, "label": label, "base": base, "every": 0, "phrases": {}})
+        own["every"] |= 1 << at
+        if phrase >= 0:
+            own["phrases"][phrase] = own["phrases"].get(phrase, 0) | 1 << at
+    listed = json.dumps([{"template": t, "at": at, "word": word} for t, _, _, at, word, _ in rows])
+    told = json.dumps([{**own, "phrases": list(own["phrases"].values())} for own in kinds.values()])
+    inline = lambda text, kind: spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+    return inline(listed, "template:int,at:int,word:string"), inline(told, "template:int,label:string,base:boolean,every:bigint,phrases:array<bigint>")
+
+
+def _rarest(frequency: dict[str, int]) -> list[tuple[str, int]]:
+    """(word, template): each template's highest-IDF word of its key phrases, highest IDF first."""
     by: dict[int, set[str]] = {}
-    for t, _label, _base, _at, word, key in rows:
-        if key:
+    for t, _label, _base, _at, word, phrase in templates():
+        if phrase >= 0:
             by.setdefault(t, set()).add(word)
-    rare = {t: {min(words, key=lambda w: (frequency.get(w, 0), w))} for t, words in by.items()}
-    names = ("template", "label", "base", "at", "word", "key", "anchor")
-    listed = json.dumps([dict(zip(names, (*r, r[4] in rare[r[0]]), strict=True)) for r in rows])
-    kind = "array<struct<template:int,label:string,base:boolean,at:int,word:string,key:boolean,anchor:boolean>>"
-    return spark.range(1).select(F.inline(F.from_json(F.lit(listed), kind)))
+    found = [(min(words, key=lambda w: (frequency.get(w, 0), w)), t) for t, words in by.items()]
+    return sorted(found, key=lambda x: (frequency.get(x[0], 0), x))
 
 
 def _words(text: Column) -> Column:
@@ -96,35 +135,39 @@ def scan(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.select("doc_id", F.xxhash64("doc_id", "text").alias("key1"), F.xxhash64(F.lit("second"), "doc_id", "text").alias("key2"), _words(F.col("text")).alias("parts"))
     lead = (F.element_at("parts", 1) == "").cast("int")
-    own = own.withColumn("lead", lead)
-    n = F.size("parts") - F.col("lead") - F.when(F.size("parts") > 1, (F.element_at("parts", -1) == "").cast("int")).otherwise(0)
-    wanted = F.array(*(F.lit(w) for w in vocabulary))
-    seen = written(own.select("doc_id", "key1", "key2", n.cast("long").alias("n_words"), F.array_intersect("parts", wanted).alias("present")), "licence-words")
+    n = F.size("parts") - lead - F.when(F.size("parts") > 1, (F.element_at("parts", -1) == "").cast("int")).otherwise(0)
+    placed = F.filter(F.transform("parts", lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("pos"), w.alias("word")))), lambda x: x.isNotNull())
+    seen = written(own.select("doc_id", "key1", "key2", n.cast("long").alias("n_words"), lead.alias("lead"), placed.alias("placed")), "licence-words")
+    present = F.array_distinct(F.transform("placed", lambda x: x["word"]))
     # one count for each word of the fixed vocabulary
-    counts = {r["word"]: r["count"] for r in seen.select(F.explode("present").alias("word")).groupBy("word").count().collect()}
-    index = _index(spark, counts)
-    anchors = sorted({r["word"] for r in index.filter("anchor").collect()})
-    some = own.filter(F.arrays_overlap("parts", F.array(*(F.lit(w) for w in anchors))))
-    placed = some.select("key1", "key2", "lead", F.posexplode("parts").alias("pos", "word")).filter(F.col("word").isin(vocabulary))
-    votes = placed.join(F.broadcast(index), "word").select("key1", "key2", "template", (F.col("pos") - F.col("lead") - F.col("at")).alias("start"), "at", "anchor", "key")
-    bit = F.expr("shiftleft(1L, at)")
-    votes = votes.groupBy("key1", "key2", "template", "start").agg(F.bit_or(bit).alias("bits"), F.bit_or(F.when(F.col("key"), bit)).alias("key_bits"), F.max("anchor").alias("anchor"))
-    votes = votes.withColumns({"agreed": F.bit_count("bits"), "agreed_key": F.coalesce(F.bit_count("key_bits"), F.lit(0))})
-    sizes = index.groupBy("template", "label", "base").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("key").cast("int")).alias("size_key"))
-    aligned = votes.filter("anchor").join(F.broadcast(sizes), "template").withColumn("coverage", F.col("agreed") / F.col("size"))
-    whole = F.col("agreed") == F.col("size")
-    fits = F.when(F.col("base"), whole).otherwise((F.col("coverage") >= COVERAGE) & (F.col("agreed_key") == F.col("size_key")))
-    place = F.when(F.col("base") & whole, F.col("start"))
-    found = aligned.groupBy("key1", "key2").agg(
-        F.count(place).alias("n_base"),
-        F.min(place).cast("long").alias("first_word"),
-        F.max(place).cast("long").alias("last_word"),
-        F.array_sort(F.collect_set(F.when(F.col("base") & whole, F.col("label")))).alias("base_labels"),
+    counts = {r["word"]: r["count"] for r in seen.select(F.explode(present).alias("word")).groupBy("word").count().collect()}
+    index, kinds = _index(spark)
+    lookups = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(t).alias("template")) for w, t in _rarest(counts)))
+    looked = seen.withColumn("present", present).withColumn("candidates", F.transform(F.filter(lookups, lambda x: F.array_contains("present", x["word"])), lambda x: x["template"]))
+    some = looked.filter(F.size("candidates") > 0).select("key1", "key2", "lead", "candidates", F.explode("placed").alias("p"))
+    votes = some.select("key1", "key2", "candidates", (F.col("p.pos") - F.col("lead")).alias("pos"), F.col("p.word").alias("word")).join(F.broadcast(index), "word").filter(F.array_contains("candidates", F.col("template")))
+    votes = votes.select("key1", "key2", "template", (F.col("pos") - F.col("at")).alias("start"), F.expr("shiftleft(1L, at)").alias("bit"))
+    exact = votes.groupBy("key1", "key2", "template", "start").agg(F.bit_or("bit").alias("bits")).join(F.broadcast(kinds), "template")
+    whole = F.transform("phrases", lambda mask, i: F.when(F.col("bits").bitwiseAND(mask) == mask, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
+    exact = exact.withColumns({"key_bits": F.aggregate(whole, F.lit(0).cast("long"), lambda s, x: s + x), "base_place": F.when(F.col("base") & (F.col("bits") == F.col("every")), F.col("start"))})
+    # two grids of windows, one half a window further: starts up to DRIFT apart share a window of one of them
+    grids = F.explode(F.array(*(F.struct(F.lit(g).alias("grid"), F.floor((F.col("start") + g * DRIFT) / (2 * DRIFT)).alias("window")) for g in (0, 1))))
+    windows = exact.select("*", grids.alias("g")).groupBy("key1", "key2", "template", "label", "base", "every", F.size("phrases").alias("n_phrases"), "g").agg(
+        F.bit_count(F.bit_or("bits")).alias("agreed"), F.bit_count(F.bit_or("key_bits")).alias("agreed_keys"),
+        F.count(F.when(F.col("g.grid") == 0, F.col("base_place"))).alias("n_base"), F.min("base_place").alias("first"), F.max("base_place").alias("last"),
+    )
+    coverage = F.col("agreed") / F.bit_count("every")
+    fits = F.when(F.col("base"), F.col("first").isNotNull()).otherwise((coverage >= COVERAGE) & (F.col("agreed_keys") == F.col("n_phrases")))
+    found = windows.groupBy("key1", "key2").agg(
+        F.sum("n_base").alias("n_base"),
+        F.min("first").cast("long").alias("first_word"),
+        F.max("last").cast("long").alias("last_word"),
+        F.array_sort(F.collect_set(F.when(F.col("base") & F.col("first").isNotNull(), F.col("label")))).alias("base_labels"),
         F.array_sort(F.collect_set(F.when(fits, F.col("label")))).alias("labels"),
-        F.max(F.when(fits, 0.5 + 0.5 * F.col("coverage")).otherwise(0.5 * F.col("coverage"))).alias("score"),
+        F.max(F.when(fits, 0.5 + 0.5 * coverage).otherwise(0.5 * coverage)).alias("score"),
     )
     found = written(found, "licences")
-    return seen.join(found, ["key1", "key2"], "left").select(
+    return seen.select("doc_id", "key1", "key2", "n_words").join(found, ["key1", "key2"], "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
