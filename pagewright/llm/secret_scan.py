@@ -34,8 +34,10 @@ HEX = "[0-9a-f]{24,}"
 #: Least length of a candidate, the false-discovery rate, and the greatest statistic of the battery (p of 0.001 at 3 degrees).
 LEAST, RATE, PASS = 20, 0.01, 16.27
 CANDIDATE = f"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
-#: Prose examples that a class needs to be judged by its own spread.
+#: Prose runs that weigh as much as what letters of a language would give, where a class's own spread is estimated.
 PROSE = 30
+#: Spans that are compared at once.
+BLOCK = 256
 
 _ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -43,25 +45,30 @@ _ALPHABETS = {
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-",
 }
-#: Characters that count for the tests at most: the first of a longer run say enough.
+#: Bins of p-values, ten for each power of ten.
 _BINS = 300
 
 
+def _running(sizes: Column) -> Column:
+    """Running sums of an array of integers, in blocks of BLOCK and then over the blocks, as an array grows by copying."""
+    none = F.array().cast("array<int>")
+    grown = lambda out, x: F.concat(out, F.array(F.coalesce(F.element_at(out, -1), F.lit(0)) + x))
+    sums = lambda xs: F.aggregate(xs, none, lambda out, x: F.when(F.size(out) == 0, F.array(x)).otherwise(grown(out, x)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda b: sums(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK))))
+    before = lambda whole: sums(F.transform(whole, lambda x: F.element_at(x, -1)))
+    moved = lambda whole: F.zip_with(whole, F.concat(F.array(F.lit(0)), before(whole)), lambda x, at: F.transform(x, lambda y: y + at))
+    # bound to a name once, so that the blocks aren't summed twice
+    return F.when(F.size(sizes) <= 0, none).otherwise(F.flatten(F.filter(F.transform(F.array(blocks), moved)[0], lambda x: x.isNotNull())))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Array of (start, end, found) of a pattern's matches, leftmost and without overlaps, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["between"])
-        end = begin + F.length(pair["found"])
-        own = F.struct(begin.alias("start"), end.alias("end"), pair["found"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
-
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, f: F.struct(b.alias("between"), f.alias("found")))
+    sizes = lambda f, b: _running(F.zip_with(F.slice(b, 1, F.size(f)), f, lambda x, y: F.length(x) + F.length(y)))
+    made = lambda pair: F.zip_with(pair["found"], sizes(pair["found"], pair["between"]), lambda f, end: F.struct((end - F.length(f)).alias("start"), end.alias("end"), f.alias("found")))
     none = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), F.transform(F.array(F.struct(found.alias("found"), between.alias("between"))), made)[0]).otherwise(none)
 
 
 def _named(found: Column, order: int, kind: str) -> Column:
@@ -101,22 +108,25 @@ def _tested(df: DataFrame) -> DataFrame:
     z_runs = "if(hh * (hh - n) > 0, (runs - hh / n - 1) / sqrt(hh * (hh - n) / (n * n * (n - 1))), if(high = 0 or high = n, 6D, 0D))"
     z_serial = "if(var > 0, (cov / var + 1 / (n - 1)) * sqrt(n), 6D)"
     statistic = f"pow(greatest(z_chi, 0D), 2) + pow({z_runs}, 2) + pow({z_serial}, 2)"
-    return df.selectExpr("key", "start", "end", "t.encoding as encoding", "t.prose as prose", "int(least(log2(n / 20) * 2, 9D)) as class", f"{statistic} as statistic")
+    return df.selectExpr("key1", "key2", "start", "end", "t.encoding as encoding", "t.prose as prose", "int(least(log2(n / 20) * 2, 9D)) as class", f"{statistic} as statistic")
 
 
 def _p_bins(tested: DataFrame) -> DataFrame:
     """``tested`` with bin: ten times minus the decimal logarithm of the p-value among prose of its class."""
     root = F.sqrt("statistic")
     prose = tested.filter("prose").groupBy("encoding", "class").agg(F.count(F.lit(1)).alias("m"), F.avg(root).alias("mu"), F.stddev_samp(root).alias("sd"))
-    # at most 40 rows; where prose is too rare, what letters of a language would give: 1 for each character
+    # at most 40 rows; where prose is rare, mostly what letters of a language would give: 1 for each character
     every = tested.join(F.broadcast(prose), ["encoding", "class"], "left")
-    enough = F.coalesce(F.col("m") >= PROSE, F.lit(False))
     length = LEAST * F.pow(F.lit(2.0), F.col("class") / 2)
-    mu, sd = F.when(enough, F.col("mu")).otherwise(F.sqrt(length)), F.when(enough, F.greatest("sd", F.lit(0.3))).otherwise(1.0)
+    m, prior = F.coalesce("m", F.lit(0)), F.sqrt(length)
+    own = F.coalesce("mu", prior)
+    mu = (m * own + PROSE * prior) / (m + PROSE)
+    variance = (m * F.coalesce(F.col("sd") * F.col("sd"), F.lit(1.0)) + PROSE) / (m + PROSE)
+    sd = F.greatest(F.sqrt(variance), F.lit(0.3))
     z = (mu - root) / sd
     # the normal tail by a logistic curve of an odd cubic, right to a few parts in ten thousand, exact in sign
     bits = F.log1p(F.exp(F.least(1.5976 * z + 0.070566 * z * z * z, F.lit(600.0)))) / math.log(10)
-    return every.withColumn("bin", F.least(F.floor(bits * 10), F.lit(_BINS)).cast("int")).select("key", "start", "end", "class", "statistic", "bin")
+    return every.withColumn("bin", F.least(F.floor(bits * 10), F.lit(_BINS)).cast("int")).select("key1", "key2", "start", "end", "class", "statistic", "bin")
 
 
 def _thresholds(binned: DataFrame) -> dict[int, int]:
@@ -141,17 +151,21 @@ def scan(docs: DataFrame) -> DataFrame:
     long_enough = F.filter(spans(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["found"], "^" + ASSIGN, 2)) >= 6)
     kinds = {"assign": long_enough, "access": spans(text, ACCESS), "hex": spans(text, HEX)}
     named = [_named(c, i, kind) for i, (kind, c) in enumerate(kinds.items())]
-    seen = own.select("doc_id", F.array_sort(F.concat(*named)).alias("base"), spans(text, CANDIDATE).alias("candidates"), F.xxhash64("doc_id", "text").alias("key"))
+    seen = own.select("doc_id", F.array_sort(F.concat(*named)).alias("base"), spans(text, CANDIDATE).alias("candidates"), F.xxhash64("doc_id", "text").alias("key1"), F.xxhash64(F.lit("second"), "doc_id", "text").alias("key2"))
     seen = written(seen, "secret-spans")
     # equal rows have equal candidates: one row for each is tested
-    free = "filter(candidates, c -> not exists(base, b -> b.start < c.end and c.start < b.end))"
-    rows = seen.select("key", F.explode(F.expr(free)).alias("c")).select("key", "c.start", "c.end", _battery(F.col("c.found")).alias("t")).filter("t.n >= 2")
+    # base spans in blocks with their first start and last end, so that a candidate looks into few blocks
+    parts = f"transform(sequence(0, cast(floor(greatest(size(base) - 1, 0) / {BLOCK}) as int)), k -> slice(base, k * {BLOCK} + 1, {BLOCK}))"
+    blocks = f"transform({parts}, p -> struct(array_min(transform(p, b -> b.start)) as lo, array_max(transform(p, b -> b.end)) as hi, p as p))"
+    free = "filter(candidates, c -> not exists(blocks, k -> k.lo < c.end and c.start < k.hi and exists(k.p, b -> b.start < c.end and c.start < b.end)))"
+    some = seen.filter("size(candidates) > 0").withColumn("blocks", F.expr(blocks))
+    rows = some.select("key1", "key2", F.explode(F.expr(free)).alias("c")).select("key1", "key2", "c.start", "c.end", _battery(F.col("c.found")).alias("t")).filter("t.n >= 2")
     binned = written(_p_bins(written(_tested(rows), "tested")), "binned")
     limits = _thresholds(binned)
     if limits:
         fits = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("class")]
-        random = binned.filter((F.col("statistic") <= PASS) & (F.col("bin") >= fits)).groupBy("key").agg(F.collect_set(F.struct("start", F.lit(3).alias("order"), "end", F.lit("random").alias("kind"))).alias("random"))
-        seen = seen.join(written(random, "random-spans"), "key", "left")
+        random = binned.filter((F.col("statistic") <= PASS) & (F.col("bin") >= fits)).groupBy("key1", "key2").agg(F.collect_set(F.struct("start", F.lit(3).alias("order"), "end", F.lit("random").alias("kind"))).alias("random"))
+        seen = seen.join(written(random, "random-spans"), ["key1", "key2"], "left")
     else:
         seen = seen.withColumn("random", F.lit(None).cast("array<struct<start:int,order:int,end:int,kind:string>>"))
     told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
