@@ -95,6 +95,26 @@ def limit_table(histogram: DataFrame) -> DataFrame:
     )
 
 
+def at_limits(table: DataFrame, limits: list[int]) -> DataFrame:
+    """context_limit, docs_fitting, docs_longer, tokens_longer and truncated_total for any limits.
+
+    Each is answered by the first row of ``table`` (a limit table) at or above the next length, and by the totals.
+    """
+    asked = table.select("n_tokens", "docs_at_least", "tokens_at_least", F.explode(F.array(*(F.lit(x).cast("long") for x in sorted(set(limits))))).alias("context_limit"))
+    longer = F.when(F.col("n_tokens") > F.col("context_limit"), F.col("n_tokens"))
+    above = asked.groupBy("context_limit").agg(F.min_by(F.struct("docs_at_least", "tokens_at_least"), longer).alias("x"), F.max("docs_at_least").alias("all_docs"), F.max("tokens_at_least").alias("all_tokens"))
+    docs, tokens = F.coalesce("x.docs_at_least", F.lit(0)), F.coalesce("x.tokens_at_least", F.lit(0))
+    return above.select(
+        "context_limit", (F.col("all_docs") - docs).alias("docs_fitting"), docs.alias("docs_longer"), tokens.alias("tokens_longer"), (F.col("all_tokens") - tokens + F.col("context_limit") * docs).alias("truncated_total")
+    )
+
+
+def quantiles(table: DataFrame, shares: list[float]) -> DataFrame:
+    """share and n_tokens: the least length that so large a share of documents doesn't pass."""
+    asked = table.select("n_tokens", "share_fitting", F.explode(F.array(*(F.lit(float(x)) for x in sorted(set(shares))))).alias("share"))
+    return asked.filter(F.col("share_fitting") >= F.col("share")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+
+
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """The limit table of ``docs`` (column text) under the vocabulary at ``path``."""
     histogram = length_histogram(token_lengths(docs.select("text"), path))

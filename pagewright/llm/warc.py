@@ -114,21 +114,26 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload, and the bytes of each original record: its header, then its block, then two line ends.
+    """What ``read_archive`` gives, payload, and the bytes of each original record: its header, its block, two line ends.
 
-    A revisit's record has an empty block; its payload is that of the record it refers to.
+    A revisit's record has an empty block; its payload is that of the record it refers to. Both sides of the join are
+    read from tables, so that Spark splits the records of a payload that many have.
     """
     payloads = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
     block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return read_archive(spark, path).join(payloads, "sha256").select("page_id", "payload", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"))
+    seen = written(read_archive(spark, path), "records-seen")
+    return seen.join(payloads, "sha256").drop("sha256").withColumn("record", F.concat("header", block, F.lit(b"\r\n\r\n")))
 
 
 def archived(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``pages`` to a new archive in the shared folder (or under ``path``) and read it back."""
+    """Write ``pages`` to a new archive in the shared folder (or under ``path``), read it back and rebuild the records.
+
+    Sizes and digests are computed on the payloads in the rebuilt records.
+    """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     write_archive(pages, path)
-    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return records(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_digest"), "record_type", "refers_to")
 
 
 ORACLE_SQL = """
