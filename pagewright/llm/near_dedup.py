@@ -15,13 +15,14 @@ How it runs:
    drop hopeless pairs; the others are verified on their full sets. Verified links give components.
 4. Buckets that still hold several components are compared across components, so that no link is lost where
    a bucket's centre is no near copy of two members that are near copies of each other. Buckets are cut into
-   blocks of bounded size; a task gets one pair of blocks, verifies on full sets and gives back a spanning
-   forest, never all pairs.
+   blocks of bounded size; a task gets the signatures of one pair of blocks and names the members that may link.
+   Only their full sets are sent to a second task for that pair, which gives back a spanning forest, never all pairs.
 
 Defined cases: null or blank text, and text without words, has an empty set and links with nothing
 (n_shingles 0, component_id its own doc_id). Fewer than five words are one shingle. Rows with a null doc_id
-take no part in linking and come back with null component_id and kept true. A doc_id given in several rows
-is one document per row in sketches; equal ids share their component. Extra columns are not read.
+take no part in linking and come back with null component_id and kept true. A doc_id given with several texts
+links with what any of them links with, and its rows share their component; n_shingles is each row's own. Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .store import small, written
+from .store import fresh, small, written
 
 #: Links have 100 * intersection >= percent * union: in op10 PERCENT, in a stage without a contract STAGE_PERCENT.
 PERCENT, STAGE_PERCENT = 85, 80
@@ -257,6 +258,22 @@ def _forest(table: pa.Table, rule: Rule) -> pa.Table:
     return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
 
+def _busy(table: pa.Table, rule: Rule) -> pa.Table:
+    """Of one pair of blocks the members whose signature is near that of a member of another component."""
+    sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(-1, rule.coords)
+    label, side, size = (table[c].to_numpy() for c in ("label", "side", "n_shingles"))
+    left = np.flatnonzero(side == 0)
+    right = left if len(left) == len(side) else np.flatnonzero(side == 1)
+    busy = np.zeros(len(side), bool)
+    for i in left:
+        near = (sig[right] == sig[i]).sum(1) >= rule.least_agreed * rule.coords
+        near &= (label[right] != label[i]) & (100 * np.minimum(size[right], size[i]) >= rule.percent * np.maximum(size[right], size[i]))
+        if near.any():
+            busy[i] = True
+            busy[right[near]] = True
+    return table.select(["bucket", "bi", "bj", "rep", "label", "side", "signature"]).filter(pa.array(busy))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [x.tobytes() for x in ta.shingle_sets(batch.column(1))]
@@ -287,23 +304,50 @@ def _across(members: DataFrame, reps: DataFrame, texts: DataFrame, labels: DataF
     spread = many.select("bucket", "rep", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "bucket", "rep", "label", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side")
     )
-    sets = _only(texts, many.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets, "rep long, shingles binary")
-    full = sets.join(reps.select("rep", "signature"), "rep")
-    block_links = (
-        spread.join(full, "rep").select("bucket", "bi", "bj", "rep", "label", "side", "signature", "shingles").groupBy("bucket", "bi", "bj").applyInArrow(lambda table: _forest(table, rule), "a long, b long")
-    )
+    pairs_of_blocks = spread.join(reps.select("rep", "signature", "n_shingles"), "rep").select("bucket", "bi", "bj", "rep", "label", "side", "signature", "n_shingles")
+    busy = pairs_of_blocks.groupBy("bucket", "bi", "bj").applyInArrow(lambda table: _busy(table, rule), "bucket long, bi int, bj int, rep long, label long, side int, signature binary")
+    busy = written(busy, "busy-members")
+    sets = _only(texts, busy.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets, "rep long, shingles binary")
+    block_links = busy.join(sets, "rep").select("bucket", "bi", "bj", "rep", "label", "side", "signature", "shingles").groupBy("bucket", "bi", "bj").applyInArrow(lambda table: _forest(table, rule), "a long, b long")
     return links.unionByName(block_links)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, two hashes of the text, and the text."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.select("doc_id", F.xxhash64("text").alias("key1"), F.xxhash64(F.lit("second"), "text").alias("key2"), "text")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (columns doc_id, text)."""
     rule = fitted(percent)
     seen = written(sketches(docs, rule), "sketches")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    texts = texts if _unique_ids(seen) else texts.groupBy("doc_id").agg(F.max("text").alias("text"))
+    if _unique_ids(seen):
+        return _labelled(seen, texts, rule, None)
+    # ids that come with several texts: a node for each (doc_id, text), numbered in order of doc_id
+    keyed = _keyed(docs)
+    order = ["doc_id", "key1", "key2"]
+    nodes = keyed.filter("doc_id is not null").select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    texts = written(keyed.join(nodes, order).groupBy("node").agg(F.min("text").alias("text")).withColumnRenamed("node", "doc_id"), "node-texts")
+    firsts = nodes.groupBy("doc_id").agg(F.min("node").alias("a"))
+    same = nodes.join(firsts, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
+    by_node = _labelled(written(sketches(texts, rule), "node-sketches"), texts, rule, written(same, "same-ids"))
+    ids = nodes.select(F.col("node").alias("component_id"), F.col("doc_id").alias("component"))
+    by_node = written(by_node.select(F.col("doc_id").alias("node"), "n_shingles", "component_id").join(ids, "component_id").select("node", "n_shingles", F.col("component").alias("component_id")), "node-labels")
+    rows = keyed.drop("text").join(nodes, order, "left").join(by_node, "node", "left")
+    # rows without an id have no node: their sets are counted alone
+    loose = seen.filter("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = rows.filter("doc_id is not null").select("doc_id", "n_shingles", "component_id").unionByName(loose)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _labelled(seen: DataFrame, texts: DataFrame, rule: Rule, same: DataFrame | None) -> DataFrame:
+    """The result for unique doc_ids, whose sketches are ``seen``; ``same`` has pairs (a, b) that are linked whatever their texts."""
     full = seen.filter("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = written(full.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(F.col("doc_id").alias("rep"), "bands", "signature"), "representatives")
+    reps = written(full.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(F.col("doc_id").alias("rep"), "bands", "signature", "n_shingles"), "representatives")
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("centre")).filter("n > 1")
     members = written(rows.join(shared, "bucket").select("bucket", "rep", "centre"), "buckets")
@@ -317,6 +361,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = written(components(links, nodes), "components")
+    if same is not None:
+        # nodes without a set stand for themselves, others for their class
+        of = seen.filter("doc_id is not null").select("doc_id", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(classes, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("node"))
+        of = written(of, "node-classes")
+        joined = same.join(of.select(F.col("doc_id").alias("a"), F.col("node").alias("ra")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("node").alias("rb")), "b")
+        links = written(links.unionByName(joined.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "all-links")
+        labels = written(components(links, of.select("node").distinct()), "components")
+        return _of_nodes(seen, of, labels)
     by_digest = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     by_digest = written(by_digest, "classes")  # read anew, so that a join splits the rows of a digest that many documents have
     # an empty set has no class: the row keeps its own id
@@ -328,14 +380,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+def _of_nodes(seen: DataFrame, of: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id by the label of each row's node."""
+    named = of.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("component_id"))
+    return seen.select("doc_id", "n_shingles").join(named, "doc_id")
+
+
 def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each group, and all others.
 
     Of rows that share a doc_id one stays; rows with a null doc_id stay.
     """
     found = written(near_duplicates(docs.select("doc_id", "text"), percent), "near-duplicates")
-    gone = small(written(found.filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    name = fresh("gone", docs)
+    gone = small(written(found.filter("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone"))
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
     if _unique_ids(found):
         return kept
     return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
