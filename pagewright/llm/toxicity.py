@@ -264,49 +264,56 @@ def _highest(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield from pa.Table.from_pylist(rows, pa.schema([("toxic", pa.int32()), ("sentence", pa.string())])).to_batches()
 
 
-def landmarks(words: list[str], n: int) -> list[np.ndarray]:
-    """Features of up to n words, each in turn the farthest from those before."""
-    own = letters(words)
-    found = [own.features(0)]
-    near = own.dot(found[0])
+def landmarks(words: list[str], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Subsequences and scaled counts of up to n words, each in turn the farthest from those before."""
+    own, found = letters(words), []
+    near, at = np.full(len(own.size), -np.inf), 0
     while len(found) < min(n, len(own.size)):
-        found.append(own.features(int(np.argmin(near))))
-        near = np.maximum(near, own.dot(found[-1]))
+        dense = own.features(at)
+        some = np.flatnonzero(dense)
+        found.append((some, dense[some]))
+        near = np.maximum(near, own.dot(dense))
+        at = int(np.argmin(near))
     return found
 
 
-def fit_sentences(positive: list[str], negative: list[str], marks: np.ndarray) -> tuple[np.ndarray, float]:
-    """The SVM's weight for each subsequence and its bias, from sentences of both kinds and landmarks' features."""
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
+def fit_sentences(positive: list[str], negative: list[str], marks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """The SVM's weight for each subsequence and its bias, from sentences of both kinds and landmarks.
+
+    Only subsequences that a landmark has matter; sentences pass in small groups, so memory stays at a few ten MB.
+    """
+    used = np.unique(np.concatenate([i for i, _ in marks]))
+    of = np.zeros((len(marks), len(used)), np.float32)
+    for row, (i, counts) in zip(of, marks, strict=True):
+        row[np.searchsorted(used, i)] = counts
+    values, vectors = np.linalg.eigh((of @ of.T).astype(float))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
+    by_subsequence = of.T @ root.astype(np.float32)
 
-    by_subsequence = marks.T.astype(float) @ root
-
-    def nystrom(sentences: list[str]) -> np.ndarray:
-        out = []
-        for i in range(0, len(sentences), 128):  # counts of 128 sentences at a time, of the subsequences that they have
-            counts = letters(sentences[i : i + 128]).counts()
-            some = counts.any(0)
-            out.append(counts[:, some] @ by_subsequence[some])
-        return np.concatenate(out)
-
-    x = np.concatenate([nystrom(positive), nystrom(negative)])
-    x = np.hstack([x, np.ones((len(x), 1))])
+    sentences = positive + negative
+    x = np.ones((len(sentences), by_subsequence.shape[1] + 1), np.float32)
+    for i in range(0, len(sentences), 64):
+        x[i : i + 64, :-1] = letters(sentences[i : i + 64]).counts()[:, used].astype(np.float32) @ by_subsequence
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     cost = np.where(y > 0, 0.5 / len(positive), 0.5 / len(negative)) * 2000
     w, ridge = np.zeros(x.shape[1]), np.ones(x.shape[1])
     ridge[-1] = 1e-3
     for _ in range(30):  # Newton steps on the squared hinge loss
-        short = np.maximum(1 - y * (x @ w), 0)
-        active = short > 0
-        grad = ridge * w - x.T @ (cost * y * short)
-        hess = np.diag(ridge) + (x[active] * cost[active, None]).T @ x[active]
+        grad, hess = ridge * w, np.diag(ridge)
+        for i in range(0, len(x), 1024):
+            part, sign, weight = x[i : i + 1024].astype(float), y[i : i + 1024], cost[i : i + 1024]
+            short = np.maximum(1 - sign * (part @ w), 0)
+            active = short > 0
+            grad -= part.T @ (weight * sign * short)
+            hess += (part[active] * weight[active, None]).T @ part[active]
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return (marks.T @ (root @ w[:-1])).astype(np.float32), float(w[-1])
+    weights = np.zeros(_SIDE**3, np.float32)
+    weights[used] = of.T @ (root @ w[:-1])
+    return weights, float(w[-1])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -357,7 +364,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     positive, negative = (sorted({r["sentence"] for r in first if r["toxic"] == k}) for k in (1, 0))
     if not best or not rest:
         return flat
-    marks = np.stack(landmarks(best, LANDMARKS) + landmarks(rest, CALM_LANDMARKS))
+    marks = landmarks(best, LANDMARKS) + landmarks(rest, CALM_LANDMARKS)
     model = Model(*fit_sentences(positive + best, negative + rest, marks), np.zeros(5))
     second = known.mapInArrow(functools.partial(_highest, model), "toxic int, sentence string").collect()
     positive = sorted({r["sentence"] for r in second if r["toxic"]})
