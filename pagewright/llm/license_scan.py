@@ -68,6 +68,7 @@ TEMPLATES = [
     ("mit", "the above copyright notice and this permission notice shall be [included in all copies] or [substantial portions of the software]"),
     ("mit", "[the software is provided as is] without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and [noninfringement]"),
     ("mpl-2.0", "this source code form is subject to the terms of the [mozilla public license] v 2 0"),
+    ("mpl-2.0", "[mozilla public license v 2 0]"),
     ("ofl", "[sil open font license]"),
     ("unlicense", "this is free and unencumbered software [released into the public domain]"),
     ("wtfpl", "[do what the fuck you want to public license]"),

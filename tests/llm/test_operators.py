@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pagewright.llm import bpe, decontamination, license_scan, line_dedup, near_dedup, quality_rules, secret_scan, token_counts, toxicity, warc
 from pagewright.llm.vocabularies import vocabulary
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key1 string, line_dedup_ string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key1 string, line_dedup string, gone string, leaked string, ids string, n_tokens string, decoded_sha256 string"
+EXTRA = (0.5, "k", "l", "g", "e", "i", "n", "d")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
 
 def docs_of(spark, rows):
     """Documents with extra columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 0.5, "k", "l") for i, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), *EXTRA) for i, t, s in rows], SCHEMA)
 
 
 def prose(rng, n):
@@ -87,6 +88,26 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(5, a), (5, b), (7, a + " word"), (9, b + " word"), (9, c), (11, c + " word"), (13, prose(rng, 50)), (13, ""), (15, None), (15, None), (None, a), (17, "x"), (17, "X")]
+    root = {i: i for i, _ in rows if i is not None}
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    changed = True
+    while changed:
+        changed = False
+        for (i, x), (j, y) in itertools.product(sets, repeat=2):
+            if x & y and 100 * len(x & y) >= 85 * len(x | y) and root[j] > root[i]:
+                root[j], changed = root[i], True
+    found = near_dedup.near_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = sorted(((i, len(shingles(t)), root.get(i)) for i, t in rows), key=key)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=key) == want and {root[i] for i in (5, 7, 9, 11)} == {5}
+    kept = near_dedup.without_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows]))
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 5, 13, 15, 17]
+
+
 def test_blocks_find_links_that_stars_miss(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 2)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
@@ -172,7 +193,7 @@ def test_line_dedup(spark):
         rows.append((i, "\n".join(lines), f"s{i % 20}"))
     docs = docs_of(spark, rows)
     out = line_dedup.remove_boilerplate(docs)
-    assert out.columns == [*docs.columns, "line_dedup"]
+    assert out.columns == [*docs.columns, "_line_dedup"]
     sites, first = {}, {}
     for i, t, s in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         for p, line in enumerate((t or "").split("\n")):
@@ -207,10 +228,11 @@ def test_bpe(spark):
         ids = library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
-    both = bpe.decode(bpe.encode(docs, path), path)
-    assert both.columns == [*docs.columns, "ids", "decoded"]
+    both = bpe.decode(bpe.encode(docs.drop("ids"), path), path)
+    assert both.columns == [*docs.drop("ids").columns, "ids", "decoded"]
     assert {r["decoded"] for r in both.filter("doc_id = 4").collect()} == {"one</w>"}
-    assert bpe.tokenised(docs, path).count() == len(awkward(rng))
+    told = bpe.tokenised(docs, path)
+    assert told.columns == [*(c for c in docs.columns if c != "text"), "_ids", "_n_tokens", "_decoded_sha256"] and told.count() == len(awkward(rng))
 
 
 def test_pair_compatibility():
@@ -246,6 +268,13 @@ def test_token_counts(spark):
         assert r["docs"] == (n == limit).sum() and r["docs_at_least"] == (n >= limit).sum() and r["tokens_at_least"] == n[n >= limit].sum()
         assert r["truncated_total"] == np.minimum(n, limit).sum() and r["share_fitting"] == pytest.approx((n <= limit).mean())
     assert token_counts.token_counts(docs_of(spark, []), path).count() == 0
+    table, limits = token_counts.token_counts(docs_of(spark, rows), path), [0, 3, 100, 512, 2048, 10**6]
+    for r in token_counts.at_limits(table, limits).collect():
+        limit = r["context_limit"]
+        assert (r["docs_fitting"], r["docs_longer"], r["tokens_longer"], r["truncated_total"]) == ((n <= limit).sum(), (n > limit).sum(), n[n > limit].sum(), np.minimum(n, limit).sum())
+    for r in token_counts.quantiles(table, [0.01, 0.5, 0.9, 1.0]).collect():
+        assert r["n_tokens"] == min(x for x in n if (n <= x).mean() >= r["share"])
+    assert token_counts.at_limits(table.limit(0), limits).count() == 0
 
 
 def labelled(spark, rng):
@@ -280,13 +309,43 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs, labels.limit(0)).count() == len(found)
 
 
-def test_kernel_counts_gapped_subsequences():
-    words = ["abc", "axbc", "idiot", "i.d.i.o.t"]
+def brute_kernel(a, b):
+    """All pairs of equal subsequences of three letters within SPAN places, edges included, each with its decay, scaled."""
+
+    def counts(word):
+        w, out = "^" + word + "^", {}
+        for i, j, k in itertools.combinations(range(len(w)), 3):
+            if k - i < toxicity.SPAN:
+                out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + toxicity.DECAY ** (k - i + 1)
+        n = len(w)
+        scale = sum((k - 1) * max(n - k, 0) * toxicity.DECAY ** (2 * k + 2) for k in range(2, toxicity.SPAN)) ** 0.5
+        return {x: c / scale for x, c in out.items()}
+
+    x, y = counts(a), counts(b)
+    return sum(c * y.get(s, 0) for s, c in x.items())
+
+
+def test_kernel_against_brute_force():
+    words = ["abc", "axbc", "idiot", "idxiot", "banana", "z"]
     own = toxicity.letters(words)
-    dense = np.stack([own.features(i) for i in range(4)])
-    for i in range(4):
-        assert own.dot(dense[i]) == pytest.approx(dense @ dense[i], rel=1e-4)
-    assert np.allclose(dense[2], dense[3]) and dense[0] @ dense[1] > 0.2
+    dense = [own.features(i) for i in range(len(words))]
+    for i, j in itertools.product(range(len(words)), repeat=2):
+        assert own.dot(dense[i])[j] == pytest.approx(brute_kernel(words[i], words[j]), rel=1e-4)
+    assert brute_kernel("idiot", "idxiot") > 0.5 * brute_kernel("idiot", "idiot") > 5 * brute_kernel("idiot", "banana")
+    sentences = ["abc idiot", "banana", "i.d.i.o.t z abc"]
+    counts = toxicity.letters(sentences).counts()
+    for i, j in itertools.product(range(3), repeat=2):
+        parts = [s.replace(".", "").split() for s in (sentences[i], sentences[j])]
+        assert counts[i] @ counts[j] == pytest.approx(sum(brute_kernel(x, y) for x, y in itertools.product(*parts)), rel=1e-4)
+
+
+def test_chance_of_a_witness():
+    from fractions import Fraction
+    from math import comb
+
+    p = Fraction(1, 8)
+    want = [float(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))) for k, n in [(2, 2), (5, 30), (250, 400)]]
+    assert toxicity._tails(np.array([2, 5, 250]), np.array([2, 30, 400]), 0.125) == pytest.approx(want, rel=1e-6)
 
 
 def test_quality_rules(spark):
@@ -338,6 +397,32 @@ def test_license_scan(spark):
         assert 0 <= r["score"] <= 1
     labels = {r["doc_id"]: r["labels"] for r in found}
     assert labels[20] == "gpl,gpl-3.0" and labels[21] == "cc-by,cc-by-nc,mit" and labels[22] == "mit" and labels[23] == "apache,apache-2.0" and labels[24] == ""
+    more = [
+        (1, "// SPDX-License-Identifier: Apache-2.0\nint x;"), (2, notice.replace("any person", "any natural person")), (3, notice.replace("this software", "this nice software", 1)), (4, " ".join(notice.split()[12:])),
+        (5, "SPDX-License-Identifier GPL-3.0-or-later"), (6, "the words permission charge copy software license"), (7, "x " * 500 + "Mozilla Public License, v. 2.0" + " y" * 500),
+    ]
+    told = {r["doc_id"]: r["labels"] for r in license_scan.scan(docs_of(spark, [(i, t, "s") for i, t in more])).collect()}
+    assert told == {i: ",".join(brute_labels(t)) for i, t in more}
+    assert told[1] == "apache-2.0" and told[2] == "mit" and told[3] == "" and told[5] == "gpl-3.0" and told[6] == "" and told[7] == "mpl-2.0"
+    assert license_scan.scan(docs_of(spark, [])).count() == 0
+
+
+def brute_labels(text):
+    """Labels by trying every start of every template in two grids of windows."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    kinds, labels = {}, set()
+    for t, label, base, at, word, phrase in license_scan.templates():
+        kinds.setdefault((t, label, base), []).append((at, word, phrase))
+    for (_, label, base), index in kinds.items():
+        exact = {s: {at for at, w, _ in index if 0 <= s + at < len(words) and words[s + at] == w} for s in range(-70, len(words))}
+        phrases = {p: {at for at, _, q in index if q == p} for _, _, p in index if p >= 0}
+        for grid, first in itertools.product((0, license_scan.DRIFT), range(-80, len(words), 2 * license_scan.DRIFT)):
+            starts = [s for s in exact if first <= s + grid < first + 2 * license_scan.DRIFT and exact[s]]
+            agreed = set().union(*(exact[s] for s in starts))
+            whole = all(any(own <= exact[s] for s in starts) for own in phrases.values())
+            if base and any(len(exact[s]) == len(index) for s in starts) or (not base and whole and len(agreed) >= license_scan.COVERAGE * len(index)):
+                labels.add(label)
+    return sorted(labels)
 
 
 def test_secret_scan(spark):
@@ -389,3 +474,59 @@ def test_warc(spark, tmp_path):
     spark.createDataFrame([(hashlib.sha256(b"same").hexdigest(), bytearray(b"changed"))], "sha256 string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="payload missing or changed"):
         warc.read_archive(spark, path).collect()
+
+
+def test_randomness_battery(spark):
+    """The three tests, the spread of prose and the false-discovery step against plain Python."""
+    rng = random.Random(13)
+    kinds = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"}
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randrange(20, 60))) for a in kinds.values() for _ in range(12)]
+    tokens += ["".join(rng.choice(["the", "tion", "er", "an", "ou", "re"]) for _ in range(rng.randrange(9, 20))) for _ in range(50)] + ["a" * 20, "A" * 25, "ab" * 15]
+    rows = [(i, "", "", t) for i, t in enumerate(tokens)]
+    frame = spark.createDataFrame(rows, "key1 long, key2 string, x string, token string").select("key1", F.lit(0).cast("long").alias("key2"), F.lit(0).alias("start"), F.length("token").alias("end"), secret_scan._battery(F.col("token")).alias("t"))
+    binned = secret_scan._p_bins(secret_scan._tested(frame)).collect()
+    stats = {}
+    for i, t in enumerate(tokens):
+        kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t) else "base32" if re.fullmatch("[A-Z2-7]+", t) else "base62" if re.fullmatch("[A-Za-z0-9]+", t) else "base64"
+        x = [kinds[kind].index(c) for c in (t.lower() if kind == "hex" else t)]
+        k, n = len(kinds[kind]), len(x)
+        z_chi = (sum(x.count(c) ** 2 for c in set(x)) * k / n - n - (k - 1)) / (2 * (k - 1) * (n - 1) / n) ** 0.5
+        high = [c >= k / 2 for c in x]
+        runs, hh = 1 + sum(p != q for p, q in itertools.pairwise(high)), 2 * sum(high) * (n - sum(high))
+        z_runs = (runs - hh / n - 1) / (hh * (hh - n) / (n * n * (n - 1))) ** 0.5 if hh * (hh - n) > 0 else 6.0 if sum(high) in (0, n) else 0.0
+        mean = sum(x) / n
+        var, cov = sum((c - mean) ** 2 for c in x), sum((p - mean) * (q - mean) for p, q in itertools.pairwise(x))
+        z_serial = (cov / var + 1 / (n - 1)) * n**0.5 if var else 6.0
+        stats[i] = (kind, int(min(np.log2(n / 20) * 2, 9)), bool(re.fullmatch("[A-Za-z]+", t)), max(z_chi, 0) ** 2 + z_runs**2 + z_serial**2)
+    bins = {}
+    for i, (kind, c, _, s) in stats.items():
+        prose_ = [v**0.5 for q, d, p, v in stats.values() if (q, d, p) == (kind, c, True)]
+        m, prior = len(prose_), (secret_scan.LEAST * 2 ** (c / 2)) ** 0.5
+        mu = (sum(prose_) + secret_scan.PROSE * prior) / (m + secret_scan.PROSE)
+        var = np.var(prose_, ddof=1) if m > 1 else 1.0
+        z = (mu - s**0.5) / max(((m * var + secret_scan.PROSE) / (m + secret_scan.PROSE)) ** 0.5, 0.3)
+        bins[i] = int(min(np.log1p(np.exp(min(1.5976 * z + 0.070566 * z**3, 600))) / np.log(10) * 10, 300))
+    for r in binned:
+        assert r["class"] == stats[r["key1"]][1] and r["statistic"] == pytest.approx(stats[r["key1"]][3]) and abs(r["bin"] - bins[r["key1"]]) <= 1
+    limits = secret_scan._thresholds(spark.createDataFrame(binned, "key1 long, key2 long, start int, end int, class int, statistic double, bin int"))
+    for c in {v[1] for v in stats.values()}:
+        own = [r["bin"] for r in binned if r["class"] == c]
+        fine = [b for b in set(own) if len(own) * 10 ** (-b / 10) <= secret_scan.RATE * sum(x >= b for x in own)]
+        assert limits.get(c) == min(fine, default=None)
+
+
+def test_many_spans_in_one_text(spark):
+    rng = random.Random(14)
+    text = " é ".join(f"token={'x' * rng.randrange(1, 9)}{i} " + "ab12" * rng.randrange(7) for i in range(1500))
+    rows = spark.createDataFrame([(text,), ("",), ("none",)], "t string")
+    found = {r["t"]: [(s["start"], s["end"], s["found"]) for s in r["s"]] for r in rows.select("t", secret_scan.spans(F.col("t"), secret_scan.ASSIGN).alias("s")).collect()}
+    assert found == {t: [(m.start(), m.end(), m[0]) for m in re.finditer(secret_scan.ASSIGN, t)] for t in (text, "", "none")}
+
+
+def test_empty_tables(spark):
+    docs, path = docs_of(spark, []), vocabulary("word_bpe_49k.json")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    for own in (labels, labels.limit(0)):
+        assert toxicity.toxicity(docs, own).count() == toxicity.without_toxic(docs, own).count() == quality_rules.judged(docs, own).count() == 0
+    assert license_scan.scan(docs).count() == secret_scan.scan(docs).count() == bpe.encoded_digests(docs, path).count() == bpe.tokenised(docs, path).count() == 0
+    assert near_dedup.without_duplicates(docs).count() == line_dedup.remove_boilerplate(docs).count() == 0
