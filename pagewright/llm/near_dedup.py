@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .store import fresh, small, written
+from .store import fresh, only, small, written
 
 #: Links have 100 * intersection >= percent * union: in op10 PERCENT, in a stage without a contract STAGE_PERCENT.
 PERCENT, STAGE_PERCENT = 85, 80
@@ -48,8 +48,6 @@ MOST_COORDS = 150
 #: Buckets of up to so many members are compared pair by pair, larger ones by blocks of BLOCK members.
 SMALL, BLOCK = 16, 256
 
-#: Bits of the broadcast bitmap of wanted ids, at most: 16 MB.
-BITMAP_BITS = 1 << 27
 
 class Rule(NamedTuple):
     """What a link is, and how candidates for it are found.
@@ -172,23 +170,6 @@ def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
         yield batch.select([0, 1]).filter(pa.array([linked(x, y, rule.percent) for x, y in sets], pa.bool_()))
 
 
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` with a doc_id in ``ids``.
-
-    A bitmap of hashed ids, of BITMAP_BITS bits at most, is broadcast and drops most other rows where they are
-    read, so that whole texts aren't shuffled for the exact semi-join that follows.
-    """
-    ids = written(ids.distinct(), "ids")
-    bits = max(1 << 20, min(BITMAP_BITS, 1 << (16 * ids.count()).bit_length()))
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    marks = ids.select(F.shiftright(at, 15).alias("part"), (at.bitwiseAND(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("marks"))
-    bit = at.bitwiseAND(32767).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("marks"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    seen = F.expr("shiftright(byte, bit % 8) & 1 = 1")
-    some = texts.withColumn("part", F.shiftright(at, 15)).join(F.broadcast(marks), "part").withColumn("bit", bit).withColumn("byte", byte).filter(seen)
-    return some.select(*texts.columns).join(ids, "doc_id", "left_semi")
-
-
 def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) of representatives that are linked."""
     sig = reps.select("rep", "signature")
@@ -199,7 +180,7 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, rule: Rule) -> D
         .mapInArrow(lambda batches: _agree(batches, rule), "a long, b long")
     )
     near = written(near, "near-pairs")
-    own = _only(texts, near.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    own = only(texts, near.select(F.explode(F.array("a", "b")).alias("doc_id")))
     return (
         near.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         .join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -307,7 +288,7 @@ def _across(members: DataFrame, reps: DataFrame, texts: DataFrame, labels: DataF
     pairs_of_blocks = spread.join(reps.select("rep", "signature", "n_shingles"), "rep").select("bucket", "bi", "bj", "rep", "label", "side", "signature", "n_shingles")
     busy = pairs_of_blocks.groupBy("bucket", "bi", "bj").applyInArrow(lambda table: _busy(table, rule), "bucket long, bi int, bj int, rep long, label long, side int, signature binary")
     busy = written(busy, "busy-members")
-    sets = _only(texts, busy.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets, "rep long, shingles binary")
+    sets = only(texts, busy.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets, "rep long, shingles binary")
     block_links = busy.join(sets, "rep").select("bucket", "bi", "bj", "rep", "label", "side", "signature", "shingles").groupBy("bucket", "bi", "bj").applyInArrow(lambda table: _forest(table, rule), "a long, b long")
     return links.unionByName(block_links)
 

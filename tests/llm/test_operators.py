@@ -161,7 +161,10 @@ def test_fitted_bands():
         assert rule.coords <= 150 and 0 <= rule.least_agreed < percent / 100
 
 
-def test_contained_items(spark):
+@pytest.mark.parametrize("block", [decontamination.BLOCK_ITEMS, -1])
+def test_contained_items(spark, monkeypatch, block):
+    """As one index, and as tables (which -1 takes for any set, an empty one too)."""
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", block)
     rng = random.Random(2)
     items = [(0, prose(rng, 40)), (1, prose(rng, 12)), (2, "just four words here"), (3, None), (4, ""), (5, prose(rng, 200)), (6, prose(rng, 6))]
     rows = [(i, t) for i, t, _ in awkward(rng)]
@@ -170,17 +173,19 @@ def test_contained_items(spark):
     w = items[0][1].split()
     w[3] = "changed"
     rows.append((400, prose(rng, 700) + " " + " ".join(w[:-1])))
+    rows += [rows[-1], (None, items[1][1]), (None, items[1][1])]
+    items += [items[0], (7, items[1][1]), (None, items[6][1])]
     docs = docs_of(spark, [(i, t, "s") for i, t in rows])
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = sorted((r["item_id"], r["doc_id"] or -1, r["n_item"], r["n_shared"]) for r in decontamination.contained_items(docs, bench).collect())
+    found = sorted((-1 if r["item_id"] is None else r["item_id"], r["doc_id"] or -1, r["n_item"], r["n_shared"]) for r in decontamination.contained_items(docs, bench).collect())
     want = []
     for (q, t), (d, x) in itertools.product(items, rows):
         a, b = shingles(t), shingles(x)
         if a and 100 * len(a & b) >= 80 * len(a):
-            want.append((q, d or -1, len(a), len(a & b)))
+            want.append((-1 if q is None else q, d or -1, len(a), len(a & b)))
     assert found == sorted(want) and len(want) >= 10
     clean = decontamination.clean_documents(docs, bench)
-    leaked = {d for _, d, _, _ in want}
+    leaked = {d for _, d, _, _ in want} - {-1}
     assert sorted(r["doc_id"] or -1 for r in clean.collect()) == sorted(d or -1 for d, _ in rows if (d or -1) not in leaked)
     assert decontamination.contained_items(docs, bench.limit(0)).count() == 0
 
