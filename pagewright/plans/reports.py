@@ -314,7 +314,7 @@ def inverse_and_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-with e as (select vec_id, list_transform(range(1, 17), lambda i: (abs(embedding[i]) * 1000)::bigint % 256) as p from embeddings where vec_id < 10000000),
+with e as (select vec_id, list_transform(range(1, 17), lambda i: (abs(embedding[i]) * 1000)::bigint % 256) as p from embeddings),
      s as (select vec_id, p, unnest(range(2)) as x, unnest([0, 0]) as z from e), t as (select vec_id, p, x, y from s, range(2) r(y))
 select vec_id, x::bigint as x, y::bigint as y, floor((p[y * 8 + x * 2 + 1] + p[y * 8 + x * 2 + 2] + p[y * 8 + x * 2 + 5] + p[y * 8 + x * 2 + 6]) / 4.0 + 0.5)::bigint as value from t
 """)
