@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, secret_scan, warc
+from . import collocations, fill_middle, license_scan, secret_scan, warc
 from . import line_dedup as lines
 from .bpe import encoded_digests
 from .decontamination import contained_items
@@ -12,6 +12,7 @@ from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .quality_rules import judged
 from .token_counts import token_counts
+from .token_files import token_files
 from .toxicity import toxicity
 from .vocabularies import vocabulary
 from .warc import archived
@@ -61,7 +62,23 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_license_scan, op4_quality_rules, op5_line_dedup, op6_bpe_encode_decode, op7_benchmark_decontamination, op8_secret_scan, op9_warc_archive, op10_minhash_near_dedup)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_toxicity, op3_license_scan, op4_quality_rules, op5_line_dedup, op6_bpe_encode_decode, op7_benchmark_decontamination, op8_secret_scan, op9_warc_archive)
+    + (op10_minhash_near_dedup, op11_token_files, op12_fill_in_middle, op13_collocations)
+}
 
 #: Five-word shingles of lower-cased texts as (id, shingle) rows for DuckDB; {id} and {table} name them.
 _SHINGLES = r"""
@@ -92,3 +109,4 @@ from c left join n using (doc_id)
 """
 
 ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE_SQL, "op7_benchmark_decontamination": OP7_SQL, "op9_warc_archive": warc.ORACLE_SQL, "op10_minhash_near_dedup": OP10_SQL}
+ORACLES |= {"op12_fill_in_middle": fill_middle.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
