@@ -1,6 +1,6 @@
 """Queries over the driver's tables; importing this package registers them all."""
 
-from . import documents, queries, reports
+from . import documents, queries, reports, revisions
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "documents", "queries", "reports"]
+__all__ = ["ORACLES", "QUERIES", "documents", "queries", "reports", "revisions"]

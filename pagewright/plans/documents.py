@@ -62,7 +62,7 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_files(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return document_files(pdf.spread(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
 _DOCS = f"""d as (select doc_id, 'doc-' || doc_id || '.pdf' as file, coalesce(text, '') as text, coalesce(lang, '') as lang, {_GOOD} as good from documents),
@@ -76,7 +76,7 @@ select file, case when good then 13 + (doc_id % 19 = 4)::int else 0 end::bigint
        case when good then 2 else 0 end::bigint as pages, case when doc_id % 17 = 3 then 'no objects' when not good then 'encrypted' end as warning from d
 """)
 def pdf_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pdf.objects(_files(spark, sf_dir))
+    found = pdf.objects(_files(spark, sf_dir), parts=set())
     counts = {"objects": F.count("number"), "streams": F.count("size_bytes"), "pages": F.count("page_numbers")}
     return found.groupBy("file").agg(*(c.alias(n) for n, c in counts.items()), F.max(F.when(F.col("number").isNull(), F.col("warning"))).alias("warning"))
 
@@ -87,7 +87,7 @@ select file, 1 as page_number, '3 0 R' as id, 200.0 + doc_id % 400 as width_pt,
 union all select file, 2, '5 0 R', case when doc_id % 3 = 0 then 100.0 else 200.0 + doc_id % 400 end, case when doc_id % 3 = 0 then 200.0 + doc_id % 7 else 300.0 + doc_id % 500 end, 90 * (doc_id % 4) from d where good
 """)
 def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pdf.pages(pdf.objects(_files(spark, sf_dir))).select("file", "page_number", "id", "width_pt", "height_pt", "rotation")
+    return pdf.pages(pdf.objects(_files(spark, sf_dir), parts={"resources"})).select("file", "page_number", "id", "width_pt", "height_pt", "rotation")
 
 
 @_query(f"""
@@ -96,7 +96,7 @@ select file, id, w as pixel_width, h as pixel_height, bits as bits_per_component
        (w * h * bits * 3 // 8)::bigint as raw_bytes, sha256(t) as sha256, case when id = '11 0 R' and doc_id % 2 = 0 then '10 0 R' end as duplicate_of from i
 """)
 def pdf_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pdf.images(pdf.objects(_files(spark, sf_dir)))
+    found = pdf.images(pdf.objects(_files(spark, sf_dir), parts={"value", "sha256"}))
     return found.select("file", "id", "pixel_width", "pixel_height", "bits_per_component", "colour_space", F.array_join("filters", ",").alias("filters"), "encoded_bytes", "raw_bytes", "sha256", "duplicate_of")
 
 
@@ -137,7 +137,7 @@ select file, n as image_bytes, 0::bigint as font_bytes, octet_length(encode(lang
 """)
 def pdf_size_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
-    return pdf.size_summary(files, pdf.objects(files))
+    return pdf.size_summary(files, pdf.objects(files, parts={"value"}))
 
 
 @_query(f"""
@@ -150,7 +150,7 @@ def pdf_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = written(pdf.objects(_files(spark, sf_dir), raw=True), "before")
     half = F.decode("stream", "UTF-8")
     new = before.filter("id = '10 0 R'").select("file", "id", F.encode(F.left(half, F.ceil(F.length(half) / 2).cast("int")), "UTF-8").alias("stream"), F.lit(1).alias("width"), F.lit(1).alias("height"))
-    after = pdf.objects(rewrite.assembled(rewrite.replaced(before, new)))
+    after = pdf.objects(rewrite.assembled(rewrite.replaced(before, new), pruned=True))
     return S.diff(pdf.comparable(before), pdf.comparable(after), ["file", "id"], ["value", "sha256"]).filter("change <> 'same'")
 
 
@@ -206,7 +206,7 @@ union all select file, '5 0 R', case when doc_id % 3 = 0 then 'missing_resources
 """)
 def pdf_merge_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a page's own entries forbid a merge before its content is looked at: here nothing is on the page itself."""
-    return pdf.merge_setup(pdf.objects(_files(spark, sf_dir)))
+    return pdf.merge_setup(pdf.objects(_files(spark, sf_dir), parts={"value"}))
 
 
 @_query(f"""
@@ -224,4 +224,4 @@ with {_DOCS}
 select file, '3 0 R' as holder, 'G1' as name, doc_id % 2 = 0 as opaque from d where good union all select file, '5 0 R', 'G1', doc_id % 2 = 0 from d where good
 """)
 def pdf_graphics_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewrite.states(pdf.objects(_files(spark, sf_dir)))
+    return rewrite.states(pdf.objects(_files(spark, sf_dir), parts={"resources"}))

@@ -1,6 +1,6 @@
 """Document files as relations: objects, pages, drawing operations, placements and warnings.
 
-A small Python helper turns one file's bytes into rows of objects, and one content stream into rows of operations.
+A small Python helper turns one file's bytes into rows of objects by its cross-references (``table``), and one content stream into rows of operations.
 What needs a file's whole object table only (the page tree, inherited attributes, references within resources) is
 resolved there, so a tree of any depth costs no join. All that follows (names, nested forms, counts, rewriting) is
 joins and aggregations keyed by file, so a collection of any number of files is spread over the cluster. Nothing here
@@ -30,127 +30,34 @@ from ..operators.aggregates import attribution
 from ..operators.dedup import first_seen
 from ..tables import written
 from .filters import decoded
+from .syntax import REFERENCE, Text, filters, tokens
+from .table import ObjectTable, sections
 
 #: Fixed value: a longer form stream isn't read, and a warning says so; the content of pages has no limit.
 FORM_BYTES = 16 * 1024 * 1024
 #: Rows of one Arrow batch at most.
 BATCH = 4096
+#: The id of the row that has a file's trailer.
+TRAILER = "trailer"
+#: Columns of objects that take time or room.
+PARTS = frozenset({"value", "sha256", "content", "resources"})
 
-_TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|[\[\]]|/[^\x00\t\n\f\r ()<>\[\]{}/%]*|<[0-9A-Fa-f\s]*>|\(|[^\x00\t\n\f\r ()<>\[\]{}/%]+|[{}]")
-_OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})\s+(\d{1,5})\s+obj\b")
-_NUMBER = re.compile(rb"[+-]?(\d{1,40}\.?\d{0,40}|\.\d{1,40})$")
-_REFERENCE = re.compile(r"\d{1,10} \d{1,5} R$")
 _INLINE_END = re.compile(rb"\sEI(?=\s|$)")
 
 
-class Text(str):
-    """A string operand as it is written: (a) or <61>."""
-
-
-def _string(data: bytes, at: int) -> tuple[Text, int]:
-    """The literal string that starts after the bracket before ``at``, and the place after it."""
-    depth, begin = 1, at
-    while at < len(data) and depth:
-        c = data[at]
-        at += 2 if c == 0x5C else 1
-        depth += (c == 0x28) - (c == 0x29)
-    return Text("(" + data[begin : at - (depth == 0)].decode("latin-1") + ")"), at
-
-
-def _tokens(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
-    """Values and operators of PDF syntax with the place after each: numbers, names as "/x", strings as ``Text``, marks."""
-    while m := _TOKEN.search(data, at):
-        word, at = m[0], m.end()
-        if word[:1] == b"%":
-            continue
-        if word == b"(":
-            text, at = _string(data, at)
-            yield text, at
-        elif word[:1] == b"<" and word != b"<<":
-            yield Text(word.decode("latin-1")), at
-        elif _NUMBER.match(word):
-            yield (float(word) if b"." in word else int(word)), at
-        else:
-            yield word.decode("latin-1"), at
-
-
-def _value(data: bytes, at: int) -> tuple[object, int]:
-    """One value and the place after it: dicts, lists, numbers, "/name", {"(": text}, references as "n g R"; None if it is broken."""
-    stack: list[list] = [[]]
-    for token, after in _tokens(data, at):
-        if token in ("endobj", "obj", "stream", "endstream"):
-            break
-        if token in ("<<", "["):
-            stack.append([token])
-        elif token in (">>", "]") and len(stack) > 1:
-            items = stack.pop()[1:]
-            stack[-1].append({str(k)[1:]: v for k, v in zip(items[::2], items[1::2], strict=False)} if token == ">>" else items)
-        elif token == "R" and len(stack[-1]) > 1:
-            generation, number = stack[-1].pop(), stack[-1].pop()
-            stack[-1].append(f"{number} {generation} R")
-        else:
-            stack[-1].append({"(": token} if isinstance(token, Text) else token)
-        if len(stack) == 1 and not (isinstance(token, int) and re.match(rb"\s+\d+\s+R\b", data[after : after + 20])) and not (token != "R" and isinstance(stack[0][-1], int) and re.match(rb"\s+R\b", data[after : after + 4])):
-            return stack[0][-1], after
-    return None, at
-
-
-def syntax(value: object) -> str:
-    """A value of ``_value`` as it is written in a file."""
-    if isinstance(value, dict):
-        return str(value["("]) if "(" in value else "<< " + " ".join(f"/{k} {syntax(v)}" for k, v in value.items()) + " >>"
-    if isinstance(value, list):
-        return "[" + " ".join(map(syntax, value)) + "]"
-    if isinstance(value, float):
-        return f"{value:.15f}".rstrip("0") if "e" in repr(value) else repr(value)
-    return str(value)
-
-
-def _filters(found: dict) -> tuple[list[str], list[dict]]:
-    """Names of a stream's filters and their parameters."""
-    names, parms = found.get("Filter", []), found.get("DecodeParms", found.get("DP", []))
-    names = [x for x in (names if isinstance(names, list) else [names]) if isinstance(x, str)]
-    parms = [x if isinstance(x, dict) else {} for x in (parms if isinstance(parms, list) else [parms])]
-    return names, (parms + [{}] * len(names))[: len(names)]
-
-
-def file_objects(data: bytes) -> dict[tuple[int, int], tuple[object, bytes | None]]:
-    """Value and raw stream of every object by number and generation; the last definition stands."""
-    out: dict[tuple[int, int], tuple[object, bytes | None]] = {}
-    at = 0
-    while m := _OBJECT.search(data, at):
-        value, at = _value(data, m.end())
-        stream = None
-        if isinstance(value, dict) and (s := re.match(rb"\s*stream\r?\n", data[at : at + 32])):
-            begin, size = at + s.end(), value.get("Length")
-            fits = isinstance(size, int) and 0 <= size <= len(data) - begin and data[begin + size : begin + size + 16].lstrip()[:9] == b"endstream"
-            at = begin + size if fits else data.find(b"endstream", begin)
-            at = len(data) if at < 0 else at
-            stream = data[begin:at]
-        out[int(m[1]), int(m[2])] = value, stream
-        if stream is not None and value.get("Type") == "/ObjStm":
-            inner, first = decoded(stream, *_filters(value))[0], value.get("First")
-            if inner is not None and isinstance(first, int):
-                head = [t for t, _ in _tokens(inner[:first]) if isinstance(t, int)]
-                out.update(((number, 0), (_value(inner, first + place)[0], None)) for number, place in zip(head[::2], head[1::2], strict=False))
-    return out
-
-
 class _File:
     """The object table of one file: references, the page tree and inherited attributes."""
 
     def __init__(self, data: bytes):
-        self.objects = file_objects(data)
+        table = ObjectTable(data)
+        self.objects, self.trailer = table.objects, table.trailer
         self.by_id = {f"{n} {g} R": value for (n, g), (value, _) in self.objects.items()}
-        roots = [f"{int(m[1])} {int(m[2])} R" for m in re.finditer(rb"/Root\s+(\d{1,10})\s+(\d{1,5})\s+R", data)]
-        catalogues = [x for x in [*reversed(roots), *self.by_id] if isinstance(own := self.by_id.get(x), dict) and own.get("Type") == "/Catalog"]
-        self.root = catalogues[0] if catalogues else None
         self.numbers: dict[str, list[int]] = {}
-        self._walk(self.by_id[self.root].get("Pages") if catalogues else None)
+        self._walk(self.by_id[self.trailer["Root"]].get("Pages") if "Root" in self.trailer else None)
 
     def of(self, value: object) -> object:
         """What a reference stands for, other values as they are."""
-        return self.by_id.get(value) if isinstance(value, str) and _REFERENCE.match(value) else value
+        return self.by_id.get(value) if isinstance(value, str) and REFERENCE.match(value) else value
 
     def _walk(self, root: object) -> None:
         """Number the pages below ``root``; a node on its own path isn't entered again, and pages are as many as objects at most."""
@@ -197,7 +104,8 @@ class _File:
             own["ExtGState"] = {k: self.of(v) for k, v in states.items()}
         return own
 
-    def rows(self, file: str, raw: bool) -> Iterator[dict]:
+    def rows(self, file: str, raw: bool, parts: frozenset[str]) -> Iterator[dict]:
+        yield {"file": file, "id": TRAILER, "value": json.dumps(self.trailer)}
         read = set()
         for ref in self.numbers:
             contents = self.by_id[ref].get("Contents")
@@ -210,12 +118,12 @@ class _File:
             content = wrong = None
             if form and len(stream) > FORM_BYTES:
                 wrong = "form is too long to be read"
-            elif form or (stream is not None and ref in read):
-                content, wrong = decoded(stream, *_filters(own))
-            used = self.resources(self.inherited(own, "Resources") if page else own.get("Resources")) if form or page else None
+            elif "content" in parts and (form or (stream is not None and ref in read)):
+                content, wrong = decoded(stream, *filters(own))
+            used = self.resources(self.inherited(own, "Resources") if page else own.get("Resources")) if "resources" in parts and (form or page) else None
             yield {
-                "file": file, "number": number, "generation": generation, "id": ref, "value": json.dumps(value), "size_bytes": None if stream is None else len(stream),
-                "sha256": None if stream is None else hashlib.sha256(stream).hexdigest(), "content": content, "warning": wrong, "page_numbers": self.numbers.get(ref),
+                "file": file, "number": number, "generation": generation, "id": ref, "value": json.dumps(value) if "value" in parts else None, "size_bytes": None if stream is None else len(stream),
+                "sha256": None if stream is None or "sha256" not in parts else hashlib.sha256(stream).hexdigest(), "content": content, "warning": wrong, "page_numbers": self.numbers.get(ref),
                 "media_box": json.dumps(self.inherited(own, "MediaBox")) if page else None, "rotate": json.dumps(self.inherited(own, "Rotate")) if page else None,
                 "contents": json.dumps(more if isinstance(more := self.of(own.get("Contents")), list) else own.get("Contents")) if page else None,
                 "resources": None if used is None else json.dumps(used), "stream": stream if raw else None,
@@ -237,15 +145,14 @@ def _batches(rows: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_pylist(rows[at : at + BATCH], schema).to_batches()
 
 
-def _parse(batches: Iterator[pa.RecordBatch], raw: bool = False) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], raw: bool = False, parts: frozenset[str] = PARTS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:
-                if re.search(rb"/Encrypt\s+(\d+\s+\d+\s+R|<<)", data or b""):
-                    raise ValueError("encrypted")
-                rows = list(_File(data or b"").rows(file, raw))
-                if not rows:
+                own = _File(data or b"")
+                if not own.objects:
                     raise ValueError("no objects")
+                rows = list(own.rows(file, raw, parts))
             except Exception as e:  # whatever is wrong with one file, the others are read
                 rows = [{"file": file, "warning": str(e) if isinstance(e, ValueError) else f"can't be read: {type(e).__name__}"}]
             yield from _batches(rows, _ARROW)
@@ -258,13 +165,43 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return named.select(F.col("path").alias("file"), "content", F.col("length").alias("size_bytes"))
 
 
-def objects(pdfs: DataFrame, raw: bool = False) -> DataFrame:
-    """Every object of each file (columns file, content); a file that can't be read is one row with a warning and no number.
+def objects(pdfs: DataFrame, raw: bool = False, parts: frozenset[str] | set[str] = PARTS) -> DataFrame:
+    """Every object of each file (columns file, content), and its trailer, a row with id ``trailer`` and no number.
 
-    ``raw`` keeps the encoded streams, which rewriting needs. Files that a plan gathers in few partitions should be
-    repartitioned first.
+    A file that can't be read is one row with a warning and neither id nor number. ``raw`` keeps the encoded streams, which
+    rewriting needs. ``parts`` names the dear columns that are wanted; others of PARTS are null. Files that a plan
+    gathers in few partitions should be spread first.
     """
-    return pdfs.select("file", "content").mapInArrow(lambda batches: _parse(batches, raw), _OBJECTS)
+    parts = frozenset(parts)
+    return pdfs.select("file", "content").mapInArrow(lambda batches: _parse(batches, raw, parts), _OBJECTS)
+
+
+def spread(pdfs: DataFrame) -> DataFrame:
+    """``pdfs`` over as many partitions as tasks run side by side, where a scan gives fewer."""
+    tasks = pdfs.sparkSession.sparkContext.defaultParallelism
+    return pdfs.repartition(tasks) if pdfs.rdd.getNumPartitions() < tasks else pdfs
+
+
+def _revisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[dict] = []
+        for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            try:
+                found = sections(data or b"")
+            except Exception:  # a file without a whole chain has no revisions
+                found = []
+            for k, x in enumerate(reversed(found), 1):
+                used = [n for n, entry in x.entries.items() if entry[0]]
+                rows.append({"file": file, "revision": k, "kind": x.kind, "at": x.at, "used": sorted(used), "freed": sorted(n for n in x.entries if n and not x.entries[n][0])})
+        yield from _batches(rows, _REVISIONS)
+
+
+_REVISIONS = pa.schema([("file", pa.string()), ("revision", pa.int32()), ("kind", pa.string()), ("at", pa.int64()), ("used", pa.list_(pa.int64())), ("freed", pa.list_(pa.int64()))])
+
+
+def revisions(pdfs: DataFrame) -> DataFrame:
+    """Each time that a file was saved, from its cross-references: file, revision (1 is the oldest), kind (table, stream or hybrid), at (its place), and numbers of the objects used and freed."""
+    return pdfs.select("file", "content").mapInArrow(_revisions, "file string, revision int, kind string, at long, used array<bigint>, freed array<bigint>")
 
 
 def _get(path: str, of: str = "value") -> Column:
@@ -344,7 +281,7 @@ def content_operations(data: bytes) -> Iterator[tuple[str, list[str], tuple | No
     """Operator, operands and, for Do, the matrix in force: cm, q and Q up to there; a Q without its q changes nothing."""
     now, saved, operands, skip = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), [], [], 0
     numbers: list[float] = []
-    for token, after in _tokens(data):
+    for token, after in tokens(data):
         if after <= skip:
             continue
         if not isinstance(token, str) or isinstance(token, Text) or token.startswith("/") or token in _NOT_OPERATORS:
@@ -398,10 +335,17 @@ def operations(found: DataFrame, own_pages: DataFrame) -> DataFrame:
     return whole.unionByName(forms).mapInArrow(_operations, _OPERATIONS)
 
 
+def info(found: DataFrame) -> DataFrame:
+    """file, key and value of the entries of each file's Info dictionary; text as it is written, other values as JSON."""
+    asked = found.filter(F.col("id") == TRAILER).select("file", _get("Info").alias("id")).filter(F.col("id").isNotNull())
+    entries = found.filter("number is not null").join(asked, ["file", "id"]).select("file", F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+    return entries.withColumn("value", F.coalesce(F.try_element_at(F.from_json("value", "map<string,string>"), F.lit("(")), "value"))
+
+
 def names(found: DataFrame) -> DataFrame:
     """file, holder (a page or form with resources), name and id of every external object that can be named there."""
     own = found.filter("resources is not null").select("file", F.col("id").alias("holder"), F.explode(F.from_json(_get("XObject", "resources"), "map<string,string>")).alias("name", "id"))
-    return own.filter(F.col("id").rlike(_REFERENCE.pattern))
+    return own.filter(F.col("id").rlike(REFERENCE.pattern))
 
 
 def drawn(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFrame:
@@ -459,7 +403,7 @@ def warnings(found: DataFrame, own_pages: DataFrame, ops: DataFrame, shown: Data
     invocation; inline images, which are not catalogued, have the page.
     """
     none = F.lit(None)
-    whole = found.filter("number is null").select("file", none.cast("int").alias("page_number"), none.cast("string").alias("object_id"), F.col("warning").alias("message"))
+    whole = found.filter("number is null and id is null").select("file", none.cast("int").alias("page_number"), none.cast("string").alias("object_id"), F.col("warning").alias("message"))
     pages_ = _content_parts(found, own_pages).filter("warning is not null").select("file", "page_number", none.cast("string").alias("object_id"), F.concat(F.lit("page content unavailable: "), "warning").alias("message"))
     forms = shown.filter("kind = '/Form'").join(found.filter("warning is not null").select("file", "id", "warning"), ["file", "id"])
     forms = forms.select("file", "page_number", F.col("id").alias("object_id"), F.concat(F.lit("form content unavailable: "), "warning").alias("message"))

@@ -7,15 +7,15 @@ written side by side.
 from __future__ import annotations
 
 import json
-import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pdf import _REFERENCE, syntax
+from .pdf import TRAILER
+from .syntax import REFERENCE, syntax
+from .table import STORAGE
 
-_OLD = re.compile(_REFERENCE.pattern.removesuffix("$"))
 _EDITS = "map<string,string>"
 
 
@@ -89,31 +89,62 @@ def foreground_names(names: DataFrame, ops: DataFrame, boundaries: DataFrame) ->
     return names.join(after.select("file", F.col("scope").alias("holder"), "name").distinct(), ["file", "holder", "name"], "left_semi")
 
 
+def _edits(found: DataFrame) -> Column:
+    return F.col("edits") if "edits" in found.columns else F.lit(None).cast(_EDITS)
+
+
+def edges(found: DataFrame) -> DataFrame:
+    """file, id and to: what each object and the trailer (id ``trailer``) refer to, after edits."""
+    inside = F.lit(f'(?:^|")({REFERENCE.pattern.removesuffix("$")})(?:"|$)')
+    own = F.map_filter(F.from_json("value", _EDITS), lambda k, _: ~F.coalesce(F.map_contains_key("_edits", k), F.lit(False)))
+    texts = F.when(F.col("value").startswith("{"), F.concat(F.map_values(own), F.coalesce(F.array_compact(F.map_values("_edits")), F.array().cast("array<string>")))).otherwise(F.array("value"))
+    refs = F.array_distinct(F.flatten(F.transform(F.array_compact(texts), lambda x: F.regexp_extract_all(x, inside, F.lit(1)))))
+    return found.filter("value is not null").withColumn("_edits", F.coalesce(_edits(found), F.create_map().cast(_EDITS))).select("file", "id", F.explode(refs).alias("to"))
+
+
+def reachable(found: DataFrame) -> DataFrame:
+    """file and id of the objects that a file's trailer leads to over ``edges``.
+
+    The graph has cycles (a page knows its parent), so a recursive query, which has no UNION without ALL here, would not end on
+    it. Instead objects are numbered, a file's edges become one row of neighbour lists, and one expression takes steps from the
+    trailer until nothing new is reached: no job for each step, and no more rows in a task than a file has objects.
+    """
+    numbered = found.filter("number is not null or id = 'trailer'").select("file", "id")
+    numbered = numbered.groupBy("file").agg(F.array_sort(F.collect_set("id")).alias("ids")).select("file", "ids", F.posexplode("ids").alias("k", "id"))
+    ids = numbered.select("file", "id", "k")
+    found_edges = edges(found).join(ids, ["file", "id"]).withColumnRenamed("k", "a").join(ids.select("file", F.col("id").alias("to"), F.col("k").alias("b")), ["file", "to"])
+    lists = found_edges.groupBy("file", F.col("a").alias("k")).agg(F.collect_set("b").alias("next"))
+    none = F.array().cast("array<int>")
+    graph = numbered.select("file", "id", "k").join(lists, ["file", "k"], "left").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("next", none).alias("next"), "id"))).alias("nodes"))
+    start = F.array(F.array_position(F.col("nodes.id"), F.lit(TRAILER)).cast("int") - 1)
+    graph = graph.filter(F.array_contains("nodes.id", TRAILER)).select("file", F.col("nodes.id").alias("ids"), F.col("nodes.next").alias("next"), start.alias("start"))
+
+    def step(state: Column, _: Column) -> Column:
+        new = F.array_except(F.flatten(F.transform(state["new"], lambda k: F.get("next", k))), state["seen"])
+        return F.when(F.size(state["new"]) == 0, state).otherwise(F.struct(F.concat(state["seen"], new).alias("seen"), new.alias("new")))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.size("ids")), F.struct(F.col("start").alias("seen"), F.col("start").alias("new")), step)
+    return graph.select("file", F.explode(F.transform(walked["seen"], lambda k: F.get("ids", k))).alias("id")).filter(F.col("id") != TRAILER)
+
+
 def _assemble(table: pa.Table) -> pa.Table:
-    """One file of its objects; those that its catalogue doesn't reach are left out where ``pruned`` says so."""
+    """One file of its objects and what its trailer says."""
     t = table.to_pydict()
-    values, streams = {}, {}
+    values, streams, trailer = {}, {}, {}
     for number, generation, value, edits, stream in zip(*(t[c] for c in ("number", "generation", "value", "edits", "stream")), strict=True):
         own = json.loads(value)
         for key, text in edits or []:
             own.pop(key, None)
             if text is not None:
                 own[key] = json.loads(text)
+        if number is None:
+            trailer = {k: v for k, v in own.items() if k not in STORAGE}
+            continue
         if stream is not None:
             own["Length"] = len(stream)
         values[number, generation], streams[number, generation] = own, stream
-    root = next((k for k in sorted(values) if isinstance(values[k], dict) and values[k].get("Type") == "/Catalog"), None)
-    kept = set(values)
-    if t["pruned"][0] and root:
-        kept, todo = {root}, [root]
-        while todo:
-            for ref in re.findall(rf'"({_OLD.pattern})"', json.dumps(values[todo.pop()])):
-                number, generation, _ = ref.split()
-                if (key := (int(number), int(generation))) in values and key not in kept:
-                    kept.add(key)
-                    todo.append(key)
     out, offsets = bytearray(b"%PDF-1.7\n"), {}
-    for key in sorted(kept):
+    for key in sorted(values):
         offsets[key[0]] = len(out), key[1]
         out += f"{key[0]} {key[1]} obj\n{syntax(values[key])}".encode("latin-1")
         if streams[key] is not None:
@@ -123,21 +154,24 @@ def _assemble(table: pa.Table) -> pa.Table:
     out += b"xref\n0 1\n0000000000 65535 f \n"
     for number, (at, generation) in offsets.items():
         out += f"{number} 1\n{at:010d} {generation:05d} n \n".encode("ascii")
-    trailer = f"/Size {max(offsets, default=0) + 1}" + (f" /Root {root[0]} {root[1]} R" if root else "")
-    out += f"trailer\n<< {trailer} >>\nstartxref\n{start}\n%%EOF\n".encode("ascii")
+    ends = syntax({"Size": max(offsets, default=0) + 1} | trailer)
+    out += f"trailer\n{ends}\nstartxref\n{start}\n%%EOF\n".encode("latin-1")
     return pa.table({"file": t["file"][:1], "content": pa.array([bytes(out)], pa.binary()), "size_bytes": pa.array([len(out)], pa.int64())})
 
 
-def assembled(found: DataFrame, pruned: bool = True) -> DataFrame:
-    """file, content and size_bytes of the files that objects (with their raw streams, and ``edits`` if there are any) make.
+def assembled(found: DataFrame, pruned: bool = False) -> DataFrame:
+    """file, content and size_bytes of the files that objects (with their raw streams, and ``edits`` if there are any) and trailers make.
 
+    ``pruned`` leaves out what the trailer doesn't lead to. The trailer keeps its entries: the same catalogue, Info and ID.
     Cross-reference and object streams aren't carried over: their objects stand alone and the table is written anew. A
     file that couldn't be read has no objects and gives no row.
     """
-    edits = F.col("edits") if "edits" in found.columns else F.lit(None).cast(_EDITS)
     own = found.filter(F.col("number").isNotNull() & ~F.coalesce(F.get_json_object("value", "$.Type").isin("/ObjStm", "/XRef"), F.lit(False)))
-    rows = own.select("file", "number", "generation", "value", edits.alias("edits"), "stream", F.lit(pruned).alias("pruned"))
-    return rows.groupBy("file").applyInArrow(_assemble, "file string, content binary, size_bytes long")
+    if pruned:
+        own = own.join(reachable(found), ["file", "id"], "left_semi")
+    ends = found.filter(F.col("id") == TRAILER)
+    rows = [x.select("file", "number", "generation", "value", _edits(found).alias("edits"), "stream") for x in (own, ends)]
+    return rows[0].unionByName(rows[1]).groupBy("file").applyInArrow(_assemble, "file string, content binary, size_bytes long")
 
 
 def opaque_state(state: Column) -> Column:
