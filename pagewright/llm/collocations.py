@@ -1,12 +1,12 @@
 """Phrase collocations from weighted distinct pieces, counted in duckdb bucket by bucket.
 
 Texts are cut into pieces, and equal pieces of a language become one row with a multiplicity, so copies and repeated
-lines cost one row each. N-grams are counted level by level, each time over the distinct pieces: words, then pairs whose words
-are both frequent, then phrases of three and four whose pairs are all frequent (a phrase can't be more frequent than its
-parts, so nothing is lost). Which parts are frequent is a bitmap of at most 16 MB; what it lets through wrongly is counted and
-dropped by its count. A task numbers the words of its bucket of pieces and counts the n-grams in a duckdb database on disk with
-a memory limit; its counts are dealt by n-gram and summed in duckdb again, one row for each task and n-gram, so a word
-pair that is everywhere weighs no more than another.
+lines cost one row each. N-grams are counted in two passes over the distinct pieces: words, and pairs by their hash alone; then
+the phrases of two to four words whose pairs all have a frequent hash (a phrase can't be more frequent than its pairs, and a hash
+not less than its pairs, so nothing is lost). Which hashes are frequent is a bitmap of at most 16 MB; what it lets through
+wrongly is counted and dropped by its count. A task numbers the words of its bucket of pieces and counts the n-grams in a
+duckdb database on disk with a memory limit; its counts are dealt by n-gram and summed in duckdb again, one row for each
+task and n-gram, so a word pair that is everywhere weighs no more than another.
 
 A candidate needs the counts of its parts for each cut: it sends a request for each part, and requests and counts meet by a
 shuffled join. Candidates of each language are ranked within shares first, then what is left.
@@ -44,6 +44,8 @@ TOP = 2000
 #: Where texts are cut into pieces, and what is between words.
 CUTS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 
+#: Pieces whose words a task looks at together.
+CHUNK = 100_000
 #: duckdb's memory in a task; it spills beyond it.
 MEMORY = "256MB"
 #: Shares that a language's candidates are ranked in first.
@@ -92,43 +94,64 @@ def _marked(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _counted(level: int, frequent: Broadcast | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams of a bucket of pieces: words at level 1, pairs at level 2, longer ones at level 3, with their weighted counts."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of ``batches``, CHUNK or a little more at a time, so that a chunk's words are looked up once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= CHUNK:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
+def _counted(frequent: Broadcast | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of a bucket of pieces with their weighted counts.
+
+    Without ``frequent`` these are words, and pairs by hash only; with that bitmap, phrases whose pairs are all in it.
+    """
     marks = np.frombuffer(frequent.value, np.uint8) if frequent else None
     step = np.uint64(_STEP)
     with tempfile.TemporaryDirectory() as folder, _database(folder) as db:
         words = _Words()
         db.execute("create table grams (a int, b int, c int, d int, k bigint)")
-        for batch in batches:
-            lists = pc.split_pattern(batch.column("piece"), " ")
+        db.execute("create table pairs (h bigint, k bigint)")
+        for chunk in _chunks(batches):
+            lists = pc.split_pattern(_one(chunk.column("piece")), " ")
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            owner = np.repeat(np.arange(batch.num_rows), sizes)
-            weight = batch.column("k").to_numpy(zero_copy_only=False)[owner]
-            number = words.numbers(pc.binary_join_element_wise(batch.column("lang").take(pa.array(owner)), lists.flatten(), "\t"))
-            together, pair = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
-            together[:-1] = owner[1:] == owner[:-1]
+            owner = np.repeat(np.arange(chunk.num_rows), sizes)
+            weight = chunk.column("k").to_numpy()[owner]
+            number = words.numbers(pc.binary_join_element_wise(_one(chunk.column("lang")).take(pa.array(owner)), lists.flatten(), "\t"))
+            pair = np.zeros(len(owner), bool)
+            pair[:-1] = owner[1:] == owner[:-1]
             h = words.hashes[number]
-            if level == 1:
-                found = [np.ones(len(owner), bool)]
-            elif level == 2:
-                known = _marked(marks, h)
-                pair[:-1] = together[:-1] & known[:-1] & known[1:]
-                found = [pair]
+            both = h[:-1] * step + h[1:]
+            if marks is None:
+                here = np.nonzero(pair)[0]
+                db.register("new", pa.table([both[here].view(np.int64), weight[here]], ["h", "k"])).execute("insert into pairs select * from new")
+                found = [(1, np.ones(len(owner), bool))]
             else:
-                pair[:-1] = together[:-1] & _marked(marks, h[:-1] * step + h[1:])
+                pair[:-1] &= _marked(marks, both)
                 three, four = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
                 three[:-1] = pair[:-1] & pair[1:]
                 four[:-2] = three[:-2] & pair[2:]
-                found = [three, four]
-            for n, here in enumerate(found, level):
+                found = [(2, pair), (3, three), (4, four)]
+            for n, here in found:
                 at = np.nonzero(here)[0]
                 columns = [number[at + i] if i < n else np.full(len(at), -1, np.int32) for i in range(LONGEST)]
                 db.register("new", pa.table([*columns, weight[at]], ["a", "b", "c", "d", "k"])).execute("insert into grams select * from new")
+        for batch in db.sql("select h, sum(k)::bigint as f from pairs group by h").to_arrow_reader(20_000):
+            none, n = pa.nulls(batch.num_rows, pa.string()), pa.array(np.full(batch.num_rows, 2, np.int32))
+            yield pa.RecordBatch.from_arrays([none, none, n, *batch.columns], ["lang", "phrase", "words", "h", "f"])
         keys = pa.array(list(words.number), pa.string())
         split = pc.split_pattern(keys, "\t", max_splits=1, reverse=True) if len(keys) else pa.array([], pa.list_(pa.string()))
         langs, texts = pc.list_element(split, 0), pc.list_element(split, 1)
-        counts = db.sql("select a, b, c, d, sum(k)::bigint as f from grams group by a, b, c, d").to_arrow_reader(20_000)
-        for batch in counts:
+        for batch in db.sql("select a, b, c, d, sum(k)::bigint as f from grams group by a, b, c, d").to_arrow_reader(20_000):
             codes = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(LONGEST)]
             length = sum((c >= 0).astype(np.int32) for c in codes)
             for n in np.unique(length):
@@ -143,19 +166,22 @@ def _counted(level: int, frequent: Broadcast | None, batches: Iterator[pa.Record
 
 
 def _summed(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams of a bucket of partial counts with ``least`` occurrences or more."""
+    """The n-grams of a bucket of partial counts with ``least`` occurrences or more, and all words; pairs without a phrase are those of a hash."""
     with tempfile.TemporaryDirectory() as folder, _database(folder) as db:
         db.execute("create table parts (lang varchar, phrase varchar, words int, h bigint, f bigint)")
+        db.execute("create table pairs (h bigint, f bigint)")
         for batch in batches:
-            db.register("new", pa.table(batch)).execute("insert into parts select lang, phrase, words, h, f from new")
-        sums = f"select lang, phrase, any_value(words) as words, any_value(h) as h, sum(f)::bigint as f from parts group by lang, phrase having sum(f) >= {least:d}"
+            db.register("new", pa.table(batch)).execute("insert into pairs select h, f from new where phrase is null")
+            db.execute("insert into parts select lang, phrase, words, h, f from new where phrase is not null")
+        yield from db.sql(f"select null::varchar as lang, null::varchar as phrase, 2::int as words, h, sum(f)::bigint as f from pairs group by h having sum(f) >= {least:d}").to_arrow_reader(20_000)
+        sums = f"select lang, phrase, words, any_value(h) as h, sum(f)::bigint as f from parts group by lang, phrase, words having words = 1 or sum(f) >= {least:d}"
         yield from db.sql(sums).to_arrow_reader(20_000)
 
 
-def _level(distinct: DataFrame, level: int, least: int, frequent: Broadcast | None) -> DataFrame:
-    """The n-grams of a level with ``least`` occurrences or more, as a written table."""
-    parts = distinct.mapInArrow(functools.partial(_counted, level, frequent), _COUNTS)
-    return written(parts.repartition("lang", "phrase").mapInArrow(functools.partial(_summed, least), _COUNTS), f"ngrams-{level}")
+def _pass(distinct: DataFrame, least: int, frequent: Broadcast | None, name: str) -> DataFrame:
+    """What ``_counted`` finds, summed over all buckets, as a written table. Equal n-grams have equal hashes."""
+    parts = distinct.mapInArrow(functools.partial(_counted, frequent), _COUNTS)
+    return written(parts.repartition("h").mapInArrow(functools.partial(_summed, least), _COUNTS), name)
 
 
 def _marks(frequent: DataFrame) -> Broadcast:
@@ -170,12 +196,11 @@ def _marks(frequent: DataFrame) -> Broadcast:
 def ngrams(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, words and f of the phrases of one to four words with ``least`` occurrences or more, and lang and n, its words."""
     distinct = written(pieces(docs), "pieces")
-    all_words = _level(distinct, 1, 1, None)
-    words = all_words.filter(F.col("f") >= least)
-    pairs = _level(distinct, 2, least, _marks(words))
-    longer = _level(distinct, 3, least, _marks(pairs))
-    counts = words.unionByName(pairs).unionByName(longer).select("lang", "phrase", "words", "f")
-    return written(counts, "ngrams"), written(all_words.groupBy("lang").agg(F.sum("f").alias("n")), "words-by-language")
+    first = _pass(distinct, least, None, "words-and-pairs")
+    words = first.filter("phrase is not null")
+    longer = _pass(distinct, least, _marks(first.filter("phrase is null")), "phrases")
+    counts = words.filter(F.col("f") >= least).unionByName(longer).select("lang", "phrase", "words", "f")
+    return written(counts, "ngrams"), written(words.groupBy("lang").agg(F.sum("f").alias("n")), "words-by-language")
 
 
 def _part(first: str, size: str) -> Column:
