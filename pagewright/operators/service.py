@@ -63,6 +63,43 @@ def activate(purchases: DataFrame, activations: DataFrame, requests: DataFrame,
     )
 
 
+#: Shares that a key's new devices are ranked in first.
+SHARES = 16
+
+
+def allocated(purchases: DataFrame, activations: DataFrame, requests: DataFrame, limit: int = ACTIVATIONS) -> DataFrame:
+    """The state that each request (request_id, key, device, version, at) of a batch meets, in order of at and request_id, and ``active``, the devices active right after it.
+
+    A device that is active already, or becomes so by an earlier request of the batch, needs no slot; free slots go to new
+    devices in the order of their first fitting request. So a device's answer is that of its first fitting request: one
+    aggregation finds those, and a key's first ones are ranked within shares and then over them, so that a key with most
+    of the requests is no task's burden. Equal requests are answered alike; those of unknown keys are INVALID.
+    """
+    held = activations.filter("deactivated_at is null").select("key", "device").distinct()
+    counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("before"))
+    known = purchases.select("key", entitlement(F.col("status"), F.col("revoked_at")).alias("entitled"), F.col("version").alias("bought")).join(counts, "key", "left")
+    own = requests.select("request_id", "key", "device", "version", "at").join(known, "key", "left").join(held.withColumn("held", F.lit(True)), ["key", "device"], "left")
+    same = F.coalesce(F.split("version", r"\.")[0] == F.split("bought", r"\.")[0], F.lit(False))
+    judged = own.withColumn("refused", F.when(F.coalesce("entitled", F.lit("INVALID")) != "ACTIVE", F.coalesce("entitled", F.lit("INVALID"))).when(~same, "ENTITLEMENT_MISMATCH"))
+    judged = judged.withColumn("before", F.coalesce("before", F.lit(0)))
+    asked = judged.filter("refused is null and held is null and device is not null").groupBy("key", "device").agg(F.min(F.struct("at", "request_id")).alias("first"), F.first("before").alias("before"))
+    order = Window.partitionBy("key", F.pmod(F.xxhash64("device"), F.lit(SHARES))).orderBy("first", "device")
+    some = asked.withColumn("slot", F.row_number().over(order)).filter(F.col("slot") <= limit)
+    slots = some.withColumn("slot", F.col("before") + F.row_number().over(Window.partitionBy("key").orderBy("first", "device"))).filter(F.col("slot") <= limit)
+    given = slots.groupBy("key").agg(F.array_sort(F.collect_list("first")).alias("given"))  # at most as many as the limit
+    answers = judged.join(slots.select("key", "device", "slot"), ["key", "device"], "left").join(given, "key", "left")
+    taken = F.size(F.filter(F.coalesce("given", F.array().cast(dict(slots.select(F.array("first").alias("x")).dtypes)["x"])), lambda x: x <= F.struct("at", "request_id")))
+    state = F.coalesce("refused", F.when(F.col("held") | F.col("slot").isNotNull(), "ACTIVE"), F.lit("ACTIVATION_LIMIT_REACHED"))
+    return answers.select("request_id", "key", "device", state.alias("state"), (F.col("before") + taken).cast("long").alias("active"))
+
+
+def activated(activations: DataFrame, answers: DataFrame) -> DataFrame:
+    """key, device and deactivated_at of the activations after a batch: devices that were answered ACTIVE are inserted or active again."""
+    new = answers.filter("state = 'ACTIVE'").select("key", "device").distinct()
+    kept = activations.select("key", "device", "deactivated_at").join(new, ["key", "device"], "left_anti")
+    return kept.unionByName(new.withColumn("deactivated_at", F.lit(None).cast(dict(activations.dtypes)["deactivated_at"])))
+
+
 def verified(activations: DataFrame, purchases: DataFrame, requests: DataFrame) -> DataFrame:
     """The state that each request (activation_id, token) to verify meets: INVALID unless the token's SHA-256 is the active activation's.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..operators import merging, ordered, planning, service
 from ..operators import snapshots as S
 from ..sources import publish
 from ..streaming import events as E
+from ..streaming import purchases as P
 from ..tables import shared_dir
 from .registry import query as _query
 from .registry import read as _read
@@ -375,6 +378,27 @@ def activation_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.activate(purchases, activations.withColumnRenamed("activation_id", "device"), asked, limit=4)
 
 
+@_query(f"""
+with {_SERVICE}, h as (select distinct o_custkey % 50 as key, o_orderkey % 17 as device from orders where o_orderkey % 29 = 0),
+     b as (select key, count(*) as n from h group by key),
+     q as (select o_orderkey as request_id, o_custkey % 50 as key, o_orderkey % 31 as device, case when o_orderkey % 8 = 0 then '2.1' else '1.9' end as version, o_orderdate as t from orders),
+     j as (select q.*, coalesce(b.n, 0) as n, h.key is not null as held, case when p.key is null then 'INVALID' when revoked_at is not null then 'REVOKED' when status <> 'paid' then 'INVALID' when version = '2.1' then 'ENTITLEMENT_MISMATCH' end as refused
+           from q left join p using (key) left join b using (key) left join h on h.key = q.key and h.device = q.device),
+     f as (select key, device, any_value(n) as n, min((t, request_id)) as o from j where refused is null and not held group by all),
+     s as (select *, n + row_number() over (partition by key order by o) as slot from f qualify slot <= 9)
+select request_id, j.key, j.device, coalesce(refused, case when held or slot is not null then 'ACTIVE' else 'ACTIVATION_LIMIT_REACHED' end) as state,
+       (j.n + (select count(*) from s as x where x.key = j.key and x.o <= (j.t, j.request_id)))::bigint as active
+from j left join s on s.key = j.key and s.device = j.device
+""")
+def activation_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with many requests for each purchase, from devices that ask again, for nine slots."""
+    _, purchases, _ = _service(spark, sf_dir)
+    orders, key = _read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    held = orders.filter(key % 29 == 0).select((F.col("o_custkey") % 50).alias("key"), (key % 17).alias("device"), F.lit(None).cast("int").alias("deactivated_at"))
+    requests = orders.select(key.alias("request_id"), (F.col("o_custkey") % 50).alias("key"), (key % 31).alias("device"), F.when(key % 8 == 0, "2.1").otherwise("1.9").alias("version"), F.col("o_orderdate").alias("at"))
+    return service.allocated(purchases, held, requests, limit=9)
+
+
 @_query("""
 with l as (select user_id, (ts, event_id) as o, case event_id % 97 when 0 then 'INVALID' when 1 then 'REVOKED' else case when event_id % 3 = 0 then 'fine' else 'failed' end end as k from events),
      e as (select user_id, arg_min(k, o) as state, min(o) as o from l where k in ('INVALID', 'REVOKED') group by user_id),
@@ -393,8 +417,6 @@ def revalidation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(rows: DataFrame, name: str, parts: int) -> tuple[DataFrame, str]:
     """``rows`` as a stream of files, and a folder for its output; the files are written to the shared folder first."""
-    import uuid
-
     folder = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
     rows.repartition(parts).write.parquet(f"{folder}/in")
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
@@ -405,10 +427,39 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted events of a stream that delivers some of them twice, in several batches, once each."""
     events = _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     stream, folder = _streamed(events.unionByName(events.filter("event_id % 3 = 0")), "events", 4)
-    sink = E.ingest(f"{folder}/out", "event_id")
-    run = E.accepted(stream, "event_type", ["purchase", "signup"]).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run = E.ingested(E.accepted(stream, "event_type", ["purchase", "signup"]), "event_id", f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "event_type")
+
+
+_EVENTS = """p as (select o_orderkey::varchar as id, (o_custkey % 40)::varchar as key, case when o_orderkey % 4 = 0 then 'purchase' else 'refund' end as kind, o_orderkey % 4 <> 3 as whole, o_orderdate::timestamp as t,
+                  case when o_orderkey % 5 < 2 then 1 else 2 end as part from orders)"""
+
+
+@_query(f"""
+with {_EVENTS}, e as (select * from p union all select id, key, kind, whole, t, 2 from p where part = 1 and id::bigint % 3 = 0),
+     n as (select *, row_number() over (partition by key, id order by part) as seen, row_number() over (partition by key order by part, t, id) as i from e),
+     b as (select key, min(i) as bought from n where seen = 1 and kind = 'purchase' group by key),
+     o as (select n.*, case when seen > 1 then 'duplicate' when kind = 'purchase' then case when i = bought then 'recorded' else 'known' end when not whole then 'noted'
+                            when bought is null or i < bought then 'waiting' else 'revoked' end as outcome from n left join b using (key))
+select key, outcome, count(*) as events, min(id) as first_id, max(id) as last_id from o group by all
+""")
+def stream_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of purchases and refunds that come in two runs, the second from the first one's checkpoint with some events again."""
+    key = F.col("o_orderkey")
+    kind = F.when(key % 4 == 0, "purchase").otherwise("refund")
+    events = _read(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 40).cast("string").alias("key"), key.cast("string").alias("event_id"), kind.alias("kind"), (key % 4 != 3).alias("full"), F.col("o_orderdate").cast("timestamp").alias("at"), F.when(key % 5 < 2, 1).otherwise(2).alias("part"),
+    )
+    first, second = (events.filter(F.col("part") == i).drop("part") for i in (1, 2))
+    P.keep_state(spark)
+    folder = f"{shared_dir(spark)}/purchases-{uuid.uuid4().hex}"
+    for rows in (first, second.unionByName(first.filter("event_id % 3 = 0"))):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        run = P.purchases(stream, late="9000 days", remember_days=30_000).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("key", "outcome").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
 @_query("""

@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.service import ATTEMPTS, WINDOW_S, refunded, unseen
+from ..operators.service import ATTEMPTS, WINDOW_S, refunded
 
 #: The kinds of events that have an effect.
 ACCEPTED = ["checkout.session.completed", "checkout.session.async_payment_succeeded", "charge.refunded"]
@@ -25,22 +26,27 @@ def once(events: DataFrame, id: str, at: str, within: str = "7 days") -> DataFra
     return events.withWatermark(at, within).dropDuplicatesWithinWatermark([id])
 
 
-def ingest(spark_path: str, id: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that appends events with unseen ids to a table of files and can be replayed."""
+def ingest(path: str, id: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink that writes each batch to a folder of its own, so that a batch that runs again replaces what it left.
+
+    It reads nothing that was written before: that ids come once over batches is the stream's state's work (``ingested``).
+    """
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        try:
-            seen = spark.read.schema(batch.schema).parquet(spark_path).select(id)
-        except Exception as e:  # the first batch has no table to read
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            seen = batch.limit(0).select(id)
-        unseen(batch, seen, id).write.mode("append").parquet(spark_path)
+        batch.dropDuplicates([id]).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return sink
 
 
+def ingested(events: DataFrame, id: str, path: str, checkpoint: str) -> DataStreamWriter:
+    """A stream to be started that writes the rows of ``events`` with new ids under ``path``, each id once.
+
+    Ids are state by key: a task holds those of its share, and a batch looks up its own ids only. They are kept for good, as
+    replays may come at any time; ``once`` forgets them after some event time.
+    """
+    return events.dropDuplicates([id]).writeStream.foreachBatch(ingest(path, id)).option("checkpointLocation", checkpoint)
+
+
 def refund(purchases: DataFrame, batch: DataFrame) -> DataFrame:
     """Purchases after a batch of refund events (key, amount, total, at): one that covers the total is full."""
     return refunded(purchases, batch.select("key", (F.col("amount") >= F.col("total")).alias("full"), "at"))
