@@ -7,12 +7,15 @@ stop a job: encrypted files, files without objects, broken object streams, filte
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.documents import violations
 from ..operators import snapshots as S
-from ..sources import pdf, rewrite
-from ..tables import written
+from ..sources import formats, pdf, report, rewrite
+from ..tables import shared_dir, written
 from .registry import query as _query
 from .registry import read as _read
 
@@ -225,3 +228,43 @@ select file, '3 0 R' as holder, 'G1' as name, doc_id % 2 = 0 as opaque from d wh
 """)
 def pdf_graphics_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.states(pdf.objects(_files(spark, sf_dir), parts={"resources"}))
+
+
+@_query(f"""
+with {_DOCS}, r as (select file, d.doc_id, doc_id % 11 = 0 as cut, doc_id % 2 = 0 as twin, octet_length(encode(text)) + octet_length(encode(text || case when doc_id % 2 = 0 then '' else 'x' end)) as n, octet_length(encode(lang)) as a from d where good)
+select file, 0::bigint as violations, 2::bigint as page_count, n::bigint as image_bytes, (10000000 - n - a)::bigint as unknown_bytes, '10 0 R,11 0 R' as images, '150,200,300,600,96' as target_keys, true as null_kept,
+       case when twin then '10 0 R' end as duplicate_of, case when cut then '2,0' else '2,2' end as counts, 2.0 * (doc_id % 5000 + 1) * 72.0 / (50.0 + doc_id % 100) as twice_dpi_x, '13 0 R' as embedded,
+       case when cut then 1 when doc_id % 7 = 0 then 1 else 0 end::bigint as warnings
+from r
+""")
+def inspection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document for each file that can be read, valid under the report's schema; columns are read from the JSON."""
+    files = written(_files(spark, sf_dir), "files")
+    text = written(report.reports(files, pdf.inspected(files)).select("file", report.as_json(F.col("report")).alias("j")), "reports")
+    v = F.parse_json("j")
+    get = lambda path, kind: F.variant_get(v, path, kind)
+    large = F.expr("element_at(array_sort(transform(variant_get(parse_json(j), '$.images[0].placements', 'array<variant>'), x -> variant_get(x, '$.effective_dpi_x', 'double'))), 1)")
+    return text.select(
+        "file", F.size(violations(v, report.SCHEMA)).cast("long").alias("violations"), get("$.file.page_count", "long").alias("page_count"), get("$.summary.image_bytes", "long").alias("image_bytes"), get("$.summary.unknown_bytes", "long").alias("unknown_bytes"),
+        F.expr("array_join(transform(variant_get(parse_json(j), '$.images', 'array<variant>'), x -> variant_get(x, '$.id', 'string')), ',')").alias("images"),
+        F.array_join(F.json_object_keys(F.get_json_object("j", "$.images[0].placements[0].target_analysis")), ",").alias("target_keys"), F.col("j").contains('"colour_space":null').alias("null_kept"),
+        get("$.images[1].duplicate_of", "string").alias("duplicate_of"), F.concat(get("$.images[0].reference_count", "string"), F.lit(","), get("$.images[1].reference_count", "string")).alias("counts"),
+        (2 * large).alias("twice_dpi_x"), get("$.embedded_files[0].id", "string").alias("embedded"), F.size(get("$.warnings", "array<variant>")).cast("long").alias("warnings"),
+    )
+
+
+@_query(f"""
+with {_DOCS}
+select file, 13 + (doc_id % 19 = 4)::int as objects, 2::bigint as pages, octet_length(encode(text))::bigint as image_bytes, sha256(text) as image_sha256 from d where good
+""")
+def document_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that can be read, written by the format ``document_files`` and read by ``document_objects``."""
+    formats.register(spark)
+    files = written(_files(spark, sf_dir), "files")
+    good = pdf.objects(files, parts=set()).filter("id = 'trailer'").select("file")
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    files.select("file", "content").join(good, "file").write.format("document_files").mode("append").save(folder)
+    found = spark.read.format("document_objects").load(folder.removeprefix("file://"))
+    image = F.col("id") == "10 0 R"
+    own = found.groupBy(F.element_at(F.split("file", "/"), -1).alias("file")).agg(F.count("number").alias("objects"), F.count("page_numbers").alias("pages"), F.max(F.when(image, F.col("size_bytes"))).alias("image_bytes"), F.max(F.when(image, F.col("sha256"))).alias("image_sha256"))
+    return own
