@@ -88,6 +88,22 @@ class _Model:
         self.high += np.bincount(block + (ids >> 8), minlength=self.high.size).reshape(self.high.shape)
         self.low += np.bincount(block + (ids & 255), minlength=self.low.size).reshape(self.low.shape)
 
+    def intervals(self, block: np.ndarray, joint: np.ndarray, outcome: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of each id's interval in the mixture, in 2 ** 36 parts."""
+        weights = block * _JOINT + joint
+        first, second = self.first[weights], self.second[weights]
+        begin = np.where(outcome == 0, 0, np.where(outcome == 1, first, second))
+        size = np.where(outcome == 0, first, np.where(outcome == 1, second - first, _PARTS - second))
+        c, f = begin << 24, size << 24
+        plain = np.nonzero(outcome == 2)[0]
+        row, high, low, size = block[plain] * 257, ids[plain] >> 8, ids[plain] & 255, size[plain]
+        h, l = self.high_starts.ravel(), self.low_starts.ravel()  # noqa: E741
+        hs, ls = h[row + high], l[row + low]
+        hw, lw = h[row + high + 1] - hs, l[row + low + 1] - ls
+        c[plain] += size * ((hs << 12) + hw * ls)
+        f[plain] = size * hw * lw
+        return c, f
+
     def renew(self) -> None:
         self.first, self.second = _bounds(self.outcomes)
         self.high_starts, self.low_starts = _starts(self.high), _starts(self.low)
@@ -98,80 +114,75 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     sizes = np.array([len(x) for x in blocks])
     by_size = np.argsort(-sizes, kind="stable")
     n = sizes[by_size]
-    ids = np.zeros((len(blocks), int(n[0])), np.int32)
+    ids = np.zeros((len(blocks), int(n[0])), np.uint16)
     for row, k in enumerate(by_size):
         ids[row, : n[row]] = blocks[k]
-    last, before = np.zeros_like(ids), np.zeros_like(ids)
-    last[:, 1:], before[:, 2:] = ids[:, :-1], ids[:, :-2]
-    one, two = _slots(last.astype(np.int64), before.astype(np.int64))
-    (guess_1, sure_1), (guess_2, sure_2) = _predictions(ids, one.astype(np.uint16)), _predictions(ids, two.astype(np.uint16))
-    joint = sure_2 * 4 + sure_1 + 16 * (guess_1 == guess_2)
-    outcome = np.where((sure_2 > 0) & (guess_2 == ids), 0, np.where((sure_1 > 0) & (guess_1 == ids), 1, 2)).astype(np.uint8)
-    del last, before, one, two, guess_1, guess_2, sure_1, sure_2
-    start, width = np.zeros(ids.shape[::-1], np.uint64), np.zeros(ids.shape[::-1], np.uint64)
-    model = _Model(len(blocks))
+    joint, outcome = np.empty(ids.shape, np.uint8), np.empty(ids.shape, np.uint8)
+    for i in range(0, len(blocks), 64):
+        joint[i : i + 64], outcome[i : i + 64] = _foreseen(ids[i : i + 64].astype(np.int32))
+    model, coder = _Model(len(blocks)), _Coder(len(blocks), ids.shape[1])
     for at, until in zip(RENEWED, [*RENEWED[1:], BLOCK], strict=True):
-        until = min(until, ids.shape[1])
-        if at >= until:
-            break
-        model.renew()
-        block, place = np.nonzero(np.arange(at, until)[None, :] < n[:, None])
-        place += at
-        j, o, x = joint[block, place].astype(np.int64), outcome[block, place], ids[block, place].astype(np.int64)
-        weights = block * _JOINT + j
-        first, second = model.first[weights], model.second[weights]
-        begin = np.where(o == 0, 0, np.where(o == 1, first, second))
-        size = np.where(o == 0, first, np.where(o == 1, second - first, _PARTS - second))
-        c, f = begin << 24, size << 24
-        plain = np.nonzero(o == 2)[0]
-        row, high, low, size = block[plain] * 257, x[plain] >> 8, x[plain] & 255, size[plain]
-        h, l = model.high_starts.ravel(), model.low_starts.ravel()
-        hs, ls = h[row + high], l[row + low]
-        hw, lw = h[row + high + 1] - hs, l[row + low + 1] - ls
-        c[plain] += size * ((hs << 12) + hw * ls)
-        f[plain] = size * hw * lw
-        start[place, block], width[place, block] = c, f
-        model.learn(j, o.astype(np.int64), block, x)
-    out = _coded(start, width, n)
+        if at < ids.shape[1]:
+            model.renew()
+            for a in range(at, min(until, ids.shape[1]), 128):
+                z = min(a + 128, until, ids.shape[1])
+                block, place = np.nonzero(np.arange(a, z)[None, :] < n[:, None])
+                j, o, x = (m[block, place + a].astype(np.int64) for m in (joint, outcome, ids))
+                start, width = np.zeros((z - a, len(blocks)), np.uint64), np.zeros((z - a, len(blocks)), np.uint64)
+                start[place, block], width[place, block] = model.intervals(block, j, o, x)
+                coder.put(start, width, np.searchsorted(-n, -np.arange(a, z), side="left"))
+                model.learn(j, o, block, x)
+    out = coder.words()
     result: list[bytes] = [b""] * len(blocks)
     for row, k in enumerate(by_size):
         result[k] = out[row]
     return result
 
 
-def _coded(start: np.ndarray, width: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """The words for intervals (start, width) of 2 ** 36 parts, a row for each place and a column for each block."""
-    lanes = len(n)
-    words = np.zeros((lanes, 3 * len(start) + 4), np.uint16)
-    flat, line = words.ravel(), np.arange(lanes) * words.shape[1]
-    used = np.zeros(lanes, np.int64)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
-    live = np.searchsorted(-n, -np.arange(len(start)), side="left")  # blocks with more ids than the place
-    for at, b in enumerate(live):
-        part = span[:b] >> _SHIFT
-        add = start[at, :b] * part
-        low[:b] += add
-        over = np.nonzero(low[:b] < add)[0]
-        while over.size:  # a carry goes into the words before
-            k = line[over] + used[over] - 1
-            flat[k] += 1
-            step = 2
-            over = over[flat[k] == 0]
-            while over.size:
+def _foreseen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joint confidence and outcome (0: order 2 foresaw the id, 1: order 1 did, 2: neither) at each place of some blocks."""
+    last, before = np.zeros(ids.shape, np.int64), np.zeros(ids.shape, np.int64)
+    last[:, 1:], before[:, 2:] = ids[:, :-1], ids[:, :-2]
+    one, two = _slots(last, before)
+    (guess_1, sure_1), (guess_2, sure_2) = _predictions(ids, one.astype(np.uint16)), _predictions(ids, two.astype(np.uint16))
+    outcome = np.where((sure_2 > 0) & (guess_2 == ids), 0, np.where((sure_1 > 0) & (guess_1 == ids), 1, 2))
+    return sure_2 * 4 + sure_1 + 16 * (guess_1 == guess_2), outcome
+
+
+class _Coder:
+    """The words of some blocks, a lane each, for intervals of 2 ** 36 parts."""
+
+    def __init__(self, lanes: int, places: int):
+        self.size = 3 * places + 4
+        self.flat, self.line = np.zeros(lanes * self.size, np.uint16), np.arange(lanes) * self.size
+        self.used = np.zeros(lanes, np.int64)
+        self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
+
+    def put(self, start: np.ndarray, width: np.ndarray, live: np.ndarray) -> None:
+        """Code a row of intervals (start, width) after the other, each for the first ``live`` lanes."""
+        flat, line, used, low, span = self.flat, self.line, self.used, self.low, self.span
+        for at, b in enumerate(live):
+            part = span[:b] >> _SHIFT
+            add = start[at, :b] * part
+            low[:b] += add
+            over, step = np.nonzero(low[:b] < add)[0], 1
+            while over.size:  # a carry goes into the words before
                 k = line[over] + used[over] - step
                 flat[k] += 1
                 over, step = over[flat[k] == 0], step + 1
-        np.multiply(width[at, :b], part, out=span[:b])
-        short = np.nonzero(span[:b] < _LEAST)[0]
-        while short.size:
-            flat[line[short] + used[short]] = low[short] >> np.uint64(48)
-            used[short] += 1
-            low[short] <<= _WORD
-            span[short] <<= _WORD
-            short = short[span[short] < _LEAST]
-    for k in range(4):
-        flat[line + used + k] = (low >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)
-    return [words[i, : used[i] + 4].astype("<u2").tobytes() for i in range(lanes)]
+            np.multiply(width[at, :b], part, out=span[:b])
+            short = np.nonzero(span[:b] < _LEAST)[0]
+            while short.size:
+                flat[line[short] + used[short]] = low[short] >> np.uint64(48)
+                used[short] += 1
+                low[short] <<= _WORD
+                span[short] <<= _WORD
+                short = short[span[short] < _LEAST]
+
+    def words(self) -> list[bytes]:
+        for k in range(4):
+            self.flat[self.line + self.used + k] = (self.low >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)
+        return [self.flat[i : i + k + 4].astype("<u2").tobytes() for i, k in zip(self.line.tolist(), self.used.tolist(), strict=True)]
 
 
 def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
@@ -180,7 +191,7 @@ def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     by_size = np.argsort(-given, kind="stable")
     n, lanes = given[by_size], len(sizes)
     most = max(len(x) for x in coded) // 2 + 8
-    words = np.zeros((lanes, most), np.uint64)
+    words = np.zeros((lanes, most), np.uint16)
     for row, k in enumerate(by_size):
         w = np.frombuffer(coded[k], "<u2")
         words[row, : len(w)] = w
@@ -190,7 +201,7 @@ def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         code = (code << _WORD) | words[line + k]
     span = np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
     places = int(n[0])
-    ids, joints, outcomes = np.zeros((places, lanes), np.int64), np.zeros((places, lanes), np.int64), np.zeros((places, lanes), np.int64)
+    ids, joints, outcomes = np.zeros((places, lanes), np.uint16), np.zeros((places, lanes), np.uint8), np.zeros((places, lanes), np.uint8)
     seen_1, seen_2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)  # id * 4 + confidence
     base, weights_at, table_at = np.arange(lanes) * SLOTS, np.arange(lanes) * _JOINT, np.arange(lanes) * 257
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -201,9 +212,10 @@ def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     for at, b in enumerate(live):
         if at in renewed:
             if at:
-                place, block = np.nonzero(np.arange(lanes)[None, :] < live[model_at:at, None])
-                place += model_at
-                model.learn(joints[place, block], outcomes[place, block], block, ids[place, block])
+                for begin in range(model_at, at, 128):
+                    until = min(begin + 128, at)
+                    place, block = np.nonzero(np.arange(lanes)[None, :] < live[begin:until, None])
+                    model.learn(*(m[place + begin, block].astype(np.int64) for m in (joints, outcomes)), block, ids[place + begin, block].astype(np.int64))
                 model_at = at
             model.renew()
             first, second = model.first, model.second
@@ -257,7 +269,7 @@ def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         ids[at, :b], joints[at, :b], outcomes[at, :b] = x, joint, outcome
         before, last = last[:b], x
     result: list[np.ndarray] = [np.zeros(0, np.uint16)] * lanes
-    by_block = ids.T.astype(np.uint16)
+    by_block = np.ascontiguousarray(ids.T)
     for row, k in enumerate(by_size):
         result[k] = by_block[row, : n[row]]
     return result

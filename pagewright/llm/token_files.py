@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -27,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,8 +41,8 @@ from .store import shared_dir, small, written
 END_ID = 0
 #: Blocks coded side by side, and held by a task.
 LANES = 1024
-#: Stretches of text whose ids a task keeps. The first ones met are kept, so the frequent ones are.
-KEPT = 300_000
+#: Stretches of text whose ids a worker keeps, from task to task: about 80 MB. The first ones met are kept, so the frequent ones are.
+KEPT = 600_000
 #: Longer stretches are encoded each time.
 LONGEST_KEPT = 48
 
@@ -56,7 +56,8 @@ class Encoder:
     """The ids that the library gives a text, with a memory of stretches.
 
     The vocabulary's pattern never joins two of these stretches (a run without white space and one space before
-    it, or white space), so a text's ids are its stretches' ids one after the other.
+    it, or white space), so a text's ids are its stretches' ids one after the other. New stretches go to the library as
+    lines of one text; a line feed is a word of its own there, and none is in them.
     """
 
     def __init__(self, path: str):
@@ -65,29 +66,41 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.line_feed = self.library.encode("\n", add_special_tokens=False).ids
         space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-        self.stretches = regex.compile(f" ?[^{space}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+        self.stretches = re.compile(f" ?[^{space}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+        self.blank = re.compile(f"[{space}]").match
         self.known: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u2").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _new(self, stretches: list[str]) -> dict[str, bytes]:
+        """The ids of new stretches, a few hundred in one call."""
+        words = [s for s in stretches if not self.blank(s[1:] if s[0] == " " else s)] if len(self.line_feed) == 1 else []
+        found: dict[str, bytes] = {}
+        for i in range(0, len(words), 512):
+            own = words[i : i + 512]
+            ids = np.frombuffer(self._ids(["\n".join(own)])[0], "<u2")
+            at = np.nonzero(ids == self.line_feed[0])[0].tolist()
+            if len(at) == len(own) - 1:
+                data = ids.tobytes()
+                found.update(zip(own, (data[2 * a : 2 * z] for a, z in zip([0, *(x + 1 for x in at)], [*at, len(ids)], strict=True)), strict=True))
+        rest = [s for s in stretches if s not in found]
+        return found | dict(zip(rest, self._ids(rest), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16-bit integers."""
-        cut: list = [None if not x else x if any(s in x for s in self.special) else self.stretches(x) for x in texts]
-        known = self.known
-        unknown = list({s for x in cut if type(x) is list for s in x if s not in known})
-        found = self.library.encode_batch(unknown, add_special_tokens=False)
-        new = {s: np.array(e.ids, "<u2").tobytes() for s, e in zip(unknown, found, strict=True)}
-        for s in unknown:
-            if len(known) >= KEPT:
-                break
-            if len(s) <= LONGEST_KEPT:
-                known[s] = new.pop(s)
-        get = known.get
-        if not new:
-            return [b"" if x is None else self._whole(x) if type(x) is str else b"".join(map(get, x)) for x in cut]
-        return [b"" if x is None else self._whole(x) if type(x) is str else b"".join([get(s) or new[s] for s in x]) for x in cut]
+        cut: list = [[] if not x else x if any(s in x for s in self.special) else self.stretches(x) for x in texts]
+        known, get = self.known, self.known.get
+        new = self._new(list(set().union(*(x for x in cut if type(x) is list)).difference(known)))
+        known.update(new)
+        out = [self._ids([x])[0] if type(x) is str else b"".join(map(get, x)) for x in cut]
+        room = KEPT - len(known) + len(new)
+        for i, s in enumerate(new):
+            if i >= room or len(s) > LONGEST_KEPT:
+                del known[s]
+        return out
 
 
 @functools.lru_cache(1)
@@ -140,7 +153,6 @@ def _blocks(path: str, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
             if size >= LANES * BLOCK:
                 yield from coded(False)
     yield from coded(True)
-    encoder.cache_clear()  # workers live on, and so would what they keep
     pa.default_memory_pool().release_unused()
 
 

@@ -43,7 +43,9 @@ def test_carries():
     start = np.array([[top], [top], [0], [top]] * 40, np.uint64)
     width = wide - start
     width[2::4] = 1
-    coded = np.frombuffer(range_coder._coded(start, width, np.array([len(start)]))[0], "<u2")
+    coder = range_coder._Coder(1, len(start))
+    coder.put(start, width, np.ones(len(start), int))
+    coded = np.frombuffer(coder.words()[0], "<u2")
     low, span = 0, (1 << 64) - 1  # exact: the number that the words spell lies in every interval
     number = sum(int(w) << 16 * (len(coded) - 1 - i) for i, w in enumerate(coded))
     size = 16 * len(coded)
