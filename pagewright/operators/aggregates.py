@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 #: Weighted median: a sample needs this coverage, weighs this at most, and the result is at most CAP.
 LEAST_COVERAGE, MOST_WEIGHT, CAP = 0.15, 0.5, 300.0
 #: Evidence is corroborated by two samples that cover this together.
@@ -31,13 +33,23 @@ def attribution(objects: DataFrame, keys: list[str], kind: str, size: str, kinds
 def weighted_lower_median(samples: DataFrame, keys: list[str], value: str, weight: str, cap: float | None = None) -> DataFrame:
     """``median`` by key: the first value, in order, at which the running weight reaches half of the total.
 
-    Weights that are integers or decimals make the comparison exact. The running sum needs a key's samples in one
-    task, as sorted rows that can spill; equal (value) rows are summed first, so it holds distinct values only.
+    Weights that are integers or decimals make the comparison exact. Equal (key, value) rows are summed first. The rest is a
+    selection by refinement: values are dealt by ranges of key and value, the ranges' weights tell which one of each key holds the
+    half, and only its values are ordered and summed up. So no task holds a whole key, however many values it has.
     """
     own = samples.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    upto = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    running = own.select(*keys, value, F.sum("_w").over(upto).alias("_c"), F.sum("_w").over(whole).alias("_t"))
+    parts = written(own.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "weights")
+    upto = Window.partitionBy(*keys).orderBy("_part")
+    sums = parts.groupBy(*keys, "_part").agg(F.sum("_w").alias("_s"))  # a row for each key and range
+    sums = sums.select(*keys, "_part", "_s", F.sum("_s").over(upto).alias("_c"), F.sum("_s").over(Window.partitionBy(*keys)).alias("_t"))
+    half = sums.filter((2 * F.col("_c") >= F.col("_t")) & ((2 * (F.col("_c") - F.col("_s")) < F.col("_t")) | (F.col("_c") == F.col("_s"))))
+    half = half.groupBy(*keys).agg(F.min(F.struct("_part", (F.col("_c") - F.col("_s")).alias("_before"), "_t")).alias("_x"))  # the first, where weights are 0
+    named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    same = F.col("_part") == F.col("_of")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    kept = parts.join(half.select(*named, F.col("_x._part").alias("_of"), "_x._before", "_x._t"), same)
+    running = kept.withColumn("_c", F.col("_before") + F.sum("_w").over(Window.partitionBy(*keys).orderBy(value)))
     median = F.min(F.when(2 * F.col("_c") >= F.col("_t"), F.col(value)))
     return running.groupBy(*keys).agg((F.least(median, F.lit(cap)) if cap is not None else median).alias("median"))
 
@@ -53,7 +65,8 @@ def references(objects: DataFrame, uses: DataFrame, on: str, place: str) -> Data
 
     Objects that are never used stay, with 0 and an empty list.
     """
-    counted = uses.groupBy(on).agg(F.count(F.lit(1)).alias("reference_count"), F.array_sort(F.collect_set(place)).alias("places"))
+    each = uses.groupBy(on, place).agg(F.count(F.lit(1)).alias("_n"))  # an object that is used everywhere is spread by place
+    counted = each.groupBy(on).agg(F.sum("_n").alias("reference_count"), F.array_sort(F.collect_list(place)).alias("places"))
     joined = objects.join(counted, on, "left")
     count = F.coalesce("reference_count", F.lit(0))
     return joined.select(*objects.columns, count.alias("reference_count"), (count > 1).alias("reused"), F.coalesce("places", F.array().cast(joined.schema["places"].dataType)).alias("places"))

@@ -12,7 +12,7 @@ from ..functions import pixels
 from ..functions import text as T
 from ..operators import classify as C
 from ..operators import exporting as X
-from ..operators import merging, ordered, planning, service
+from ..operators import composite, merging, ordered, planning, service
 from ..operators import snapshots as S
 from ..sources import publish
 from ..streaming import events as E
@@ -477,6 +477,20 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").groupBy("key").agg(F.count(F.lit(1)).alias("attempts"), F.count_if("allowed").alias("allowed"))
 
 
+@_query("""
+with b as (select o_custkey % 150 as page, o_orderkey as z, o_orderkey % 37 as x0, floor(o_totalprice)::bigint % 23 as y0, o_orderkey % 37 + o_custkey % 12 as x1, floor(o_totalprice)::bigint % 23 + o_orderkey % 9 as y1 from orders),
+     p as (select page, z, x, unnest(range(y0, y1)) as y from (select *, unnest(range(x0, x1)) as x from b)),
+     v as (select page, max(z) as z, x, y from p group by page, x, y), a as (select page, z, count(*) as area from v group by all)
+select page, z, coalesce(area, 0)::bigint as area from b left join a using (page, z)
+""")
+def visible_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left to see of each box of a page when later ones are painted over it."""
+    key, price = F.col("o_orderkey"), F.floor("o_totalprice")
+    x, y = key % 37, price % 23
+    boxes = _read(spark, sf_dir, "orders").select((F.col("o_custkey") % 150).alias("page"), key.alias("z"), x.alias("x0"), y.alias("y0"), (x + F.col("o_custkey") % 12).alias("x1"), (y + key % 9).alias("y1"))
+    return composite.visible_areas(boxes, ["page"])
+
+
 @_query("""
 with o as (select o_orderkey, o_custkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as i from orders)
 select o_custkey, o_orderkey, o_totalprice from o where i = 1
