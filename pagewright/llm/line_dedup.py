@@ -62,10 +62,11 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
     drops = lines.join(found, ["line1", "line2"]).filter(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
     places = written(drops.groupBy("key1", "key2").agg(F.collect_set("place").alias("places")), "dropped-lines")
     own = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"), *_key(F.col("doc_id").cast("long"), F.col(text).cast("string")))
-    own = own.join(small(places), ["key1", "key2"], "left")
-    parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("places", i)), "\n")
-    filled = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    # lines are a column of their own, used more than once, so that looking one up by its place doesn't split the text again
+    own = own.join(small(places), ["key1", "key2"], "left").withColumn("parts", F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("places").cast("array<int>"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n")
+    filled = F.size(F.filter("parts", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     counts = F.struct(F.greatest(filled, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"))
     out = F.when(F.col("places").isNull(), F.col("text")).otherwise(kept)
     return own.select(*(out.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns), counts.alias(fresh("line_dedup", docs)))

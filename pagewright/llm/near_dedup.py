@@ -370,7 +370,8 @@ def _of_nodes(seen: DataFrame, of: DataFrame, labels: DataFrame) -> DataFrame:
 def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each group, and all others.
 
-    Of rows that share a doc_id one stays; rows with a null doc_id stay.
+    Of rows that share a doc_id one stays, the least by hashes of its text and then of the whole row, so that every run keeps
+    the same one; rows with a null doc_id stay.
     """
     found = written(near_duplicates(docs.select("doc_id", "text"), percent), "near-duplicates")
     name = fresh("gone", docs)
@@ -378,7 +379,12 @@ def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
     if _unique_ids(found):
         return kept
-    return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    mine, least = fresh("row_key", docs), fresh("least", docs)
+    whole = F.to_json(F.struct(*docs.columns))
+    keyed = kept.filter("doc_id is not null").withColumn(mine, F.struct(F.xxhash64("text"), F.xxhash64(F.lit("second"), "text"), F.xxhash64(whole), F.xxhash64(F.lit("second"), whole)))
+    first = keyed.groupBy(F.col("doc_id").alias(name)).agg(F.min(mine).alias(least))
+    one = keyed.join(first, (F.col("doc_id") == F.col(name)) & (F.col(mine) == F.col(least)), "left_semi").drop(mine)
+    return kept.filter("doc_id is null").unionByName(one.dropDuplicates(["doc_id"]))
 
 
 def _unique_ids(seen: DataFrame) -> bool:
