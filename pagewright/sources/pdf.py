@@ -30,7 +30,7 @@ from ..operators.aggregates import attribution
 from ..operators.dedup import first_seen
 from ..tables import written
 from .filters import decoded
-from .syntax import REFERENCE, Text, filters, tokens
+from .syntax import REFERENCE, Text, filters, string_bytes, tokens
 from .table import ObjectTable, sections
 
 #: Fixed value: a longer form stream isn't read, and a warning says so; the content of pages has no limit.
@@ -95,11 +95,11 @@ class _File:
         return None
 
     def resources(self, value: object) -> dict | None:
-        """Resources with the tables of external objects and graphics states in place of references to them."""
+        """Resources with the tables of external objects, fonts and graphics states in place of references to them."""
         own = self.of(value)
         if not isinstance(own, dict):
             return None
-        own = {k: self.of(v) if k in ("XObject", "ExtGState") else v for k, v in own.items()}
+        own = {k: self.of(v) if k in ("XObject", "ExtGState", "Font") else v for k, v in own.items()}
         if isinstance(states := own.get("ExtGState"), dict):
             own["ExtGState"] = {k: self.of(v) for k, v in states.items()}
         return own
@@ -112,6 +112,7 @@ class _File:
             read.update(x for x in (contents if isinstance(contents, list) else [contents]) if isinstance(x, str))
             if isinstance(more := self.of(contents), list):
                 read.update(x for x in more if isinstance(x, str))
+        read.update(own["ToUnicode"] for own in self.by_id.values() if isinstance(own, dict) and isinstance(own.get("ToUnicode"), str))
         for (number, generation), (value, stream) in self.objects.items():
             ref, own = f"{number} {generation} R", value if isinstance(value, dict) else {}
             form, page = stream is not None and own.get("Subtype") == "/Form", ref in self.numbers
@@ -268,7 +269,7 @@ def pages(found: DataFrame) -> DataFrame:
     )
 
 
-_OPERATIONS = "file string, scope string, idx long, operator string, operands array<string>, matrix array<double>"
+_OPERATIONS = "file string, scope string, idx long, operator string, operands array<string>, matrix array<double>, font string, shown array<string>"
 _NOT_OPERATORS = ("<<", ">>", "[", "]", "true", "false", "null")
 
 
@@ -277,25 +278,33 @@ def _times(m: tuple, n: tuple) -> tuple:
     return (m[0] * n[0] + m[1] * n[2], m[0] * n[1] + m[1] * n[3], m[2] * n[0] + m[3] * n[2], m[2] * n[1] + m[3] * n[3], m[4] * n[0] + m[5] * n[2] + n[4], m[4] * n[1] + m[5] * n[3] + n[5])
 
 
-def content_operations(data: bytes) -> Iterator[tuple[str, list[str], tuple | None]]:
-    """Operator, operands and, for Do, the matrix in force: cm, q and Q up to there; a Q without its q changes nothing."""
-    now, saved, operands, skip = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), [], [], 0
+def content_operations(data: bytes) -> Iterator[tuple[str, list[str], tuple | None, str | None, list[str] | None]]:
+    """Operator, operands and what is in force there: for Do the matrix, for text the font's name, and its strings' bytes in hex.
+
+    cm, Tf, q and Q up to there count; a Q without its q changes nothing.
+    """
+    now, font, saved, operands, skip = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), None, [], [], 0
     numbers: list[float] = []
+    strings: list[Text] = []
     for token, after in tokens(data):
         if after <= skip:
             continue
         if not isinstance(token, str) or isinstance(token, Text) or token.startswith("/") or token in _NOT_OPERATORS:
             operands.append(str(token))
             numbers += [float(token)] if isinstance(token, int | float) else []
+            strings += [token] if isinstance(token, Text) else []
             continue
         if token == "q":
-            saved.append(now)
+            saved.append((now, font))
         elif token == "Q" and saved:
-            now = saved.pop()
+            now, font = saved.pop()
+        elif token == "Tf" and operands and operands[0].startswith("/"):
+            font = operands[0][1:]
         elif token == "cm" and len(operands) == len(numbers) == 6:
             now = _times(tuple(numbers), now)
-        yield token, operands, now if token == "Do" else None
-        operands, numbers = [], []
+        text = token in ordered.TEXT_SHOW
+        yield token, operands, now if token == "Do" else None, font if text else None, [string_bytes(x).hex() for x in strings] if text else None
+        operands, numbers, strings = [], [], []
         if token == "ID":  # the data of an inline image ends at EI, whose operand it is here
             end = _INLINE_END.search(data, after)
             skip = end.start() + 1 if end else len(data)
@@ -303,12 +312,12 @@ def content_operations(data: bytes) -> Iterator[tuple[str, list[str], tuple | No
 
 
 def _operations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("file", pa.string()), ("scope", pa.string()), ("idx", pa.int64()), ("operator", pa.string()), ("operands", pa.list_(pa.string())), ("matrix", pa.list_(pa.float64()))])
+    schema = pa.schema([("file", pa.string()), ("scope", pa.string()), ("idx", pa.int64()), ("operator", pa.string()), ("operands", pa.list_(pa.string())), ("matrix", pa.list_(pa.float64())), ("font", pa.string()), ("shown", pa.list_(pa.string()))])
     for batch in batches:
         for file, scope, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             rows: list[dict] = []
-            for idx, (operator, operands, matrix) in enumerate(content_operations(data or b"")):
-                rows.append({"file": file, "scope": scope, "idx": idx, "operator": operator, "operands": operands, "matrix": matrix})
+            for idx, (operator, operands, matrix, font, shown) in enumerate(content_operations(data or b"")):
+                rows.append({"file": file, "scope": scope, "idx": idx, "operator": operator, "operands": operands, "matrix": matrix, "font": font, "shown": shown})
                 if len(rows) == BATCH:
                     yield from _batches(rows, schema)
                     rows = []

@@ -62,7 +62,7 @@ def prepended(ops: DataFrame, prefix: DataFrame) -> DataFrame:
     """Operations with those of ``prefix`` (same columns, idx from 0) before them in each scope, numbered anew."""
     sizes = prefix.groupBy("file", "scope").agg(F.count(F.lit(1)).alias("_n"))
     moved = ops.join(sizes, ["file", "scope"], "left").withColumn("idx", F.col("idx") + F.coalesce("_n", F.lit(0))).drop("_n")
-    return moved.unionByName(prefix)
+    return moved.unionByName(prefix, allowMissingColumns=True)
 
 
 def _named(ops: DataFrame) -> DataFrame:

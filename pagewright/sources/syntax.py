@@ -25,6 +25,32 @@ def _string(data: bytes, at: int) -> tuple[Text, int]:
     return Text("(" + data[begin : at - (depth == 0)].decode("latin-1") + ")"), at
 
 
+#: What a letter after a backslash stands for.
+_ESCAPES = {0x6E: 10, 0x72: 13, 0x74: 9, 0x62: 8, 0x66: 12}
+
+
+def string_bytes(text: str) -> bytes:
+    """The bytes of a string operand, literal or in hex digits; a digit that is missing at the end is 0."""
+    if text.startswith("<"):
+        digits = re.sub(r"[^0-9A-Fa-f]", "", text)
+        return bytes.fromhex(digits + "0" * (len(digits) % 2))
+    data, out, at = text[1:-1].encode("latin-1"), bytearray(), 0
+    while at < len(data):
+        c = data[at]
+        at += 1
+        if c != 0x5C or at == len(data):
+            out.append(c)
+        elif m := re.compile(rb"[0-7]{1,3}").match(data, at):
+            out.append(int(m[0], 8) & 255)
+            at = m.end()
+        elif m := re.compile(rb"\r\n?|\n").match(data, at):  # a line goes on
+            at = m.end()
+        else:
+            out.append(_ESCAPES.get(data[at], data[at]))
+            at += 1
+    return bytes(out)
+
+
 def tokens(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
     """Values and operators of PDF syntax with the place after each: numbers, names as "/x", strings as ``Text``, marks."""
     while m := _TOKEN.search(data, at):
