@@ -85,6 +85,23 @@ def encoding_kind(filters: Column) -> Column:
     return out
 
 
+#: What to do about each kind of encoding.
+ADVICE = {
+    "jpeg": "Retain JPEG; optionally evaluate JPEG-to-JPEG recompression with visual comparison.",
+    "jpeg2000": "Retain JPEG2000; no automatic encoding change.",
+    "lossless": "Retain lossless encoding; no automatic format conversion.",
+    "ccitt": "Retain CCITT monochrome encoding.",
+    "jbig2": "Retain JBIG2; no automatic encoding change.",
+    "raw": "Raw image detected; investigate lossless same-semantic encoding manually.",
+    "other": "Unknown/other encoding; do not modify.",
+}
+
+
+def advice(kind: Column) -> Column:
+    """What to do about an encoding kind; unknown kinds are left alone."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair)), kind), F.lit(ADVICE["other"]))
+
+
 def first_reason(*checks: tuple[Column, str]) -> Column:
     """The reason of the first check that fails (is not true), null if all hold."""
     return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(reason)) for ok, reason in checks))

@@ -57,6 +57,23 @@ def export_summary(results: DataFrame) -> DataFrame:
     return own.withColumn("unchanged", F.col("analysed") - F.col("modified") - F.col("skipped"))
 
 
+def strategy(pages: DataFrame, tagged: DataFrame) -> DataFrame:
+    """file, strategy (hybrid, or native where that is unavailable) and reason for each file of ``pages`` (file, page_number, rotation, full_pixels).
+
+    Hybrid flattening needs a file without a structure tree (those in ``tagged`` have one), unturned pages, and full-size pixels
+    for each page; the first page that lacks something is named.
+    """
+    first = lambda bad: F.min(F.when(bad, F.col("page_number")))
+    turned, bare = first(F.pmod(F.col("rotation"), F.lit(360)) != 0), first(F.col("full_pixels").isNull())
+    own = pages.groupBy("file").agg(turned.alias("turned"), bare.alias("bare")).join(tagged.select("file", F.lit(True).alias("tagged")).distinct(), "file", "left")
+    reason = (
+        F.when(F.col("tagged"), "tagged structure")
+        .when(F.col("turned").isNotNull(), F.format_string("page %d is rotated", F.col("turned")))
+        .when(F.col("bare").isNotNull(), F.format_string("page %d has no raster artwork to size it by", F.col("bare")))
+    )
+    return own.select("file", F.when(reason.isNull(), "hybrid").otherwise("native").alias("strategy"), reason.alias("reason"))
+
+
 def merge_checks(before: DataFrame, after: DataFrame, planned: DataFrame) -> DataFrame:
     """file, page_number and problem of every page that a merge must not have left so.
 

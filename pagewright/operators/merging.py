@@ -84,19 +84,29 @@ def _step(s: State, row: dict) -> tuple[State, str | None, Box | None]:
         clip = s.path if s.clip is None or s.path is None else _common(s.clip, s.path)
         return replace(s, clip=clip, path=None, clipping=False), None if clip else "empty_clip", None
     if op == "gs" and not row["opaque"]:
-        return s, "transparency_or_extgstate_not_supported" if operands else "invalid_extgstate", None
+        return s, "transparency_or_extgstate_not_supported" if _named(operands) else "invalid_extgstate", None
     if op == "Do":
         return s, *_image(s, row)
     return (replace(s, painted=True) if op in MERGE_PAINT else s), None, None
 
 
+def _named(operands: list[str]) -> bool:
+    return bool(operands) and operands[0].startswith("/")
+
+
+#: Why what a Do draws can't be merged, by its kind.
+KINDS = {None: "missing_xobject", "direct": "direct_xobject_unsupported", "invalid": "invalid_xobject", "other": "form_xobject_not_supported"}
+
+
 def _image(s: State, row: dict) -> tuple[str | None, Box | None]:
-    if not row["operands"]:
+    if not _named(row["operands"]):
         return "invalid_xobject_invocation", None
     if row["kind"] != "image":
-        return "missing_xobject" if row["kind"] is None else "form_xobject_not_supported", None
+        return KINDS[row["kind"]], None
     if s.painted:
         return "unsafe_content_order", None
+    if row.get("undecoded"):
+        return row["undecoded"], None
     box = _around(s.matrix, 0, 0, 1, 1)
     if s.clip is not None:
         if max(abs(s.matrix[1]), abs(s.matrix[2])) > TURNED and not _same(s.clip, box):
@@ -108,8 +118,8 @@ def _image(s: State, row: dict) -> tuple[str | None, Box | None]:
 def merge_events(ops: DataFrame) -> DataFrame:
     """file, scope, idx, reason and box of each image and of the first operation that forbids merging.
 
-    ``ops`` has file, scope, idx, operator, operands, kind (of the XObject of a Do: image or other; null if there
-    is none) and opaque (of the state of a gs).
+    ``ops`` has file, scope, idx, operator, operands, kind (of the XObject of a Do: image, other, direct or invalid; null if
+    there is none) and opaque (of the state of a gs); and, where it has that column, undecoded: why an image's pixels can't be had.
     """
 
     def step(s: State, row: dict) -> tuple[State, dict | None]:

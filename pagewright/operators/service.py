@@ -38,6 +38,12 @@ def unseen(events: DataFrame, seen: DataFrame, id: str) -> DataFrame:
     return events.join(seen.select(id), id, "left_anti").dropDuplicates([id])
 
 
+def event_counts(asked: DataFrame, events: DataFrame, id: str) -> DataFrame:
+    """Each asked id with the number of recorded events that have it, 0 where there is none."""
+    counts = events.groupBy(id).agg(F.count(F.lit(1)).alias("_n"))
+    return asked.join(counts, id, "left").select(*asked.columns, F.coalesce("_n", F.lit(0)).alias("events"))
+
+
 def active_counts(purchases: DataFrame, activations: DataFrame, key: str, limit: int = ACTIVATIONS) -> DataFrame:
     """Each purchase's activations that aren't deactivated, and whether another device fits."""
     counted = activations.filter("deactivated_at is null").groupBy(key).agg(F.count(F.lit(1)).alias("active"))

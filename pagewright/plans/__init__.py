@@ -1,6 +1,6 @@
 """Queries over the driver's tables; importing this package registers them all."""
 
-from . import documents, fonts, queries, reports, revisions
+from . import documents, exports, fonts, queries, reports, revisions
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "documents", "fonts", "queries", "reports", "revisions"]
+__all__ = ["ORACLES", "QUERIES", "documents", "exports", "fonts", "queries", "reports", "revisions"]

@@ -485,19 +485,33 @@ def merge_setup(found: DataFrame) -> DataFrame:
     return found.filter("page_numbers is not null").select("file", F.col("id").alias("scope"), reason.alias("reason"))
 
 
+def undecoded() -> Column:
+    """Why the pixels of an image (its ``value``) can't be merged: masks, encodings and colours that aren't supported; else null."""
+    mask, colour = _get("SMask").isNotNull() | _get("Mask").isNotNull(), _get("ColorSpace")
+    return (
+        F.when(mask, "transparency_not_supported")
+        .when(~F.coalesce(_get("Filter") == "/DCTDecode", F.lit(False)), "unsupported_raster_encoding")
+        .when(~F.coalesce(colour.startswith("/"), F.lit(False)), "unknown_colour_space")
+        .when(~colour.isin("/DeviceRGB", "/DeviceGray"), "unsupported_colour_space")
+    )
+
+
 def merge_operations(found: DataFrame, ops: DataFrame, opaque: DataFrame) -> DataFrame:
-    """Operations as ``merging.merge_plan`` takes them: with the kind of what a Do draws and whether a gs is opaque.
+    """Operations as ``merging.merge_plan`` takes them: with the kind of what a Do draws, whether it can be decoded, and whether a gs is opaque.
 
-    ``opaque`` is ``rewrite.states``.
+    ``opaque`` is ``rewrite.states``. An entry that isn't a reference is direct; one to nothing, or to no stream, is invalid.
     """
     name = F.get("operands", F.lit(0))
     own = ops.withColumn("_name", F.when(F.col("operator").isin("Do", "gs") & name.startswith("/"), F.substring(name, 2, 1 << 30)))
-    sub = _get("Subtype")
-    kinds = names(found).join(found.select("file", "id", F.when(sub == "/Image", "image").otherwise("other").alias("kind")), ["file", "id"])
-    drawn_ = kinds.select("file", F.col("holder").alias("scope"), F.col("name").alias("_name"), F.lit("Do").alias("operator"), "kind", F.lit(None).cast("boolean").alias("opaque"))
-    states = opaque.select("file", F.col("holder").alias("scope"), F.col("name").alias("_name"), F.lit("gs").alias("operator"), F.lit(None).cast("string").alias("kind"), "opaque")
+    image = _get("Subtype") == "/Image"
+    streams = found.filter("size_bytes is not null").select("file", "id", F.when(image, "image").otherwise("other").alias("kind"), F.when(image, undecoded()).alias("undecoded"))
+    held = found.filter("resources is not null").select("file", F.col("id").alias("scope"), F.explode(F.from_json(_get("XObject", "resources"), "map<string,string>")).alias("_name", "id"))
+    kinds = held.join(streams, ["file", "id"], "left")
+    kind = F.when(~F.col("id").rlike(REFERENCE.pattern), "direct").otherwise(F.coalesce("kind", F.lit("invalid")))
+    drawn_ = kinds.select("file", "scope", "_name", F.lit("Do").alias("operator"), kind.alias("kind"), "undecoded", F.lit(None).cast("boolean").alias("opaque"))
+    states = opaque.select("file", F.col("holder").alias("scope"), F.col("name").alias("_name"), F.lit("gs").alias("operator"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("undecoded"), "opaque")
     both = own.join(drawn_.unionByName(states), ["file", "scope", "operator", "_name"], "left")
-    return both.select("file", "scope", "idx", "operator", "operands", "kind", F.coalesce("opaque", F.lit(False)).alias("opaque"))
+    return both.select("file", "scope", "idx", "operator", "operands", "kind", "undecoded", F.coalesce("opaque", F.lit(False)).alias("opaque"))
 
 
 def page_text(own_pages: DataFrame, ops: DataFrame) -> DataFrame:
