@@ -122,16 +122,16 @@ def encoding_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-with p as (select p_partkey, unnest(range(6)) as i from part), v as (select p_partkey, i, (p_partkey * (i * i * i + 7)) % 251 as v from p), t as (select unnest(range(3)) as j),
-     x as (select p_partkey, j, v, pi() * (i + 0.5 - (j + 0.5) * 2) / 2 as a from v cross join t), w as (select p_partkey, j, v, case when abs(a) < 3 * pi() then sin(a) / a * sin(a / 3) / (a / 3) else 0 end as w from x),
+with p as (select p_partkey, unnest(range(6)) as i from part), v as (select p_partkey, i, (p_partkey * (i * i * i + 7)) % 251 as v from p), t as (select unnest(range(4)) as j),
+     x as (select p_partkey, j, v, pi() * (i + 0.5 - (j + 0.5) * 1.5) / 1.5 as a from v cross join t), w as (select p_partkey, j, v, case when abs(a) < 3 * pi() then sin(a) / a * sin(a / 3) / (a / 3) else 0 end as w from x),
      s as (select p_partkey, j, least(greatest(floor(sum(v * w) / sum(w) + 0.5), 0), 255)::bigint as v from w group by all)
 select p_partkey, string_agg(v, ',' order by j) as pixels from s group by p_partkey
 """)
-def lanczos_half(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row of six pixels for each part at half its width."""
+def lanczos_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of six pixels for each part as four."""
     key = F.col("p_partkey")
     row = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: (key * (i * i * i + 7)) % 251)
-    images = _read(spark, sf_dir, "part").select(key.alias("id"), row.cast("array<int>").alias("pixels"), F.lit(6).alias("pixel_width"), F.lit(1).alias("pixel_height"), F.lit(1).alias("channels"), F.lit(3).alias("w"), F.lit(1).alias("h"))
+    images = _read(spark, sf_dir, "part").select(key.alias("id"), row.cast("array<int>").alias("pixels"), F.lit(6).alias("pixel_width"), F.lit(1).alias("pixel_height"), F.lit(1).alias("channels"), F.lit(4).alias("w"), F.lit(1).alias("h"))
     made = pixels.resized(images, "w", "h")
     return made.select(F.col("id").alias("p_partkey"), F.array_join(F.col("pixels").cast("array<string>"), ",").alias("pixels"))
 
