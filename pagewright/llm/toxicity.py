@@ -51,6 +51,9 @@ BUCKETS, FRAGMENT = 1 << 20, 5
 RATE, CHANCE = 0.5, 0.001
 #: Words that witnesses mark, and calm ones, among the examples, and landmarks of either kind, at most.
 WORDS, CALM_WORDS, LANDMARKS, CALM_LANDMARKS = 3000, 6000, 256, 96
+#: Words of a training example, bytes of one of its words, and words that a document gives as examples, at most: the examples of the whole
+#: sample, which the driver fits on, stay under a few ten MB whatever the texts are. Scores look at whole texts.
+EXAMPLE_WORDS, EXAMPLE_BYTES, EXAMPLES = 200, 64, 100
 #: Places that a subsequence may span, and the decay for each.
 SPAN, DECAY = 5, 0.7
 #: SQL that is true for the rows that no label is learned from.
@@ -160,6 +163,14 @@ class Letters:
         return [text[a + 1 : b - 1] for a, b in zip(self.at[:-1], self.at[1:], strict=True)]
 
 
+def _examples_of(own: Letters) -> tuple[list[bytes], np.ndarray]:
+    """The words of some texts, cut to EXAMPLE_BYTES, and the first word of each sentence, or of each EXAMPLE_WORDS of a longer one."""
+    words, new = own.spellings(), own.sentences()
+    ends = np.append(new[1:], len(words))
+    starts = [np.arange(a, z, EXAMPLE_WORDS) for a, z in zip(new.tolist(), ends.tolist(), strict=True)]
+    return [w[:EXAMPLE_BYTES] for w in words], np.concatenate(starts) if starts else new
+
+
 def letters(words: list[str]) -> Letters:
     data, off = ta.utf8(pa.array(words, pa.string()))
     return Letters(data, off)
@@ -236,14 +247,14 @@ def _examples(witnesses: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Itera
         rows = []
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             own = letters([text.as_py() or ""])
-            words, new = own.spellings(), own.sentences()
+            words, new = _examples_of(own)
             if not words:
                 continue
             whole = [b" ".join(words[i:j]) for i, j in zip(new, [*new[1:], len(words)], strict=True)]
             if toxic:
                 marked = own.marked(witnesses)
                 best = max(range(len(new)), key=lambda i, n=np.add.reduceat(marked, new, dtype=np.int64): (n[i], -_key(whole[i])))
-                chosen = sorted({w for w, m in zip(words, marked, strict=True) if m})
+                chosen = sorted({w for w, m in zip(words, marked, strict=True) if m}, key=lambda w: (_key(w), w))[:EXAMPLES]
             else:
                 best = min(range(len(new)), key=lambda i: (_key(whole[i]), whole[i]))
                 chosen = sorted(set(words), key=lambda w: (_key(w), w))[:3]
@@ -258,7 +269,7 @@ def _highest(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             own = letters([text.as_py() or ""])
             if len(own.size):
-                words, new = own.spellings(), own.sentences()
+                words, new = _examples_of(own)
                 best = int(np.argmax(np.add.reduceat(own.dot(model.weights), new)))
                 rows.append({"toxic": toxic, "sentence": b" ".join(words[new[best] : new[best + 1] if best + 1 < len(new) else len(words)]).decode()})
         yield from pa.Table.from_pylist(rows, pa.schema([("toxic", pa.int32()), ("sentence", pa.string())])).to_batches()

@@ -558,3 +558,18 @@ def test_many_lines_take_linear_time(spark):
     start = time.time()
     found = line_dedup.line_dedup(docs_of(spark, [(i, text, f"s{i}") for i in range(10)])).collect()
     assert {(r["n_lines"], r["n_removed"]) for r in found if r["doc_id"]} == {(30_000, 30_000)} and time.time() - start < 60
+
+
+def test_examples_of_endless_sentences_are_bounded(spark):
+    """A text without an end of a sentence, and a word without an end, give bounded examples; short sentences are as before."""
+    rng = random.Random(4)
+    words = [rng.choice(WORDS) for _ in range(5000)]
+    own = toxicity.letters([" ".join(words) + ". Two words! " + "z" * 100_000])
+    spelled, new = toxicity._examples_of(own)
+    sizes = np.diff(np.append(new, len(spelled)))
+    assert sizes.max() == toxicity.EXAMPLE_WORDS and sizes[-2:].tolist() == [2, 1] and max(map(len, spelled)) == toxicity.EXAMPLE_BYTES
+    short = toxicity.letters(["One two. Three!", "four"])
+    assert toxicity._examples_of(short)[1].tolist() == short.sentences().tolist()
+    rows = spark.createDataFrame([(1, " ".join(words)), (0, " ".join(words))], "toxic int, text string").toArrow().to_batches()
+    for r in (r for b in toxicity._examples(np.arange(toxicity.BUCKETS), iter(rows)) for r in b.to_pylist()):
+        assert len(r["sentence"].split()) <= toxicity.EXAMPLE_WORDS and len(r["words"]) <= toxicity.EXAMPLES
