@@ -12,7 +12,7 @@ from ..functions import pixels
 from ..functions import text as T
 from ..operators import classify as C
 from ..operators import exporting as X
-from ..operators import composite, merging, ordered, planning, service
+from ..operators import composite, merging, nested, ordered, planning, service
 from ..operators import snapshots as S
 from ..sources import publish
 from ..streaming import events as E
@@ -535,3 +535,23 @@ def document_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.totals(own)
 
 
+
+
+@_query("""
+with recursive e as materialized (select user_id as k, event_id, row_number() over (partition by user_id order by ts, event_id) as i, event_id % 6 as op, (event_id % 11 - 5)::double as x, (event_id % 7 - 3)::double as y from events),
+     w as (select distinct k, 0::bigint as i, [1, 0, 0, 1, 0, 0]::double[] as m, []::double[][] as s, null::bigint as event_id, null::bigint as op from e
+           union all select e.k, e.i, case e.op when 1 then case when len(s) > 0 then s[-1] else m end when 2 then [m[3], m[4], -m[1], -m[2], x * m[1] + y * m[3] + m[5], x * m[2] + y * m[4] + m[6]]
+                                          when 3 then [-m[1], -m[2], m[3], m[4], x * m[1] + y * m[3] + m[5], x * m[2] + y * m[4] + m[6]] else m end,
+                            case e.op when 0 then list_append(s, m) when 1 then s[:-2] else s end, e.event_id, e.op from w join e on e.k = w.k and e.i = w.i + 1)
+select event_id, m[1]::bigint as a, m[2]::bigint as b, m[3]::bigint as c, m[4]::bigint as d, m[5]::bigint as e, m[6]::bigint as f from w where op > 3
+""")
+def nested_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrices in force along each user's events, of which some save and restore them."""
+    events = _read(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    placed = ordered.running_sum(events, ["user_id"], ["ts", "event_id"], F.lit(1).cast("long"), "at")
+    n = F.col("event_id")
+    x, y, zero, one = (n % 11 - 5).cast("double"), (n % 7 - 3).cast("double"), F.lit(0.0), F.lit(1.0)
+    matrix = lambda *terms: F.struct(*(t.alias(name) for t, name in zip(terms, "abcdef", strict=True)))
+    step = F.when(n % 6 == 2, matrix(zero, one, -one, zero, x, y)).when(n % 6 == 3, matrix(-one, zero, zero, one, x, y))
+    found = nested.in_force(placed.select("user_id", "at", "event_id"), ["user_id"], "at", n % 6 == 0, n % 6 == 1, step)
+    return found.filter("event_id % 6 > 3").select("event_id", *(F.col(f"matrix.{t}").cast("long").alias(t) for t in "abcdef"))
