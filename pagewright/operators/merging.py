@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions import numeric as N
 from ..tables import written
+from . import nested
 from .aggregates import union_box
-from .ordered import MERGE_PAINT, scanned
+from .ordered import MERGE_PAINT, last_before, running_sum, scanned
 
 Box = tuple[float, float, float, float]
 #: The merged page's long side in pixels, and when a matrix counts as turned.
@@ -133,13 +135,90 @@ def merge_events(ops: DataFrame) -> DataFrame:
     return scanned(ops, ["file", "scope"], ["idx"], "file string, scope string, idx long, reason string, box array<double>", State, step)
 
 
-def merge_plan(pages: DataFrame, ops: DataFrame, setup: DataFrame | None = None) -> DataFrame:
+def _doubles(n: int) -> tuple[Column, list[Column]]:
+    """Whether the operands are n numbers, and those numbers."""
+    each = [F.get("operands", F.lit(i)).try_cast("double") for i in range(n)]
+    fine = F.size("operands") == n
+    for x in each:
+        fine &= x.isNotNull()
+    return F.coalesce(fine, F.lit(False)), each
+
+
+def _boxed(m: Column, x: Column, y: Column, w: Column, h: Column) -> list[Column]:
+    xs, ys = zip(*(G.transform_point(m, p, q) for p in (x, x + w) for q in (y, y + h)), strict=True)
+    return [F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)]
+
+
+def spread_events(ops: DataFrame) -> DataFrame:
+    """The events of ``merge_events`` without a scan of a page in one task: for pages of many millions of operations.
+
+    Matrices and clips in force are prefix scans over ranges (``nested``); the last rectangle, clip mark and paint before an
+    operation are running maxima in two levels. Each operation's reason follows from those alone, and what stands after a
+    page's first reason doesn't count.
+    """
+    keys, at, op = ["file", "scope"], "idx", F.col("operator")
+    own = ops if "undecoded" in ops.columns else ops.withColumn("undecoded", F.lit(None).cast("string"))
+    six, (a, b, c, d, e, f) = _doubles(6)
+    four, (x, y, w, h) = _doubles(4)
+    step = F.when((op == "cm") & six, F.struct(*(v.alias(t) for v, t in zip((a, b, c, d, e, f), "abcdef", strict=True))))
+    own = nested.in_force(own, keys, at, op == "q", op == "Q", step)
+    mark = lambda *names: F.when(op.isin(*names), F.col(at))
+    own = last_before(own, keys, at, {"last_w": mark("W"), "last_re": F.when((op == "re") & four, F.col(at)), "last_n": mark("n"), "last_paint": mark(*MERGE_PAINT)})
+    clips = (op == "n") & F.col("last_w").isNotNull() & (F.col("last_w") > F.coalesce("last_n", F.lit(-1)))
+    own = last_before(own.withColumn("clips", F.coalesce(clips, F.lit(False))), keys, at, {"last_clip": F.when(F.col("clips"), F.col(at))})
+    path = own.filter((op == "re") & four).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(at).alias("_re"), F.struct(*(v.alias(t) for v, t in zip(_boxed(F.col("matrix"), x, y, w, h), ("x0", "y0", "x1", "y1"), strict=True)), F.lit(1.0).alias("n")).alias("path"))
+    same = (F.col("last_re") == F.col("_re")) & F.col("clips")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    own = own.join(path, same, "left").drop("_re", *(f"_k{i}" for i in range(len(keys))))
+    own = nested.in_force(own, keys, at, op == "q", op == "Q", F.col("path"), nested.CLIP, "clip")
+    own = running_sum(own, keys, [at], F.when(op == "q", 1).when(op == "Q", -1).otherwise(0), "open")
+    clip, m = F.col("clip"), F.col("matrix")
+    empty = (clip["x1"] <= clip["x0"]) | (clip["y1"] <= clip["y0"])
+    named = F.coalesce(F.get("operands", F.lit(0)).startswith("/"), F.lit(False))
+    box = _boxed(m, *map(F.lit, (0.0, 0.0, 1.0, 1.0)))
+    edges = [clip[t] for t in ("x0", "y0", "x1", "y1")]
+    equal = F.lit(True)
+    for p, q in zip(box, edges, strict=True):
+        equal &= F.abs(p - q) <= 1e-6
+    clipped = clip["n"] > 0
+    left = [F.greatest(box[0], edges[0]), F.greatest(box[1], edges[1]), F.least(box[2], edges[2]), F.least(box[3], edges[3])]
+    gone = clipped & ((left[2] <= left[0]) | (left[3] <= left[1]))
+    unlike = F.lit(None).cast("string")
+    for kind, reason in KINDS.items():
+        unlike = F.when(F.col("kind").isNull() if kind is None else F.col("kind") == kind, reason).otherwise(unlike)
+    image = (
+        F.when(~named, "invalid_xobject_invocation")
+        .when(F.col("kind").isNull() | (F.col("kind") != "image"), unlike)
+        .when(F.col("last_paint").isNotNull(), "unsafe_content_order")
+        .when(F.col("undecoded").isNotNull(), F.col("undecoded"))
+        .when(clipped & (F.greatest(F.abs(m["b"]), F.abs(m["c"])) > TURNED) & ~equal, "rotated_clipping_not_supported")
+        .when(gone, "image_fully_clipped")
+    )
+    no_path = F.col("last_re").isNull() | (F.col("last_re") < F.coalesce("last_clip", F.lit(-1)))
+    reason = (
+        F.when((op == "Q") & (F.col("open") < 0), "unbalanced_graphics_state")
+        .when((op == "cm") & ~six, "invalid_matrix")
+        .when((op == "re") & ~four, F.when(F.size("operands") == 4, "invalid_rectangle").otherwise("complex_clipping_not_supported"))
+        .when((op == "W*") | ((op == "W") & no_path), "complex_clipping_not_supported")
+        .when(F.col("clips") & (clip["n"] > 1) & empty, "empty_clip")
+        .when((op == "gs") & ~F.coalesce("opaque", F.lit(False)), F.when(named, "transparency_or_extgstate_not_supported").otherwise("invalid_extgstate"))
+        .when(op == "Do", image)
+    )
+    told = own.select(*keys, at, reason.alias("reason"), F.when((op == "Do") & reason.isNull(), F.when(clipped, F.array(*left)).otherwise(F.array(*box))).alias("box"))
+    told = written(told.filter("reason is not null or box is not null"), "merge-operations")
+    stops = told.filter("reason is not null").groupBy(*keys).agg(F.min(at).alias("_stop"))
+    return told.join(stops, keys, "left").filter(F.col("_stop").isNull() | (F.col(at) <= F.col("_stop"))).select(*keys, at, "reason", "box")
+
+
+def merge_plan(pages: DataFrame, ops: DataFrame, setup: DataFrame | None = None, spread: bool = False) -> DataFrame:
     """file, scope, raster_objects, status (would_merge or skipped), skipped_reason, merged box and pixels of each page.
 
-    ``setup`` (file, scope, reason) has the pages that are skipped before their operations are looked at.
+    ``setup`` (file, scope, reason) has the pages that are skipped before their operations are looked at. With ``spread`` a
+    page's operations are worked on by many tasks (``spread_events``), else a page is scanned by one.
     """
     keys = ["file", "scope"]
-    events = written(merge_events(ops), "merge-events")
+    events = written(spread_events(ops) if spread else merge_events(ops), "merge-events")
     stops = events.filter("reason is not null").select(*keys, "reason")
     boxes = union_box(events.filter("box is not null"), keys, "box", "idx")
     first = events.filter("box is not null").groupBy(*keys).agg(F.min_by("box", "idx").alias("base"), F.count(F.lit(1)).alias("raster_objects"))

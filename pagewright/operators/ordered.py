@@ -43,6 +43,18 @@ def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: Colum
     return summed.select(*rows.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).alias(name))
 
 
+def last_before(rows: DataFrame, keys: list[str], at: str, values: dict[str, Column]) -> DataFrame:
+    """``rows`` with the greatest value of each expression over the rows before in their key, null where there is none; in two levels."""
+    parts = rows.withColumns({f"_v_{n}": v for n, v in values.items()}).repartitionByRange(*keys, at).withColumn("_part", F.spark_partition_id())
+    parts = written(parts, "ordered")
+    own = Window.partitionBy(*keys, "_part").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = parts.groupBy(*keys, "_part").agg(*(F.max(f"_v_{n}").alias(f"_l_{n}") for n in values))
+    lasts = lasts.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col("_part").alias("_of"), *(F.max(f"_l_{n}").over(earlier).alias(f"_e_{n}") for n in values))
+    both = parts.withColumns({n: F.max(f"_v_{n}").over(own) for n in values}).join(lasts, _same(keys) & (F.col("_part") == F.col("_of")))
+    return both.select(*rows.columns, *(F.greatest(n, f"_e_{n}").alias(n) for n in values))
+
+
 def depth(rows: DataFrame, keys: list[str], order: list[str], opens: Column, closes: Column) -> DataFrame:
     """``rows`` with ``depth`` after each row: opens so far less closes so far."""
     return running_sum(rows, keys, order, F.when(opens, 1).when(closes, -1).otherwise(0), "depth")

@@ -232,21 +232,34 @@ _MERGES = [
 ]
 
 
-@_query(f"""
+_MERGE_SQL = f"""
 with k as (select p_partkey, p_partkey % {len(_MERGES)} as kind from part)
 select p_partkey::varchar as scope, case kind {" ".join(f"when {i} then '{reason}'" for i, (_, reason) in enumerate(_MERGES) if reason)} end as skipped_reason,
        case when kind in (0, 6) then 'would_merge' else 'skipped' end as status, case when kind in (0, 6) then '100,100,700,500' end as box, case when kind in (0, 6) then '600,400' end as pixels from k
-""")
-def merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+"""
+
+
+def _merged(spark: SparkSession, sf_dir: str, spread: bool) -> DataFrame:
     rows = [(kind, i, op, args, "image" if op == "Do" and args[0] in ("/A", "/B") else "other" if args == ["/F"] else None, False) for kind, (ops, _) in enumerate(_MERGES) for i, (op, args) in enumerate(ops)]
     known = F.broadcast(spark.createDataFrame(rows, "kind long, idx long, operator string, operands array<string>, drawn string, opaque boolean"))
     parts = _read(spark, sf_dir, "part").select(F.lit("f").alias("file"), F.col("p_partkey").cast("string").alias("scope"), (F.col("p_partkey") % len(_MERGES)).alias("kind"))
     ops = parts.join(known, "kind").select("file", "scope", "idx", "operator", "operands", F.col("drawn").alias("kind"), "opaque")
-    found = merging.merge_plan(parts.select("file", "scope", F.lit(1920.0).alias("width_pt"), F.lit(1080.0).alias("height_pt")), ops)
+    found = merging.merge_plan(parts.select("file", "scope", F.lit(1920.0).alias("width_pt"), F.lit(1080.0).alias("height_pt")), ops, spread=spread)
     listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ",")
     return found.select("scope", "status", "skipped_reason", listed(F.col("merged_box")).alias("box"), listed(F.col("merged_pixels")).alias("pixels"))
 
 
+@_query(_MERGE_SQL)
+def merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, False)
+
+
+@_query(_MERGE_SQL)
+def merge_plan_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same plan without a scan of a page in one task."""
+    return _merged(spark, sf_dir, True)
+
+
 @_query("""
 with l as (select conv_id, turn, role from conversations), b as (select conv_id, max(turn) filter (role = 'user') as last from l group by conv_id),
      c as (select conv_id, min(turn) + 1 as boundary from l join b using (conv_id) where role <> 'user' and turn >= last group by conv_id)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from pagewright.operators.merging import merge_plan
@@ -31,6 +33,42 @@ CASES = {
 }
 
 
+def operations(spark, cases):
+    kinds = {"/A": "image", "/B": "image", "/F": "other", "/D": "direct", "/I": "invalid", "/U": "image"}
+    schema = "file string, scope string, idx long, operator string, operands array<string>, kind string, opaque boolean, undecoded string"
+    rows = [("f", name, i, op, args, kinds.get(args[0]) if op == "Do" and args else None, args == ["/O"] if op == "gs" else None, "unknown_colour_space" if args == ["/U"] else None) for name, ops in cases.items() for i, (op, args) in enumerate(ops)]
+    return spark.createDataFrame(rows, schema)
+
+
+def random_operations(rng):
+    """Mostly harmless operations, so that long runs of them pass before something forbids a merge."""
+    number = lambda: str(rng.choice([0, 1, 5, 40, 100, -3]))
+    pool = [("q", []), ("q", []), ("Q", []), ("Q", []), ("n", []), ("n", []), ("W", []), ("Do", ["/A"]), ("gs", ["/O"]), ("x", [])]
+    rare = [("W*", []), ("Do", ["/F"]), ("Do", ["/D"]), ("Do", ["/I"]), ("Do", ["/U"]), ("Do", ["/Z"]), ("Do", ["(A)"]), ("Do", []), ("gs", ["/G"]), ("gs", []), ("f", []), ("cm", ["1", "z", "0", "1", "0", "0"]), ("re", ["1"]), ("re", ["a", "0", "1", "1"])]
+    out = []
+    for _ in range(rng.randrange(4, 40)):
+        pick = rng.random()
+        if pick < 0.25:
+            out.append(("cm", [*map(str, rng.choice([(1, 0, 0, 1), (2, 0, 0, 3), (0, 1, -1, 0)])), number(), number()]))
+        elif pick < 0.45:
+            out.append(("re", [number(), number(), "300", rng.choice(["300", "0"])]))
+        else:
+            out.append(rng.choice(rare) if pick > 0.97 else rng.choice(pool))
+    return out
+
+
+def test_spread_events_are_those_of_the_scan(spark):
+    from pagewright.operators.merging import merge_events, spread_events
+
+    rng = random.Random(12)
+    cases = {name: ops for name, (ops, _) in CASES.items()} | {f"r{i}": random_operations(rng) for i in range(300)}
+    ops = operations(spark, cases).repartition(4).persist()
+    told = lambda df: {(r["scope"], r["idx"]): (r["reason"], r["box"] and [x + 0.0 for x in r["box"]]) for r in df.collect()}
+    want = told(merge_events(ops))
+    assert len({x[0] for x in want.values()}) > 14
+    assert told(spread_events(ops)) == want
+
+
 @pytest.fixture(scope="module")
 def plans(spark):
     kinds = {"/A": "image", "/B": "image", "/F": "other"}
