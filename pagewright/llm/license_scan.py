@@ -2,9 +2,10 @@
 
 Templates are notices, phrases and identifier lines of known licences as word sequences; each has mandatory key phrases.
 One pass over the texts finds which template words each file has, and where. Their document frequencies in the corpus
-give each file's licence words an order by IDF. As key phrases must be whole, a template can only match a file by the
-highest-IDF word of its key phrases, so a file looks up those of its words that are this for some template, highest IDF
-first, and nothing is lost; files without one are done. For its candidate templates every indexed word at place p of
+give licence words their IDF. As key phrases must be whole, a template can only match a file that has the highest-IDF word of its
+key phrases, so a file looks up those of its licence words that are this for some template: the choice is by template, not by
+a file's own first few words, as those could miss a template whose words are all less rare. Nothing is lost, and files without
+such a word are done. For its candidate templates every indexed word at place p of
 the file and at place t of a template (the index's posting) votes for the start p - t. Votes that agree on a start
 are an exact alignment; exact alignments whose starts differ by DRIFT or less are one alignment, so a notice with inserted
 or missing words is still found. An alignment gives the template's label if it covers COVERAGE of its indexed words and
@@ -143,8 +144,12 @@ def scan(docs: DataFrame) -> DataFrame:
     # one count for each word of the fixed vocabulary
     counts = {r["word"]: r["count"] for r in seen.select(F.explode(present).alias("word")).groupBy("word").count().collect()}
     index, kinds = _index(spark)
-    lookups = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(t).alias("template")) for w, t in _rarest(counts)))
-    looked = seen.withColumn("present", present).withColumn("candidates", F.transform(F.filter(lookups, lambda x: F.array_contains("present", x["word"])), lambda x: x["template"]))
+    by_word: dict[str, list[int]] = {}
+    for word, template in _rarest(counts):
+        by_word.setdefault(word, []).append(template)
+    lookups = F.create_map(*(x for w, found in by_word.items() for x in (F.lit(w), F.array(*map(F.lit, found)))))
+    rare = F.array_intersect(F.transform("placed", lambda x: x["word"]), F.array(*map(F.lit, by_word)))  # one pass over a file's words
+    looked = seen.withColumn("candidates", F.flatten(F.transform(rare, lambda w: F.element_at(lookups, w))))
     some = looked.filter(F.size("candidates") > 0).select("key1", "key2", "lead", "candidates", F.explode("placed").alias("p"))
     votes = some.select("key1", "key2", "candidates", (F.col("p.pos") - F.col("lead")).alias("pos"), F.col("p.word").alias("word")).join(F.broadcast(index), "word").filter(F.array_contains("candidates", F.col("template")))
     votes = votes.select("key1", "key2", "template", (F.col("pos") - F.col("at")).alias("start"), F.expr("shiftleft(1L, at)").alias("bit"))
