@@ -9,7 +9,8 @@ such a word are done. For its candidate templates every indexed word at place p
 the file and at place t of a template (the index's posting) votes for the start p - t. Votes that agree on a start
 are an exact alignment; exact alignments whose starts differ by DRIFT or less are one alignment, so a notice with inserted
 or missing words is still found. An alignment gives the template's label if it covers COVERAGE of its indexed words and
-if each key phrase is whole, consecutive in one exact alignment. The base phrases are templates of which all words must
+if each key phrase is whole, consecutive in one exact alignment. An identifier line's three words and its name are two key phrases,
+so that a name within DRIFT words of its place counts, as in "(MIT OR Apache-2.0)". The base phrases are templates of which all words must
 agree on one start, so their places are exact.
 
 All of it runs as DataFrame expressions: the index is a fixed table of about a thousand rows, and votes are
@@ -45,6 +46,8 @@ TEMPLATES = [
     ("apache-2.0", "unless required by applicable law or agreed to in writing [software distributed under the license] is [distributed on an as is basis] without warranties or conditions of any kind either express or implied"),
     ("artistic-2.0", "[the artistic license 2 0]"),
     ("bsd", "[redistribution and use in source and binary forms] with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "[redistributions of source code must retain the above copyright notice] this list of conditions and the following disclaimer"),
+    ("bsd", "[redistributions in binary form must reproduce the above copyright notice] this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors [may be used to endorse or promote products] derived from this software without specific prior written permission"),
     ("bsl-1.0", "[boost software license version 1 0]"),
     ("cc-by", "licensed under a [creative commons attribution] license"),
@@ -63,6 +66,7 @@ TEMPLATES = [
     ("gpl-2.0", "[gnu general public license version 2]"),
     ("gpl-3.0", "[gnu general public license version 3]"),
     ("isc", "[permission to use copy modify and or distribute this software] for any purpose with or without fee is hereby granted"),
+    ("isc", "the software is provided as is and [the author disclaims all warranties] with regard to this software including all implied warranties of merchantability and fitness"),
     ("lgpl", "[gnu lesser general public license]"),
     ("lgpl", "[gnu library general public license]"),
     ("mit", "[permission is hereby granted] [free of charge] to any person [obtaining a copy of this software] and associated documentation files the software to deal in the software without restriction"),
@@ -76,7 +80,7 @@ TEMPLATES = [
     ("zlib", "this software is provided as is without any express or implied warranty [in no event will the authors be held liable] for any damages arising from the use of this software"),
     ("zlib", "[altered source versions must be plainly marked as such] and must not be misrepresented as being the original software"),
 ]
-#: Names after an identifier line's first three words; each is its own label.
+#: Names after an identifier line's first three words, in expressions too; each is its own label.
 IDENTIFIERS = ["agpl-3.0", "apache-2.0", "artistic-2.0", "bsd-2-clause", "bsd-3-clause", "bsl-1.0", "cc-by-4.0", "cc-by-sa-4.0", "cc0-1.0", "epl-2.0", "gpl-2.0", "gpl-3.0", "isc", "lgpl-2.1", "lgpl-3.0", "mit", "mpl-2.0", "unlicense", "zlib"]
 
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -86,7 +90,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def templates() -> list[tuple[int, str, bool, int, str, int]]:
     """The index's postings: template, label, base, place, word, and the number of its key phrase, -1 for none."""
     out = [(t, label, True, i, w, 0) for t, (phrase, label) in enumerate(BASE.items()) for i, w in enumerate(phrase.split())]
-    lines = [(name, "[spdx license identifier " + name.replace("-", " ").replace(".", " ") + "]") for name in IDENTIFIERS]
+    lines = [(name, "[spdx license identifier] [" + name.replace("-", " ").replace(".", " ") + "]") for name in IDENTIFIERS]
     for t, (label, text) in enumerate([*TEMPLATES, *lines], len(BASE)):
         words, phrase, inside = text.split(), -1, False
         if len(words) > MOST_WORDS:

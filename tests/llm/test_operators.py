@@ -573,3 +573,17 @@ def test_examples_of_endless_sentences_are_bounded(spark):
     rows = spark.createDataFrame([(1, " ".join(words)), (0, " ".join(words))], "toxic int, text string").toArrow().to_batches()
     for r in (r for b in toxicity._examples(np.arange(toxicity.BUCKETS), iter(rows)) for r in b.to_pylist()):
         assert len(r["sentence"].split()) <= toxicity.EXAMPLE_WORDS and len(r["words"]) <= toxicity.EXAMPLES
+
+
+def test_licence_notices_and_expressions(spark):
+    texts = {
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "bsd",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.": "isc",
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2.0,mit",
+        "# SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0",
+        "SPDX-License-Identifier: GPL-3.0-only WITH Classpath-exception-2.0": "gpl-3.0",
+        "the identifier of an mit student": "",
+        "SPDX license identifiers are explained elsewhere; mit is one": "",
+    }
+    told = {r["doc_id"]: r["labels"] for r in license_scan.scan(docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert told == dict(enumerate(texts.values()))
