@@ -1,8 +1,8 @@
 """Text of pages by the code maps of their fonts.
 
 A font's codes are one or two bytes; which characters they stand for is a relation of code ranges, from the font's ToUnicode map
-or from its encoding's differences. Strings that pages show become rows of codes, each different code of a font is looked up once
-by an interval join, and the characters come together again in order. Python reads single maps and contents only.
+or from its encoding's differences. Strings that pages show become lists of codes, each different code of a font is looked up once
+by an interval join, and a font's few codes go back to its strings as one map. Python reads single maps and contents only.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
 from .pdf import _get
 from .syntax import REFERENCE, Text, string_bytes, tokens
 
@@ -124,23 +125,24 @@ def page_text(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFra
     A composite font has codes of two bytes. A code that a font's map doesn't have is its Latin-1 character in fonts of one byte,
     and UNKNOWN in others; so is one of a font that isn't in the page's resources.
     """
-    shown = ops.filter(F.col("shown").isNotNull()).select("file", F.col("scope").alias("holder"), "idx", F.col("font").alias("name"), F.array_join("shown", "").alias("hex"))
-    kinds = found.filter(_get("Type") == "/Font").select("file", "id", F.when(_get("Subtype") == "/Type0", 4).otherwise(2).alias("digits"))
+    shown = ops.filter(F.col("shown").isNotNull()).select("file", F.col("scope").alias("holder"), "idx", F.col("font").alias("name"), F.unhex(F.array_join("shown", "")).alias("data"))
+    kinds = found.filter(_get("Type") == "/Font").select("file", "id", F.when(_get("Subtype") == "/Type0", 2).otherwise(1).alias("width"))
     known = fonts(found).join(kinds, ["file", "id"])
-    own = shown.join(known, ["file", "holder", "name"], "left").withColumn("digits", F.coalesce("digits", F.lit(2)))
-    n = F.expr("length(hex) div digits")
-    cut = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.conv(F.substring("hex", k * F.col("digits") + 1, F.col("digits")), 16, 10).cast("int"))
-    coded = own.select("file", "holder", "idx", "id", "digits", cut.alias("codes"))
+    own = shown.join(known, ["file", "holder", "name"], "left").withColumn("width", F.coalesce("width", F.lit(1)))
+    n = F.expr("octet_length(data) div width")
+    # bytes, not digits: a place in text is found by counting from its start
+    cut = F.transform(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>")), lambda k: F.conv(F.hex(F.substring("data", (k * F.col("width") + 1).cast("int"), F.col("width"))), 16, 10).cast("int"))
+    coded = written(own.select("file", "holder", "idx", "id", "width", cut.alias("codes")), "shown-codes")
     # each different code of a font once
     asked = coded.filter("id is not null").select("file", "id", F.explode("codes").alias("code")).distinct().withColumn("page", F.shiftright("code", 8))
     ranges = code_maps(found).withColumn("page", F.explode(F.sequence(F.shiftright("lo", 8), F.shiftright("hi", 8))))
     hits = asked.join(ranges, ["file", "id", "page"]).filter("code between lo and hi").withColumn("plus", F.col("code") - F.col("lo"))
     hits = hits.groupBy("file", "id", "code").agg(F.min_by(_character("text", "plus"), "lo").alias("c"))
-    rows = coded.select("file", "holder", "idx", "id", "digits", F.posexplode_outer("codes").alias("at", "code")).join(hits, ["file", "id", "code"], "left")
-    missing = F.when(F.col("code").isNull(), "").when(F.col("digits") == 2, F.decode(F.unhex(F.lpad(F.hex(F.col("code").cast("long")), 2, "0")), "ISO-8859-1")).otherwise(UNKNOWN)
-    parts = rows.select("file", "holder", F.struct("idx", "at", F.coalesce("c", missing).alias("c")).alias("part"))
-    joined = parts.groupBy("file", F.col("holder").alias("id")).agg(F.array_sort(F.collect_list("part")).alias("p"))
-    # a space after the last character of an operation
-    spaced = F.transform("p", lambda x, i: F.concat(x["c"], F.when((i == F.size("p") - 1) | (F.get("p", i + 1)["idx"] != x["idx"]), " ").otherwise("")))
+    # a font's own codes, of which there are few, as one map for each row that is shown in it
+    maps = hits.groupBy("file", "id").agg(F.map_from_entries(F.collect_list(F.struct("code", "c"))).alias("map"))
+    rows = coded.join(maps, ["file", "id"], "left").withColumn("map", F.coalesce("map", F.create_map().cast("map<int,string>")))
+    missing = lambda code: F.when(F.col("width") == 1, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 2, "0")), "ISO-8859-1")).otherwise(UNKNOWN)
+    text = F.concat(F.array_join(F.transform("codes", lambda code: F.coalesce(F.try_element_at("map", code), missing(code))), ""), F.lit(" "))
+    joined = rows.groupBy("file", F.col("holder").alias("id")).agg(F.array_sort(F.collect_list(F.struct("idx", text.alias("t")))).alias("p"))
     whole = own_pages.select("file", "page_number", "id").join(joined, ["file", "id"], "left")
-    return whole.select("file", "page_number", F.coalesce(F.array_join(spaced, ""), F.lit("")).alias("text"))
+    return whole.select("file", "page_number", F.coalesce(F.array_join(F.transform("p", lambda x: x["t"]), ""), F.lit("")).alias("text"))
