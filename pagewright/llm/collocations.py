@@ -44,15 +44,18 @@ TOP = 2000
 #: Where texts are cut into pieces, and what is between words.
 CUTS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 
-#: Pieces whose words a task looks at together.
-CHUNK = 100_000
+#: Pieces whose words a task looks at together, and hashes of pairs that it sends together.
+CHUNK, SENT = 50_000, 1_000_000
 #: duckdb's memory in a task; it spills beyond it.
-MEMORY = "256MB"
+MEMORY = "128MB"
+#: Buckets of pairs' hashes for each shuffle partition.
+BUCKETS = 8
 #: Shares that a language's candidates are ranked in first.
 SHARES = 64
 
 _STEP = 0x9E3779B97F4A7C15  # a phrase's hash is its words' hashes as digits to this base, modulo 2 ** 64
-_COUNTS = "lang string, phrase string, words int, h long, f long"
+_COUNTS = "lang string, phrase string, words int, h long, f long, pairs binary"
+_NAMES = ["lang", "phrase", "words", "h", "f", "pairs"]
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -110,7 +113,29 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
-def _counted(frequent: Broadcast | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts of hashes (h, f) as one row for each bucket of hashes, h its number: both columns' bytes, one after the other."""
+    held: list[pa.RecordBatch] = []
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        h, f = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in held]) for i in (0, 1))
+        held.clear()
+        bucket = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        own, at = np.unique(bucket[order], return_index=True)
+        rows = [h[x].tobytes() + f[x].tobytes() for x in np.split(order, at[1:])]
+        none = pa.nulls(len(own), pa.string())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(own), 2, np.int32)), pa.array(own), pa.nulls(len(own), pa.int64()), pa.array(rows, pa.binary())], _NAMES)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= SENT:
+            yield from packed()
+    if sum(x.num_rows for x in held):
+        yield from packed()
+
+
+def _counted(frequent: Broadcast | None, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The n-grams of a bucket of pieces with their weighted counts.
 
     Without ``frequent`` these are words, and pairs by hash only; with that bitmap, phrases whose pairs are all in it.
@@ -145,9 +170,7 @@ def _counted(frequent: Broadcast | None, batches: Iterator[pa.RecordBatch]) -> I
                 at = np.nonzero(here)[0]
                 columns = [number[at + i] if i < n else np.full(len(at), -1, np.int32) for i in range(LONGEST)]
                 db.register("new", pa.table([*columns, weight[at]], ["a", "b", "c", "d", "k"])).execute("insert into grams select * from new")
-        for batch in db.sql("select h, sum(k)::bigint as f from pairs group by h").to_arrow_reader(20_000):
-            none, n = pa.nulls(batch.num_rows, pa.string()), pa.array(np.full(batch.num_rows, 2, np.int32))
-            yield pa.RecordBatch.from_arrays([none, none, n, *batch.columns], ["lang", "phrase", "words", "h", "f"])
+        yield from _sent(db.sql("select h, sum(k)::bigint as f from pairs group by h").to_arrow_reader(20_000), buckets)
         keys = pa.array(list(words.number), pa.string())
         split = pc.split_pattern(keys, "\t", max_splits=1, reverse=True) if len(keys) else pa.array([], pa.list_(pa.string()))
         langs, texts = pc.list_element(split, 0), pc.list_element(split, 1)
@@ -162,7 +185,8 @@ def _counted(frequent: Broadcast | None, batches: Iterator[pa.RecordBatch]) -> I
                     h = h * step + words.hashes[c]
                 phrase = pc.binary_join_element_wise(*(texts.take(pa.array(c)) for c in own), " ") if n > 1 else texts.take(pa.array(own[0]))
                 f = batch.column(LONGEST).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(own[0])), phrase, pa.array(np.full(len(rows), n, np.int32)), pa.array(h.view(np.int64)), f], ["lang", "phrase", "words", "h", "f"])
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(own[0])), phrase, pa.array(np.full(len(rows), n, np.int32)), pa.array(h.view(np.int64)), f, pa.nulls(len(rows), pa.binary())], _NAMES)
+    pa.default_memory_pool().release_unused()
 
 
 def _summed(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,17 +195,23 @@ def _summed(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         db.execute("create table parts (lang varchar, phrase varchar, words int, h bigint, f bigint)")
         db.execute("create table pairs (h bigint, f bigint)")
         for batch in batches:
-            db.register("new", pa.table(batch)).execute("insert into pairs select h, f from new where phrase is null")
-            db.execute("insert into parts select lang, phrase, words, h, f from new where phrase is not null")
-        yield from db.sql(f"select null::varchar as lang, null::varchar as phrase, 2::int as words, h, sum(f)::bigint as f from pairs group by h having sum(f) >= {least:d}").to_arrow_reader(20_000)
-        sums = f"select lang, phrase, words, any_value(h) as h, sum(f)::bigint as f from parts group by lang, phrase, words having words = 1 or sum(f) >= {least:d}"
+            packed = [x for x in batch.column("pairs").to_pylist() if x]
+            if packed:
+                both = [np.frombuffer(x, np.int64).reshape(2, -1) for x in packed]
+                db.register("new", pa.table([np.concatenate([x[i] for x in both]) for i in (0, 1)], ["h", "f"])).execute("insert into pairs select * from new")
+            if len(packed) < batch.num_rows:
+                db.register("new", pa.table(batch)).execute("insert into parts select lang, phrase, words, h, f from new where phrase is not null")
+        yield from db.sql(f"select null::varchar as lang, null::varchar as phrase, 2::int as words, h, sum(f)::bigint as f, null::blob as pairs from pairs group by h having sum(f) >= {least:d}").to_arrow_reader(20_000)
+        sums = f"select lang, phrase, words, any_value(h) as h, sum(f)::bigint as f, null::blob as pairs from parts group by lang, phrase, words having words = 1 or sum(f) >= {least:d}"
         yield from db.sql(sums).to_arrow_reader(20_000)
+    pa.default_memory_pool().release_unused()
 
 
 def _pass(distinct: DataFrame, least: int, frequent: Broadcast | None, name: str) -> DataFrame:
-    """What ``_counted`` finds, summed over all buckets, as a written table. Equal n-grams have equal hashes."""
-    parts = distinct.mapInArrow(functools.partial(_counted, frequent), _COUNTS)
-    return written(parts.repartition("h").mapInArrow(functools.partial(_summed, least), _COUNTS), name)
+    """What ``_counted`` finds, summed over all buckets, as a written table. Equal n-grams have equal hashes, and equal hashes a bucket."""
+    buckets = BUCKETS * int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = distinct.mapInArrow(functools.partial(_counted, frequent, buckets), _COUNTS)
+    return written(parts.repartition("h").mapInArrow(functools.partial(_summed, least), _COUNTS).drop("pairs"), name)
 
 
 def _marks(frequent: DataFrame) -> Broadcast:

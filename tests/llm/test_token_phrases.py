@@ -223,10 +223,16 @@ def test_counts_spill(spark, monkeypatch):
     table = spark.createDataFrame([("en", x, 3) for x in pieces], "lang string, piece string, k long").toArrow()
     want = Counter(w for x in pieces for w in x.split())
     got = Counter()
-    for batch in collocations._counted(None, iter(table.to_batches())):
+    pairs = 0
+    for batch in collocations._counted(None, 50, iter(table.to_batches())):
         for r in batch.to_pylist():
-            got[r["phrase"]] += r["f"]
-    assert got.pop(None) == 3 * 39 * len(pieces)
+            if r["pairs"]:
+                h, f = np.frombuffer(r["pairs"], np.int64).reshape(2, -1)
+                pairs += f.sum()
+                assert (h.view(np.uint64) % np.uint64(50) == r["h"]).all() and len(set(h)) == len(h)
+            else:
+                got[r["phrase"]] += r["f"]
+    assert pairs == 3 * 39 * len(pieces)
     assert got == Counter({w: 3 * n for w, n in want.items()})
     assert sum(1 for _ in collocations._summed(1, iter([]))) == 0
 
