@@ -336,7 +336,8 @@ select vec_id, x::bigint as x, y::bigint as y, floor((p[y * 8 + x * 2 + 1] + p[y
 """)
 def bilinear_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of four by four at half the size: each pixel lies between four."""
-    values = F.transform(F.slice("embedding", 1, 16), lambda x: F.round(F.abs(x.cast("double")) * 1000).cast("int") % 256)
+    # products of floats are floats, and halves go to the even neighbour
+    values = F.transform(F.slice("embedding", 1, 16), lambda x: (F.rint(F.abs(x) * F.lit(1000).cast("float")).cast("long") % 256).cast("int"))
     own = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), values.alias("pixels"), *(F.lit(n).alias(c) for c, n in (("pixel_width", 4), ("pixel_height", 4), ("channels", 1), ("tw", 2), ("th", 2))))
     small = pixels.resized(own, "tw", "th", "bilinear").select("id", F.posexplode("pixels").alias("i", "value"))
     return small.select(F.col("id").alias("vec_id"), (F.col("i") % 2).cast("long").alias("x"), F.floor(F.col("i") / 2).alias("y"), F.col("value").cast("long").alias("value"))
