@@ -48,8 +48,16 @@ def object_id(number: Column, generation: Column) -> Column:
     return F.format_string("%d %d R", number, generation)
 
 
+def fixed(number: Column, places: int) -> Column:
+    """A double with ``places`` decimals, rounded by its exact value, and halves to the even digit, as C does.
+
+    ``format_string`` rounds the shortest decimal that stands for the double, which may be a half where the double is none.
+    """
+    return F.call_function("format_number", number.cast("double"), F.lit("0." + "0" * places))
+
+
 def megabytes(size: Column) -> Column:
-    return F.format_string("%.2f MB", size / 1e6)
+    return F.concat(fixed(size / 1e6, 2), F.lit(" MB"))
 
 
 def polynomial_hash(text: Column) -> Column:
