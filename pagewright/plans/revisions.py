@@ -19,20 +19,22 @@ _HEADER = "%PDF-1.7\n"
 
 
 def _length(*parts: Column | str) -> Column:
-    return sum((F.lit(len(x)) if isinstance(x, str) else F.octet_length(x) for x in parts), F.lit(0))
+    """Bytes of ``parts``: what is known is one number."""
+    known = F.lit(sum(len(x) for x in parts if isinstance(x, str)))
+    return sum((F.octet_length(x) for x in parts if not isinstance(x, str)), known)
 
 
 def _joined(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
 
 
-def _body(start: Column, objects: list[tuple[int, Column]]) -> tuple[Column, dict[int, Column], Column]:
-    """Objects one after the other from place ``start``: text, place of each number, and the place after them."""
-    places = {}
-    for number, text in objects:
-        places[number] = start
-        start = start + F.octet_length(text)
-    return F.concat(*(text for _, text in objects)), places, start
+def _body(start: Column, objects: list[tuple[int, tuple[Column | str, ...]]]) -> tuple[Column, dict[int, Column], Column]:
+    """Objects (number and parts) one after the other from place ``start``: text, place of each number, and the place after them."""
+    places, parts = {}, []
+    for number, own in objects:
+        places[number] = start + _length(*parts)
+        parts += own
+    return _joined(*parts), places, start + _length(*parts)
 
 
 def _entry(place: Column) -> Column:
@@ -48,10 +50,12 @@ def _fields(kind: int, a: Column | int, b: int) -> Column:
 def saved_files(docs: DataFrame) -> DataFrame:
     """file and content of a file for each document."""
     d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
-    obj = lambda number, *parts: (number, _joined(f"{number} 0 obj\n", *parts, "\nendobj\n"))
-    tall = F.format_string("%d", (200 + d % 50).cast("long"))
+    # texts whose lengths are asked often are columns of a step of their own; so is the first save, which the others follow
+    docs = docs.select("doc_id", F.concat(text, F.lit("\nendstream x")).alias("image"), F.format_string("%d", (200 + d % 50).cast("long")).alias("tall"))
+    obj = lambda number, *parts: (number, (f"{number} 0 obj\n", *parts, "\nendobj\n"))
+    tall = F.col("tall")
     page = lambda width, parent: ("<< /Type /Page /Parent ", f"{parent} 0 R /MediaBox [0 0 {width} ", tall, "] /Contents 5 0 R /Resources << /XObject << /Im 6 0 R >> >> >>")
-    content, image = "q 50 0 0 40 0 0 cm /Im Do Q", F.concat(text, F.lit("\nendstream x"))
+    content, image = "q 50 0 0 40 0 0 cm /Im Do Q", F.col("image")
     first, at, end = _body(
         F.lit(len(_HEADER)),
         [
@@ -69,7 +73,8 @@ def saved_files(docs: DataFrame) -> DataFrame:
     )
     table = _joined("xref\n0 11\n0000000000 65535 f \n", *(_entry(at[n]) for n in range(1, 11)))
     once = F.concat(first, table, _joined("trailer\n<< /Size 11 /Root 1 0 R /Info 4 0 R /ID [<6161> <6262>] >>\nstartxref\n", end.cast("string"), "\n%%EOF\n"))
-    whole = _length(_HEADER, once)
+    docs = docs.select("*", end.alias("end"), once.alias("once")).select("*", _length(_HEADER, F.col("once")).alias("whole"))
+    end, once, whole = F.col("end"), F.col("once"), F.col("whole")
     new = {4: ("<< /Title (second) >>",), 12: ("<< /Type /Pages /Kids [3 0 R 13 0 R] /Count 2 >>",), 3: page(300, 12), 13: ("<< /Type /Page /Parent 12 0 R /MediaBox [0 0 77 88] >>",), 11: ("<< /Type /Catalog /Pages 12 0 R >>",)}
     ends = "/Root 11 0 R /Info 4 0 R /ID [<6161> <6363>] /Prev "
     tail = lambda place: _joined("\nstartxref\n", place.cast("string"), "\n%%EOF\n")
@@ -88,14 +93,14 @@ def saved_files(docs: DataFrame) -> DataFrame:
     inner = F.concat(head, F.concat_ws(" ", *values.values()))
     packed = obj(14, "<< /Type /ObjStm /N 5 /First ", F.octet_length(head).cast("string"), " /Length ", F.octet_length(inner).cast("string"), " >>\nstream\n", inner, "\nendstream")
     held = {n: _fields(2, 14, k) for k, n in enumerate(new)}
-    second = whole + F.octet_length(packed[1])
+    second = whole + _length(*packed[1])
     hexed = _joined(held[3], held[4], _fields(0, 0, 1), *(held[n] for n in (11, 12, 13)), _fields(1, whole, 0), _fields(1, second, 0), ">")
     own = lambda *more: obj(15, "<< /Type /XRef /Size 16 /W [1 4 2] /Index [3 2 9 1 11 5] /Filter /ASCIIHexDecode /Length ", F.octet_length(hexed).cast("string"), " ", *more, " >>\nstream\n", hexed, "\nendstream")[1]
-    by_stream = F.concat(packed[1], own(ends, end.cast("string")), tail(second))
+    by_stream = _joined(*packed[1], *own(ends, end.cast("string")), tail(second))
     hidden = own("/Root 11 0 R")
     rows = _joined("xref\n9 1\n0000000000 00001 f \n11 5\n", *["0000000000 00000 f \n"] * 3, _entry(whole), _entry(second))
     trailer = _joined("trailer\n<< /Size 16 /XRefStm ", second.cast("string"), " ", ends, end.cast("string"), " >>")
-    hybrid = F.concat(packed[1], hidden, rows, trailer, tail(second + F.octet_length(hidden)))
+    hybrid = _joined(*packed[1], *hidden, rows, trailer, tail(second + _length(*hidden)))
     kind = d % 5
     again = F.when(kind == 1, by_table).when(kind == 2, by_stream).when(kind == 3, hybrid).when(kind == 4, lost).otherwise("")
     return docs.select(F.concat(F.lit("saved-"), d.cast("string"), F.lit(".pdf")).alias("file"), F.concat(F.lit(_HEADER), once, again).cast("binary").alias("content"))

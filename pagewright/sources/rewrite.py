@@ -7,12 +7,14 @@ written side by side.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pdf import TRAILER
+from .pdf import TRAILER, _batches, cells
 from .syntax import REFERENCE, syntax
 from .table import STORAGE
 
@@ -102,44 +104,76 @@ def edges(found: DataFrame) -> DataFrame:
     return found.filter("value is not null").withColumn("_edits", F.coalesce(_edits(found), F.create_map().cast(_EDITS))).select("file", "id", F.explode(refs).alias("to"))
 
 
+def _references(value: object) -> Iterator[str]:
+    """What a value refers to."""
+    if isinstance(value, str):
+        if REFERENCE.match(value):
+            yield value
+    elif isinstance(value, dict | list):
+        for x in value.values() if isinstance(value, dict) else value:
+            yield from _references(x)
+
+
+def _edited(value: str | None, edits: list | None) -> object:
+    """The value of an object (JSON) after its edits."""
+    own = None if value is None else json.loads(value)
+    for key, text in edits or []:
+        own.pop(key, None)
+        if text is not None:
+            own[key] = json.loads(text)
+    return own
+
+
+def _led_to(values: dict[str, object]) -> set[str]:
+    """The ids among ``values`` that the trailer leads to; each is entered once, as the graph has cycles (a page knows its parent)."""
+    seen, asked = set(), [TRAILER]
+    while asked:
+        for ref in _references(values[asked.pop()]):
+            if ref in values and ref not in seen:
+                seen.add(ref)
+                asked.append(ref)
+    return seen
+
+
+def _by_file(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with those of a file one after the other in one partition, for a task that takes a file at a time."""
+    return rows.select("file", *names).repartition("file").sortWithinPartitions("file")
+
+
 def reachable(found: DataFrame) -> DataFrame:
-    """file and id of the objects that a file's trailer leads to over ``edges``.
+    """file and id of the objects that a file's trailer leads to, after edits.
 
-    The graph has cycles (a page knows its parent), so a recursive query, which has no UNION without ALL here, would not end on
-    it. Instead objects are numbered, a file's edges become one row of neighbour lists, and one expression takes steps from the
-    trailer until nothing new is reached: no job for each step, and no more rows in a task than a file has objects.
+    The graph has cycles, so a recursive query, which has no UNION without ALL here, would not end on it. A file's objects meet in one
+    task and are walked there.
     """
-    numbered = found.filter("number is not null or id = 'trailer'").select("file", "id")
-    numbered = numbered.groupBy("file").agg(F.array_sort(F.collect_set("id")).alias("ids")).select("file", "ids", F.posexplode("ids").alias("k", "id"))
-    ids = numbered.select("file", "id", "k")
-    found_edges = edges(found).join(ids, ["file", "id"]).withColumnRenamed("k", "a").join(ids.select("file", F.col("id").alias("to"), F.col("k").alias("b")), ["file", "to"])
-    lists = found_edges.groupBy("file", F.col("a").alias("k")).agg(F.collect_set("b").alias("next"))
-    none = F.array().cast("array<int>")
-    graph = numbered.select("file", "id", "k").join(lists, ["file", "k"], "left").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("next", none).alias("next"), "id"))).alias("nodes"))
-    start = F.array(F.array_position(F.col("nodes.id"), F.lit(TRAILER)).cast("int") - 1)
-    graph = graph.filter(F.array_contains("nodes.id", TRAILER)).select("file", F.col("nodes.id").alias("ids"), F.col("nodes.next").alias("next"), start.alias("start"))
 
-    def step(state: Column, _: Column) -> Column:
-        new = F.array_except(F.flatten(F.transform(state["new"], lambda k: F.get("next", k))), state["seen"])
-        return F.when(F.size(state["new"]) == 0, state).otherwise(F.struct(F.concat(state["seen"], new).alias("seen"), new.alias("new")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for file, group in groupby(cells(batches), lambda row: row[0]):
+                values = {id_: _edited(value, edits) for _, id_, value, edits in group}
+                if TRAILER in values:
+                    yield from ({"file": file, "id": x} for x in _led_to(values))
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.size("ids")), F.struct(F.col("start").alias("seen"), F.col("start").alias("new")), step)
-    return graph.select("file", F.explode(F.transform(walked["seen"], lambda k: F.get("ids", k))).alias("id")).filter(F.col("id") != TRAILER)
+        yield from _batches(rows(), pa.schema([("file", pa.string()), ("id", pa.string())]))
 
+    own = found.filter(F.col("number").isNotNull() | (F.col("id") == TRAILER)).withColumn("edits", _edits(found))
+    return _by_file(own, ["id", "value", "edits"]).mapInArrow(run, "file string, id string")
 
-def _assemble(table: pa.Table) -> pa.Table:
+
+def _file(rows: list[tuple], pruned: bool) -> bytes:
     """One file of its objects and what its trailer says."""
-    t = table.to_pydict()
+    edited = {row[1]: _edited(*row[4:6]) for row in rows}
+    if pruned:
+        led = _led_to(edited) if TRAILER in edited else set()
+        rows = [row for row in rows if row[1] in led or row[1] == TRAILER]
     values, streams, trailer = {}, {}, {}
-    for number, generation, value, edits, stream in zip(*(t[c] for c in ("number", "generation", "value", "edits", "stream")), strict=True):
-        own = json.loads(value)
-        for key, text in edits or []:
-            own.pop(key, None)
-            if text is not None:
-                own[key] = json.loads(text)
+    for _, id_, number, generation, _, _, stream, storage in rows:
+        own = edited[id_]
         if number is None:
             trailer = {k: v for k, v in own.items() if k not in STORAGE}
             continue
+        if storage:
+            continue
         if stream is not None:
             own["Length"] = len(stream)
         values[number, generation], streams[number, generation] = own, stream
@@ -156,7 +190,7 @@ def _assemble(table: pa.Table) -> pa.Table:
         out += f"{number} 1\n{at:010d} {generation:05d} n \n".encode("ascii")
     ends = syntax({"Size": max(offsets, default=0) + 1} | trailer)
     out += f"trailer\n{ends}\nstartxref\n{start}\n%%EOF\n".encode("latin-1")
-    return pa.table({"file": t["file"][:1], "content": pa.array([bytes(out)], pa.binary()), "size_bytes": pa.array([len(out)], pa.int64())})
+    return bytes(out)
 
 
 def assembled(found: DataFrame, pruned: bool = False) -> DataFrame:
@@ -164,14 +198,23 @@ def assembled(found: DataFrame, pruned: bool = False) -> DataFrame:
 
     ``pruned`` leaves out what the trailer doesn't lead to. The trailer keeps its entries: the same catalogue, Info and ID.
     Cross-reference and object streams aren't carried over: their objects stand alone and the table is written anew. A
-    file that couldn't be read has no objects and gives no row.
+    file that couldn't be read has no objects and gives no row. A task has one file at a time.
     """
-    own = found.filter(F.col("number").isNotNull() & ~F.coalesce(F.get_json_object("value", "$.Type").isin("/ObjStm", "/XRef"), F.lit(False)))
-    if pruned:
-        own = own.join(reachable(found), ["file", "id"], "left_semi")
-    ends = found.filter(F.col("id") == TRAILER)
-    rows = [x.select("file", "number", "generation", "value", _edits(found).alias("edits"), "stream") for x in (own, ends)]
-    return rows[0].unionByName(rows[1]).groupBy("file").applyInArrow(_assemble, "file string, content binary, size_bytes long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for file, group in groupby(cells(batches), lambda row: row[0]):
+                content = _file(list(group), pruned)
+                yield {"file": file, "content": content, "size_bytes": len(content)}
+
+        yield from _batches(rows(), pa.schema([("file", pa.string()), ("content", pa.binary()), ("size_bytes", pa.int64())]))
+
+    storage = F.coalesce(F.get_json_object("value", "$.Type").isin("/ObjStm", "/XRef"), F.lit(False)) & F.col("number").isNotNull()
+    own = found.filter(F.col("number").isNotNull() | (F.col("id") == TRAILER)).withColumns({"edits": _edits(found), "storage": storage})
+    own = own.withColumn("stream", F.when(~F.col("storage"), F.col("stream")))
+    if not pruned:
+        own = own.filter(~F.col("storage"))
+    return _by_file(own, ["id", "number", "generation", "value", "edits", "stream", "storage"]).mapInArrow(run, "file string, content binary, size_bytes long")
 
 
 def opaque_state(state: Column) -> Column:
