@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
@@ -26,12 +27,18 @@ def keep_state(spark: SparkSession) -> None:
         spark.conf.set(name, PROVIDER)
 
 
+#: Fixed value: shares of a key's ids, by their hash; each is one entry of its state.
+SHARES = 1024
+
+
 class Purchases(StatefulProcessor):
     """Events (event_id, kind, full, at) of one key in; what became of each out.
 
     recorded: the first purchase; known: another one; revoked: a full refund of a recorded purchase; noted: a partial refund;
     waiting: a full refund before its purchase; duplicate: an id seen before; expired: a refund that waited in vain.
     revoked_at is the first revocation's time once there is one.
+
+    State is asked once for each share of ids that a trigger touches, not for each event, and a key has a timer for what is due first.
     """
 
     def __init__(self, key: str, remember_days: int, patience_days: int):
@@ -40,60 +47,97 @@ class Purchases(StatefulProcessor):
     def init(self, handle: Any) -> None:
         self.handle = handle
         self.purchase = handle.getValueState("purchase", "at long, revoked_at long")
-        self.seen = handle.getMapState("seen", "event_id string", "at long")
+        self.seen = handle.getMapState("seen", "share int", "ids array<string>, at array<bigint>")
         self.waiting = handle.getListState("waiting", "event_id string, at long")
+        self.due = handle.getValueState("due", "at long")
 
-    def _apply(self, kind: str, full: bool, event_id: str, at: int) -> str:
-        bought = self.purchase.get() if self.purchase.exists() else None
-        if kind == "purchase":
-            if bought:
-                return "known"
-            early = [x[1] for x in self.waiting.get()] if self.waiting.exists() else []
-            self.purchase.update((at, early[0] if early else None))
-            self.waiting.clear()
-            return "recorded"
-        if not full:
-            return "noted"
-        if not bought:
-            self.waiting.appendValue((event_id, at))
-            self.handle.registerTimer(at // 1000 + self.patience_ms)
-            return "waiting"
-        if bought[1] is None:
-            self.purchase.update((bought[0], at))
-        return "revoked"
-
-    def _rows(self, key: tuple, rows: list[tuple[str, int, str]]) -> pd.DataFrame:
+    def _rows(self, key: tuple, ids: Any, at: Any, outcomes: Any) -> pd.DataFrame:
         bought = self.purchase.get() if self.purchase.exists() else None
-        out = pd.DataFrame(rows, columns=["event_id", "at", "outcome"])
+        out = pd.DataFrame({"event_id": ids, "at": at, "outcome": outcomes})
         out.insert(0, self.key, key[0])
         out["at"] = pd.to_datetime(out["at"], unit="us")
         out["revoked_at"] = pd.to_datetime(pd.Series([bought[1] if bought else None] * len(out), dtype="Int64"), unit="us")
         return out
 
+    def _wake(self, at_ms: int | None) -> None:
+        """See to it that the key is looked at by ``at_ms``; an earlier timer that is pending is enough."""
+        pending = self.due.get()[0] if self.due.exists() else None
+        if at_ms is not None and (pending is None or at_ms < pending):
+            self.handle.registerTimer(at_ms)
+            self.due.update((at_ms,))
+
+    def _first_seen(self, ids: pd.Series, at: np.ndarray) -> np.ndarray:
+        """True for events with an id that is new in the key and in the trigger; new ids are kept."""
+        fresh = ~ids.duplicated().to_numpy()
+        own = pd.DataFrame({"id": ids.to_numpy(), "at": at, "share": pd.util.hash_array(ids.fillna("").to_numpy(object)) % SHARES, "k": np.arange(len(ids))})[fresh]
+        for share, rows in own.groupby("share", sort=False):
+            held = self.seen.getValue((int(share),)) if self.seen.containsKey((int(share),)) else ([], [])
+            old = rows["id"].isin(held[0]).to_numpy()
+            fresh[rows["k"].to_numpy()[old]] = False
+            new = rows[~old]
+            if len(new):
+                self.seen.updateValue((int(share),), ([*held[0], *new["id"]], [*held[1], *map(int, new["at"])]))
+        return fresh
+
+    def _outcomes(self, ids: np.ndarray, bought_by: np.ndarray, full: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What becomes of new events in the order of time, and the purchase and waiting refunds after them."""
+        bought = self.purchase.get() if self.purchase.exists() else None
+        first = -1 if bought else int(np.argmax(bought_by)) if bought_by.any() else len(ids)
+        place, refund = np.arange(len(ids)), ~bought_by & full
+        out = np.where(bought_by, np.where(place == first, "recorded", "known"), np.where(~full, "noted", np.where(place < first, "waiting", "revoked"))).astype(object)
+        early, late = at[refund & (place < first)], at[refund & (place > first)]
+        if first == len(ids):  # no purchase yet
+            if len(early):
+                self.waiting.appendList([(ids[k], int(at[k])) for k in np.flatnonzero(refund)])
+                self._wake(int(early.min()) // 1000 + self.patience_ms)
+            return out
+        revoked = bought[1] if bought else None
+        if not bought and self.waiting.exists():
+            revoked = next(iter(self.waiting.get()))[1]
+            self.waiting.clear()
+        for times in (early, late):
+            if revoked is None and len(times):
+                revoked = int(times[0])
+        if not bought or revoked != bought[1]:
+            self.purchase.update((bought[0] if bought else int(at[first]), revoked))
+        return out
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        page = pd.concat(list(rows)).sort_values(["at", "event_id"], kind="stable")
-        done = []
-        for event_id, kind, full, at in zip(page["event_id"], page["kind"], page["full"], page["at"].astype("datetime64[us]").astype("int64"), strict=True):
-            if self.seen.containsKey((event_id,)):
-                done.append((event_id, at, "duplicate"))
-                continue
-            self.seen.updateValue((event_id,), (at,))
-            self.handle.registerTimer(at // 1000 + self.remember_ms)
-            done.append((event_id, at, self._apply(kind, bool(full), event_id, at)))
-        yield self._rows(key, done)
+        page = pd.concat(list(rows)).sort_values(["at", "event_id"], kind="stable").reset_index(drop=True)
+        at = page["at"].astype("datetime64[us]").astype("int64").to_numpy()
+        ids, outcomes = page["event_id"].to_numpy(object), np.full(len(page), "duplicate", object)
+        fresh = self._first_seen(page["event_id"], at)
+        if fresh.any():
+            full = page["full"].astype("boolean").fillna(False).to_numpy(bool)
+            outcomes[fresh] = self._outcomes(ids[fresh], (page["kind"] == "purchase").to_numpy(bool)[fresh], full[fresh], at[fresh])
+            self._wake(int(at[fresh].min()) // 1000 + self.remember_ms)
+        yield self._rows(key, ids, at, outcomes)
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        for event_id, at in list(self.seen.iterator()):
-            if at[0] // 1000 + self.remember_ms <= now:
-                self.seen.removeKey(event_id)
+        pending = self.due.get()[0] if self.due.exists() else None
+        if pending is not None and pending > now:
+            return  # a timer that an earlier one made needless
+        now = max(now, timerValues.getCurrentWatermarkInMs() - 1)
+        ends = []
+        for share, (ids, times) in list(self.seen.iterator()):
+            kept = [k for k, at in enumerate(times) if at // 1000 + self.remember_ms > now]
+            ends += [times[k] // 1000 + self.remember_ms for k in kept]
+            if not kept:
+                self.seen.removeKey(share)
+            elif len(kept) < len(ids):
+                self.seen.updateValue(share, ([ids[k] for k in kept], [times[k] for k in kept]))
         held = list(self.waiting.get()) if self.waiting.exists() else []
         kept = [x for x in held if x[1] // 1000 + self.patience_ms > now]
+        ends += [x[1] // 1000 + self.patience_ms for x in kept]
+        self.due.clear()
+        self._wake(min(ends, default=None))
         if len(kept) < len(held):
             self.waiting.clear()
             if kept:
-                self.waiting.put(kept)
-            yield self._rows(key, [(event_id, at, "expired") for event_id, at in held if at // 1000 + self.patience_ms <= now])
+                self.waiting.put([tuple(x) for x in kept])
+            gone = [x for x in held if x[1] // 1000 + self.patience_ms <= now]
+            yield self._rows(key, [x[0] for x in gone], [x[1] for x in gone], ["expired"] * len(gone))
 
 
 def purchases(events: DataFrame, key: str = "key", late: str = "1 day", remember_days: int = 30, patience_days: int = 90) -> DataFrame:

@@ -98,3 +98,84 @@ def test_ingested_once_over_restarts(spark, tmp_path):
         stream = spark.readStream.schema("id string").parquet(f"{tmp_path}/in")
         E.ingested(stream, "id", f"{tmp_path}/out", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c", "d"]
+
+
+def test_state_is_asked_by_share_not_by_event():
+    """A key's trigger of many events: few calls, and the same outcomes as one event after the other."""
+    calls = []
+
+    class Held:
+        def __init__(self):
+            self.value, self.map, self.list = None, {}, []
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None or bool(self.list)
+
+        def get(self):
+            calls.append("get")
+            return iter(self.list) if self.list else self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value, self.list = None, []
+
+        def appendList(self, rows):  # noqa: N802
+            calls.append("append")
+            self.list += rows
+
+        def containsKey(self, key):  # noqa: N802
+            calls.append("contains")
+            return key in self.map
+
+        def getValue(self, key):  # noqa: N802
+            calls.append("value")
+            return self.map[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            calls.append("put")
+            self.map[key] = value
+
+    class Handle:
+        getValueState = getMapState = getListState = lambda self, *_: Held()
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append("timer")
+
+    import pandas as pd
+
+    rng = random.Random(8)
+    for trial in range(30):
+        own = P.Purchases("key", 30, 90)
+        own.init(Handle())
+        seen, bought, waiting, revoked = set(), None, [], None
+        for _ in range(3):
+            n = 5000 if trial == 0 else rng.randrange(1, 12)
+            rows = [(f"e{rng.randrange(9000 if trial == 0 else 25)}", "purchase" if rng.random() < (0.0002 if trial == 0 else 0.15) else "refund", rng.choice([True, True, False, None]), rng.randrange(50)) for _ in range(n)]
+            page = pd.DataFrame(rows, columns=["event_id", "kind", "full", "at"])
+            page["at"] = pd.to_datetime(page["at"], unit="D")
+            calls.clear()
+            (out,) = own.handleInputRows(("k",), iter([page[: n // 2], page[n // 2 :]]), None)
+            assert len(calls) <= 3 * P.SHARES + 20
+            want = []
+            for id_, kind, full, at in sorted(rows, key=lambda r: (r[3], r[0])):
+                if id_ in seen:
+                    what = "duplicate"
+                elif kind == "purchase":
+                    what = "known" if bought else "recorded"
+                    if not bought:
+                        bought, revoked, waiting = True, waiting[0] if waiting else None, []
+                elif not full:
+                    what = "noted"
+                elif not bought:
+                    what = "waiting"
+                    waiting.append(at)
+                else:
+                    what, revoked = "revoked", at if revoked is None else revoked
+                seen.add(id_)
+                want.append((id_, what))
+            assert list(zip(out["event_id"], out["outcome"], strict=True)) == want
+            assert set(out["revoked_at"].dropna()) == ({pd.Timestamp(revoked, unit="D")} if revoked is not None else set())
