@@ -8,11 +8,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Fixed value: lobes of the windowed sine.
 LOBES = 3
+#: Fixed value: channels of pixels that are resized at once.
+CELLS = 1 << 21
 
 
 def _taps(source: int, target: int) -> np.ndarray:
@@ -43,25 +47,42 @@ def bilinear(pixels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.floor(top * (1 - ty) + low * ty + 0.5).astype(np.uint8)
 
 
+def _alike(batch: pa.RecordBatch, kernel: str) -> pa.Array:
+    """The images of a batch (pixels, width, height, channels and new size after the id) at their new sizes: those of equal sizes at once."""
+    pixels = batch.column(1)
+    sizes = pd.DataFrame({i: batch.column(i).to_pandas() for i in range(2, 7)})
+    lengths = pc.list_value_length(pixels).to_pandas()
+    fine = sizes.notna().all(axis=1) & lengths.notna() & (lengths > 0) & (sizes[2] * sizes[3] * sizes[4] == lengths) & (sizes[5] >= 1) & (sizes[6] >= 1)
+    made: list[np.ndarray | None] = [None] * batch.num_rows
+    for (w, h, c, tw, th), rows in sizes[fine].astype("int64").groupby(list(sizes.columns)):
+        step = max(1, CELLS // max(w * h * c, tw * th * c, w * th * c))
+        for k in range(0, len(rows), step):
+            own = rows.index[k : k + step].to_numpy()
+            flat = pc.list_flatten(pixels.take(pa.array(own))).to_numpy(zero_copy_only=False).astype(np.float64)
+            # images side by side are channels of one
+            held = flat.reshape(len(own), h, w, c).transpose(1, 2, 0, 3).reshape(h, w, len(own) * c)
+            if kernel == "lanczos":
+                out = lanczos(held, tw, th)
+            else:
+                u, v = np.meshgrid((np.arange(tw) + 0.5) / tw, (np.arange(th) + 0.5) / th)
+                out = bilinear(held, u, v)
+            for j, image in zip(own.tolist(), out.reshape(th, tw, len(own), c).transpose(2, 0, 1, 3).reshape(len(own), -1), strict=True):
+                made[j] = image
+    counts = np.array([0 if x is None else len(x) for x in made])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.array([*(x is None for x in made), False]))
+    values = np.concatenate([x for x in made if x is not None]) if counts.any() else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)))
+
+
 def resized(images: DataFrame, width: str, height: str, kernel: str = "lanczos") -> DataFrame:
     """Rows of ``images`` (id, pixels, pixel_width, pixel_height, channels) with their pixels at the size in two columns.
 
     A row whose pixels don't fill its size, or whose size is empty, has null pixels.
     """
 
-    def one(flat: list[int] | None, w: int, h: int, c: int, tw: int, th: int) -> list[int] | None:
-        if not flat or None in (w, h, c, tw, th) or len(flat) != w * h * c or min(tw, th) < 1:
-            return None
-        own = np.array(flat, np.float64).reshape(h, w, c)
-        if kernel == "lanczos":
-            return lanczos(own, tw, th).ravel().tolist()
-        u, v = np.meshgrid((np.arange(tw) + 0.5) / tw, (np.arange(th) + 0.5) / th)
-        return bilinear(own, u, v).ravel().tolist()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(*r) for r in rows], pa.list_(pa.int32()))], ["id", "pixels"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _alike(batch, kernel)], ["id", "pixels"])
 
     own = images.selectExpr("id", "pixels", "pixel_width", "pixel_height", "channels", width, height)
     return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, pixels array<int>")
