@@ -198,8 +198,8 @@ select file, id from d, (values ('10 0 R'), ('11 0 R')) t(id) where good
 """)
 def pdf_artwork(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images, and forms that paint or draw something that does; a form without resources of its own doesn't count."""
-    seen = pdf.inspected(_files(spark, sf_dir))
-    return pdf.artwork(seen.objects, seen.operations)
+    found, _, ops = pdf.read(_files(spark, sf_dir))
+    return pdf.artwork(found, ops)
 
 
 @_query(f"""
@@ -218,8 +218,8 @@ select file, 1 as page_number, repeat('x\\) ', (doc_id % 5)::int) as text from d
 """)
 def pdf_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strings that a page's own contents show, without fonts' encodings."""
-    seen = pdf.inspected(_files(spark, sf_dir))
-    return pdf.page_text(seen.pages, seen.operations)
+    _, pages, ops = pdf.read(_files(spark, sf_dir))
+    return pdf.page_text(pages, ops)
 
 
 @_query(f"""

@@ -102,10 +102,10 @@ select file, case when skipped_reason is null then 'would_merge' else 'skipped'
 """)
 def pdf_merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which pages' images can be merged, read from files: by where images stand, what they are, and what is painted between them."""
-    seen = pdf.inspected(merge_files(pdf.spread(_read(spark, sf_dir, "documents").select("doc_id"))))
-    ops = pdf.merge_operations(seen.objects, seen.operations, rewrite.states(seen.objects))
-    pages = seen.pages.select("file", F.col("id").alias("scope"), "width_pt", "height_pt")
-    found = merging.merge_plan(pages, ops, pdf.merge_setup(seen.objects))
+    objects, own, read = pdf.read(merge_files(pdf.spread(_read(spark, sf_dir, "documents").select("doc_id"))))
+    ops = pdf.merge_operations(objects, read, rewrite.states(objects))
+    pages = own.select("file", F.col("id").alias("scope"), "width_pt", "height_pt")
+    found = merging.merge_plan(pages, ops, pdf.merge_setup(objects))
     listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ",")
     return found.select("file", "status", "skipped_reason", listed(F.col("merged_box")).alias("box"), listed(F.col("merged_pixels")).alias("pixels"))
 

@@ -57,7 +57,7 @@ def with_content(found: DataFrame, contents: DataFrame) -> DataFrame:
     edits = F.when(fresh, plain)
     edits = F.coalesce(F.map_concat("edits", edits), edits, "edits") if "edits" in found.columns else edits
     out = both.withColumns({"stream": F.coalesce("_new", "stream"), "edits": edits, "content": F.coalesce("_new", "content")})
-    return out.withColumns({"size_bytes": F.octet_length("stream").cast("long"), "sha256": F.sha2("stream", 256)}).drop("_new")
+    return out.withColumns({"size_bytes": F.octet_length("stream").cast("long"), "sha256": F.sha2("stream", 256)}).drop("_new", "page_content")
 
 
 def prepended(ops: DataFrame, prefix: DataFrame) -> DataFrame:
