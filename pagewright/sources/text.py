@@ -1,21 +1,24 @@
 """Text of pages by the code maps of their fonts.
 
 A font's codes are one or two bytes; which characters they stand for is a relation of code ranges, from the font's ToUnicode map
-or from its encoding's differences. Strings that pages show become lists of codes, each different code of a font is looked up once
-by an interval join, and a font's few codes go back to its strings as one map. Python reads single maps and contents only.
+or from its encoding's differences. A page's strings and the ranges of its fonts meet in one row for each page, where each different
+code of a font is looked up once. Python reads single maps, contents and pages' strings only.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import written
-from .pdf import _get
+from .pdf import _batches, _get, cells
 from .syntax import REFERENCE, Text, string_bytes, tokens
 
 #: Names of glyphs that aren't letters, in the order of ASCII from the space on; then after Z, and after z.
@@ -92,7 +95,8 @@ def code_maps(found: DataFrame) -> DataFrame:
     A map to Unicode counts before an encoding's differences.
     """
     is_font = _get("Type") == "/Font"
-    streams = found.filter("content is not null").select("file", F.col("id").alias("to"), "content")
+    # a map without these words says nothing; page contents, which are most of the bytes, aren't shuffled
+    streams = found.filter(F.contains("content", F.lit(b"beginbf"))).select("file", F.col("id").alias("to"), "content")
     asked = found.filter(is_font & _get("ToUnicode").isNotNull()).select("file", "id", _get("ToUnicode").alias("to"))
     mapped = asked.join(streams, ["file", "to"]).select("file", "id", "content").mapInArrow(_maps, _RANGES).select("file", "id", "lo", "hi", "text")
     encodings = found.filter("value is not null").select("file", F.col("id").alias("to"), _get("Differences").alias("listed"))
@@ -112,11 +116,44 @@ def code_maps(found: DataFrame) -> DataFrame:
     return mapped.unionByName(different)
 
 
-def _character(text: str, plus: str) -> Column:
-    """``text`` with its last character's code raised by ``plus``."""
-    last = F.ascii(F.right(text, F.lit(1))) + F.col(plus)
-    raised = F.decode(F.unhex(F.lpad(F.hex(last.cast("long")), 8, "0")), "UTF-32")
-    return F.when(F.col(plus) == 0, F.col(text)).otherwise(F.concat(F.left(text, F.length(text) - 1), raised))
+class _Font(dict):
+    """The text of each code of a font that was asked for, by its ranges in order of lo; the first that has a code counts."""
+
+    def __init__(self, width: int = 1, ranges: list[dict] | None = None):
+        super().__init__()
+        self.width, self.ranges = width, ranges or []
+        self.reach = list(accumulate((r["hi"] for r in self.ranges), max))
+
+    def __missing__(self, code: int) -> str:
+        at = bisect_left(self.reach, code)  # the first range that ends at the code or after it
+        if at < len(self.ranges) and self.ranges[at]["lo"] <= code:
+            text, plus = self.ranges[at]["text"], code - self.ranges[at]["lo"]
+            last = ord(text[-1:] or "\0") + plus
+            found = text if not plus else text[:-1] + (chr(last) if last < 0xD800 or 0xDFFF < last < 0x110000 else UNKNOWN)
+        else:
+            found = chr(code) if self.width == 1 else UNKNOWN
+        self[code] = found
+        return found
+
+    def text(self, data: bytes) -> str:
+        codes = data
+        if self.width == 2:
+            codes = array("H", data[: len(data) // 2 * 2])
+            if sys.byteorder == "little":
+                codes.byteswap()
+        return "".join(map(self.__getitem__, codes))
+
+
+_TEXTS = pa.schema([("file", pa.string()), ("id", pa.string()), ("text", pa.string())])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[dict]:
+        for file, holder, shown, known in cells(batches):
+            own, other = {x["name"]: _Font(x["width"], x["ranges"]) for x in known or ()}, _Font()
+            yield {"file": file, "id": holder, "text": "".join(own.get(x["name"], other).text(x["data"]) + " " for x in shown)}
+
+    yield from _batches(rows(), _TEXTS)
 
 
 def page_text(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFrame:
@@ -125,24 +162,12 @@ def page_text(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFra
     A composite font has codes of two bytes. A code that a font's map doesn't have is its Latin-1 character in fonts of one byte,
     and UNKNOWN in others; so is one of a font that isn't in the page's resources.
     """
-    shown = ops.filter(F.col("shown").isNotNull()).select("file", F.col("scope").alias("holder"), "idx", F.col("font").alias("name"), F.unhex(F.array_join("shown", "")).alias("data"))
+    shown = ops.filter(F.col("shown").isNotNull()).select("file", F.col("scope").alias("holder"), F.struct("idx", F.col("font").alias("name"), F.unhex(F.array_join("shown", "")).alias("data")).alias("s"))
+    lists = shown.groupBy("file", "holder").agg(F.array_sort(F.collect_list("s")).alias("shown"))
+    ranges = code_maps(found).groupBy("file", "id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "text"))).alias("ranges"))
     kinds = found.filter(_get("Type") == "/Font").select("file", "id", F.when(_get("Subtype") == "/Type0", 2).otherwise(1).alias("width"))
-    known = fonts(found).join(kinds, ["file", "id"])
-    own = shown.join(known, ["file", "holder", "name"], "left").withColumn("width", F.coalesce("width", F.lit(1)))
-    n = F.expr("octet_length(data) div width")
-    # bytes, not digits: a place in text is found by counting from its start
-    cut = F.transform(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>")), lambda k: F.conv(F.hex(F.substring("data", (k * F.col("width") + 1).cast("int"), F.col("width"))), 16, 10).cast("int"))
-    coded = written(own.select("file", "holder", "idx", "id", "width", cut.alias("codes")), "shown-codes")
-    # each different code of a font once
-    asked = coded.filter("id is not null").select("file", "id", F.explode("codes").alias("code")).distinct().withColumn("page", F.shiftright("code", 8))
-    ranges = code_maps(found).withColumn("page", F.explode(F.sequence(F.shiftright("lo", 8), F.shiftright("hi", 8))))
-    hits = asked.join(ranges, ["file", "id", "page"]).filter("code between lo and hi").withColumn("plus", F.col("code") - F.col("lo"))
-    hits = hits.groupBy("file", "id", "code").agg(F.min_by(_character("text", "plus"), "lo").alias("c"))
-    # a font's own codes, of which there are few, as one map for each row that is shown in it
-    maps = hits.groupBy("file", "id").agg(F.map_from_entries(F.collect_list(F.struct("code", "c"))).alias("map"))
-    rows = coded.join(maps, ["file", "id"], "left").withColumn("map", F.coalesce("map", F.create_map().cast("map<int,string>")))
-    missing = lambda code: F.when(F.col("width") == 1, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 2, "0")), "ISO-8859-1")).otherwise(UNKNOWN)
-    text = F.concat(F.array_join(F.transform("codes", lambda code: F.coalesce(F.try_element_at("map", code), missing(code))), ""), F.lit(" "))
-    joined = rows.groupBy("file", F.col("holder").alias("id")).agg(F.array_sort(F.collect_list(F.struct("idx", text.alias("t")))).alias("p"))
-    whole = own_pages.select("file", "page_number", "id").join(joined, ["file", "id"], "left")
-    return whole.select("file", "page_number", F.coalesce(F.array_join(F.transform("p", lambda x: x["t"]), ""), F.lit("")).alias("text"))
+    known = fonts(found).join(kinds, ["file", "id"]).join(ranges, ["file", "id"], "left")
+    held = known.groupBy("file", "holder").agg(F.collect_list(F.struct("name", "width", "ranges")).alias("fonts"))
+    texts = lists.join(held, ["file", "holder"], "left").select("file", "holder", "shown", "fonts").mapInArrow(_texts, "file string, id string, text string")
+    whole = own_pages.select("file", "page_number", "id").join(texts, ["file", "id"], "left")
+    return whole.select("file", "page_number", F.coalesce("text", F.lit("")).alias("text"))
