@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import dealt
 from .pdf import _batches, _get, cells
 from .syntax import REFERENCE, Text, string_bytes, tokens
 
@@ -98,15 +99,15 @@ def code_maps(found: DataFrame) -> DataFrame:
     # a map without these words says nothing; page contents, which are most of the bytes, aren't shuffled
     streams = found.filter(F.contains("content", F.lit(b"beginbf"))).select("file", F.col("id").alias("to"), "content")
     asked = found.filter(is_font & _get("ToUnicode").isNotNull()).select("file", "id", _get("ToUnicode").alias("to"))
-    mapped = asked.join(streams, ["file", "to"]).select("file", "id", "content").mapInArrow(_maps, _RANGES).select("file", "id", "lo", "hi", "text")
+    mapped = asked.join(dealt(streams), ["file", "to"]).select("file", "id", "content").mapInArrow(_maps, _RANGES).select("file", "id", "lo", "hi", "text")
     encodings = found.filter("value is not null").select("file", F.col("id").alias("to"), _get("Differences").alias("listed"))
     plain = found.filter(is_font & _get("ToUnicode").isNull()).select("file", "id", _get("Encoding").alias("to"), _get("Encoding.Differences").alias("own"))
-    listed = plain.join(encodings, ["file", "to"], "left").select("file", "id", F.from_json(F.coalesce("own", "listed"), "array<string>").alias("d")).filter("d is not null")
+    listed = plain.join(dealt(encodings), ["file", "to"], "left").select("file", "id", F.from_json(F.coalesce("own", "listed"), "array<string>").alias("d")).filter("d is not null")
     # a number starts a run of names; the code of a name is the last number before it and the names between
     places = listed.select("file", "id", F.posexplode("d").alias("at", "x")).withColumn("n", F.expr("try_cast(x as int)"))
     runs = places.filter("n is not null").groupBy("file", "id").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("runs"))
     last = F.element_at(F.filter("runs", lambda r: r["at"] < F.col("at")), -1)
-    names = places.filter("n is null").join(runs, ["file", "id"]).withColumn("run", last).filter("run is not null")
+    names = places.filter("n is null").join(dealt(runs), ["file", "id"]).withColumn("run", last).filter("run is not null")
     code = F.col("run.n") + F.col("at") - F.col("run.at") - 1
     named = F.create_map(*(x for k, v in _NAMED.items() for x in (F.lit(k), F.lit(v))))
     name = F.ltrim("x", F.lit("/"))
@@ -166,8 +167,8 @@ def page_text(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFra
     lists = shown.groupBy("file", "holder").agg(F.array_sort(F.collect_list("s")).alias("shown"))
     ranges = code_maps(found).groupBy("file", "id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "text"))).alias("ranges"))
     kinds = found.filter(_get("Type") == "/Font").select("file", "id", F.when(_get("Subtype") == "/Type0", 2).otherwise(1).alias("width"))
-    known = fonts(found).join(kinds, ["file", "id"]).join(ranges, ["file", "id"], "left")
+    known = fonts(found).join(dealt(kinds), ["file", "id"]).join(dealt(ranges), ["file", "id"], "left")
     held = known.groupBy("file", "holder").agg(F.collect_list(F.struct("name", "width", "ranges")).alias("fonts"))
-    texts = lists.join(held, ["file", "holder"], "left").select("file", "holder", "shown", "fonts").mapInArrow(_texts, "file string, id string, text string")
-    whole = own_pages.select("file", "page_number", "id").join(texts, ["file", "id"], "left")
+    texts = lists.join(dealt(held), ["file", "holder"], "left").select("file", "holder", "shown", "fonts").mapInArrow(_texts, "file string, id string, text string")
+    whole = own_pages.select("file", "page_number", "id").join(dealt(texts), ["file", "id"], "left")
     return whole.select("file", "page_number", F.coalesce("text", F.lit("")).alias("text"))

@@ -20,6 +20,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` for a join by shuffle and sort, however small it looks.
+
+    Rows of files repeat each other: a few MB of Parquet or of shuffle blocks, which Spark would broadcast, are some 100 MB of rows in every task,
+    and grow with the files.
+    """
+    return df.hint("merge")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
