@@ -61,6 +61,8 @@ def visible_areas(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
     placed = at(at(solid, "x0", "_x", "_k", "_first"), "x1", "_x", "_k", "_last")
     cut = at(placed.withColumn("_strip", F.explode(F.sequence("_first", F.col("_last") - 1))), "_strip", "_k", "width", "width").select(*keys, "_strip", "z", "y0", "y1", "width")
+    # of equal intervals of a strip only the topmost is seen, so a task has no more rows than a strip has pairs of edges
+    cut = cut.groupBy(*keys, "_strip", "y0", "y1", "width").agg(F.max("z").alias("z"))
 
     def visible(table: pa.Table) -> pa.Table:
         return table.select(keys).append_column("z", table.column("z")).append_column("area", pa.array(_lengths(table) * table.column("width").to_numpy()))
