@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pdf import TRAILER, _batches, cells
-from .syntax import REFERENCE, syntax
+from .syntax import KEPT, REFERENCE, SHORT, syntax
 from .table import STORAGE
 
 _EDITS = "map<string,string>"
@@ -114,21 +116,40 @@ def _references(value: object) -> Iterator[str]:
             yield from _references(x)
 
 
-def _edited(value: str | None, edits: list | None) -> object:
+class _Value(NamedTuple):
+    """The value of an object, which isn't to be changed, how it is written, and what it refers to."""
+
+    own: object
+    text: str
+    references: tuple[str, ...]
+
+
+def _value(value: str | None) -> _Value:
+    own = None if value is None else json.loads(value)
+    return _Value(own, syntax(own), tuple(_references(own)))
+
+
+#: Short values that a task met last are kept, as files repeat each other's.
+_repeated = lru_cache(KEPT)(_value)
+
+
+def _edited(value: str | None, edits: list | None) -> _Value:
     """The value of an object (JSON) after its edits."""
+    if not edits:
+        return _repeated(value) if value is None or len(value) <= SHORT else _value(value)
     own = None if value is None else json.loads(value)
-    for key, text in edits or []:
+    for key, text in edits:
         own.pop(key, None)
         if text is not None:
             own[key] = json.loads(text)
-    return own
+    return _Value(own, syntax(own), tuple(_references(own)))
 
 
-def _led_to(values: dict[str, object]) -> set[str]:
+def _led_to(values: dict[str, _Value]) -> set[str]:
     """The ids among ``values`` that the trailer leads to; each is entered once, as the graph has cycles (a page knows its parent)."""
     seen, asked = set(), [TRAILER]
     while asked:
-        for ref in _references(values[asked.pop()]):
+        for ref in values[asked.pop()].references:
             if ref in values and ref not in seen:
                 seen.add(ref)
                 asked.append(ref)
@@ -148,11 +169,11 @@ def reachable(found: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
+        def rows() -> Iterator[tuple]:
             for file, group in groupby(cells(batches), lambda row: row[0]):
                 values = {id_: _edited(value, edits) for _, id_, value, edits in group}
                 if TRAILER in values:
-                    yield from ({"file": file, "id": x} for x in _led_to(values))
+                    yield from ((file, x) for x in _led_to(values))
 
         yield from _batches(rows(), pa.schema([("file", pa.string()), ("id", pa.string())]))
 
@@ -166,21 +187,21 @@ def _file(rows: list[tuple], pruned: bool) -> bytes:
     if pruned:
         led = _led_to(edited) if TRAILER in edited else set()
         rows = [row for row in rows if row[1] in led or row[1] == TRAILER]
-    values, streams, trailer = {}, {}, {}
+    texts, streams, trailer = {}, {}, {}
     for _, id_, number, generation, _, _, stream, storage in rows:
-        own = edited[id_]
+        own, text, _ = edited[id_]
         if number is None:
             trailer = {k: v for k, v in own.items() if k not in STORAGE}
             continue
         if storage:
             continue
-        if stream is not None:
-            own["Length"] = len(stream)
-        values[number, generation], streams[number, generation] = own, stream
+        if stream is not None and (type(own.get("Length")) is not int or own["Length"] != len(stream)):
+            text = syntax(own | {"Length": len(stream)})
+        texts[number, generation], streams[number, generation] = text, stream
     out, offsets = bytearray(b"%PDF-1.7\n"), {}
-    for key in sorted(values):
+    for key in sorted(texts):
         offsets[key[0]] = len(out), key[1]
-        out += f"{key[0]} {key[1]} obj\n{syntax(values[key])}".encode("latin-1")
+        out += f"{key[0]} {key[1]} obj\n{texts[key]}".encode("latin-1")
         if streams[key] is not None:
             out += b"\nstream\n" + streams[key] + b"\nendstream"
         out += b"\nendobj\n"
@@ -202,10 +223,10 @@ def assembled(found: DataFrame, pruned: bool = False) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
+        def rows() -> Iterator[tuple]:
             for file, group in groupby(cells(batches), lambda row: row[0]):
                 content = _file(list(group), pruned)
-                yield {"file": file, "content": content, "size_bytes": len(content)}
+                yield file, content, len(content)
 
         yield from _batches(rows(), pa.schema([("file", pa.string()), ("content", pa.binary()), ("size_bytes", pa.int64())]))
 

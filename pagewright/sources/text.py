@@ -149,10 +149,10 @@ _TEXTS = pa.schema([("file", pa.string()), ("id", pa.string()), ("text", pa.stri
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[dict]:
+    def rows() -> Iterator[tuple]:
         for file, holder, shown, known in cells(batches):
             own, other = {x["name"]: _Font(x["width"], x["ranges"]) for x in known or ()}, _Font()
-            yield {"file": file, "id": holder, "text": "".join(own.get(x["name"], other).text(x["data"]) + " " for x in shown)}
+            yield file, holder, "".join(own.get(x["name"], other).text(x["data"]) + " " for x in shown)
 
     yield from _batches(rows(), _TEXTS)
 
