@@ -16,17 +16,21 @@ from .aggregates import CAP, CORROBORATED, LEAST_COVERAGE, MOST_WEIGHT, strict_m
 TARGET_DPIS = [96, 150, 200, 300, 600]
 
 
+def sized_placements(placements: DataFrame) -> DataFrame:
+    """Placements (with a matrix) with displayed size and box."""
+    w, h = G.axis_lengths(F.col("matrix"))
+    return placements.withColumns({"width_pt": w, "height_pt": h, "box": G.unit_square_box(F.col("matrix"))})
+
+
 def measured_placements(placements: DataFrame, images: DataFrame) -> DataFrame:
     """Placements (file, id, page_number, matrix) with displayed size, box and effective resolution."""
     sizes = images.select("file", "id", "pixel_width", "pixel_height")
-    w, h = G.axis_lengths(F.col("matrix"))
-    own = placements.join(sizes, ["file", "id"]).withColumns({"width_pt": w, "height_pt": h})
+    own = sized_placements(placements.join(sizes, ["file", "id"]))
     own = own.withColumns({"dpi_x": G.effective_dpi(F.col("pixel_width"), F.col("width_pt")), "dpi_y": G.effective_dpi(F.col("pixel_height"), F.col("height_pt"))})
     both = F.col("dpi_x").isNotNull() & F.col("dpi_y").isNotNull()
     return own.withColumns({
         "dpi": F.when(both, F.least("dpi_x", "dpi_y")),
         "status": F.when(both, "measured").otherwise("unknown"),
-        "box": G.unit_square_box(F.col("matrix")),
         "width_mm": G.points_to_mm(F.col("width_pt")),
         "height_mm": G.points_to_mm(F.col("height_pt")),
     })

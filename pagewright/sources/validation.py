@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators.planning import measured_placements
+from ..operators.planning import sized_placements
 from . import pdf
 
 #: What an image's dictionary may change with its pixels.
@@ -51,8 +51,7 @@ def _pages(before: pdf.Inspection, after: pdf.Inspection) -> DataFrame:
 def _images(before: pdf.Inspection, after: pdf.Inspection, modified: DataFrame) -> DataFrame:
     sides = []
     for x in (before, after):
-        images = pdf.images(x.objects)
-        placed = measured_placements(pdf.placements(x.drawn), images)
+        images, placed = pdf.image_rows(x.objects), sized_placements(pdf.placements(x.drawn))
         use = F.struct("page_number", "matrix", "box", "width_pt", "height_pt")
         uses = placed.groupBy("file", "id").agg(F.array_sort(F.collect_list(use)).alias("uses"))
         none = F.array().cast(dict(uses.dtypes)["uses"])

@@ -2,7 +2,7 @@
 
 import random
 
-from pagewright.sources import pdf, rewrite, syntax
+from pagewright.sources import formats, pdf, rewrite, syntax, validation
 
 
 def _file(n):
@@ -36,3 +36,23 @@ def test_dictionaries_are_what_their_words_are(monkeypatch):
 def test_data_of_inline_images_is_no_syntax():
     found = list(pdf.content_operations(b"q BI /W 1 ID a(b%c EI Q (d\\)) Tj"))
     assert [x[0] for x in found] == ["q", "BI", "ID", "EI", "Q", "Tj"] and found[3][1] == ["a(b%c"] and found[5][4] == [b"d)".hex()]
+
+
+def test_files_of_a_partition_share_a_batch_of_the_parts_asked_for(tmp_path):
+    import pytest
+
+    for i in range(20):
+        (tmp_path / f"f{i:02}.pdf").write_bytes(_file(i))
+    read = lambda **options: [x for own in [formats.ObjectReader({"path": str(tmp_path), **options})] for p in own.partitions() for x in own.read(p)]
+    (whole,), (few,) = read(), read(parts="sha256")
+    assert whole.num_rows == few.num_rows == 80 and whole.column("value").null_count == 0
+    assert few.column("value").null_count == 60 and few.column("number").equals(whole.column("number"))
+    with pytest.raises(ValueError, match="unknown"):
+        read(parts="sha1")
+
+
+def test_validation_writes_no_duplicates_of_images(spark, monkeypatch):
+    seen = pdf.inspected(spark.createDataFrame([("f", bytearray(_file(1)))], "file string, content binary"), raw=True)
+    monkeypatch.setattr(pdf, "first_seen", None)
+    report = validation.export_validation(seen, seen, spark.createDataFrame([], "file string, id string")).collect()
+    assert [(r["file"], r["passed"], r["errors"]) for r in report] == [("f", True, [])]
