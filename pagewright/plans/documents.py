@@ -150,10 +150,11 @@ union all select file, '13 0 R', 'removed' from d where good
 """)
 def pdf_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The objects that differ once the first image has half its characters and the files are written and read again."""
-    before = written(pdf.objects(_files(spark, sf_dir), raw=True), "before")
+    parts = {"value", "sha256"}
+    before = written(pdf.objects(_files(spark, sf_dir), raw=True, parts=parts), "before")
     half = F.decode("stream", "UTF-8")
     new = before.filter("id = '10 0 R'").select("file", "id", F.encode(F.left(half, F.ceil(F.length(half) / 2).cast("int")), "UTF-8").alias("stream"), F.lit(1).alias("width"), F.lit(1).alias("height"))
-    after = pdf.objects(rewrite.assembled(rewrite.replaced(before, new), pruned=True))
+    after = pdf.objects(rewrite.assembled(rewrite.replaced(before, new), pruned=True), parts=parts)
     return S.diff(pdf.comparable(before), pdf.comparable(after), ["file", "id"], ["value", "sha256"]).filter("change <> 'same'")
 
 
@@ -264,7 +265,7 @@ def document_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = pdf.objects(files, parts=set()).filter("id = 'trailer'").select("file")
     folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
     files.select("file", "content").join(good, "file").write.format("document_files").mode("append").save(folder)
-    found = spark.read.format("document_objects").load(folder.removeprefix("file://"))
+    found = spark.read.format("document_objects").option("parts", "sha256").load(folder.removeprefix("file://"))
     image = F.col("id") == "10 0 R"
     own = found.groupBy(F.element_at(F.split("file", "/"), -1).alias("file")).agg(F.count("number").alias("objects"), F.count("page_numbers").alias("pages"), F.max(F.when(image, F.col("size_bytes"))).alias("image_bytes"), F.max(F.when(image, F.col("sha256"))).alias("image_sha256"))
     return own

@@ -26,6 +26,8 @@ from .table import ObjectTable
 PARTITION_BYTES = 128 << 20
 #: Files for a partition at most, as a small file costs time too.
 PARTITION_FILES = 2_000
+#: Files that are written before they are brought to disk together.
+TOGETHER = 256
 
 _WRITTEN = {"file", "content"}
 
@@ -46,6 +48,9 @@ class ObjectReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.most = int(options.get("partitionbytes", PARTITION_BYTES))
+        self.parts = frozenset(options["parts"].split(",")) if "parts" in options else pdf.PARTS
+        if unknown := self.parts - pdf.PARTS - {""}:
+            raise ValueError(f"parts {sorted(unknown)} are unknown")
 
     def partitions(self) -> list[Files]:
         """Files by path, in partitions of about equal size."""
@@ -63,16 +68,19 @@ class ObjectReader(DataSourceReader):
     def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no file, so no partition was planned
             return
+        yield from pdf.parsed(self._files(partition), parts=self.parts)
+
+    def _files(self, partition: Files) -> Iterator[tuple[str, bytes]]:
         store, _ = _opened(partition.store)
         for path in partition.paths:
             with store.open_input_stream(path) as f:
                 data = f.read()
             if data[:5] == b"%PDF-":
-                yield from pdf._parse(iter([pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary())], ["file", "content"])]))
+                yield path, data
 
 
 class DocumentObjects(DataSource):
-    """The rows of ``pdf.objects`` for the files under a path; option partitionBytes."""
+    """The rows of ``pdf.objects`` for the files under a path; options partitionBytes, and parts, the dear columns that are wanted (all if not given), with commas."""
 
     @classmethod
     def name(cls) -> str:
@@ -107,6 +115,7 @@ class FileWriter(DataSourceWriter):
 
     def write(self, rows: Iterator[Row]) -> Staged:
         moves: dict[str, str] = {}
+        fresh: list[str] = []
         for row in rows:
             name, content = row["file"], bytes(row["content"] or b"")
             if not name or name != os.path.basename(name) or name.startswith("."):
@@ -118,13 +127,23 @@ class FileWriter(DataSourceWriter):
             staged = f"{self.staging}/{uuid.uuid4().hex}.pdf"
             with open(staged, "wb") as f:
                 f.write(content)
-                f.flush()
+            moves[name] = staged
+            fresh.append(name)
+            if len(fresh) == TOGETHER:
+                self._settle(fresh, moves)
+                fresh = []
+        self._settle(fresh, moves)
+        return Staged([(staged, f"{self.path}/{name}") for name, staged in moves.items()])
+
+    def _settle(self, fresh: list[str], moves: dict[str, str]) -> None:
+        """Each file is on disk, and has objects when it is read again; what the first one waits for has the others' share in it."""
+        for name in fresh:
+            with open(moves[name], "rb") as f:
                 os.fsync(f.fileno())
-            with open(staged, "rb") as f:
+        for name in fresh:
+            with open(moves[name], "rb") as f:
                 if not ObjectTable(f.read()).objects:
                     raise ValueError(f"{name} has no objects when read again")
-            moves[name] = staged
-        return Staged([(staged, f"{self.path}/{name}") for name, staged in moves.items()])
 
     def _check(self, row: Row, name: str, content: bytes) -> None:
         """A file isn't empty; a changed one is smaller than its source; the source is as it was, and another file."""

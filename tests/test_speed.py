@@ -56,3 +56,20 @@ def test_validation_writes_no_duplicates_of_images(spark, monkeypatch):
     monkeypatch.setattr(pdf, "first_seen", None)
     report = validation.export_validation(seen, seen, spark.createDataFrame([], "file string, id string")).collect()
     assert [(r["file"], r["passed"], r["errors"]) for r in report] == [("f", True, [])]
+
+
+def test_files_are_brought_to_disk_together(tmp_path, monkeypatch):
+    import os
+
+    import pytest
+
+    events = []
+    monkeypatch.setattr(formats, "TOGETHER", 3)
+    monkeypatch.setattr(formats.os, "fsync", lambda fd: events.append(os.readlink(f"/proc/self/fd/{fd}")))
+    writer = formats.FileWriter(str(tmp_path), ["file", "content"])
+    staged = writer.write(iter([{"file": f"f{i}.pdf", "content": _file(i)} for i in range(7)]))
+    assert events == [path for path, _ in staged.moves] and len(set(events)) == 7
+    writer.commit([staged])
+    assert sorted(os.listdir(tmp_path)) == [f"f{i}.pdf" for i in range(7)] and (tmp_path / "f6.pdf").read_bytes() == _file(6)
+    with pytest.raises(ValueError, match="bad.pdf has no objects"):
+        writer.write(iter([{"file": "good.pdf", "content": _file(1)}, {"file": "bad.pdf", "content": b"%PDF-1.4"}]))
