@@ -6,7 +6,7 @@ The scan emits an event for each drawn image (its visible box) and one for the f
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,20 +16,19 @@ from ..functions import numeric as N
 from ..tables import written
 from . import nested
 from .aggregates import union_box
-from .ordered import MERGE_PAINT, last_before, running_sum, scanned
+from .ordered import MERGE_PAINT, last_before, of_keys, running_sum, scanned, scanned_ranges
 
 Box = tuple[float, float, float, float]
 #: The merged page's long side in pixels, and when a matrix counts as turned.
 LONG_SIDE, TURNED = 1920, 1e-8
 
 
-@dataclass(frozen=True)
-class State:
-    """The graphics state of a scan: matrix, clip, those saved by q, and the path and marks so far."""
+class State(NamedTuple):
+    """The graphics state of a scan: matrix, clip, those saved by q (the last with those before it), and the path and marks so far."""
 
     matrix: tuple = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
     clip: Box | None = None
-    saved: tuple = ()
+    saved: tuple | None = None
     path: Box | None = None
     clipping: bool = False
     painted: bool = False
@@ -62,34 +61,34 @@ def _step(s: State, row: dict) -> tuple[State, str | None, Box | None]:
     """The state after an operation, and the reason to stop or the box of an image."""
     op, operands = row["operator"], row["operands"] or []
     if op == "q":
-        return replace(s, saved=(*s.saved, (s.matrix, s.clip))), None, None
+        return s._replace(saved=(s.matrix, s.clip, s.saved)), None, None
     if op == "Q":
         if not s.saved:
             return s, "unbalanced_graphics_state", None
-        return replace(s, matrix=s.saved[-1][0], clip=s.saved[-1][1], saved=s.saved[:-1]), None, None
+        return s._replace(matrix=s.saved[0], clip=s.saved[1], saved=s.saved[2]), None, None
     if op == "cm":
         m, n = _numbers(operands, 6), s.matrix
         if m is None:
             return s, "invalid_matrix", None
         rows = [(m[i] * n[0] + m[i + 1] * n[2], m[i] * n[1] + m[i + 1] * n[3]) for i in (0, 2, 4)]
-        return replace(s, matrix=(*rows[0], *rows[1], rows[2][0] + n[4], rows[2][1] + n[5])), None, None
+        return s._replace(matrix=(*rows[0], *rows[1], rows[2][0] + n[4], rows[2][1] + n[5])), None, None
     if op == "re":
         r = _numbers(operands, 4)
         if r is None:
             return s, "invalid_rectangle" if len(operands) == 4 else "complex_clipping_not_supported", None
-        return replace(s, path=_around(s.matrix, *r)), None, None
+        return s._replace(path=_around(s.matrix, *r)), None, None
     if op == "W*" or (op == "W" and s.path is None):
         return s, "complex_clipping_not_supported", None
     if op == "W":
-        return replace(s, clipping=True), None, None
+        return s._replace(clipping=True), None, None
     if op == "n" and s.clipping:
         clip = s.path if s.clip is None or s.path is None else _common(s.clip, s.path)
-        return replace(s, clip=clip, path=None, clipping=False), None if clip else "empty_clip", None
+        return s._replace(clip=clip, path=None, clipping=False), None if clip else "empty_clip", None
     if op == "gs" and not row["opaque"]:
         return s, "transparency_or_extgstate_not_supported" if _named(operands) else "invalid_extgstate", None
     if op == "Do":
         return s, *_image(s, row)
-    return (replace(s, painted=True) if op in MERGE_PAINT else s), None, None
+    return (s._replace(painted=True) if op in MERGE_PAINT else s), None, None
 
 
 def _named(operands: list[str]) -> bool:
@@ -117,22 +116,35 @@ def _image(s: State, row: dict) -> tuple[str | None, Box | None]:
     return None if box else "image_fully_clipped", box
 
 
+_EVENTS = "file string, scope string, idx long, reason string, box array<double>"
+
+
+def _event(s: State, row: dict) -> tuple[State, dict | None]:
+    if s.stopped:
+        return s, None
+    after, reason, box = _step(s, row)
+    if reason is None and box is None:
+        return after, None
+    return after._replace(stopped=reason is not None), {"file": row["file"], "scope": row["scope"], "idx": row["idx"], "reason": reason, "box": box and list(box)}
+
+
 def merge_events(ops: DataFrame) -> DataFrame:
     """file, scope, idx, reason and box of each image and of the first operation that forbids merging.
 
     ``ops`` has file, scope, idx, operator, operands, kind (of the XObject of a Do: image, other, direct or invalid; null if
     there is none) and opaque (of the state of a gs); and, where it has that column, undecoded: why an image's pixels can't be had.
     """
+    return scanned(ops, ["file", "scope"], ["idx"], _EVENTS, State, _event)
 
-    def step(s: State, row: dict) -> tuple[State, dict | None]:
-        if s.stopped:
-            return s, None
-        after, reason, box = _step(s, row)
-        if reason is None and box is None:
-            return after, None
-        return replace(after, stopped=reason is not None), {"file": row["file"], "scope": row["scope"], "idx": row["idx"], "reason": reason, "box": box and list(box)}
 
-    return scanned(ops, ["file", "scope"], ["idx"], "file string, scope string, idx long, reason string, box array<double>", State, step)
+def ranged_events(ops: DataFrame) -> DataFrame:
+    """The events of ``merge_events``, by ranges of page and place: no task has more than a range, however long a page is.
+
+    A page that lies in one range is scanned there. Those that ranges cut, fewer than there are ranges, go to ``spread_events``.
+    """
+    keys = ["file", "scope"]
+    whole, cut = scanned_ranges(ops, keys, ["idx"], _EVENTS, State, _event)
+    return whole if cut.isEmpty() else whole.unionByName(spread_events(of_keys(ops, cut, keys, "left_semi")))
 
 
 def _doubles(n: int) -> tuple[Column, list[Column]]:
@@ -214,11 +226,11 @@ def spread_events(ops: DataFrame) -> DataFrame:
 def merge_plan(pages: DataFrame, ops: DataFrame, setup: DataFrame | None = None, spread: bool = False) -> DataFrame:
     """file, scope, raster_objects, status (would_merge or skipped), skipped_reason, merged box and pixels of each page.
 
-    ``setup`` (file, scope, reason) has the pages that are skipped before their operations are looked at. With ``spread`` a
-    page's operations are worked on by many tasks (``spread_events``), else a page is scanned by one.
+    ``setup`` (file, scope, reason) has the pages that are skipped before their operations are looked at. With ``spread`` a long
+    page's operations are worked on by many tasks (``ranged_events``), else a page is scanned by one.
     """
     keys = ["file", "scope"]
-    events = written(spread_events(ops) if spread else merge_events(ops), "merge-events")
+    events = written(ranged_events(ops) if spread else merge_events(ops), "merge-events")
     stops = events.filter("reason is not null").select(*keys, "reason")
     boxes = union_box(events.filter("box is not null"), keys, "box", "idx")
     first = events.filter("box is not null").groupBy(*keys).agg(F.min_by("box", "idx").alias("base"), F.count(F.lit(1)).alias("raster_objects"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -128,19 +129,49 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], schema: str, sta
     streamed in batches, so memory holds one batch and one state whatever a key's size.
     """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                own = tuple(row[k] for k in keys)
-                if own != key:
-                    key, state = own, start()
-                state, made = step(state, row)
-                if made is not None:
-                    out.append(made)
-            if out:
-                yield from pa.Table.from_pylist(out, arrow).to_batches()
-
     arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(scan, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(lambda batches: _scan(keys, arrow, start, step, batches), schema)
+
+
+def _scan(keys: list[str], arrow: pa.Schema, start: Callable, step: Callable, batches: Iterator[pa.RecordBatch], edges: bool = False) -> Iterator[pa.RecordBatch]:
+    """What ``step`` makes of sorted rows; with ``edges`` also a row for the first and the last key, with the partition's number as _edge."""
+    key, state, first = None, None, True
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            own = tuple(row[k] for k in keys)
+            if first or own != key:
+                key, state = own, start()
+                if first and edges:
+                    out.append(_edge(keys, key))
+                first = False
+            state, made = step(state, row)
+            if made is not None:
+                out.append(made)
+        if out:
+            yield from pa.Table.from_pylist(out, arrow).to_batches()
+    if edges and not first:
+        yield from pa.Table.from_pylist([_edge(keys, key)], arrow).to_batches()
+
+
+def _edge(keys: list[str], key: tuple) -> dict:
+    return {**dict(zip(keys, key, strict=True)), "_edge": TaskContext.get().partitionId()}
+
+
+def of_keys(rows: DataFrame, known: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """The rows whose keys, nulls too, are among few ``known`` ones (left_semi) or aren't (left_anti)."""
+    return rows.join(F.broadcast(known.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)))), _same(keys), how)
+
+
+def scanned_ranges(rows: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[], object], step: Callable[[object, dict], tuple[object, dict | None]]) -> tuple[DataFrame, DataFrame]:
+    """The scan of ``scanned`` over ranges of key and order, and the keys that it leaves out, as ranges cut them: fewer than there are ranges.
+
+    ``schema`` has the keys. Rows are dealt and sorted once; a task has a range, whatever a key's size.
+    """
+    wide = f"{schema}, _edge int"
+    arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], wide).schema)
+    dealt_ = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    told = written(dealt_.mapInArrow(lambda batches: _scan(keys, arrow, start, step, batches, True), wide), "scanned-ranges")
+    cut = told.filter("_edge is not null").groupBy(*keys).agg(F.countDistinct("_edge").alias("_n")).filter("_n > 1").select(*keys)
+    cut = written(cut, "cut-keys")
+    return of_keys(told.filter("_edge is null").drop("_edge"), cut, keys, "left_anti"), cut

@@ -84,3 +84,32 @@ def test_reasons(plans, name):
     assert found["skipped_reason"] == CASES[name][1]
     if CASES[name][1] is None:
         assert (found["status"], found["raster_objects"], found["merged_box"], found["merged_pixels"]) == ("would_merge", 2, [100, 100, 700, 500], [600, 400])
+
+
+def test_pages_in_one_range_are_scanned_there_and_cut_ones_are_spread(spark, monkeypatch):
+    from pagewright.operators import merging
+
+    rng = random.Random(7)
+    cases = {name: ops for name, (ops, _) in CASES.items()} | {f"r{i}": random_operations(rng) for i in range(100)} | {"long": [x for _ in range(40) for x in random_operations(rng) if x in (("q", []), ("Q", []), ("n", []), ("x", []))]}
+    ops = operations(spark, cases).repartition(4).persist()
+    seen, spread = [], merging.spread_events
+    monkeypatch.setattr(merging, "spread_events", lambda rows: seen.append(rows.select("scope").distinct().count()) or spread(rows))
+    told = lambda df: {(r["scope"], r["idx"]): (r["reason"], r["box"] and [x + 0.0 for x in r["box"]]) for r in df.collect()}
+    want = told(merging.merge_events(ops))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert told(merging.ranged_events(ops)) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 0 < seen.pop() < 4 and not seen
+    assert told(merging.ranged_events(ops.coalesce(1).limit(0))) == {}
+
+
+def test_deep_nesting_is_scanned_in_proportion():
+    from pagewright.operators import merging
+
+    state = merging.State()
+    for op in ["q"] * 200_000 + ["Q"] * 200_000:
+        state, event = merging._event(state, {"operator": op, "operands": [], "file": "f", "scope": "s", "idx": 0})
+        assert event is None
+    assert state == merging.State()
