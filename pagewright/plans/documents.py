@@ -166,16 +166,18 @@ union all select file, 2, case when doc_id % 7 = 0 then 7 else 3 end, 2, 0 from
 """)
 def pdf_edited_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages after the first image's own draws on page 3 0 R are replaced by one at the front, in files written and read again."""
-    seen = pdf.inspected(_files(spark, sf_dir), raw=True)
-    names = pdf.names(seen.objects)
+    parts = pdf.PARTS - {"sha256"}
+    found = written(pdf.objects(_files(spark, sf_dir), raw=True, parts=parts), "objects")
+    edited = found.filter("id = '3 0 R'")
+    names = pdf.names(edited)
     gone = rewrite.removed_names(names, names.filter("id in ('10 0 R', '12 0 R')"))
-    page = seen.operations.filter("scope = '3 0 R'")
+    page = written(pdf.operations(edited, pdf.pages(edited)), "operations")
     kept = rewrite.without_draws(page, gone)
     front = [("q", []), ("cm", ["7", "0", "0", "7", "0", "0"]), ("Do", ["/Im1"]), ("Q", [])]
     lines = F.array(*(F.struct(F.lit(i).cast("long").alias("idx"), F.lit(op).alias("operator"), F.array(*map(F.lit, args)).cast("array<string>").alias("operands")) for i, (op, args) in enumerate(front)))
     prefix = page.select("file", "scope").distinct().select("file", "scope", F.inline(lines)).withColumn("matrix", F.lit(None).cast("array<double>"))
     contents = rewrite.encoded_content(rewrite.prepended(kept, prefix))
-    after = pdf.inspected(rewrite.assembled(rewrite.with_content(seen.objects, contents)))
+    after = pdf.inspected(rewrite.assembled(found, contents=contents), parts=parts)
     size = after.operations.groupBy("file", F.col("scope").alias("id")).agg(F.count(F.lit(1)).alias("operations"))
     own = after.pages.join(size, ["file", "id"], "left").join(after.operation_counts(), ["file", "page_number"])
     return own.select("file", "page_number", F.coalesce("operations", F.lit(0)).cast("long").alias("operations"), "image_placements", "text_operations")

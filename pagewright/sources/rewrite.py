@@ -21,6 +21,8 @@ from .syntax import KEPT, REFERENCE, SHORT, syntax
 from .table import STORAGE
 
 _EDITS = "map<string,string>"
+#: Tasks that files are put together in, for each partition of a shuffle.
+SORTED = 4
 
 
 def replaced(found: DataFrame, replacements: DataFrame) -> DataFrame:
@@ -42,20 +44,29 @@ def encoded_content(ops: DataFrame) -> DataFrame:
     return parts.select("file", "scope", F.encode(F.array_join(F.transform("parts", lambda x: x["w"]), "\n"), "ISO-8859-1").alias("content"))
 
 
-def with_content(found: DataFrame, contents: DataFrame) -> DataFrame:
-    """Objects whose pages or forms (``scope``) have new content: a page's goes to its own first content stream, the others end empty.
+#: What new content changes in a dictionary: it is written as it is.
+_PLAIN = {"Filter": None, "DecodeParms": None}
 
-    Streams that several pages share must have the same new content.
-    """
+
+def _targets(found: DataFrame, contents: DataFrame) -> DataFrame:
+    """file, id and _new of the streams that ``contents`` (file, scope, content) are for: a page's is its own first content stream, the others end empty."""
     listed = F.when(F.col("contents").startswith("["), F.from_json("contents", "array<string>")).otherwise(F.from_json(F.concat(F.lit("["), "contents", F.lit("]")), "array<string>"))
     of_pages = found.filter("page_numbers is not null").select("file", F.col("id").alias("scope"), F.posexplode(listed).alias("place", "id"))
     targets = of_pages.join(contents, ["file", "scope"]).select("file", "id", F.when(F.col("place") == 0, F.col("content")).otherwise(F.lit(b"")).alias("_new"))
     forms = found.filter(F.get_json_object("value", "$.Subtype") == "/Form").select("file", "id")
-    targets = targets.unionByName(forms.join(contents.withColumnRenamed("scope", "id"), ["file", "id"]).select("file", "id", F.col("content").alias("_new")))
-    targets = targets.groupBy("file", "id").agg(F.max("_new").alias("_new"))
+    return targets.unionByName(forms.join(contents.withColumnRenamed("scope", "id"), ["file", "id"]).select("file", "id", F.col("content").alias("_new")))
+
+
+def with_content(found: DataFrame, contents: DataFrame) -> DataFrame:
+    """Objects whose pages or forms (``scope``) have new content: a page's goes to its own first content stream, the others end empty.
+
+    Streams that several pages share must have the same new content. Where files are all that is made of these objects, ``assembled``
+    takes the contents, without a join of all streams.
+    """
+    targets = _targets(found, contents).groupBy("file", "id").agg(F.max("_new").alias("_new"))
     both = found.join(targets, ["file", "id"], "left")
     fresh = F.col("_new").isNotNull()
-    plain = F.create_map(F.lit("Filter"), F.lit(None).cast("string"), F.lit("DecodeParms"), F.lit(None).cast("string"))
+    plain = F.create_map(*(x for k in _PLAIN for x in (F.lit(k), F.lit(None).cast("string"))))
     edits = F.when(fresh, plain)
     edits = F.coalesce(F.map_concat("edits", edits), edits, "edits") if "edits" in found.columns else edits
     out = both.withColumns({"stream": F.coalesce("_new", "stream"), "edits": edits, "content": F.coalesce("_new", "content")})
@@ -157,8 +168,12 @@ def _led_to(values: dict[str, _Value]) -> set[str]:
 
 
 def _by_file(rows: DataFrame, names: list[str]) -> DataFrame:
-    """``rows`` with those of a file one after the other in one partition, for a task that takes a file at a time."""
-    return rows.select("file", *names).repartition("file").sortWithinPartitions("file")
+    """``rows`` with those of a file one after the other in one partition, for a task that takes a file at a time.
+
+    Partitions are more than a shuffle has, and aren't put together by their packed size: a task sorts its rows with their streams.
+    """
+    tasks = SORTED * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("file", *names).repartition(tasks, "file").sortWithinPartitions("file")
 
 
 def reachable(found: DataFrame) -> DataFrame:
@@ -214,19 +229,33 @@ def _file(rows: list[tuple], pruned: bool) -> bytes:
     return bytes(out)
 
 
-def assembled(found: DataFrame, pruned: bool = False) -> DataFrame:
+def _renewed(rows: list[tuple]) -> list[tuple]:
+    """A file's rows with what those of new contents (the last value) say in place of the streams with their ids."""
+    new: dict[str, bytes] = {}
+    for row in rows:
+        if row[-1] is not None:
+            new[row[1]] = max(row[-1], new.get(row[1], b""))
+    own = [row[:-1] for row in rows if row[-1] is None]
+    if not new:
+        return own
+    return [(*row[:5], list((dict(row[5] or ()) | _PLAIN).items()), new[row[1]], row[7]) if row[1] in new else row for row in own]
+
+
+def assembled(found: DataFrame, pruned: bool = False, contents: DataFrame | None = None) -> DataFrame:
     """file, content and size_bytes of the files that objects (with their raw streams, and ``edits`` if there are any) and trailers make.
 
     ``pruned`` leaves out what the trailer doesn't lead to. The trailer keeps its entries: the same catalogue, Info and ID.
     Cross-reference and object streams aren't carried over: their objects stand alone and the table is written anew. A
-    file that couldn't be read has no objects and gives no row. A task has one file at a time.
+    file that couldn't be read has no objects and gives no row. A task has one file at a time. ``contents`` are new ones as
+    ``with_content`` takes them; they go to their file's task beside its objects.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for file, group in groupby(cells(batches), lambda row: row[0]):
-                content = _file(list(group), pruned)
-                yield file, content, len(content)
+                if own := _renewed(list(group)) if renewed else list(group):
+                    content = _file(own, pruned)
+                    yield file, content, len(content)
 
         yield from _batches(rows(), pa.schema([("file", pa.string()), ("content", pa.binary()), ("size_bytes", pa.int64())]))
 
@@ -235,7 +264,12 @@ def assembled(found: DataFrame, pruned: bool = False) -> DataFrame:
     own = own.withColumn("stream", F.when(~F.col("storage"), F.col("stream")))
     if not pruned:
         own = own.filter(~F.col("storage"))
-    return _by_file(own, ["id", "number", "generation", "value", "edits", "stream", "storage"]).mapInArrow(run, "file string, content binary, size_bytes long")
+    names = ["id", "number", "generation", "value", "edits", "stream", "storage"]
+    renewed = contents is not None
+    if renewed:
+        own = own.select("file", *names, F.lit(None).cast("binary").alias("_new")).unionByName(_targets(found, contents), allowMissingColumns=True)
+        names.append("_new")
+    return _by_file(own, names).mapInArrow(run, "file string, content binary, size_bytes long")
 
 
 def opaque_state(state: Column) -> Column:

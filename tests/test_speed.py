@@ -73,3 +73,40 @@ def test_files_are_brought_to_disk_together(tmp_path, monkeypatch):
     assert sorted(os.listdir(tmp_path)) == [f"f{i}.pdf" for i in range(7)] and (tmp_path / "f6.pdf").read_bytes() == _file(6)
     with pytest.raises(ValueError, match="bad.pdf has no objects"):
         writer.write(iter([{"file": "good.pdf", "content": _file(1)}, {"file": "bad.pdf", "content": b"%PDF-1.4"}]))
+
+
+def test_json_of_repeated_dictionaries_is_made_once(monkeypatch):
+    made, encoded = [], pdf._encoded
+    monkeypatch.setattr(pdf, "_encoded", lambda value: made.append(value) or encoded(value))
+    syntax._repeated.cache_clear()
+    values = [list(pdf._File(_file(1)).values("f", False, frozenset({"value"})))[1:] for _ in range(3)]
+    assert values[0] == values[2] and values[0][0][4] == '{"Type": "/Catalog", "Pages": "2 0 R"}'
+    assert sum(isinstance(x, syntax.Repeated) for x in made) == 3
+
+
+def _shared(n):
+    parts = ["<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R 6 0 R] /Count 2 >>", "<< /Type /Page /Parent 2 0 R /Contents [4 0 R 5 0 R] >>"]
+    parts += [f"<< /Length {len(x)} {more}>>\nstream\n{x}\nendstream" for x, more in ((f"{n} 0 0 1 0 0 cm q Q", ""), ("51205120512051>", "/Filter /ASCIIHexDecode "))]
+    parts += ["<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>", "<< /Type /XObject /Subtype /Form /Length 3 >>\nstream\nq Q\nendstream"]
+    return ("%PDF-1.4\n" + "".join(f"{i} 0 obj\n{x}\nendobj\n" for i, x in enumerate(parts, 1)) + "trailer\n<< /Root 1 0 R >>\n").encode()
+
+
+def test_new_contents_go_to_their_files_without_a_join_of_streams(spark):
+    from pyspark.sql import functions as F
+
+    files = spark.createDataFrame([(f"f{i}", bytearray(_shared(i))) for i in range(5)] + [("bad", bytearray(b"%PDF-1.4"))], "file string, content binary")
+    found = pdf.objects(files, raw=True).persist()
+    rows = [("f1", "3 0 R", b"n"), ("f1", "6 0 R", b"n"), ("f2", "7 0 R", b"B"), ("f3", "3 0 R", b""), ("f4", "9 0 R", b"x"), ("none", "3 0 R", b"x"), ("bad", "3 0 R", b"x")]
+    contents = spark.createDataFrame([(f, s, bytearray(c)) for f, s, c in rows], "file string, scope string, content binary")
+    told = lambda df: {r["file"]: bytes(r["content"]) for r in df.collect()}
+    own = rewrite.assembled(found, contents=contents)
+    assert told(own) == told(rewrite.assembled(rewrite.with_content(found, contents)))
+    again = {(r["file"], r["id"]): (bytes(r["stream"]), r["value"]) for r in pdf.objects(own, raw=True).filter("stream is not null").collect()}
+    assert again["f1", "4 0 R"][0] == b"n" and again["f1", "5 0 R"] == (b"", '{"Length": 0}') and again["f2", "7 0 R"][0] == b"B" and again["f4", "4 0 R"][0] == b"4 0 0 1 0 0 cm q Q"
+    assert again["f3", "4 0 R"][0] == b"" and len(told(own)) == 5
+    edited = found.withColumn("edits", F.when(F.col("id") == "5 0 R", F.create_map(F.lit("X"), F.lit("1"))))
+    assert told(rewrite.assembled(edited, contents=contents)) == told(rewrite.assembled(rewrite.with_content(edited, contents)))
+    assert own.rdd.getNumPartitions() == rewrite.SORTED * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert len(joins) == 2 and all("Inner" in x for x in joins)
