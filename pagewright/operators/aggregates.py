@@ -23,11 +23,20 @@ def strict_max(x: Column) -> Column:
     return F.when(F.count(F.lit(1)) == F.count(x), F.max(x))
 
 
+def kind_bytes(kind: str, size: str, kinds: list[str]) -> list[Column]:
+    """Bytes of each kind in a group."""
+    return [F.coalesce(F.sum(F.when(F.col(kind) == k, F.col(size))), F.lit(0)).alias(f"{k}_bytes") for k in kinds]
+
+
+def unknown_bytes(kinds: list[str], total: str) -> Column:
+    """What ``total`` has beyond the bytes of ``kinds``, 0 at least."""
+    return F.greatest(F.col(total) - sum((F.col(f"{k}_bytes") for k in kinds), F.lit(0)), F.lit(0))
+
+
 def attribution(objects: DataFrame, keys: list[str], kind: str, size: str, kinds: list[str], total: str) -> DataFrame:
     """Bytes of each kind for each key, and ``unknown_bytes``: what ``total`` has beyond them, 0 at least."""
-    sums = [F.coalesce(F.sum(F.when(F.col(kind) == k, F.col(size))), F.lit(0)).alias(f"{k}_bytes") for k in kinds]
-    known = sum((F.col(f"{k}_bytes") for k in kinds), F.lit(0))
-    return objects.groupBy(*keys).agg(*sums, F.max(total).alias("_total")).withColumn("unknown_bytes", F.greatest(F.col("_total") - known, F.lit(0))).drop("_total")
+    own = objects.groupBy(*keys).agg(*kind_bytes(kind, size, kinds), F.max(total).alias("_total"))
+    return own.withColumn("unknown_bytes", unknown_bytes(kinds, "_total")).drop("_total")
 
 
 def weighted_lower_median(samples: DataFrame, keys: list[str], value: str, weight: str, cap: float | None = None) -> DataFrame:

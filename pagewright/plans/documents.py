@@ -242,17 +242,17 @@ from r
 """)
 def inspection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON document for each file that can be read, valid under the report's schema; columns are read from the JSON."""
-    files = written(_files(spark, sf_dir), "files")
+    files = _files(spark, sf_dir)
     text = written(report.reports(files, pdf.inspected(files)).select("file", report.as_json(F.col("report")).alias("j")), "reports")
-    v = F.parse_json("j")
-    get = lambda path, kind: F.variant_get(v, path, kind)
-    large = F.expr("element_at(array_sort(transform(variant_get(parse_json(j), '$.images[0].placements', 'array<variant>'), x -> variant_get(x, '$.effective_dpi_x', 'double'))), 1)")
+    text = text.withColumn("v", F.parse_json("j"))  # used often, so it is a step of its own
+    get = lambda path, kind, of="v": F.variant_get(of, path, kind)
+    large = F.transform(get("$.images[0].placements", "array<variant>"), lambda x: get("$.effective_dpi_x", "double", x))
     return text.select(
-        "file", F.size(violations(v, report.SCHEMA)).cast("long").alias("violations"), get("$.file.page_count", "long").alias("page_count"), get("$.summary.image_bytes", "long").alias("image_bytes"), get("$.summary.unknown_bytes", "long").alias("unknown_bytes"),
-        F.expr("array_join(transform(variant_get(parse_json(j), '$.images', 'array<variant>'), x -> variant_get(x, '$.id', 'string')), ',')").alias("images"),
+        "file", F.size(violations(F.col("v"), report.SCHEMA)).cast("long").alias("violations"), get("$.file.page_count", "long").alias("page_count"), get("$.summary.image_bytes", "long").alias("image_bytes"), get("$.summary.unknown_bytes", "long").alias("unknown_bytes"),
+        F.array_join(F.transform(get("$.images", "array<variant>"), lambda x: get("$.id", "string", x)), ",").alias("images"),
         F.array_join(F.json_object_keys(F.get_json_object("j", "$.images[0].placements[0].target_analysis")), ",").alias("target_keys"), F.col("j").contains('"colour_space":null').alias("null_kept"),
         get("$.images[1].duplicate_of", "string").alias("duplicate_of"), F.concat(get("$.images[0].reference_count", "string"), F.lit(","), get("$.images[1].reference_count", "string")).alias("counts"),
-        (2 * large).alias("twice_dpi_x"), get("$.embedded_files[0].id", "string").alias("embedded"), F.size(get("$.warnings", "array<variant>")).cast("long").alias("warnings"),
+        (2 * F.element_at(F.array_sort(large), 1)).alias("twice_dpi_x"), get("$.embedded_files[0].id", "string").alias("embedded"), F.size(get("$.warnings", "array<variant>")).cast("long").alias("warnings"),
     )
 
 

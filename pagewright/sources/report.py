@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators.aggregates import kind_bytes, unknown_bytes
 from ..operators.planning import TARGET_DPIS, measured_placements
 from . import pdf
 
@@ -17,6 +18,9 @@ from . import pdf
 VERSION = "0.1.0"
 ATTRIBUTION = "Encoded stream payload sizes are exact; PDF container overhead and unclassified objects remain unknown."
 
+#: Kinds of streams whose bytes a report has.
+KINDS = ["image", "font", "embedded_file", "metadata"]
+
 #: What a report must have, as JSON Schema.
 _PAGE = ["page_number", "width_pt", "height_pt", "width_mm", "height_mm", "rotation_degrees", "object_counts"]
 _IMAGE = ["id", "object_number", "generation", "pages", "placements", "pixel_width", "pixel_height", "encoded_bytes", "sha256", "same_object_reused", "identical_data_duplicate", "reference_count"]
@@ -52,10 +56,23 @@ def _listed(rows: DataFrame, name: str, order: list[str], **fields: Column) -> D
     return kept.groupBy("file").agg(_in_order("_order", "_row").alias(name))
 
 
-def _in_order(order: str, row: str) -> Column:
-    """The values of ``row`` of a group by ``order``; rows have maps, which have no order of their own."""
+def _in_order(order: str, row: str, kept: Column | None = None) -> Column:
+    """The values of ``row`` of a group by ``order``, of rows that are ``kept``; rows have maps, which have no order of their own."""
     before = lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)
-    return F.transform(F.array_sort(F.collect_list(F.struct(order, row)), before), lambda x: x[row])
+    own = F.struct(order, row)
+    return F.transform(F.array_sort(F.collect_list(own if kept is None else F.when(kept, own)), before), lambda x: x[row])
+
+
+def _streams(found: DataFrame) -> DataFrame:
+    """For each readable file the bytes of its streams by kind, and lists of fonts, embedded_files and metadata, in one pass over its objects."""
+    own = pdf.entries(found.filter("number is not null").select("file", "id", "number", "generation", "size_bytes", F.when(F.col("size_bytes").isNotNull(), F.col("value")).alias("value")), "Subtype", "Type")
+    own = own.select(
+        "file", F.struct("number", "generation").alias("_order"), F.when(F.col("size_bytes").isNotNull(), pdf.kind()).alias("kind"), F.col("size_bytes").alias("encoded_bytes"),
+        F.struct("id", F.lit(None).cast("string").alias("base_font"), F.ltrim("_Subtype", F.lit("/")).alias("subtype"), F.col("size_bytes").alias("encoded_bytes")).alias("_font"),
+        F.struct("id", F.col("size_bytes").alias("encoded_bytes")).alias("_other"),
+    )
+    lists = [("fonts", "font", "_font"), ("embedded_files", "embedded_file", "_other"), ("metadata", "metadata", "_other")]
+    return own.groupBy("file").agg(*kind_bytes("kind", "encoded_bytes", KINDS), *(_in_order("_order", row, F.col("kind") == kind).alias(name) for name, kind, row in lists))
 
 
 def _targets() -> Column:
@@ -78,7 +95,7 @@ def reports(pdfs: DataFrame, seen: pdf.Inspection) -> DataFrame:
     """
     c = F.col
     images = pdf.images(seen.objects)
-    placed = measured_placements(pdf.placements(seen.drawn), images)
+    placed = measured_placements(pdf.placements(seen.drawn), pdf.image_rows(seen.objects))
     uses = placed.select(
         "file", "id", "page_number", F.struct(
             "page_number", "matrix", c("box").alias("bounding_box_pt"), c("width_pt").alias("displayed_width_pt"), c("height_pt").alias("displayed_height_pt"), c("width_mm").alias("displayed_width_mm"), c("height_mm").alias("displayed_height_mm"),
@@ -98,19 +115,13 @@ def reports(pdfs: DataFrame, seen: pdf.Inspection) -> DataFrame:
         seen.pages.join(seen.operation_counts(), ["file", "page_number"]), "pages", ["page_number"], page_number=c("page_number"), width_pt=c("width_pt"), height_pt=c("height_pt"), width_mm=c("width_mm"), height_mm=c("height_mm"),
         rotation_degrees=c("rotation"), object_counts=counts,
     )
-    streams = pdf.catalogue(seen.objects).join(seen.objects.select("file", "id", "number", "generation", F.expr("ltrim('/', get_json_object(value, '$.Subtype'))").alias("subtype")), ["file", "id"])
-    lists = [
-        _listed(streams.filter("kind = 'font'"), "fonts", ["number", "generation"], id=c("id"), base_font=F.lit(None).cast("string"), subtype=c("subtype"), encoded_bytes=c("encoded_bytes")),
-        _listed(streams.filter("kind = 'embedded_file'"), "embedded_files", ["number", "generation"], id=c("id"), encoded_bytes=c("encoded_bytes")),
-        _listed(streams.filter("kind = 'metadata'"), "metadata", ["number", "generation"], id=c("id"), encoded_bytes=c("encoded_bytes")),
-        _listed(seen.warnings(), "warnings", ["page_number", "object_id", "message"], page_number=c("page_number"), object_id=c("object_id"), message=c("message")),
-    ]
-    whole = pdf.size_summary(pdfs, seen.objects).join(pdfs.select("file", "size_bytes"), "file")
+    warning_list = _listed(seen.warnings(), "warnings", ["page_number", "object_id", "message"], page_number=c("page_number"), object_id=c("object_id"), message=c("message"))
+    whole = _streams(seen.objects).join(pdfs.select("file", "size_bytes"), "file")
     names = ["pages", "images", "fonts", "embedded_files", "metadata", "warnings"]
-    for part in (page_list, image_list, *lists):
+    for part in (page_list, image_list, warning_list):
         name = part.columns[1]
         whole = whole.join(part, "file", "left").withColumn(name, F.coalesce(name, F.array().cast(dict(part.dtypes)[name])))
-    sizes = F.struct("image_bytes", "font_bytes", "embedded_file_bytes", "metadata_bytes", F.lit(0).alias("other_bytes"), "unknown_bytes", F.lit(ATTRIBUTION).alias("attribution"))
+    sizes = F.struct("image_bytes", "font_bytes", "embedded_file_bytes", "metadata_bytes", F.lit(0).alias("other_bytes"), unknown_bytes(KINDS, "size_bytes").alias("unknown_bytes"), F.lit(ATTRIBUTION).alias("attribution"))
     file = F.struct(c("file").alias("path"), "size_bytes", F.size("pages").alias("page_count"))
     return whole.select("file", F.struct(F.lit(VERSION).alias("schema_version"), file.alias("file"), sizes.alias("summary"), *names).alias("report"))
 
