@@ -39,5 +39,4 @@ select 'font-' || doc_id || '.pdf' as file, 1 as page_number, replace(replace(re
 """)
 def pdf_font_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What pages show in fonts of one and two bytes, with maps, differences and neither."""
-    files = font_files(pdf.spread(_read(spark, sf_dir, "documents").select("doc_id", "text")))
-    return text.page_text(*pdf.read(files))
+    return text.file_text(font_files(pdf.spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))))

@@ -3,6 +3,9 @@
 A font's codes are one or two bytes; which characters they stand for is a relation of code ranges, from the font's ToUnicode map
 or from its encoding's differences. A page's strings and the ranges of its fonts meet in one row for each page, where each different
 code of a font is looked up once. Python reads single maps, contents and pages' strings only.
+
+``page_text`` does this for relations, edited ones too. Where files are only read (``file_text``), all that a page's text needs is in its own
+file, as with references and what pages inherit: it is looked up where the file is parsed, and neither contents nor strings are written or shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import dealt
-from .pdf import _batches, _get, cells
+from .pdf import _ARROW, PARTS, _batches, _File, _get, cells, content_operations
 from .syntax import REFERENCE, Text, string_bytes, tokens
 
 #: Names of glyphs that aren't letters, in the order of ASCII from the space on; then after Z, and after z.
@@ -30,7 +33,10 @@ _NAMED = {name: chr(start + i) for start, names in ((0x20, _PUNCTUATION), (0x5B,
 UNKNOWN = "�"
 
 _RANGES = "file string, id string, size int, lo int, hi int, text string"
-_UNI = re.compile(r"(?:uni|u)([0-9A-Fa-f]{4,6})$")
+_UNI = re.compile(r"^(?:uni|u)([0-9A-Fa-f]{4,6})$")
+
+#: Hex digits that are no character: half a pair, or beyond the last one.
+_NO_CHARACTER = r"^(0{0,2}[Dd][89A-Fa-f]..|(?!0|10).{6})$"
 
 
 def glyph(name: str) -> str | None:
@@ -38,7 +44,8 @@ def glyph(name: str) -> str | None:
     if len(name) == 1:
         return name
     if m := _UNI.match(name):
-        return chr(int(m[1], 16)) if int(m[1], 16) < 0x110000 else None
+        code = int(m[1], 16)
+        return chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else None
     return _NAMED.get(name)
 
 
@@ -106,13 +113,13 @@ def code_maps(found: DataFrame) -> DataFrame:
     # a number starts a run of names; the code of a name is the last number before it and the names between
     places = listed.select("file", "id", F.posexplode("d").alias("at", "x")).withColumn("n", F.expr("try_cast(x as int)"))
     runs = places.filter("n is not null").groupBy("file", "id").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("runs"))
-    last = F.element_at(F.filter("runs", lambda r: r["at"] < F.col("at")), -1)
+    last = F.try_element_at(F.filter("runs", lambda r: r["at"] < F.col("at")), F.lit(-1))
     names = places.filter("n is null").join(dealt(runs), ["file", "id"]).withColumn("run", last).filter("run is not null")
     code = F.col("run.n") + F.col("at") - F.col("run.at") - 1
     named = F.create_map(*(x for k, v in _NAMED.items() for x in (F.lit(k), F.lit(v))))
     name = F.ltrim("x", F.lit("/"))
     uni = F.regexp_extract(name, _UNI.pattern, 1)
-    text = F.when(F.length(name) == 1, name).when(uni != "", F.decode(F.unhex(F.lpad(uni, 8, "0")), "UTF-32")).otherwise(F.try_element_at(named, name))
+    text = F.when(F.length(name) == 1, name).when(uni != "", F.when(~uni.rlike(_NO_CHARACTER), F.decode(F.unhex(F.lpad(uni, 8, "0")), "UTF-32"))).otherwise(F.try_element_at(named, name))
     different = names.select("file", "id", code.cast("int").alias("lo"), code.cast("int").alias("hi"), text.alias("text")).filter("text is not null")
     return mapped.unionByName(different)
 
@@ -172,3 +179,80 @@ def page_text(found: DataFrame, own_pages: DataFrame, ops: DataFrame) -> DataFra
     texts = lists.join(dealt(held), ["file", "holder"], "left").select("file", "holder", "shown", "fonts").mapInArrow(_texts, "file string, id string, text string")
     whole = own_pages.select("file", "page_number", "id").join(dealt(texts), ["file", "id"], "left")
     return whole.select("file", "page_number", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _differences(listed: object) -> Iterator[tuple[int, str]]:
+    """Codes and characters of an encoding's differences: a number starts a run of names."""
+    code = None
+    for x in listed if isinstance(listed, list) else ():
+        if type(x) is int and -(1 << 31) <= x < 1 << 31:
+            code = x
+            continue
+        if code is not None:
+            if isinstance(x, str) and (character := glyph(x.lstrip("/"))) is not None:
+                yield code, character
+            code += 1
+
+
+def _font(own: _File, ref: object) -> _Font | None:
+    """The font of a file that ``ref`` refers to, with the ranges of ``code_maps``; None where it is no font."""
+    font = own.by_id.get(ref) if isinstance(ref, str) else None
+    if not isinstance(font, dict) or font.get("Type") != "/Font":
+        return None
+    found, to, encoding = [], font.get("ToUnicode"), font.get("Encoding")
+    if to is not None:
+        data = own.content(to)[0] if isinstance(to, str) and to in own.streams else None
+        if data and b"beginbf" in data:
+            found = [(lo, hi, text) for size, lo, hi, text in code_ranges(data) if 0 < size < 4 and lo <= hi]
+    elif isinstance(encoding := own.by_id.get(encoding) if isinstance(encoding, str) else encoding, dict):
+        found = [(code, code, text) for code, text in _differences(encoding.get("Differences"))]
+    return _Font(2 if font.get("Subtype") == "/Type0" else 1, [{"lo": lo, "hi": hi, "text": text} for lo, hi, text in sorted(found)])
+
+
+def _pages(own: _File, file: str, rows: list[dict]) -> Iterator[tuple]:
+    """file, page_number and text of the pages among a file's rows; each font is read once."""
+    fonts: dict[str, _Font | None] = {}
+    other = _Font()
+    for row in rows:
+        page = own.by_id[row["id"]]
+        table = (own.resources(own.inherited(page, "Resources")) or {}).get("Font")
+        named = {name: ref for name, ref in table.items() if isinstance(ref, str)} if isinstance(table, dict) else {}
+        contents = [b"".join(x + b"\n" for x in row["page_content"])] if row["page_content"] else []
+        if row["content"] is not None and page.get("Subtype") == "/Form":  # a page that is a form, too, shows both
+            contents.append(row["content"])
+        shown = [(idx, font, strings) for data in contents for idx, (_, _, _, font, strings) in enumerate(content_operations(data)) if strings is not None]
+        if len(contents) > 1:
+            shown.sort(key=lambda x: (x[0], x[1] is not None, x[1] or "", "".join(x[2])))
+        text = []
+        for _, name, strings in shown:
+            ref = named.get(name)
+            if ref is not None and ref not in fonts:
+                fonts[ref] = _font(own, ref)
+            font = fonts.get(ref)
+            text.append((other if font is None else font).text(bytes.fromhex("".join(strings))))
+        whole = "".join(x + " " for x in text)
+        for number in row["page_numbers"]:
+            yield file, number, whole
+
+
+_PAGE_TEXTS = pa.schema([("file", pa.string()), ("page_number", pa.int32()), ("text", pa.string())])
+
+
+def _file_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    numbers = _ARROW.names.index("page_numbers")
+
+    def rows() -> Iterator[tuple]:
+        for file, data in cells(batches):
+            try:
+                own = _File(data or b"")
+                pages = [dict(zip(_ARROW.names, x, strict=True)) for x in own.values(file, False, PARTS - {"sha256"}) if x[numbers]]
+            except Exception:  # a file that can't be read has no pages; ``objects`` has a warning for it
+                continue
+            yield from _pages(own, file, pages)
+
+    yield from _batches(rows(), _PAGE_TEXTS)
+
+
+def file_text(pdfs: DataFrame) -> DataFrame:
+    """``page_text`` of files (columns file, content) as they are, in one pass over their bytes."""
+    return pdfs.select("file", "content").mapInArrow(_file_texts, "file string, page_number int, text string")
